@@ -13,6 +13,7 @@ from granary.plans.inputs import (
     TELEMETRY,
     clean_sql,
     crops,
+    jaro_winkler_cte,
     lineitem,
     monthly_prices,
     month,
@@ -96,14 +97,10 @@ k AS (SELECT *, row_number() OVER (PARTITION BY cod_municipio, anio, cultivo, va
 @query(
     "p04_clean_crops",
     EVA_SQL
-    + f""" SELECT cod_departamento, cod_municipio, departamento, cultivo, variedad, grupo_de_cultivo, anio,
-   {r('area_sembrada_ha', 4)} AS area_sembrada_ha, {r('area_cosechada_ha', 4)} AS area_cosechada_ha,
-   {r('produccion_ton', 4)} AS produccion_ton, {r('rendimiento_ton_ha', 4)} AS rendimiento_ton_ha FROM k WHERE rn = 1""",
+    + " SELECT * EXCLUDE (rn) FROM k WHERE rn = 1",
 )
 def clean_crops(spark, sf):
-    out = cleaning.clean(crops(spark, sf), "eva")
-    nums = ["area_sembrada_ha", "area_cosechada_ha", "produccion_ton", "rendimiento_ton_ha"]
-    return out.withColumns({c: rounded(c, 4) for c in nums})
+    return cleaning.clean(crops(spark, sf), "eva")
 
 
 @query(
@@ -306,8 +303,8 @@ def levenshtein_similarity(spark, sf):
 
 @query(
     "f04_jaro_winkler",
-    f"""WITH typos AS (SELECT DISTINCT p_name AS a, substr(p_name, 1, 1 + p_partkey % 6) || substr(p_name, 3 + p_partkey % 6) AS b FROM part)
-SELECT a, b, {r('jaro_winkler_similarity(a, b)', 6)} AS similitud FROM typos""",
+    f"""WITH RECURSIVE typos AS (SELECT DISTINCT p_name AS a, substr(p_name, 1, 1 + p_partkey % 6) || substr(p_name, 3 + p_partkey % 6) AS b FROM part),
+{jaro_winkler_cte('typos')} SELECT a, b, {r('jw', 6)} AS similitud FROM jw""",
 )
 def jaro_winkler(spark, sf):
     k = (F.col("p_partkey") % 6).cast("int")
@@ -456,11 +453,7 @@ def unwrap_months(spark, sf):
 
     o = table(spark, sf, "orders")
     wide = (
-        o.groupBy(F.year("o_orderdate").alias("anio"))
-        .pivot("m", list(range(1, 13)))
-        .agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")))
-        if "m" in o.columns
-        else o.withColumn("m", F.month("o_orderdate"))
+        o.withColumn("m", F.month("o_orderdate"))
         .groupBy(F.year("o_orderdate").alias("anio"))
         .pivot("m", list(range(1, 13)))
         .agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")))

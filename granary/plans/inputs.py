@@ -166,3 +166,29 @@ def quantile_sql(p: str) -> str:
         f" / (1.0 + 1.432788*{t} + 0.189269*{t}*{t} + 0.001308*{t}*{t}*{t}))"
     )
     return f"(CASE WHEN {p} < 0.5 THEN -{z} ELSE {z} END)"
+
+
+def jaro_winkler_cte(pairs: str) -> str:
+    """Recursive CTE ``jw(a, b, jw)`` over a CTE ``pairs(a, b)`` (fractional transpositions)."""
+    return f"""jw_walk AS (
+  SELECT a, b, 0 AS i, b AS rest, '' AS seen FROM {pairs}
+  UNION ALL
+  SELECT a, b, i + 1,
+    CASE WHEN hit > 0 THEN substr(rest, 1, lo + hi_at - 2) || chr(1) || substr(rest, lo + hi_at) ELSE rest END,
+    CASE WHEN hit > 0 THEN seen || substr(a, i + 1, 1) ELSE seen END
+  FROM (SELECT *, CASE WHEN hi >= lo THEN instr(substr(rest, lo, hi - lo + 1), substr(a, i + 1, 1)) ELSE 0 END AS hit, hit AS hi_at
+        FROM (SELECT *, greatest(1, i + 1 - (greatest(length(a), length(b)) // 2 - 1)) AS lo,
+                     least(i + 1 + (greatest(length(a), length(b)) // 2 - 1), length(b)) AS hi
+              FROM jw_walk WHERE i < length(a)))),
+jw_pair AS (
+  SELECT a, b, seen, array_to_string(list_transform(list_filter(range(1, length(b) + 1), lambda j: substr(rest, j, 1) = chr(1)), lambda j: substr(b, j, 1)), '') AS other
+  FROM jw_walk WHERE i = length(a)),
+jw_count AS (
+  SELECT a, b, length(seen) AS m, len(list_filter(range(1, length(seen) + 1), lambda k: substr(seen, k, 1) <> substr(other, k, 1))) / 2.0 AS t,
+    CASE WHEN substr(a,1,1) <> substr(b,1,1) THEN 0 WHEN substr(a,1,2) <> substr(b,1,2) OR least(length(a), length(b)) < 2 THEN 1
+         WHEN substr(a,1,3) <> substr(b,1,3) OR least(length(a), length(b)) < 3 THEN 2
+         WHEN substr(a,1,4) <> substr(b,1,4) OR least(length(a), length(b)) < 4 THEN 3 ELSE 4 END AS l
+  FROM jw_pair),
+jw AS (
+  SELECT a, b, CASE WHEN a = b THEN 1.0 WHEN m = 0 THEN 0.0 ELSE j + l * 0.1 * (1.0 - j) END AS jw
+  FROM (SELECT *, (m / CAST(length(a) AS DOUBLE) + m / CAST(length(b) AS DOUBLE) + (m - t) / CAST(m AS DOUBLE)) / 3.0 AS j FROM jw_count))"""
