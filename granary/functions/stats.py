@@ -51,18 +51,25 @@ def clip(col: Column, low: float, high: float) -> Column:
     return F.when(col.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), col)))
 
 
-def gamma_cdf(x: Column, shape: Column, scale: Column) -> Column:
-    """Wilson-Hilferty cube-root normal approximation."""
-    mean = shape * scale
+def wilson_hilferty(x: Column, shape: Column, scale: Column) -> Column:
+    """Cube-root transform under which a gamma variable is nearly standard normal."""
     spread = 1.0 / (9.0 * shape)
-    z = (F.pow(x / mean, F.lit(1.0 / 3.0)) - (1.0 - spread)) / F.sqrt(spread)
+    return (F.pow(x / (shape * scale), F.lit(1.0 / 3.0)) - (1.0 - spread)) / F.sqrt(spread)
+
+
+def gamma_cdf_from_z(x: Column, shape: Column, scale: Column, z: Column) -> Column:
+    """Gamma distribution function, given the transformed value ``z`` as a column."""
     return (
         F.when(x <= 0, F.lit(0.0))
-        .when((mean <= 0) | (shape <= 0), F.lit(0.5))
+        .when((shape * scale <= 0) | (shape <= 0), F.lit(0.5))
         .otherwise(clip(norm_cdf(z), 0.0, 1.0))
     )
 
 
+def gamma_cdf(x: Column, shape: Column, scale: Column) -> Column:
+    return gamma_cdf_from_z(x, shape, scale, wilson_hilferty(x, shape, scale))
+
+
 def chi2_tail_2df(x: Column) -> Column:
     return F.when(x <= 0, F.lit(1.0)).otherwise(F.exp(-0.5 * x))
 

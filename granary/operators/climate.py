@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.nulls import attach
-from granary.functions.stats import P_FLOOR, Z_LIMIT, clip, gamma_cdf, norm_quantile
+from granary.functions.stats import P_FLOOR, Z_LIMIT, clip, gamma_cdf_from_z, norm_quantile, wilson_hilferty
 from granary.operators.features import _series, full_rolling_sum
 from granary.operators.ordered import over_history
 
@@ -27,7 +27,7 @@ def gamma_fit(accumulated: DataFrame, keys: list[str], value: str, min_periods:
         F.count(F.lit(1)).alias("n"),
         F.count(positive).alias("n_pos"),
         F.avg(positive).alias("mean"),
-        F.avg(F.log(F.greatest(positive, F.lit(TINY)))).alias("mean_log"),
+        F.avg(F.when(x > 0, F.log(F.greatest(x, F.lit(TINY))))).alias("mean_log"),
     )
     gap = F.log(F.greatest(F.col("mean"), F.lit(TINY))) - F.col("mean_log")
     shape = F.when(gap <= 0, F.lit(1.0)).otherwise((1.0 + F.sqrt(1.0 + 4.0 * gap / 3.0)) / (4.0 * gap))
@@ -55,11 +55,17 @@ def spi(
     label = name or f"spi_{scale}"
     summed = over_history(df, keys, order, scale, lambda w: {"__acc": full_rolling_sum(value, scale, w)}, bounded)
     fitted = attach(summed, gamma_fit(summed, keys, "__acc", min_periods), keys, "left")
-    acc, q = F.col("__acc"), F.col("q_zero")
-    prob = F.when(acc <= 0, q).otherwise(q + (1.0 - q) * gamma_cdf(acc, F.col("shape"), F.col("scale")))
-    z = clip(norm_quantile(clip(prob, P_FLOOR, 1.0 - P_FLOOR)), -Z_LIMIT, Z_LIMIT)
-    index = F.when(acc.isNotNull() & q.isNotNull(), z)
-    return fitted.withColumn(label, index).drop("__acc", "q_zero", "shape", "scale")
+    acc, q, p = F.col("__acc"), F.col("q_zero"), F.col("__p")
+    # Staged columns: each later formula repeats its argument many times, so the argument
+    # has to be a plain column for the generated code to stay small.
+    staged = (
+        fitted.withColumn("__wh", wilson_hilferty(acc, F.col("shape"), F.col("scale")))
+        .withColumn("__g", gamma_cdf_from_z(acc, F.col("shape"), F.col("scale"), F.col("__wh")))
+        .withColumn("__p", clip(F.when(acc <= 0, q).otherwise(q + (1.0 - q) * F.col("__g")), P_FLOOR, 1.0 - P_FLOOR))
+        .withColumn("__z", norm_quantile(p))
+    )
+    index = F.when(acc.isNotNull() & q.isNotNull(), clip(F.col("__z"), -Z_LIMIT, Z_LIMIT))
+    return staged.withColumn(label, index).drop("__acc", "q_zero", "shape", "scale", "__wh", "__g", "__p", "__z")
 
 
 def thermal_anomaly(

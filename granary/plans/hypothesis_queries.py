@@ -1 +1,126 @@
-"""Queries."""
+"""The test battery and its parts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from granary.operators import hypothesis as ht
+from granary.plans.catalog import query
+from granary.plans.inputs import PRICES, lineitem, monthly_discounts, monthly_prices, phi, r, rounded
+from granary.session import table
+
+JB = """mom AS (SELECT {k}, count(*) AS n, avg(x) AS mu FROM {src} GROUP BY 1),
+cen AS (SELECT {k}, n, avg((x - mu)**2) AS v, avg((x - mu)**3) AS m3, avg((x - mu)**4) AS m4 FROM {src} JOIN mom USING ({k}) GROUP BY 1, 2),
+jb AS (SELECT {k}, n, m3 / v**1.5 AS sk, m4 / v**2 AS ku, n / 6.0 * ((m3 / v**1.5)**2 + (m4 / v**2 - 3)**2 / 4) AS jb FROM cen)"""
+
+
+@query(
+    "h01_normality",
+    f"WITH src AS (SELECT event_type, value AS x FROM events), {JB.format(k='event_type', src='src')} SELECT event_type, n AS n_observations, {r('jb', 2)} AS statistic, {r('exp(-0.5 * jb)', 6)} AS p_value, {r('sk', 5)} AS skewness, {r('ku', 5)} AS kurtosis, exp(-0.5 * jb) < 0.05 AS alpha_05_rejected, exp(-0.5 * jb) < 0.01 AS alpha_01_rejected, CASE WHEN exp(-0.5 * jb) < 0.05 THEN 'RECHAZA_H0' ELSE 'NO_RECHAZA_H0' END AS decision FROM jb",
+)
+def normality(spark, sf):
+    out = ht.normality(table(spark, sf, "events"), ["event_type"], "value")
+    return out.withColumns({"statistic": rounded("statistic", 2), "p_value": rounded("p_value", 6), "skewness": rounded("skewness", 5), "kurtosis": rounded("kurtosis", 5)})
+
+
+MK = f"""pos AS (SELECT serie, precio AS x, row_number() OVER (PARTITION BY serie ORDER BY mes) AS i FROM prices),
+pairs AS (SELECT a.serie, sign(b.x - a.x) AS s, (b.x - a.x) / (b.i - a.i) AS slope FROM pos a JOIN pos b ON a.serie = b.serie AND a.i < b.i),
+agg AS (SELECT serie, CAST(sum(s) AS BIGINT) AS s, median(slope) AS slope FROM pairs GROUP BY 1),
+mk0 AS (SELECT serie, n, s, slope, CASE WHEN s = 0 THEN 0.0 ELSE (s - sign(s)) / sqrt(n * (n - 1) * (2 * n + 5) / 18.0) END AS z FROM agg JOIN (SELECT serie, count(*) AS n FROM pos GROUP BY 1) USING (serie)),
+mk AS (SELECT *, least(1.0, greatest(0.0, 2 * (1 - {phi('abs(z)')}))) AS p FROM mk0)"""
+
+
+@query(
+    "h02_mann_kendall",
+    f"WITH {PRICES}, {MK} SELECT serie, n AS n_observations, s AS statistic_s, {r('z', 5)} AS z_score, {r('p', 6)} AS p_value, {r('slope', 5)} AS sens_slope, CASE WHEN p >= 0.05 THEN 'ESTACIONARIA_SIN_TENDENCIA' WHEN s > 0 THEN 'ASCENDENTE' ELSE 'DESCENDENTE' END AS trend_direction, CASE WHEN p < 0.05 THEN 'RECHAZA_H0' ELSE 'NO_RECHAZA_H0' END AS decision FROM mk",
+)
+def mann_kendall(spark, sf):
+    out = ht.mann_kendall(monthly_prices(spark, sf), ["serie"], "precio", ["mes"], bounded=True)
+    return out.withColumns({"z_score": rounded("z_score", 5), "p_value": rounded("p_value", 6), "sens_slope": rounded("sens_slope", 5)})
+
+
+ADF = """steps AS (SELECT {k}, x - lag(x) OVER (PARTITION BY {k} ORDER BY {o}) AS dy, lag(x) OVER (PARTITION BY {k} ORDER BY {o}) AS y FROM {src}),
+fit AS (SELECT {k}, count(*) AS n, regr_count(dy, y) AS m, regr_slope(dy, y) AS b, regr_sxx(dy, y) AS sxx, regr_sxy(dy, y) AS sxy, regr_syy(dy, y) AS syy FROM steps GROUP BY 1),
+adf AS (SELECT {k}, n, b / sqrt((syy - sxy * b) / m / sxx) AS t FROM fit)"""
+
+
+@query(
+    "h03_stationarity",
+    f"WITH {PRICES}, src AS (SELECT serie, mes, precio AS x FROM prices), {ADF.format(k='serie', o='mes', src='src')} SELECT serie, n AS n_observations, {r('t', 5)} AS adf_statistic, {r('1 / (1 + exp(-2 * (t + 2.86)))', 6)} AS adf_pvalue, CASE WHEN 1 / (1 + exp(-2 * (t + 2.86))) < 0.05 THEN 'ESTACIONARIA_ESTRICTA' ELSE 'NO_CONCLUYENTE' END AS status, CASE WHEN 1 / (1 + exp(-2 * (t + 2.86))) < 0.05 THEN 'ESTACIONARIA' ELSE 'NO_ESTACIONARIA' END AS decision FROM adf",
+)
+def stationarity(spark, sf):
+    out = ht.stationarity(monthly_prices(spark, sf), ["serie"], "precio", ["mes"], bounded=True)
+    return out.drop("kpss_statistic", "kpss_pvalue").withColumns({"adf_statistic": rounded("adf_statistic", 5), "adf_pvalue": rounded("adf_pvalue", 6)})
+
+
+KPSS = """e AS (SELECT serie, x - avg(x) OVER (PARTITION BY serie) AS e, count(*) OVER (PARTITION BY serie) AS n, row_number() OVER (PARTITION BY serie ORDER BY mes) AS i FROM src),
+pilot AS (SELECT serie, max(n) AS n, greatest(CAST(floor(pow(max(n), 2.0 / 9.0)) AS INTEGER), 1) AS l0, sum(e * e) AS sse FROM e GROUP BY 1),
+cov AS (SELECT a.serie, b.i - a.i AS j, sum(a.e * b.e) AS c FROM e a JOIN e b ON a.serie = b.serie AND b.i > a.i AND b.i - a.i <= 60 GROUP BY 1, 2),
+auto AS (SELECT p.serie, p.n, p.sse, CAST(floor(1.1447 * pow(pow((2 * sum(j * c) / n) / ((sse + 2 * sum(c)) / n), 2), 1.0 / 3) * pow(n, 1.0 / 3)) AS INTEGER) AS l FROM pilot p JOIN cov ON cov.serie = p.serie AND j <= l0 GROUP BY p.serie, p.n, p.sse),
+lr AS (SELECT a.serie, a.n, a.l, (a.sse + 2 * coalesce(sum((1 - j / (l + 1.0)) * c), 0)) / a.n AS s2 FROM auto a LEFT JOIN cov ON cov.serie = a.serie AND j <= l GROUP BY a.serie, a.n, a.l, a.sse),
+cum AS (SELECT serie, sum(cs * cs) AS eta FROM (SELECT serie, sum(e) OVER (PARTITION BY serie ORDER BY i) AS cs FROM e) GROUP BY 1),
+kpss AS (SELECT serie, n, l, eta / (n * n) / s2 AS k FROM lr JOIN cum USING (serie))"""
+
+
+@query(
+    "h04_kpss",
+    f"""WITH {PRICES}, src AS (SELECT serie, mes, precio AS x FROM prices), {KPSS}
+SELECT serie, n AS n_observations, l AS lags, {r('k', 5)} AS kpss_statistic,
+ {r('CASE WHEN k <= 0.347 THEN 0.10 WHEN k < 0.463 THEN 0.10 + (k - 0.347) * (0.05 - 0.10) / (0.463 - 0.347) WHEN k < 0.574 THEN 0.05 + (k - 0.463) * (0.025 - 0.05) / (0.574 - 0.463) WHEN k < 0.739 THEN 0.025 + (k - 0.574) * (0.01 - 0.025) / (0.739 - 0.574) ELSE 0.01 END', 5)} AS kpss_pvalue FROM kpss""",
+)
+def kpss(spark, sf):
+    out = ht.kpss(monthly_prices(spark, sf), ["serie"], "precio", ["mes"], bounded=True)
+    return out.withColumns({"kpss_statistic": rounded("kpss_statistic", 5), "kpss_pvalue": rounded("kpss_pvalue", 5)})
+
+
+KW = """kw_n AS (SELECT {g} AS g FROM {src} WHERE x IS NOT NULL AND {g} IS NOT NULL GROUP BY 1 HAVING count(*) >= 3),
+kw_in AS (SELECT {g} AS g, x FROM {src} WHERE {g} IN (SELECT g FROM kw_n)),
+kw_r AS (SELECT g, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rk FROM kw_in),
+kw_s AS (SELECT g, count(*) AS n, sum(rk) AS s FROM kw_r GROUP BY 1),
+kw AS (SELECT count(*) AS n_groups, 12.0 / (sum(n) * (sum(n) + 1.0)) * sum(s * s / n) - 3.0 * (sum(n) + 1.0) AS h FROM kw_s)"""
+
+
+@query(
+    "h05_group_differences",
+    f"WITH src AS (SELECT c_mktsegment, o_totalprice AS x FROM orders JOIN customer ON o_custkey = c_custkey), {KW.format(g='c_mktsegment', src='src')}, p AS (SELECT *, least(1.0, greatest(0.0, 1 - {phi('((h - (n_groups - 1)) / sqrt(2.0 * (n_groups - 1)))')})) AS p FROM kw) SELECT n_groups, {r('h', 4)} AS statistic, {r('p', 6)} AS p_value, CASE WHEN p < 0.05 THEN 'RECHAZA_H0' ELSE 'NO_RECHAZA_H0' END AS decision FROM p",
+)
+def group_differences(spark, sf):
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    rows = o.join(c, o.o_custkey == c.c_custkey).select("o_totalprice", "c_mktsegment")
+    out = ht.group_differences(rows, [], "o_totalprice", "c_mktsegment")
+    return out.withColumns({"statistic": rounded("statistic", 4), "p_value": rounded("p_value", 6)})
+
+
+def _mart_row(test, category, stat, p, decision_yes, decision_no, src):
+    meaning = "CASE WHEN p < 0.05 THEN 'Evidencia contra la hipótesis nula al 5 %' ELSE 'Sin evidencia contra la hipótesis nula al 5 %' END"
+    return f"SELECT variable, '{category}' AS categoria_prueba, '{test}' AS prueba, {r(stat, 3)} AS estadistico, {r(p, 5)} AS p_valor, CASE WHEN p < 0.05 THEN '{decision_yes}' ELSE '{decision_no}' END AS decision, {meaning} AS interpretacion FROM {src}"
+
+
+def _battery_sql():
+    long = "src AS (SELECT 'total' AS variable, dia, semana, total AS x FROM daily UNION ALL SELECT 'pedidos', dia, semana, pedidos FROM daily)"
+    daily = "daily AS (SELECT CAST(o_orderdate AS DATE) AS dia, CAST(dayofweek(o_orderdate) AS VARCHAR) AS semana, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total, CAST(count(*) AS DOUBLE) AS pedidos FROM orders GROUP BY 1, 2)"
+    mk = MK.replace("SELECT serie, precio AS x, row_number() OVER (PARTITION BY serie ORDER BY mes) AS i FROM prices", "SELECT variable AS serie, x, row_number() OVER (PARTITION BY variable ORDER BY dia) AS i FROM src")
+    jb = JB.format(k="variable", src="src")
+    adf = ADF.format(k="variable", o="dia", src="src")
+    kws = "kw_r AS (SELECT variable, semana AS g, rank() OVER (PARTITION BY variable ORDER BY x) + (count(*) OVER (PARTITION BY variable, x) - 1) / 2.0 AS rk FROM src), kw_s AS (SELECT variable, g, count(*) AS n, sum(rk) AS s FROM kw_r GROUP BY 1, 2), kw AS (SELECT variable, count(*) AS ng, 12.0 / (sum(n) * (sum(n) + 1.0)) * sum(s * s / n) - 3.0 * (sum(n) + 1.0) AS h FROM kw_s GROUP BY 1)"
+    z = phi("((h - (ng - 1)) / sqrt(2.0 * (ng - 1)))")
+    return f"""WITH {daily}, {long}, {jb}, {mk}, {adf}, {kws},
+n_jb AS (SELECT variable, jb AS st, exp(-0.5 * jb) AS p FROM jb), n_mk AS (SELECT serie AS variable, z AS st, p FROM mk),
+n_adf AS (SELECT variable, t AS st, 1 / (1 + exp(-2 * (t + 2.86))) AS p FROM adf), n_kw AS (SELECT variable, h AS st, least(1.0, greatest(0.0, 1 - {z})) AS p FROM kw)
+{_mart_row('NORMALIDAD_JARQUE_BERA', 'Distribución', 'st', 'p', 'RECHAZA_H0', 'NO_RECHAZA_H0', 'n_jb')} UNION ALL
+{_mart_row('MANN_KENDALL_TENDENCIA', 'Tendencia', 'st', 'p', 'RECHAZA_H0', 'NO_RECHAZA_H0', 'n_mk')} UNION ALL
+{_mart_row('ESTACIONARIEDAD_ADF_KPSS', 'Estacionariedad', 'st', 'p', 'ESTACIONARIA', 'NO_ESTACIONARIA', 'n_adf')} UNION ALL
+{_mart_row('KRUSKAL_WALLIS', 'Grupos_Regionales', 'st', 'p', 'RECHAZA_H0', 'NO_RECHAZA_H0', 'n_kw')}"""
+
+
+def daily_orders(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.groupBy(F.col("o_orderdate").cast("date").alias("dia"), (F.dayofweek("o_orderdate") - 1).cast("string").alias("semana")).agg(
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"), F.count(F.lit(1)).cast("double").alias("pedidos")
+    )
+
+
+@query("h06_full_battery", _battery_sql())
+def full_battery(spark, sf):
+    out = ht.full_battery(daily_orders(spark, sf), ["total", "pedidos", "absent"], ["dia"], "semana", bounded=True)
+    return out.withColumns({"estadistico": rounded("estadistico", 3), "p_valor": rounded("p_valor", 5)})

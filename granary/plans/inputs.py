@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from granary.session import table
 
 
+# Exact ties such as 0.00005 are common in prices; half-up with a small nudge puts them
+# on the same side in every engine, whatever the last bit of a floating sum.
+NUDGE = 1e-5
+
+
 def rounded(col: Column | str, digits: int) -> Column:
-    """Rounded for comparison; adding zero turns -0.0 into 0.0."""
-    return F.round(col, digits) + F.lit(0.0)
+    """Rounded half-up for comparison; adding zero turns -0.0 into 0.0."""
+    value = F.col(col) if isinstance(col, str) else col
+    return F.floor(value.cast("double") * float(10**digits) + 0.5 + NUDGE) / float(10**digits) + F.lit(0.0)
 
 
 def r(expr: str, digits: int) -> str:
-    return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0)"
+    return f"(floor(CAST({expr} AS DOUBLE) * {10**digits}.0 + 0.5 + {NUDGE:.5f}) / {10**digits}.0 + 0.0)"
 
 
 def month(col: str) -> Column:
