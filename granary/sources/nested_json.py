@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Nesting of the response, down to the value tuples.
 RESPONSE_SCHEMA = (
     "results array<struct<result: struct<data: struct<dsr: struct<"
-    "DS: array<struct<PH: array<struct<DM0: array<struct<C: array<string>>>>>>>>>>>"
+    "DS: array<struct<PH: array<struct<DM0: array<struct<C: array<string>>>>>>>>>>>>"
 )
 
 

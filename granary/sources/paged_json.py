@@ -10,11 +10,11 @@ and a lost task simply fetches its page again.
 from __future__ import annotations
 
 import json
-import os
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
+from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -49,7 +49,8 @@ class PagedReader(DataSourceReader):
         size = int(self.options.get("limit", PAGE_SIZE))
         cap = self.options.get("max_records")
         if "path" in self.options and "total" not in self.options:
-            names = (d for d in os.listdir(self.options["path"]) if d.startswith("page_offset="))
+            fs, root = FileSystem.from_uri(self.options["path"])
+            names = (f.base_name for f in fs.get_file_info(FileSelector(root)) if f.base_name.startswith("page_offset="))
             total = max((int(d.split("=")[1]) + size for d in names), default=0)
         else:
             total = int(self.options["total"])
@@ -57,11 +58,12 @@ class PagedReader(DataSourceReader):
 
     def _bodies(self, page: Page) -> Iterator[str]:
         if "path" in self.options:
-            folder = os.path.join(self.options["path"], f"page_offset={page.offset}")
-            for name in sorted(os.listdir(folder)) if os.path.isdir(folder) else []:
-                if not name.startswith((".", "_")):
-                    with open(os.path.join(folder, name), encoding="utf-8") as f:
-                        yield f.read()
+            fs, root = FileSystem.from_uri(self.options["path"])
+            found = fs.get_file_info(FileSelector(f"{root}/page_offset={page.offset}", allow_not_found=True))
+            for info in sorted(found, key=lambda f: f.base_name):
+                if not info.base_name.startswith((".", "_")):
+                    with fs.open_input_stream(info.path) as f:
+                        yield f.read().decode("utf-8")
             return
         params = {"$limit": page.limit, "$offset": page.offset, "$order": self.options.get("order", ORDER)}
         params.update(json.loads(self.options.get("extra_params", "{}")))

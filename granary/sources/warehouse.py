@@ -1,0 +1,34 @@
+"""Versioned storage of the star schema: a table is replaced whole, readers see the last
+complete version."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from granary.operators.star import SCHEMAS, empty_table
+from granary.sources.files import exists, folders
+from granary.sources.landing import write_snappy
+
+
+class Warehouse:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _versions(self, name: str) -> list[str]:
+        done = [v for v in folders(self.spark, f"{self.root}/{name}") if exists(self.spark, f"{self.root}/{name}/{v}/_SUCCESS")]
+        return sorted(done)
+
+    def initialize(self) -> None:
+        """Creates what is missing; existing tables keep their rows."""
+        for name in SCHEMAS:
+            if not self._versions(name):
+                self.replace(name, empty_table(self.spark, name))
+
+    def replace(self, name: str, df: DataFrame) -> None:
+        """Writes the next version beside the current one, so ``df`` may read the table."""
+        columns = empty_table(self.spark, name)
+        typed = df.select(*[df[f.name].cast(f.dataType) for f in columns.schema.fields])
+        write_snappy(typed, f"{self.root}/{name}/v{len(self._versions(name)):08d}")
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/{self._versions(name)[-1]}")
