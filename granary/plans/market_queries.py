@@ -1 +1,303 @@
-"""Queries."""
+"""Market questions over supplier, customer and brand revenue."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from granary.operators import features, hypothesis as ht, market
+from granary.plans.catalog import query
+from granary.plans.inputs import PRICES, lineitem, month, monthly_prices, r, rounded
+from granary.session import table
+
+REVENUE = "CAST(l_extendedprice * (1 - l_discount) AS DOUBLE)"
+
+
+def revenue(spark, sf):
+    """Line revenue by supplier nation, customer nation, brand and month."""
+    li, o, c = lineitem(spark, sf), table(spark, sf, "orders"), table(spark, sf, "customer")
+    s, p = table(spark, sf, "supplier"), table(spark, sf, "part")
+    return (
+        li.join(o, li.l_orderkey == o.o_orderkey)
+        .join(c, o.o_custkey == c.c_custkey)
+        .join(s, li.l_suppkey == s.s_suppkey)
+        .join(p, li.l_partkey == p.p_partkey)
+        .select(
+            F.col("s_nationkey").alias("origen"),
+            F.col("c_nationkey").alias("destino"),
+            F.col("p_brand").alias("marca"),
+            "l_suppkey",
+            F.year("l_shipdate").alias("anio"),
+            month("l_shipdate").alias("mes"),
+            (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("valor"),
+            F.col("l_quantity").alias("cantidad"),
+        )
+    )
+
+
+REV = f"""rev AS (SELECT s_nationkey AS origen, c_nationkey AS destino, p_brand AS marca, l_suppkey, year(l_shipdate) AS anio, CAST(date_trunc('month', l_shipdate) AS DATE) AS mes, {REVENUE} AS valor, l_quantity AS cantidad
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"""
+
+
+@query(
+    "t14_haversine_flow_share",
+    f"""WITH {REV}, f AS (SELECT origen, destino, sum(cantidad) AS q FROM rev GROUP BY 1, 2), d AS (SELECT *, q / sum(q) OVER (PARTITION BY destino) AS cuota, radians(origen - 4.0) AS p1, radians(destino - 4.0) AS p2, radians((destino * 1.5 - 80) - (origen * 1.5 - 80)) AS dl FROM f)
+SELECT origen, destino, {r('cuota', 6)} AS cuota, {r('2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((p2 - p1) / 2), 2) + cos(p1) * cos(p2) * pow(sin(dl / 2), 2))))', 4)} AS km FROM d""",
+)
+def haversine_flow_share(spark, sf):
+    flows = market.shares(revenue(spark, sf), ["destino"], "origen", "cantidad")
+    lat, lon = (lambda c: F.col(c) - 4.0), (lambda c: F.col(c) * 1.5 - 80)
+    km = features.haversine_km(lat("origen"), lon("origen"), lat("destino"), lon("destino"))
+    return flows.select("origen", "destino", rounded("share", 6).alias("cuota"), rounded(km, 4).alias("km"))
+
+
+@query("t16_market_size_and_share", f"WITH {REV}, t AS (SELECT marca, sum(valor) AS total FROM rev GROUP BY 1) SELECT marca, {r('total', 1)} AS total, {r('total / sum(total) OVER ()', 6)} AS share FROM t")
+def market_size(spark, sf):
+    out = market.shares(revenue(spark, sf), [], "marca", "valor")
+    return out.select("marca", rounded("total", 1).alias("total"), rounded("share", 6).alias("share"))
+
+
+@query("t16_growth_rate", f"WITH {REV}, y AS (SELECT marca, anio, sum(valor) AS v FROM rev GROUP BY 1, 2), e AS (SELECT marca, arg_min(v, anio) AS a, arg_max(v, anio) AS b, max(anio) - min(anio) AS n FROM y GROUP BY 1) SELECT marca, CAST(n AS INTEGER) AS span, {r('pow(b / a, 1.0 / n) - 1', 6)} AS cagr FROM e")
+def growth_rate(spark, sf):
+    yearly = revenue(spark, sf).groupBy("marca", "anio").agg(F.sum("valor").alias("v"))
+    return market.growth_rate(yearly, ["marca"], "anio", "v").withColumn("cagr", rounded("cagr", 6))
+
+
+@query(
+    "t17_centre_and_spread",
+    f"WITH {REV}, m AS (SELECT marca, mes, sum(valor) AS v FROM rev GROUP BY 1, 2) SELECT marca, {r('avg(v)', 2)} AS mean, {r('median(v)', 2)} AS median, {r('stddev_samp(v) / avg(v)', 6)} AS cv, {r('(quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / median(v)', 6)} AS iqr_over_median FROM m GROUP BY 1",
+)
+def centre_and_spread(spark, sf):
+    monthly = revenue(spark, sf).groupBy("marca", "mes").agg(F.sum("valor").alias("v"))
+    out = market.centre_and_spread(monthly, ["marca"], "v", bounded=True)
+    return out.select("marca", rounded("mean", 2).alias("mean"), rounded("median", 2).alias("median"), rounded("cv", 6).alias("cv"), rounded("iqr_over_median", 6).alias("iqr_over_median"))
+
+
+CONC = """tot AS (SELECT destino, l_suppkey, sum(valor) AS total FROM rev GROUP BY 1, 2), sh AS (SELECT *, total / sum(total) OVER (PARTITION BY destino) AS s, row_number() OVER (PARTITION BY destino ORDER BY total, l_suppkey) AS i, count(*) OVER (PARTITION BY destino) AS n FROM tot)"""
+
+
+@query(
+    "t18_concentration",
+    f"WITH {REV}, {CONC} SELECT destino, max(n) AS items, {r('sum(s * s)', 6)} AS hhi, {r('sum(CASE WHEN i > n - 5 THEN s ELSE 0 END)', 6)} AS cr_k, {r('2 * sum(i * total) / (max(n) * sum(total)) - (max(n) + 1) / max(n)', 6)} AS gini FROM sh GROUP BY 1",
+)
+def concentration(spark, sf):
+    out = market.concentration(revenue(spark, sf), ["destino"], "l_suppkey", "valor")
+    return out.select("destino", "items", *[rounded(c, 6).alias(c) for c in ("hhi", "cr_k", "gini")])
+
+
+@query("t18_lorenz_curve", f"WITH {REV}, {CONC} SELECT destino, l_suppkey, {r('i / n', 6)} AS item_share, {r('sum(s) OVER (PARTITION BY destino ORDER BY i)', 6)} AS value_share FROM sh")
+def lorenz_curve(spark, sf):
+    out = market.lorenz(revenue(spark, sf), ["destino"], "l_suppkey", "valor")
+    return out.select("destino", "l_suppkey", rounded("item_share", 6).alias("item_share"), rounded("value_share", 6).alias("value_share"))
+
+
+def offer_and_supply(spark, sf):
+    li = lineitem(spark, sf)
+    keys = ["l_suppkey", "mes"]
+    rows = li.select("l_suppkey", month("l_shipdate").alias("mes"), "l_quantity", "l_returnflag")
+    offer = rows.groupBy(*keys).agg(F.sum("l_quantity").alias("oferta"))
+    supply = rows.filter("l_returnflag = 'A'").groupBy(*keys).agg(F.sum("l_quantity").alias("abasto"))
+    return market.gap_rate(offer, supply, keys, "oferta", "abasto")
+
+
+GAP = """gap AS (SELECT l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS mes, (sum(l_quantity) - coalesce(sum(l_quantity) FILTER (l_returnflag = 'A'), 0)) / nullif(sum(l_quantity), 0) AS gap FROM lineitem GROUP BY 1, 2)"""
+
+
+@query("t19_gap_rate", f"WITH {GAP} SELECT l_suppkey, mes, {r('gap', 6)} AS gap FROM gap")
+def gap_rate(spark, sf):
+    return offer_and_supply(spark, sf).select("l_suppkey", "mes", rounded("gap", 6).alias("gap"))
+
+
+@query("t19_gap_persistence", f"WITH {GAP}, b AS (SELECT *, lag(gap) OVER (PARTITION BY l_suppkey ORDER BY mes) AS prev FROM gap) SELECT l_suppkey, {r('corr(gap, prev)', 6)} AS r_1 FROM b WHERE prev IS NOT NULL GROUP BY 1")
+def gap_persistence(spark, sf):
+    out = market.autocorrelation(offer_and_supply(spark, sf), ["l_suppkey"], ["mes"], "gap", bounded=True)
+    return out.select("l_suppkey", rounded("r_1", 6).alias("r_1"))
+
+
+@query(
+    "t20_slopes",
+    f"""WITH {PRICES}, pos AS (SELECT serie, precio AS x, row_number() OVER (PARTITION BY serie ORDER BY mes) - 1 AS i FROM prices),
+ts AS (SELECT a.serie, median((b.x - a.x) / (b.i - a.i)) AS slope FROM pos a JOIN pos b ON a.serie = b.serie AND a.i < b.i GROUP BY 1), ols AS (SELECT serie, regr_slope(x, i) AS slope FROM pos GROUP BY 1)
+SELECT serie, {r('ols.slope', 5)} AS ols, {r('ts.slope', 5)} AS theil_sen FROM ols JOIN ts USING (serie)""",
+)
+def slopes(spark, sf):
+    placed = ht.positions(monthly_prices(spark, sf), ["serie"], "precio", ["mes"], bounded=True)
+    sen = ht.median_slopes(placed, ["serie"], "precio", ht.series_sizes(placed, ["serie"]), bounded=True)
+    ols = market.line_slope(placed, ["serie"], "pos", "precio", "ols")
+    return ols.join(sen, "serie").select("serie", rounded("ols", 5).alias("ols"), rounded("sens_slope", 5).alias("theil_sen"))
+
+
+@query(
+    "t21_pearson_spearman",
+    f"""WITH s AS (SELECT l_returnflag AS g, l_quantity AS x, l_extendedprice AS y FROM lineitem), k AS (SELECT g, x, y, rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVER (PARTITION BY g, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY g ORDER BY y) + (count(*) OVER (PARTITION BY g, y) - 1) / 2.0 AS ry FROM s)
+SELECT g AS l_returnflag, {r('corr(x, y)', 6)} AS r, {r('corr(rx, ry)', 6)} AS rho FROM k GROUP BY 1""",
+)
+def pearson_spearman(spark, sf):
+    li = lineitem(spark, sf)
+    p = market.pearson(li, ["l_returnflag"], "l_quantity", "l_extendedprice")
+    s = ht.spearman(li, ["l_returnflag"], "l_quantity", "l_extendedprice")
+    return p.join(s, "l_returnflag").select("l_returnflag", rounded("r", 6).alias("r"), rounded("rho", 6).alias("rho"))
+
+
+MONTHLY = f"""mon AS (SELECT p_brand AS marca, CAST(date_trunc('month', l_shipdate) AS DATE) AS mes, sum(l_quantity) AS q, avg(l_extendedprice / l_quantity) AS p FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
+
+
+def monthly_market(spark, sf):
+    li, p = lineitem(spark, sf), table(spark, sf, "part")
+    return li.join(p, li.l_partkey == p.p_partkey).groupBy(F.col("p_brand").alias("marca"), month("l_shipdate").alias("mes")).agg(
+        F.sum("l_quantity").alias("q"), F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("p")
+    )
+
+
+@query(
+    "t21_kendall",
+    f"""WITH {MONTHLY}, n AS (SELECT marca, q, p, row_number() OVER (PARTITION BY marca ORDER BY mes) AS i FROM mon), s AS (SELECT a.marca, sum(sign(a.q - b.q) * sign(a.p - b.p)) AS s, sum(CASE WHEN a.q = b.q THEN 1 ELSE 0 END) AS tx, sum(CASE WHEN a.p = b.p THEN 1 ELSE 0 END) AS ty, count(*) AS n0 FROM n a JOIN n b ON a.marca = b.marca AND a.i < b.i GROUP BY 1)
+SELECT marca, {r('s / sqrt((n0 - tx) * (n0 - ty))', 6)} AS tau FROM s""",
+)
+def kendall(spark, sf):
+    return ht.kendall_tau(monthly_market(spark, sf), ["marca"], "q", "p", bounded=True).select("marca", rounded("tau", 6).alias("tau"))
+
+
+@query("t21_lagged_pearson", f"WITH {MONTHLY}, b AS (SELECT *, lag(q, 2) OVER (PARTITION BY marca ORDER BY mes) AS back FROM mon) SELECT marca, {r('corr(p, back)', 6)} AS r_lag_2 FROM b WHERE back IS NOT NULL GROUP BY 1")
+def lagged_pearson(spark, sf):
+    out = market.lagged_pearson(monthly_market(spark, sf), ["marca"], ["mes"], "p", "q", 2, bounded=True)
+    return out.select("marca", rounded("r_lag_2", 6).alias("r_lag_2"))
+
+
+@query("t22_elasticity", f"WITH {MONTHLY} SELECT marca, {r('regr_slope(ln(p), ln(q))', 6)} AS elasticity, count(*) AS pairs FROM mon WHERE p > 0 AND q > 0 GROUP BY 1")
+def elasticity(spark, sf):
+    return market.elasticity(monthly_market(spark, sf), ["marca"], "q", "p").withColumn("elasticity", rounded("elasticity", 6))
+
+
+@query(
+    "t23_seasonal_index",
+    f"WITH {MONTHLY}, a AS (SELECT marca, avg(q) AS g FROM mon GROUP BY 1) SELECT marca, month(mes) AS mes_num, {r('avg(q)', 4)} AS mean, {r('median(q)', 4)} AS median, {r('avg(q) / any_value(g)', 6)} AS seasonal_index FROM mon JOIN a USING (marca) GROUP BY 1, 2",
+)
+def seasonal_index(spark, sf):
+    out = market.seasonal_profile(monthly_market(spark, sf), ["marca"], "mes", "q", bounded=True)
+    return out.select("marca", "mes_num", rounded("mean", 4).alias("mean"), rounded("median", 4).alias("median"), rounded("seasonal_index", 6).alias("seasonal_index"))
+
+
+@query(
+    "t23_peak_months",
+    f"WITH {MONTHLY}, s AS (SELECT marca, month(mes) AS m, avg(p) AS a, median(p) AS b FROM mon GROUP BY 1, 2) SELECT marca, arg_max(m, (a, -m)) AS peak_mean, arg_max(m, (b, -m)) AS peak_median FROM s GROUP BY 1",
+)
+def peak_months(spark, sf):
+    profile = market.seasonal_profile(monthly_market(spark, sf), ["marca"], "mes", "p", bounded=True)
+    return market.peak_months(profile, ["marca"])
+
+
+@query("t24_value_ratio", f"WITH {REV} SELECT marca, {r('sum(valor) / sum(cantidad)', 4)} AS ratio_sums, {r('median(valor) / median(cantidad)', 4)} AS ratio_medians FROM rev GROUP BY 1")
+def value_ratio(spark, sf):
+    out = market.value_ratio(revenue(spark, sf), ["marca"], "valor", "cantidad")
+    return out.select("marca", rounded("ratio_sums", 4).alias("ratio_sums"), rounded("ratio_medians", 4).alias("ratio_medians"))
+
+
+ITEMS = f"""item AS (SELECT marca, sum(valor) AS valor, sum(cantidad) AS cantidad FROM rev GROUP BY 1)"""
+
+
+@query(
+    "t25_composite_score",
+    f"""WITH {REV}, {ITEMS}, st AS (SELECT avg(valor) AS m1, stddev_samp(valor) AS s1, avg(cantidad) AS m2, stddev_samp(cantidad) AS s2 FROM item)
+SELECT marca, {r('0.6 * (valor - m1) / s1 + 0.4 * (cantidad - m2) / s2', 6)} AS z_score, {r('0.6 * pv + 0.4 * pq', 6)} AS percentile_score FROM (SELECT *, percent_rank() OVER (ORDER BY valor) AS pv, percent_rank() OVER (ORDER BY cantidad) AS pq FROM item) CROSS JOIN st""",
+)
+def composite_score(spark, sf):
+    items = revenue(spark, sf).groupBy("marca").agg(F.sum("valor").alias("valor"), F.sum("cantidad").alias("cantidad"))
+    out = market.composite_score(items, "marca", {"valor": 0.6, "cantidad": 0.4})
+    return out.select("marca", rounded("z_score", 6).alias("z_score"), rounded("percentile_score", 6).alias("percentile_score"))
+
+
+@query(
+    "t26_question_mart",
+    f"""WITH {MONTHLY}, a AS (SELECT 'A1' AS pregunta_id, sum(q) AS p1, median(q) * count(*) AS p2 FROM mon), b AS (SELECT 'B1', avg(q), median(q) FROM mon), e AS (SELECT 'E1', stddev_samp(p) / avg(p), (quantile_cont(p, 0.75) - quantile_cont(p, 0.25)) / median(p) FROM mon),
+u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM e), mo AS (SELECT avg(q) AS m, count(*) AS n FROM mon), c AS (SELECT avg((q - m) ** 2) AS v, avg((q - m) ** 3) AS m3, avg((q - m) ** 4) AS m4, any_value(n) AS n FROM mon, mo),
+k AS (SELECT CASE WHEN exp(-0.5 * (n / 6.0 * ((m3 / v ** 1.5) ** 2 + (m4 / v ** 2 - 3) ** 2 / 4))) < 0.05 OR abs(m3 / v ** 1.5) > 1 THEN 'ROBUSTO' ELSE 'PARAMETRICO' END AS motor FROM c)
+SELECT pregunta_id, {r('p1', 5)} AS metrica_parametrica, {r('p2', 5)} AS metrica_no_parametrica, motor, CASE WHEN motor = 'ROBUSTO' THEN {r('p2', 5)} ELSE {r('p1', 5)} END AS metrica_elegida FROM u CROSS JOIN k""",
+)
+def question_mart(spark, sf):
+    m = monthly_market(spark, sf)
+    mid = lambda c, p: market.exact_quantiles(m, [], c, {"x": p}, bounded=None)
+    centre = market.centre_and_spread(m, [], "p")
+    size = m.agg(F.sum("q"))
+    robust_size = mid("q", 0.5).join(m.agg(F.count(F.lit(1)).alias("n")), on=F.lit(True)).select(F.col("x") * F.col("n"))
+    answers = [
+        market.dual_answer("A1", "Tamaño del mercado", "unidades", size, robust_size),
+        market.dual_answer("B1", "Volumen mensual", "unidades", m.agg(F.avg("q")), mid("q", 0.5)),
+        market.dual_answer("E1", "Volatilidad del precio", "razón", centre.select("cv"), centre.select("iqr_over_median")),
+    ]
+    out = market.question_mart(answers, m, "q")
+    nums = ("metrica_parametrica", "metrica_no_parametrica", "metrica_elegida")
+    return out.select("pregunta_id", "motor", *[rounded(c, 5).alias(c) for c in nums])
+
+
+LB = " + ".join(f"pow(sum(e * b{k}) / sum(e * e), 2) / (count(*) - {k})" for k in range(1, 6))
+
+
+@query(
+    "t27_ljung_box",
+    f"WITH {MONTHLY}, c AS (SELECT marca, mes, q - avg(q) OVER (PARTITION BY marca) AS e FROM mon), l AS (SELECT marca, e, {', '.join(f'lag(e, {k}) OVER (PARTITION BY marca ORDER BY mes) AS b{k}' for k in range(1, 6))} FROM c) SELECT marca, {r(f'count(*) * (count(*) + 2) * ({LB})', 5)} AS ljung_box_q FROM l GROUP BY 1",
+)
+def ljung_box(spark, sf):
+    return market.ljung_box(monthly_market(spark, sf), ["marca"], ["mes"], "q", bounded=True).withColumn("ljung_box_q", rounded("ljung_box_q", 5))
+
+
+@query(
+    "t27_levene",
+    f"""WITH s AS (SELECT c_mktsegment AS g, o_totalprice AS x FROM orders JOIN customer ON o_custkey = c_custkey), md AS (SELECT g, median(x) AS m FROM s GROUP BY 1), z AS (SELECT g, abs(x - m) AS z FROM s JOIN md USING (g)),
+a AS (SELECT g, count(*) AS n, avg(z) AS m, sum(z) AS sz FROM z GROUP BY 1), gr AS (SELECT sum(sz) / sum(n) AS grand, sum(n) AS nn, count(*) AS k FROM a), w AS (SELECT sum((z - m) ** 2) AS within FROM z JOIN a USING (g)), b AS (SELECT sum(n * (m - grand) ** 2) AS between_ FROM a, gr)
+SELECT k AS n_groups, {r('(nn - k) * between_ / ((k - 1) * within)', 5)} AS levene_w FROM gr, w, b""",
+)
+def levene(spark, sf):
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    out = market.levene(o.join(c, o.o_custkey == c.c_custkey), [], "o_totalprice", "c_mktsegment")
+    return out.withColumn("levene_w", rounded("levene_w", 5))
+
+
+@query(
+    "t27_granger",
+    f"""WITH {MONTHLY}, l AS (SELECT marca, p AS y, lag(p) OVER w AS a, lag(q) OVER w AS b FROM mon WINDOW w AS (PARTITION BY marca ORDER BY mes)),
+m AS (SELECT marca, count(*) AS t, covar_pop(y, y) * count(*) AS yy, covar_pop(a, a) * count(*) AS aa, covar_pop(b, b) * count(*) AS bb, covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS by_ FROM l WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1),
+f AS (SELECT marca, t, yy - ay * ay / aa AS r0, yy - (ay * ay * bb - 2 * ay * by_ * ab + by_ * by_ * aa) / (aa * bb - ab * ab) AS r1 FROM m) SELECT marca, t AS n, {r('(r0 - r1) / r1 * (t - 3)', 5)} AS granger_f FROM f""",
+)
+def granger(spark, sf):
+    out = market.granger(monthly_market(spark, sf), ["marca"], ["mes"], "q", "p", bounded=True)
+    return out.withColumn("granger_f", rounded("granger_f", 5))
+
+
+@query(
+    "t28_false_discovery_rate",
+    f"""WITH p AS (SELECT event_id, (event_id * 7919 % 1009) / 1009.0 * (value % 1) AS p FROM events), n AS (SELECT *, count(*) OVER () AS m, count(*) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS j FROM p)
+SELECT event_id, {r('least(1.0, min(p * m / j) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))', 6)} AS p_ajustado FROM n""",
+)
+def false_discovery_rate(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", ((F.col("event_id") * 7919 % 1009) / 1009.0 * (F.col("value") % 1)).alias("p"))
+    return market.benjamini_hochberg(ev, "p", ["event_id"]).select("event_id", rounded("p_ajustado", 6).alias("p_ajustado"))
+
+
+@query(
+    "t29_forecast_errors",
+    f"""WITH {MONTHLY}, f AS (SELECT marca, q AS y, lag(q) OVER (PARTITION BY marca ORDER BY mes) AS h FROM mon), s AS (SELECT marca, count(*) AS n, sum(abs(y - h)) / sum(y) AS wape, sqrt(avg((y - h) ** 2)) AS rmse, 1 - sum((y - h) ** 2) / (var_pop(y) * count(*)) AS r2 FROM f WHERE h IS NOT NULL GROUP BY 1)
+SELECT marca, {r('wape', 6)} AS wape, {r('rmse', 5)} AS rmse, {r('1 - (1 - r2) * (n - 1) / (n - 2)', 6)} AS r2_adj FROM s""",
+)
+def forecast_errors(spark, sf):
+    m = features.add_lags(monthly_market(spark, sf), "q", [1], "marca", "mes", bounded=True).filter("q_lag_1 IS NOT NULL")
+    out = market.forecast_errors(m, ["marca"], "q", "q_lag_1")
+    return out.select("marca", rounded("wape", 6).alias("wape"), rounded("rmse", 5).alias("rmse"), rounded("r2_adj", 6).alias("r2_adj"))
+
+
+@query(
+    "t30_control_alerts",
+    """WITH s AS (SELECT event_type, avg(value) AS mu, stddev_samp(value) AS sd, median(value) AS m FROM events GROUP BY 1), d AS (SELECT event_type, median(abs(value - m)) AS mad FROM events JOIN s USING (event_type) GROUP BY 1),
+a AS (SELECT event_id, abs(value - mu) > 3 * sd AS x, abs(value - m) > 3 * mad AS y FROM events JOIN s USING (event_type) JOIN d USING (event_type)) SELECT event_id, CASE WHEN x AND y THEN 'ROJO' WHEN x OR y THEN 'AMARILLO' ELSE 'VERDE' END AS alerta FROM a""",
+)
+def control_alerts(spark, sf):
+    out = market.control_alerts(table(spark, sf, "events").select("event_id", "event_type", "value"), ["event_type"], "value")
+    return out.select("event_id", "alerta")
+
+
+@query(
+    "t31_monthly_harmonised",
+    f"SELECT l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS mes, sum(l_quantity) AS volumen, {r('median(l_extendedprice)', 3)} AS precio_mediano FROM lineitem GROUP BY 1, 2",
+)
+def monthly_harmonised(spark, sf):
+    out = market.monthly_harmonised(lineitem(spark, sf), ["l_suppkey"], "l_shipdate", "l_extendedprice", "l_quantity")
+    return out.withColumn("precio_mediano", rounded("precio_mediano", 3))
