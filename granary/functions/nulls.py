@@ -59,3 +59,13 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left"
     return l.join(r, same_keys("l", "r", keys), how).select(
         *[F.col(f"l.`{c}`") for c in left.columns], *[F.col(f"r.`{c}`") for c in extra]
     )
+
+
+def stage(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that the optimiser evaluates exactly once per row.
+
+    ``withColumns`` alone does not promise that: a filter on a derived column is pushed
+    below its projection with the whole expression copied into every mention. The
+    one-element ``inline`` is a boundary that neither rule crosses.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

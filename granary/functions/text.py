@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 # Unicode white space plus the four ASCII separators that Python also strips.
 BLANK = r"(?U)[\s\x1c-\x1f]+"
 HANGUL = range(0xAC00, 0xD7A4)
+NOT_ASCII = r"[^\x00-\x7f]"
 
 
 def _fold_char(ch: str) -> str:
@@ -48,13 +49,14 @@ def _folding() -> tuple[str, str, dict[str, str]]:
 def strip_marks(col: Column) -> Column:
     """Accents and compatibility forms removed (basic plane without Hangul syllables)."""
     source, target, multi = _folding()
+    single = F.translate(col, source, target)
     listing = "\u0001".join(f"{k}\u0002{v}" for k, v in multi.items())
     pairs = F.str_to_map(F.lit(listing), F.lit("\u0001"), F.lit("\u0002"))
-    letters = F.transform(F.split(col, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), c))
-    # `when` evaluates lazily, so only rows that hold such a character pay for the walk.
-    rare = col.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in multi) + "]")
-    expanded = F.when(rare, F.array_join(letters, "")).otherwise(col)
-    return F.translate(expanded, source, target)
+    # `when` evaluates lazily: only rows that still hold such a character pay for the walk,
+    # and only rows that are still not plain ASCII pay for looking.
+    rare = single.rlike(NOT_ASCII) & (F.length(F.translate(single, "".join(multi), "")) != F.length(single))
+    letters = F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), c))
+    return F.when(rare, F.array_join(letters, "")).otherwise(single)
 
 
 def sanitize_text(col: Column) -> Column:
@@ -62,7 +64,7 @@ def sanitize_text(col: Column) -> Column:
 
     Plain ASCII rows skip the folding altogether.
     """
-    folded = F.when(col.rlike(r"[^\x00-\x7f]"), strip_marks(col)).otherwise(col)
+    folded = F.when(col.rlike(NOT_ASCII), strip_marks(col)).otherwise(col)
     spaced = F.regexp_replace(folded, BLANK, " ")
     return F.coalesce(F.upper(F.trim(spaced)), F.lit(""))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.casting import first_present, to_double
 from granary.functions.labels import sensor_class
-from granary.functions.nulls import attach
+from granary.functions.nulls import attach, stage
 
 ERROR_COLUMN = "_validation_error"
 # Limits of the contracts and of the gate.
@@ -32,157 +32,157 @@ class Rule:
 
 @dataclass(frozen=True)
 class Contract:
+    """``texts`` and ``numbers`` are computed once per row, as columns of their own, before
+    the rules read them: rules repeat their arguments, and parsing is the costly part."""
+
+    texts: dict[str, Column]
+    numbers: dict[str, Column]
     rules: list[Rule]
     output: dict[str, Column]
 
+    @property
+    def staged(self) -> list[str]:
+        return [*self.texts, *self.numbers]
 
-def _shown(value: Column, before: str, after: str) -> Column:
-    return F.concat(F.lit(before + " ("), F.coalesce(value.cast("string"), F.lit("")), F.lit(") " + after))
 
+class _Builder:
+    """Collects staged columns and rules of a contract for one table."""
 
-def _text(df: DataFrame, *names: str) -> Column:
-    """Trimmed first present alias, or the empty string."""
-    have = [F.col(n) for n in names if n in df.columns]
-    return F.coalesce(first_present(*have), F.lit("")) if have else F.lit("")
+    def __init__(self, df: DataFrame):
+        self.df, self.texts, self.numbers, self.rules = df, {}, {}, []
 
+    def text(self, label: str, *names: str) -> Column:
+        """Trimmed first present alias, or the empty string."""
+        have = [F.col(n) for n in names if n in self.df.columns]
+        staged = f"__t_{label}"
+        self.texts[staged] = F.coalesce(first_present(*have), F.lit("")) if have else F.lit("")
+        return F.col(staged)
 
-def _missing(key: str, value: Column, word: str = "vacío") -> Rule:
-    return Rule(f"{key} no puede estar {word}", value == "", F.lit(f"{key} no puede estar {word}"))
+    def required(self, key: str, value: Column, word: str = "vacío") -> None:
+        message = f"{key} no puede estar {word}"
+        self.rules.append(Rule(message, value == "", F.lit(message)))
 
+    def number(self, label: str, *names: str) -> tuple[Column, Column]:
+        """(number with absent as 0, flag for text that is present but no number)."""
+        text = self.text(label, *names)
+        staged = f"__n_{label}"
+        self.numbers[staged] = F.when(text == "", F.lit(0.0)).otherwise(to_double(text))
+        return F.coalesce(F.col(staged), F.lit(0.0)), F.col(staged).isNull()
 
-def _measure(df: DataFrame, *names: str) -> tuple[Column, Column]:
-    """(number with absent as 0, flag for text that is present but no number)."""
-    text = _text(df, *names)
-    number = F.when(text == "", F.lit(0.0)).otherwise(to_double(text))
-    return F.coalesce(number, F.lit(0.0)), (text != "") & number.isNull()
+    def non_negative(self, key: str, names: tuple, ending: str = "a") -> Column:
+        number, bad = self.number(key, *names)
+        wrong = f"{key} no numéric{ending}"
+        self.rules += [
+            Rule(wrong, bad, F.lit(wrong)),
+            Rule(key, ~bad & (number < 0), _shown(number, key, f"no puede ser negativ{ending}")),
+        ]
+        return number
 
+    def whole(self, key: str, names: tuple, limits: tuple, wrong: str, text: str) -> Column:
+        number, bad = self.number(key, *names)
+        value = number.cast("bigint")
+        self.rules += [
+            Rule(wrong, bad, F.concat(F.lit(wrong + ": "), F.col(f"__t_{key}"))),
+            Rule(key, ~bad & ~value.between(*limits), _shown(value, key, text)),
+        ]
+        return value
 
-def _non_negative(df: DataFrame, key: str, names: tuple, gender: str = "a") -> tuple[Column, list[Rule]]:
-    number, bad = _measure(df, *names)
-    wrong = f"{key} no numéric{gender}"
-    return number, [
-        Rule(wrong, bad, F.lit(wrong)),
-        Rule(key, ~bad & (number < 0), _shown(number, key, f"no puede ser negativ{gender}")),
-    ]
+    def rule(self, key: str, broken: Column, message: Column) -> None:
+        self.rules.append(Rule(key, broken, message))
 
+    def build(self, **output: Column) -> Contract:
+        return Contract(self.texts, self.numbers, self.rules, output)
 
-def _whole(df: DataFrame, key: str, names: tuple, low: int, high: int, wrong: str, text: str) -> tuple[Column, list[Rule]]:
-    number, bad = _measure(df, *names)
-    whole = number.cast("bigint")
-    return whole, [
-        Rule(wrong, bad, F.concat(F.lit(wrong + ": "), _text(df, *names))),
-        Rule(key, ~bad & ~whole.between(low, high), _shown(whole, key, text)),
-    ]
+
+def _shown(value: Column, before: str, after: str) -> Column:
+    return F.concat(F.lit(before + " ("), F.coalesce(value.cast("string"), F.lit("")), F.lit(") " + after))
+
+
+OUT_OF_YEARS = f"fuera de rango válido [{YEARS[0]}, {YEARS[1]}]"
 
 
 def crop_contract(df: DataFrame) -> Contract:
-    region, town = _text(df, "c_d_dep", "codigo_departamento"), _text(df, "c_d_mun", "codigo_municipio")
-    crop = _text(df, "cultivo")
-    year, year_rules = _whole(
-        df, "anio", ("a_o", "anio"), *YEARS, "anio inválido", f"fuera de rango válido [{YEARS[0]}, {YEARS[1]}]"
+    c = _Builder(df)
+    region, town = c.text("dep", "c_d_dep", "codigo_departamento"), c.text("mun", "c_d_mun", "codigo_municipio")
+    c.required("codigo_municipio", town)
+    year = c.whole("anio", ("a_o", "anio"), YEARS, "anio inválido", OUT_OF_YEARS)
+    crop = c.text("cultivo", "cultivo")
+    c.required("cultivo", crop)
+    planted = c.non_negative("area_sembrada", ("rea_sembrada_ha", "area_sembrada"))
+    harvested = c.non_negative("area_cosechada", ("rea_cosechada_ha", "area_cosechada"))
+    c.rule(
+        "area_cosechada",
+        (harvested >= 0) & (planted > 0) & (harvested > planted * HARVEST_TOLERANCE),
+        F.concat(_shown(harvested, "area_cosechada", "excede tolerancia sobre area_sembrada ("), planted.cast("string"), F.lit(")")),
     )
-    planted, planted_rules = _non_negative(df, "area_sembrada", ("rea_sembrada_ha", "area_sembrada"))
-    harvested, harvested_rules = _non_negative(df, "area_cosechada", ("rea_cosechada_ha", "area_cosechada"))
-    tonnes, tonnes_rules = _non_negative(df, "produccion", ("producci_n_t", "produccion"))
-    per_ha, per_ha_rules = _non_negative(df, "rendimiento", ("rendimiento_t_ha", "rendimiento"), "o")
-    over = (harvested >= 0) & (planted > 0) & (harvested > planted * HARVEST_TOLERANCE)
-    excess = F.concat(
-        _shown(harvested, "area_cosechada", "excede tolerancia sobre area_sembrada"), _shown(planted, "", "")
-    )
-    return Contract(
-        [
-            _missing("codigo_municipio", town),
-            *year_rules,
-            _missing("cultivo", crop),
-            *planted_rules,
-            *harvested_rules,
-            Rule("area_cosechada", over, F.trim(excess)),
-            *tonnes_rules,
-            *per_ha_rules,
-        ],
-        {
-            "codigo_departamento": region,
-            "codigo_municipio": town,
-            "anio": year,
-            "cultivo": F.upper(crop),
-            "area_sembrada": planted,
-            "area_cosechada": harvested,
-            "produccion": tonnes,
-            "rendimiento": per_ha,
-        },
+    tonnes = c.non_negative("produccion", ("producci_n_t", "produccion"))
+    per_ha = c.non_negative("rendimiento", ("rendimiento_t_ha", "rendimiento"), "o")
+    return c.build(
+        codigo_departamento=region,
+        codigo_municipio=town,
+        anio=year,
+        cultivo=F.upper(crop),
+        area_sembrada=planted,
+        area_cosechada=harvested,
+        produccion=tonnes,
+        rendimiento=per_ha,
     )
 
 
 def climate_contract(df: DataFrame) -> Contract:
-    station = _text(df, "codigoestacion", "codigo_estacion", "estacion")
-    date = _text(df, "fechaobservacion", "fecha")
-    raw = _text(df, "valorobservado", "valor")
-    value = to_double(raw)
-    kind = sensor_class(_text(df, "descripcionsensor", "variable"))
-    low, high = TEMPERATURE_LIMITS
-    return Contract(
-        [
-            _missing("codigo_estacion", station),
-            _missing("fecha", date, "vacía"),
-            Rule(
-                "valor meteorológico no numérico",
-                value.isNull(),
-                F.concat(F.lit("valor meteorológico no numérico: "), raw),
-            ),
-            Rule(
-                "precipitacion",
-                (kind == "precipitacion") & ~value.between(0.0, RAIN_LIMIT),
-                F.when(value < 0, _shown(value, "precipitacion", "no puede ser negativa")).otherwise(
-                    _shown(value, "precipitacion", "supera el límite físico diario")
-                ),
-            ),
-            Rule(
-                "temperatura",
-                (kind == "temperatura") & ~value.between(low, high),
-                _shown(value, "temperatura", "fuera de límites físicos"),
-            ),
-            Rule(
-                "radiacion solar",
-                (kind == "radiacion") & (value < 0),
-                _shown(value, "radiacion solar", "no puede ser negativa"),
-            ),
-        ],
-        {"codigo_estacion": station, "fecha": date, "valor": value},
+    c = _Builder(df)
+    station = c.text("estacion", "codigoestacion", "codigo_estacion", "estacion")
+    c.required("codigo_estacion", station)
+    date = c.text("fecha", "fechaobservacion", "fecha")
+    c.required("fecha", date, "vacía")
+    raw = c.text("valor", "valorobservado", "valor")
+    c.numbers["__n_valor"] = to_double(raw)
+    kind = sensor_class(c.text("sensor", "descripcionsensor", "variable"))
+    c.numbers["__kind"] = kind
+    value, kind = F.col("__n_valor"), F.col("__kind")
+    c.rule(
+        "valor meteorológico no numérico", value.isNull(), F.concat(F.lit("valor meteorológico no numérico: "), raw)
+    )
+    negative = _shown(value, "precipitacion", "no puede ser negativa")
+    too_much = _shown(value, "precipitacion", "supera el límite físico diario")
+    c.rule(
+        "precipitacion",
+        (kind == "precipitacion") & ~value.between(0.0, RAIN_LIMIT),
+        F.when(value < 0, negative).otherwise(too_much),
+    )
+    c.rule(
+        "temperatura",
+        (kind == "temperatura") & ~value.between(*TEMPERATURE_LIMITS),
+        _shown(value, "temperatura", "fuera de límites físicos"),
     )
+    c.rule(
+        "radiacion solar", (kind == "radiacion") & (value < 0), _shown(value, "radiacion solar", "no puede ser negativa")
+    )
+    return c.build(codigo_estacion=station, fecha=date, valor=value)
 
 
 def price_contract(df: DataFrame) -> Contract:
-    article = _text(df, "articulo", "producto")
-    month, month_rules = _whole(df, "mes", ("mes",), 1, 12, "mes no numérico", "debe estar en rango [1, 12]")
-    year, year_rules = _whole(
-        df, "anio", ("anio", "a_o"), *YEARS, "anio no numérico", f"fuera de rango válido [{YEARS[0]}, {YEARS[1]}]"
-    )
-    price, bad = _measure(df, "preciopromedio", "precio_promedio", "precio")
-    return Contract(
-        [
-            _missing("articulo", article),
-            *month_rules,
-            *year_rules,
-            Rule("precio no numérico", bad, F.lit("precio no numérico")),
-            Rule("precio", ~bad & (price <= 0), _shown(price, "precio", "debe ser estrictamente mayor a 0")),
-        ],
-        {"articulo": F.upper(article), "anio": year, "mes": month, "precio": price},
-    )
+    c = _Builder(df)
+    article = c.text("articulo", "articulo", "producto")
+    c.required("articulo", article)
+    month = c.whole("mes", ("mes",), (1, 12), "mes no numérico", "debe estar en rango [1, 12]")
+    year = c.whole("anio", ("anio", "a_o"), YEARS, "anio no numérico", OUT_OF_YEARS)
+    price, bad = c.number("precio", "preciopromedio", "precio_promedio", "precio")
+    c.rule("precio no numérico", bad, F.lit("precio no numérico"))
+    c.rule("precio", ~bad & (price <= 0), _shown(price, "precio", "debe ser estrictamente mayor a 0"))
+    return c.build(articulo=F.upper(article), anio=year, mes=month, precio=price)
 
 
 def livestock_contract(df: DataFrame) -> Contract:
-    town, species = _text(df, "cod_municipio", "col_0"), _text(df, "especie", "col_1")
-    number, bad = _measure(df, "total_animales", "col_3")
+    c = _Builder(df)
+    town, species = c.text("mun", "cod_municipio", "col_0"), c.text("especie", "especie", "col_1")
+    c.required("codigo_municipio", town)
+    c.required("especie", species, "vacía")
+    number, bad = c.number("total_animales", "total_animales", "col_3")
     heads = number.cast("bigint")
-    return Contract(
-        [
-            _missing("codigo_municipio", town),
-            _missing("especie", species, "vacía"),
-            Rule("total_animales no numérico", bad, F.lit("total_animales no numérico")),
-            Rule("total_animales", ~bad & (heads < 0), _shown(heads, "total_animales", "no puede ser negativo")),
-        ],
-        {"codigo_municipio": town, "especie": F.upper(species), "total_animales": heads},
-    )
+    c.rule("total_animales no numérico", bad, F.lit("total_animales no numérico"))
+    c.rule("total_animales", ~bad & (heads < 0), _shown(heads, "total_animales", "no puede ser negativo"))
+    return c.build(codigo_municipio=town, especie=F.upper(species), total_animales=heads)
 
 
 CONTRACTS = {
@@ -194,34 +194,37 @@ CONTRACTS = {
 
 
 def flag(df: DataFrame, contract: Contract) -> DataFrame:
-    """Adds ``errors``: array of (rule key, message), empty for an accepted row."""
-    checks = [
-        F.when(F.coalesce(r.broken, F.lit(False)), F.struct(F.lit(r.key).alias("key"), r.message.alias("message")))
-        for r in contract.rules
-    ]
-    return df.withColumn("errors", F.array_compact(F.array(*checks)))
+    """Adds ``rule_keys`` (broken rules) and ``messages``, both empty for an accepted row.
+
+    They are separate columns so that counting rules never builds a message.
+    """
+    staged = stage(df, contract.texts)
+    if contract.numbers:
+        staged = stage(staged, contract.numbers)
+    broken = [F.coalesce(r.broken, F.lit(False)) for r in contract.rules]
+    keys = F.array_compact(F.array(*[F.when(b, F.lit(r.key)) for b, r in zip(broken, contract.rules)]))
+    messages = F.array_compact(F.array(*[F.when(b, r.message) for b, r in zip(broken, contract.rules)]))
+    return stage(staged, {"rule_keys": keys}).withColumn("messages", messages)
 
 
 def accepted(flagged: DataFrame, contract: Contract) -> DataFrame:
-    return flagged.filter(F.size("errors") == 0).select(*[c.alias(n) for n, c in contract.output.items()])
+    return flagged.filter(F.size("rule_keys") == 0).select(*[c.alias(n) for n, c in contract.output.items()])
 
 
-def rejected(flagged: DataFrame) -> DataFrame:
-    text = F.array_join(F.col("errors.message"), "; ")
-    return flagged.filter(F.size("errors") > 0).withColumn(ERROR_COLUMN, text).drop("errors")
+def rejected(flagged: DataFrame, contract: Contract) -> DataFrame:
+    bad = flagged.filter(F.size("rule_keys") > 0).withColumn(ERROR_COLUMN, F.array_join("messages", "; "))
+    return bad.drop("rule_keys", "messages", *contract.staged)
 
 
 def rule_counts(flagged: DataFrame) -> DataFrame:
     return (
-        flagged.select(F.explode("errors.key").alias("rule"))
-        .groupBy("rule")
-        .agg(F.count(F.lit(1)).alias("violations"))
+        flagged.select(F.explode("rule_keys").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
     )
 
 
 def compliance(flagged: DataFrame) -> DataFrame:
     """One row: totals and the percentage accepted (100 for an empty table)."""
-    good = F.size("errors") == 0
+    good = F.size("rule_keys") == 0
     counts = flagged.agg(F.count(F.lit(1)).alias("total_records"), F.count_if(good).alias("valid_records"))
     pct = F.when(F.col("total_records") == 0, F.lit(100.0)).otherwise(
         F.round(F.col("valid_records") / F.col("total_records") * 100.0, 2)
@@ -240,7 +243,7 @@ def validate(df: DataFrame, kind: str) -> dict[str, DataFrame]:
     flagged = flag(df, contract)
     return {
         "accepted": accepted(flagged, contract),
-        "rejected": rejected(flagged),
+        "rejected": rejected(flagged, contract),
         "rules": rule_counts(flagged),
         "metrics": compliance(flagged),
     }

@@ -93,7 +93,7 @@ def group_differences(spark, sf):
 
 def _mart_row(test, category, stat, p, decision_yes, decision_no, src):
     meaning = "CASE WHEN p < 0.05 THEN 'Evidencia contra la hipótesis nula al 5 %' ELSE 'Sin evidencia contra la hipótesis nula al 5 %' END"
-    return f"SELECT variable, '{category}' AS categoria_prueba, '{test}' AS prueba, {r(stat, 3)} AS estadistico, {r(p, 5)} AS p_valor, CASE WHEN p < 0.05 THEN '{decision_yes}' ELSE '{decision_no}' END AS decision, {meaning} AS interpretacion FROM {src}"
+    return f"SELECT variable, '{category}' AS categoria_prueba, '{test}' AS prueba, {r(f'round({stat}, 4)', 4)} AS estadistico, {r(p, 5)} AS p_valor, CASE WHEN p < 0.05 THEN '{decision_yes}' ELSE '{decision_no}' END AS decision, {meaning} AS interpretacion FROM {src}"
 
 
 def _battery_sql():
@@ -123,4 +123,4 @@ def daily_orders(spark, sf):
 @query("h06_full_battery", _battery_sql())
 def full_battery(spark, sf):
     out = ht.full_battery(daily_orders(spark, sf), ["total", "pedidos", "absent"], ["dia"], "semana", bounded=True)
-    return out.withColumns({"estadistico": rounded("estadistico", 3), "p_valor": rounded("p_valor", 5)})
+    return out.withColumns({"estadistico": rounded("estadistico", 4), "p_valor": rounded("p_valor", 5)})

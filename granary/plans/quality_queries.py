@@ -31,7 +31,7 @@ CHECKS = quality.Checks(
     outliers=["precio"],
 )
 
-CARD = """o AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS precio, year(o_orderdate) AS anio, substr(lpad(CAST(o_custkey % 70000 AS VARCHAR), greatest(4, length(CAST(o_custkey % 70000 AS VARCHAR))), '0'), 1, 4) AS codigo, o_custkey % 20 - 5.0 AS lat, o_custkey % 15 - 82.0 AS lon FROM orders),
+CARD = """o AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS precio, year(o_orderdate) AS anio, lpad(CAST(o_custkey % 70000 AS VARCHAR), 4, '0') AS codigo, o_custkey % 20 - 5.0 AS lat, o_custkey % 15 - 82.0 AS lon FROM orders),
 q AS (SELECT quantile_cont(precio, 0.25) AS a, quantile_cont(precio, 0.75) AS b FROM o),
 m AS (
 """ + "".join(
