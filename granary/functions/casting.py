@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Plain decimal or scientific notation; Java-only forms such as '1.5d' stay out.
-NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# Endings of the number forms only Java knows (1.5d, 2f) and of its non-numbers (NaN, Infinity).
+JAVA_ENDINGS = ("d", "f", "n", "y")
 
 
 def to_double(col: Column, dtype: str = "string") -> Column:
-    """Number or NULL. Text must look like a number; NaN and infinities become NULL."""
+    """Number or NULL. Text must be decimal or scientific; NaN and infinities become NULL."""
     if dtype in ("double", "float"):
         value = col.cast("double")
-        return F.when(~F.isnan(value), value)
+        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
     if dtype == "string":
-        return F.when(col.rlike(NUMBER), F.trim(col).try_cast("double"))
+        last = F.lower(F.right(F.rtrim(col), F.lit(1)))
+        odd = last.isin(*JAVA_ENDINGS) | col.contains("x") | col.contains("X")
+        return F.when(~odd, col.try_cast("double"))
     return col.try_cast("double")
 
 

@@ -10,8 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Unicode white space plus the four ASCII separators that Python also strips.
-BLANK = r"(?U)[\s\x1c-\x1f]+"
+# White space that is not already a single plain space: Unicode blanks plus the four ASCII
+# separators Python also strips. Single spaces do not match, so plain text is not rebuilt.
+BLANK = r"(?U) [\s\x1c-\x1f]+|[[\s\x1c-\x1f]&&[^ ]][\s\x1c-\x1f]*"
+# Anything beyond printable ASCII, or a doubled space.
+NOT_PLAIN = r"[^\x20-\x7e]|  "
 HANGUL = range(0xAC00, 0xD7A4)
 NOT_ASCII = r"[^\x00-\x7f]"
 
@@ -46,6 +49,21 @@ def _folding() -> tuple[str, str, dict[str, str]]:
     return source, "".join(b for _, b in single), multi
 
 
+@lru_cache(maxsize=1)
+def _unfolded_class() -> str:
+    """Regex for a character beyond ASCII and the Latin letters that have no folding (such
+    as sharp s), written as ranges."""
+    keep = [c for c in range(0xA1, 0x250) if _fold_char(chr(c)) == chr(c)]
+    ranges: list[list[int]] = []
+    for c in keep:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    listed = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+    return f"[^\\x00-\\x7f{listed}]"
+
+
 def strip_marks(col: Column) -> Column:
     """Accents and compatibility forms removed (basic plane without Hangul syllables)."""
     source, target, multi = _folding()
@@ -54,7 +72,7 @@ def strip_marks(col: Column) -> Column:
     pairs = F.str_to_map(F.lit(listing), F.lit("\u0001"), F.lit("\u0002"))
     # `when` evaluates lazily: only rows that still hold such a character pay for the walk,
     # and only rows that are still not plain ASCII pay for looking.
-    rare = single.rlike(NOT_ASCII) & (F.length(F.translate(single, "".join(multi), "")) != F.length(single))
+    rare = single.rlike(_unfolded_class()) & (F.length(F.translate(single, "".join(multi), "")) != F.length(single))
     letters = F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), c))
     return F.when(rare, F.array_join(letters, "")).otherwise(single)
 
@@ -62,11 +80,12 @@ def strip_marks(col: Column) -> Column:
 def sanitize_text(col: Column) -> Column:
     """Accent-free, single-spaced, trimmed, upper-case; NULL becomes the empty string.
 
-    Plain ASCII rows skip the folding altogether.
+    Plain rows, the bulk of most columns, cost one scan of the text.
     """
     folded = F.when(col.rlike(NOT_ASCII), strip_marks(col)).otherwise(col)
     spaced = F.regexp_replace(folded, BLANK, " ")
-    return F.coalesce(F.upper(F.trim(spaced)), F.lit(""))
+    tidy = F.when(col.rlike(NOT_PLAIN), spaced).otherwise(col)
+    return F.coalesce(F.upper(F.trim(tidy)), F.lit(""))
 
 
 def sanitize_text_full(col: Column) -> Column:

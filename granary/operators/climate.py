@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.nulls import attach
 from granary.functions.stats import P_FLOOR, Z_LIMIT, clip, gamma_cdf_from_z, norm_quantile, wilson_hilferty
 from granary.operators.features import _series, full_rolling_sum
-from granary.operators.ordered import over_history
+from granary.operators.ordered import fits, over_history
+from granary.session import cut_lineage
 
 # Sample sizes below which no index is given.
 MIN_PERIODS = 12
@@ -16,28 +17,37 @@ MIN_POSITIVE = 3
 TINY = 1e-6
 
 
+def _fit_sums(value: str, over=lambda c: c) -> dict[str, Column]:
+    """Counts and means the fit needs, as aggregates or over a window."""
+    x = F.col(value)
+    positive = F.when(x > 0, x)
+    return {
+        "__n": over(F.count(x)),
+        "__n_pos": over(F.count(positive)),
+        "__mean": over(F.avg(positive)),
+        "__mean_log": over(F.avg(F.when(x > 0, F.log(F.greatest(x, F.lit(TINY)))))),
+    }
+
+
+def _fit_parameters(min_periods: int) -> dict[str, Column]:
+    """Closed-form gamma fit (Thom 1958) of the positive values; NULL for small samples."""
+    gap = F.log(F.greatest(F.col("__mean"), F.lit(TINY))) - F.col("__mean_log")
+    shape = F.when(gap <= 0, F.lit(1.0)).otherwise((1.0 + F.sqrt(1.0 + 4.0 * gap / 3.0)) / (4.0 * gap))
+    usable = (F.col("__n") >= min_periods) & (F.col("__n_pos") >= MIN_POSITIVE)
+    return {
+        "q_zero": F.when(usable, (F.col("__n") - F.col("__n_pos")) / F.col("__n")),
+        "shape": F.when(usable, shape),
+        "scale": F.when(usable, F.col("__mean") / shape),
+    }
+
+
 def gamma_fit(accumulated: DataFrame, keys: list[str], value: str, min_periods: int = MIN_PERIODS) -> DataFrame:
-    """Closed-form gamma fit (Thom 1958) of the positive values, one row per series.
+    """One row per series with ``q_zero``, ``shape`` and ``scale``.
 
     Sums only, so partial aggregates meet in the shuffle and series length is irrelevant.
     """
-    x = F.col(value)
-    positive = F.when(x > 0, x)
-    sums = accumulated.filter(x.isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(positive).alias("n_pos"),
-        F.avg(positive).alias("mean"),
-        F.avg(F.when(x > 0, F.log(F.greatest(x, F.lit(TINY))))).alias("mean_log"),
-    )
-    gap = F.log(F.greatest(F.col("mean"), F.lit(TINY))) - F.col("mean_log")
-    shape = F.when(gap <= 0, F.lit(1.0)).otherwise((1.0 + F.sqrt(1.0 + 4.0 * gap / 3.0)) / (4.0 * gap))
-    usable = (F.col("n") >= min_periods) & (F.col("n_pos") >= MIN_POSITIVE)
-    return sums.filter(usable).select(
-        *keys,
-        ((F.col("n") - F.col("n_pos")) / F.col("n")).alias("q_zero"),
-        shape.alias("shape"),
-        (F.col("mean") / shape).alias("scale"),
-    )
+    sums = accumulated.groupBy(*keys).agg(*[c.alias(n) for n, c in _fit_sums(value).items()])
+    return sums.select(*keys, *[c.alias(n) for n, c in _fit_parameters(min_periods).items()])
 
 
 def spi(
@@ -45,45 +55,75 @@ def spi(
     value: str,
     group: str | list[str] | None,
     order_by: str | list[str],
-    scale: int = 3,
+    scale: int | list[int] = 3,
     min_periods: int = MIN_PERIODS,
-    name: str | None = None,
     bounded: bool | None = None,
 ) -> DataFrame:
-    """Adds ``spi_{scale}``: the gamma-normalised rolling sum of each series."""
+    """Adds ``spi_{scale}`` for each scale: the gamma-normalised rolling sum of each series.
+
+    Series known or counted to be short share one shuffle for all scales and for the fit;
+    long ones fit by a separate aggregate that is joined back.
+    """
     keys, order = _series(df, group, order_by)
-    label = name or f"spi_{scale}"
-    summed = over_history(df, keys, order, scale, lambda w: {"__acc": full_rolling_sum(value, scale, w)}, bounded)
-    fitted = attach(summed, gamma_fit(summed, keys, "__acc", min_periods), keys, "left")
-    acc, q, p = F.col("__acc"), F.col("q_zero"), F.col("__p")
-    # Staged columns: each later formula repeats its argument many times, so the argument
-    # has to be a plain column for the generated code to stay small.
+    short = fits(df, keys, bounded)
+    out = df
+    for k in [scale] if isinstance(scale, int) else scale:
+        out = over_history(out, keys, order, k, lambda w, k=k: {"__acc": full_rolling_sum(value, k, w)}, short)
+        if short:
+            whole = Window.partitionBy(*keys)
+            out = out.withColumns(_fit_sums("__acc", lambda c: c.over(whole)))
+            out = out.withColumns(_fit_parameters(min_periods)).drop("__n", "__n_pos", "__mean", "__mean_log")
+        else:
+            # Read twice below, and built from ranged positions: compute it once.
+            out = cut_lineage(out)
+            out = attach(out, gamma_fit(out, keys, "__acc", min_periods), keys, "left")
+        out = _index(out, f"spi_{k}")
+    return out
+
+
+def _index(fitted: DataFrame, label: str) -> DataFrame:
+    """Index from ``__acc`` and the fitted parameters.
+
+    Staged columns: each later formula repeats its argument many times, so the argument
+    has to be a plain column for the generated code to stay small.
+    """
+    acc, q = F.col("__acc"), F.col("q_zero")
     staged = (
         fitted.withColumn("__wh", wilson_hilferty(acc, F.col("shape"), F.col("scale")))
         .withColumn("__g", gamma_cdf_from_z(acc, F.col("shape"), F.col("scale"), F.col("__wh")))
         .withColumn("__p", clip(F.when(acc <= 0, q).otherwise(q + (1.0 - q) * F.col("__g")), P_FLOOR, 1.0 - P_FLOOR))
-        .withColumn("__z", norm_quantile(p))
+        .withColumn("__z", norm_quantile(F.col("__p")))
     )
     index = F.when(acc.isNotNull() & q.isNotNull(), clip(F.col("__z"), -Z_LIMIT, Z_LIMIT))
     return staged.withColumn(label, index).drop("__acc", "q_zero", "shape", "scale", "__wh", "__g", "__p", "__z")
 
 
 def thermal_anomaly(
-    df: DataFrame, value: str, date: str, group: str | list[str] | None = None, name: str = "anomalia_termica_z"
+    df: DataFrame,
+    value: str,
+    date: str,
+    group: str | list[str] | None = None,
+    name: str = "anomalia_termica_z",
+    bounded: bool = False,
 ) -> DataFrame:
     """Z-score against the same calendar month of the series; 0 where there is no spread.
 
-    Aggregate and join back rather than a window: the aggregate combines before the
-    shuffle, and a hot (series, month) pair is split by the adaptive join.
+    By default aggregate and join back: the aggregate combines before the shuffle, and a
+    hot (series, month) pair is split by the adaptive join. ``bounded`` promises short
+    series, for which a window saves the second pass over the input.
     """
     keys = [group] if isinstance(group, str) else list(group or [])
     dated = df.withColumn("__mes", F.month(date))
-    stats = (
-        dated.filter(F.col("__mes").isNotNull())
-        .groupBy(*keys, "__mes")
-        .agg(F.avg(value).alias("__mu"), F.stddev_samp(value).alias("__sd"))
-    )
-    joined = attach(dated, stats, [*keys, "__mes"], "left")
+    if bounded:
+        month = Window.partitionBy(*keys, "__mes")
+        joined = dated.withColumns({"__mu": F.avg(value).over(month), "__sd": F.stddev_samp(value).over(month)})
+    else:
+        stats = (
+            dated.filter(F.col("__mes").isNotNull())
+            .groupBy(*keys, "__mes")
+            .agg(F.avg(value).alias("__mu"), F.stddev_samp(value).alias("__sd"))
+        )
+        joined = attach(dated, stats, [*keys, "__mes"], "left")
     flat = F.col("__sd").isNull() | (F.col("__sd") == 0)
     z = F.when(flat, F.lit(0.0)).otherwise((F.col(value) - F.col("__mu")) / F.col("__sd"))
     return joined.withColumn(name, F.when(F.col(value).isNotNull() & F.col("__mes").isNotNull(), z)).drop(

@@ -63,12 +63,24 @@ class _Builder:
         self.rules.append(Rule(message, value == "", F.lit(message)))
 
     def number(self, label: str, *names: str) -> tuple[Column, Column]:
-        """(number with absent as 0, flag for text that is present but no number)."""
-        text = self.text(label, *names)
+        """(number with absent as 0, flag for text that is present but no number).
+
+        Numeric columns are taken as they are; only text columns are trimmed and parsed.
+        """
+        have = dict(self.df.dtypes)
+        value = F.lit(0.0)
+        for n in reversed([n for n in names if n in have]):
+            given = first_present(F.col(n)) if have[n] == "string" else to_double(F.col(n), have[n])
+            value = F.when(given.isNotNull(), to_double(given) if have[n] == "string" else given).otherwise(value)
         staged = f"__n_{label}"
-        self.numbers[staged] = F.when(text == "", F.lit(0.0)).otherwise(to_double(text))
+        self.numbers[staged] = value
         return F.coalesce(F.col(staged), F.lit(0.0)), F.col(staged).isNull()
 
+    def shown_text(self, *names: str) -> Column:
+        """The text a message quotes; evaluated only for rows that break the rule."""
+        have = [F.col(n) for n in names if n in self.df.columns]
+        return F.coalesce(first_present(*have), F.lit("")) if have else F.lit("")
+
     def non_negative(self, key: str, names: tuple, ending: str = "a") -> Column:
         number, bad = self.number(key, *names)
         wrong = f"{key} no numéric{ending}"
@@ -82,7 +94,7 @@ class _Builder:
         number, bad = self.number(key, *names)
         value = number.cast("bigint")
         self.rules += [
-            Rule(wrong, bad, F.concat(F.lit(wrong + ": "), F.col(f"__t_{key}"))),
+            Rule(wrong, bad, F.concat(F.lit(wrong + ": "), self.shown_text(*names))),
             Rule(key, ~bad & ~value.between(*limits), _shown(value, key, text)),
         ]
         return value

@@ -250,11 +250,7 @@ def gold_table(spark, sf):
         F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("precio_insumo"),
         F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount")) / F.col("l_quantity")).alias("precio_producto"),
     )
-    climate_part = gold.climate_block(monthly.select("serie", "mes", "lluvia"), monthly.select("serie", "mes", "temp"), "serie", "mes")
-    market_part = gold.market_block(
-        monthly.select("serie", "mes", "precio_insumo"), monthly.select("serie", "mes", "precio_producto"), "serie", "mes"
-    )
-    return gold.assemble(climate_part, market_part, "serie", "mes")
+    return gold.assemble_one(monthly, "serie", "mes")
 
 
 def _gold_sql() -> str:

@@ -25,12 +25,14 @@ def consolidate_features(spark, sf):
 
 @query(
     "j02_inner_join_on_date",
-    "WITH a AS (SELECT CAST(o_orderdate AS DATE) AS fecha, count(*) AS pedidos FROM orders GROUP BY 1), b AS (SELECT CAST(l_shipdate AS DATE) AS fecha, count(*) AS envios FROM lineitem GROUP BY 1) SELECT fecha, pedidos, envios FROM a JOIN b USING (fecha)",
+    f"WITH {PRICES}, {TEMPS} SELECT serie, mes, {r('precio', 4)} AS precio, {r('temp', 6)} AS temp, year(mes) AS anio, month(mes) AS mes_num FROM prices JOIN (SELECT * FROM temps WHERE month(mes) > 3) USING (serie, mes)",
 )
 def inner_join_on_date(spark, sf):
-    a = table(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("date").alias("fecha")).agg(F.count(F.lit(1)).alias("pedidos"))
-    b = lineitem(spark, sf).groupBy(F.col("l_shipdate").cast("date").alias("fecha")).agg(F.count(F.lit(1)).alias("envios"))
-    return a.join(b, "fecha", "inner")
+    temps = monthly_discounts(spark, sf).filter(F.month("mes") > 3)
+    out = monthly_prices(spark, sf).join(temps, ["serie", "mes"], "inner")
+    return out.select(
+        "serie", "mes", rounded("precio", 4).alias("precio"), rounded("temp", 6).alias("temp"), F.year("mes").alias("anio"), F.month("mes").alias("mes_num")
+    )
 
 
 def catalogue(spark, sf):
