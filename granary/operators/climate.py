@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.nulls import attach
+from granary.functions.nulls import attach, stage
 from granary.functions.stats import P_FLOOR, Z_LIMIT, clip, gamma_cdf_from_z, norm_quantile, wilson_hilferty
 from granary.operators.features import _series, full_rolling_sum
 from granary.operators.ordered import fits, over_history
@@ -84,18 +84,16 @@ def spi(
 def _index(fitted: DataFrame, label: str) -> DataFrame:
     """Index from ``__acc`` and the fitted parameters.
 
-    Staged columns: each later formula repeats its argument many times, so the argument
-    has to be a plain column for the generated code to stay small.
+    Each formula repeats its argument many times, so the arguments are staged: a later
+    filter on the index must not unfold them into one another.
     """
-    acc, q = F.col("__acc"), F.col("q_zero")
-    staged = (
-        fitted.withColumn("__wh", wilson_hilferty(acc, F.col("shape"), F.col("scale")))
-        .withColumn("__g", gamma_cdf_from_z(acc, F.col("shape"), F.col("scale"), F.col("__wh")))
-        .withColumn("__p", clip(F.when(acc <= 0, q).otherwise(q + (1.0 - q) * F.col("__g")), P_FLOOR, 1.0 - P_FLOOR))
-        .withColumn("__z", norm_quantile(F.col("__p")))
-    )
-    index = F.when(acc.isNotNull() & q.isNotNull(), clip(F.col("__z"), -Z_LIMIT, Z_LIMIT))
-    return staged.withColumn(label, index).drop("__acc", "q_zero", "shape", "scale", "__wh", "__g", "__p", "__z")
+    acc, q, shape, scale = F.col("__acc"), F.col("q_zero"), F.col("shape"), F.col("scale")
+    staged = stage(fitted, {"__wh": wilson_hilferty(acc, shape, scale)})
+    mixed = F.when(acc <= 0, q).otherwise(q + (1.0 - q) * gamma_cdf_from_z(acc, shape, scale, F.col("__wh")))
+    staged = stage(staged, {"__p": clip(mixed, P_FLOOR, 1.0 - P_FLOOR)})
+    z = clip(norm_quantile(F.col("__p")), -Z_LIMIT, Z_LIMIT)
+    index = F.when(acc.isNotNull() & q.isNotNull(), z)
+    return staged.withColumn(label, index).drop("__acc", "q_zero", "shape", "scale", "__wh", "__p")
 
 
 def thermal_anomaly(

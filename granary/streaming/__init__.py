@@ -1,0 +1 @@
+"""Reserved: nothing in scope is a stream. Station telemetry is a batch pull here."""
