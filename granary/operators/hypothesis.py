@@ -18,7 +18,7 @@ from granary.functions.nulls import attach, safe_divide
 from granary.functions.stats import chi2_tail_2df, chi2_tail_normal, two_sided_p
 from granary.operators.features import add_difference
 from granary.operators.ordered import over_history, row_positions, running_total
-from granary.session import cut_lineage
+from granary.session import cut_lineage, written
 
 # Minimum sample sizes, significance level and decision words.
 MIN_NORMALITY, MIN_TREND, MIN_STATIONARITY, MIN_GROUP = 8, 10, 15, 3
@@ -153,7 +153,7 @@ def _slopes_in_tasks(placed: DataFrame, keys: list[str], value: str) -> DataFram
     return grouped.applyInPandas(solve, schema)
 
 
-def _slopes_by_search(placed: DataFrame, keys: list[str], value: str, sizes: DataFrame, probes: int = 8) -> DataFrame:
+def _slopes_by_search(placed: DataFrame, keys: list[str], value: str, sizes: DataFrame, probes: int = 16) -> DataFrame:
     """The same median for series too long for a task: a (probes + 1)-ary search in which
     each round counts, as a Spark job, the pairs at or below every probed slope."""
     placed, sizes = cut_lineage(placed), cut_lineage(sizes)
@@ -167,7 +167,7 @@ def _slopes_by_search(placed: DataFrame, keys: list[str], value: str, sizes: Dat
         F.explode(F.array(F.floor((pairs + 1) / 2), F.floor(pairs / 2) + 1)).alias("__k"),
     ).distinct()
     # One unit below the smallest slope nothing qualifies, so the bracket is half-open.
-    brackets = cut_lineage(brackets.withColumn("low", F.col("low") - (F.abs("low") * 1e-9 + 1e-9)))
+    brackets = written(brackets.withColumn("low", F.col("low") - (F.abs("low") * 1e-9 + 1e-9)), "slopes")
     for _ in range(64):
         open_ = brackets.filter(F.col("high") - F.col("low") > 1e-14 * F.greatest(F.lit(1.0), F.abs("high")))
         if open_.isEmpty():
@@ -195,10 +195,11 @@ def _slopes_by_search(placed: DataFrame, keys: list[str], value: str, sizes: Dat
         narrowed = counts.groupBy(*keys, "__k").agg(
             F.max(F.when(~hit, F.col("slope"))).alias("__low"), F.min(F.when(hit, F.col("slope"))).alias("__high")
         )
-        brackets = cut_lineage(
+        brackets = written(
             attach(brackets, narrowed, [*keys, "__k"], "left").select(
                 *keys, "n", F.coalesce("__low", "low").alias("low"), F.coalesce("__high", "high").alias("high"), "__k"
-            )
+            ),
+            "slopes",
         )
     return brackets.groupBy(*keys).agg(F.avg("high").alias("sens_slope"))
 

@@ -107,3 +107,11 @@ def test_kruskal_and_spearman_routes(series, tiny_groups):
     grouped = series.withColumn("g", F.col("t") % 3).withColumn("w", F.col("t") * 1.5)
     same(ht.group_differences(grouped, [], "v", "g", bounded=True), ht.group_differences(grouped, [], "v", "g"))
     same(ht.spearman(grouped, ["k"], "v", "w", True), ht.spearman(grouped, ["k"], "v", "w"))
+
+
+def test_slope_search_for_long_series(spark):
+    x = [3.0, 1.0, 4.0, 1.5, 9.0, 2.0, 6.0, 5.0, 3.5, 5.0, 8.0, 7.0]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(x)], "k string, t int, v double")
+    placed = ht.positions(df, ["k"], "v", ["t"], True)
+    found = ht._slopes_by_search(placed, ["k"], "v", ht.series_sizes(placed, ["k"]), probes=64).first()
+    assert found.sens_slope == pytest.approx(brute_trend(x)[1], abs=1e-9)
