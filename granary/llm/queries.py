@@ -80,3 +80,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judge(docs, rules).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
     )
+
+
+# --- Best-fit packing ------------------------------------------------------------------------------------------------
+
+from granary.llm import best_two_fit  # noqa: E402
+
+
+def packing_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op4_best_two_fit")
+def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_two_fit.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), packing_tokenizer())
