@@ -96,3 +96,54 @@ def packing_tokenizer() -> str:
 @query("op4_best_two_fit")
 def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_two_fit.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), packing_tokenizer())
+
+
+# --- Secret scans ----------------------------------------------------------------------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from granary.llm import secret_frequency  # noqa: E402
+
+
+def _secrets_sql() -> str:
+    def spans(kind: int, pattern: str, group: int, least: int) -> str:
+        p = "'" + pattern.replace("'", "''") + "'"
+        size = lambda k: f"len(skips[{k}]) + len(hits[{k}])"
+        before = f"list_sum(list_transform(range(1, i), lambda k: {size('k')}))"
+        start = f"coalesce({before}, 0) + len(skips[i])"
+        return f"""(SELECT list_filter(list_transform(range(1, len(hits) + 1), lambda i: {{'start': CAST({start} AS BIGINT), 'kind': {kind},
+            'end': CAST({start} + len(hits[i]) AS BIGINT), 'value': vals[i]}}), lambda s: len(s.value) >= {least})
+          FROM (SELECT regexp_extract_all(body, {p}, 0) AS hits, regexp_extract_all(body, {p}, {group}) AS vals, regexp_split_to_array(body, {p}) AS skips))"""
+
+    base = [spans(k, *spec) for k, (_, *spec) in enumerate(secret_frequency.BASE)]
+    names = "[" + ", ".join(f"'{k}'" for k in secret_frequency.KINDS) + "]"
+    listed = lambda s: f"coalesce(array_to_string(list_transform({s}, lambda s: {names}[s.kind + 1] || ':' || s.start || ':' || s.end), ','), '')"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS body FROM documents),
+hit AS (SELECT *, {base[0]} AS a, {base[1]} AS k, {base[2]} AS h, {spans(3, secret_frequency.RUN, 0, secret_frequency.RUN_LEAST)} AS g FROM docs),
+based AS (SELECT *, list_sort(a || k || h) AS base FROM hit),
+both_ AS (SELECT *, list_filter(g, lambda x: regexp_matches(x.value, '[0-9]') AND regexp_matches(x.value, '[A-Za-z]')
+    AND len(list_filter(base, lambda b: b.start < x.end AND x.start < b.end)) = 0) AS runs FROM based),
+each AS (SELECT r, doc_id, source, unnest(base || runs) AS s FROM both_),
+owned AS (SELECT s.value AS v, count(DISTINCT coalesce(source, chr(1))) AS n_owners FROM each GROUP BY 1),
+judged AS (SELECT r, s, CASE WHEN n_owners >= {secret_frequency.WIDE_OWNERS} THEN 'example'
+    WHEN n_owners = 1 AND regexp_matches(s.value, '[0-9]') AND len(list_distinct(string_split(s.value, ''))) >= {secret_frequency.LEAST_DISTINCT} THEN 'live' ELSE 'unclear' END AS verdict
+  FROM each JOIN owned ON s.value = v),
+kept AS (SELECT r, list_sort(list(s)) AS spans, count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_examples
+  FROM judged WHERE s.kind < 3 OR verdict = 'live' GROUP BY r)
+SELECT doc_id, CAST(len(a) AS BIGINT) AS n_assign, CAST(len(k) AS BIGINT) AS n_access, CAST(len(h) AS BIGINT) AS n_hex,
+  sha256({listed('base')}) AS base_sha256, {listed('spans')} AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples
+FROM both_ LEFT JOIN kept USING (r)"""
+
+
+@query("op7_secret_frequency", _secrets_sql())
+def op7_secret_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_frequency.find_secrets(table(spark, sf_dir, "documents"))
+    verdicts = lambda v: F.size(F.filter("found", lambda s: s["verdict"] == v)).cast("long")
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2(secret_frequency.joined(F.col("base")), 256).alias("base_sha256"),
+        secret_frequency.joined(F.col("found")).alias("spans"),
+        verdicts("live").alias("n_live"),
+        verdicts("example").alias("n_examples"),
+    )
