@@ -147,3 +147,14 @@ def op7_secret_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
         verdicts("live").alias("n_live"),
         verdicts("example").alias("n_examples"),
     )
+
+
+# --- Line dedup ------------------------------------------------------------------------------------------------------
+
+from granary.llm import line_dedup  # noqa: E402
+
+
+@query("op8_line_dedup")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("text_sha256"), "text")
