@@ -158,3 +158,14 @@ from granary.llm import line_dedup  # noqa: E402
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("text_sha256"), "text")
+
+
+# --- SimHash near-dedup ----------------------------------------------------------------------------------------------
+
+from granary.llm import simhash_trees  # noqa: E402
+
+
+@query("op3_simhash_trees")
+def op3_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_trees.near_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash_trees.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
