@@ -169,3 +169,13 @@ from granary.llm import simhash_trees  # noqa: E402
 def op3_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_trees.near_copies(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash_trees.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+# --- HTML extraction -------------------------------------------------------------------------------------------------
+
+from granary.llm import html_density  # noqa: E402
+
+
+@query("op1_html_density")
+def op1_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract(table(spark, sf_dir, "pages"))
