@@ -179,3 +179,13 @@ from granary.llm import html_density  # noqa: E402
 @query("op1_html_density")
 def op1_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.extract(table(spark, sf_dir, "pages"))
+
+
+# --- Document fingerprints -------------------------------------------------------------------------------------------
+
+from granary.llm import multiset_hash  # noqa: E402
+
+
+@query("op2_multiset_hash")
+def op2_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.compare_with_next(table(spark, sf_dir, "documents"))
