@@ -189,3 +189,15 @@ from granary.llm import multiset_hash  # noqa: E402
 @query("op2_multiset_hash")
 def op2_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+# --- Language ID -----------------------------------------------------------------------------------------------------
+
+from granary.llm import language_id  # noqa: E402
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.is_held_out(F.col("doc_id")))
+    model = language_id.learn(docs.where("not held_out").select("doc_id", "text", "lang"))
+    return language_id.predict(docs, model, ["doc_id", "held_out"])
