@@ -201,3 +201,15 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.is_held_out(F.col("doc_id")))
     model = language_id.learn(docs.where("not held_out").select("doc_id", "text", "lang"))
     return language_id.predict(docs, model, ["doc_id", "held_out"])
+
+
+# --- Mixing sources to target weights --------------------------------------------------------------------------------
+
+from granary.llm import soft_mixing  # noqa: E402
+
+WEIGHTS = {"good": 0.97, "poor": 0.03, "toxic": 0.0}
+
+
+@query("op5_soft_mixing")
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return soft_mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"), WEIGHTS, ["doc_id", "source"])

@@ -411,14 +411,14 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, keep: list[str] | None = None, limit: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """``keep``, fp (signed long) and component_id, the smallest doc_id that can be reached."""
+    """``keep``, fp, component (the smallest fp that can be reached, both signed longs), component_id (the smallest such doc_id)."""
     keep = ["doc_id"] if keep is None else keep
     rows = written(with_fingerprints(docs, keep), "fingerprints")
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     found = components(links_between(fps, limit, blocks))
     named = fps.join(found, fps["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    return rows.join(named.join(ids, "component").select("fp", "component_id"), "fp").select(*keep, "fp", "component_id")
+    return rows.join(named.join(ids, "component").select("fp", "component", "component_id"), "fp").select(*keep, "fp", "component", "component_id")
 
 
 def as_hex(fp: Column) -> Column:
