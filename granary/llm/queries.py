@@ -34,14 +34,14 @@ HOST_RULES = [
     url_rules.host_rule("net/es/", "block"),
     url_rules.host_rule("net/fr/", "block"),
 ]
-PATTERN_RULES = [
-    url_rules.pattern_rule("pills", "block", r"://[^/?#]*cheap-?pills", "pills"),
+PATTERN_RULES = [  # every literal is a whole token of each URL that the pattern matches
+    url_rules.pattern_rule("pills", "block", r"://([^/?#]*[.-])?cheap-pills[.-]", "cheap", "pills"),
     url_rules.pattern_rule("casino host", "block", r"://([^/?#]*[.-])?casino[.-]", "casino"),
-    url_rules.pattern_rule("advert server", "block", r"://ads?[0-9]*\.", "ads"),
-    url_rules.pattern_rule("tracker", "block", r"/(track|pixel|beacon)/", "track"),
+    url_rules.pattern_rule("advert server", "block", r"://ads\.", "ads"),
+    url_rules.pattern_rule("tracker", "block", r"/track/", "track"),
     url_rules.pattern_rule("session", "block", r"[?&]phpsessid=", "phpsessid"),
     url_rules.pattern_rule("program", "block", r"\.exe([?#]|$)", "exe"),
-    url_rules.pattern_rule("feed copy", "block", r"[?&]utm_source=feed", "utm", "source", "feed"),
+    url_rules.pattern_rule("feed copy", "block", r"[?&]utm_source=feed(&|#|$)", "utm", "source", "feed"),
     url_rules.pattern_rule("first page", "allow", r"[?&]page=1(&|#|$)", "page", "1"),
 ]
 
