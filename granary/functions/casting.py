@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Endings of the number forms only Java knows (1.5d, 2f) and of its non-numbers (NaN, Infinity).
 JAVA_ENDINGS = ("d", "f", "n", "y")
+# The cast to a number ignores blanks and control characters at the ends.
+CAST_TRIMS = "".join(map(chr, range(33)))
 
 
 def to_double(col: Column, dtype: str = "string") -> Column:
@@ -15,9 +17,10 @@ def to_double(col: Column, dtype: str = "string") -> Column:
         value = col.cast("double")
         return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
     if dtype == "string":
-        last = F.lower(F.right(F.rtrim(col), F.lit(1)))
+        last = F.lower(F.right(F.rtrim(col, F.lit(CAST_TRIMS)), F.lit(1)))
         odd = last.isin(*JAVA_ENDINGS) | col.contains("x") | col.contains("X")
-        return F.when(~odd, col.try_cast("double"))
+        value = col.try_cast("double")
+        return F.when(~odd & (F.abs(value) < float("inf")), value)
     return col.try_cast("double")
 
 

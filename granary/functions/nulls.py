@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +23,20 @@ def fold_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({c: nan_to_null(F.col(c)) for c in floats}) if floats else df
 
 
+def nan_is_missing(fn: Callable) -> Callable:
+    """An operator that sees NULL for every NaN of the tables it is given.
+
+    Tables are not folded when they are read: filters on floating columns then still reach the scan.
+    """
+
+    @functools.wraps(fn)
+    def folded(*args, **kwargs):
+        fold = lambda x: fold_nan(x) if isinstance(x, DataFrame) else x
+        return fn(*map(fold, args), **{k: fold(v) for k, v in kwargs.items()})
+
+    return folded
+
+
 def columns_of(df: DataFrame, kinds: tuple) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
 

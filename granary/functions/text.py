@@ -5,10 +5,8 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # White space that is not already a single plain space: Unicode blanks plus the four ASCII
 # separators Python also strips. Single spaces do not match, so plain text is not rebuilt.
@@ -16,6 +14,10 @@ BLANK = r"(?U) [\s\x1c-\x1f]+|[[\s\x1c-\x1f]&&[^ ]][\s\x1c-\x1f]*"
 # Anything beyond printable ASCII, or a doubled space.
 NOT_PLAIN = r"[^\x20-\x7e]|  "
 HANGUL = range(0xAC00, 0xD7A4)
+# A Hangul syllable is composed of one of 19 leading, 21 middle and up to 27 closing letters.
+LEADING, MIDDLE, CLOSING = ("".join(chr(first + k) for k in range(n)) for first, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+# Planes with characters that fold to others.
+FOLDED_PLANES = (range(0xA0, 0xD800), range(0xE000, 0xFFFE), range(0x10000, 0x20000), range(0x2F800, 0x2FA20), range(0xE0000, 0xE0200))
 NOT_ASCII = r"[^\x00-\x7f]"
 
 
@@ -25,16 +27,14 @@ def _fold_char(ch: str) -> str:
 
 @lru_cache(maxsize=1)
 def _folding() -> tuple[str, str, dict[str, str]]:
-    """Compatibility folding of the basic plane, derived from the Unicode database.
+    """Compatibility folding, derived from the Unicode database; Hangul syllables follow a rule instead.
 
     Returns translate() arguments for the one-to-one part (marks, which fold to
     nothing, come last so that translate() deletes them) and a dict of the
     characters that expand to several.
     """
     single, marks, multi = [], [], {}
-    for code in range(0xA0, 0xFFFE):
-        if 0xD800 <= code < 0xE000 or code in HANGUL:
-            continue
+    for code in (c for plane in FOLDED_PLANES for c in plane if c not in HANGUL):
         ch = chr(code)
         base = _fold_char(ch)
         if base == ch:
@@ -65,18 +65,31 @@ def _unfolded_class() -> str:
 
 
 def strip_marks(col: Column) -> Column:
-    """Accents and compatibility forms removed (basic plane without Hangul syllables)."""
+    """Accents and compatibility forms removed."""
     source, target, multi = _folding()
     single = F.translate(col, source, target)
     listing = "\u0001".join(f"{k}\u0002{v}" for k, v in multi.items())
     pairs = F.str_to_map(F.lit(listing), F.lit("\u0001"), F.lit("\u0002"))
     # `when` evaluates lazily: only rows that still hold such a character pay for the walk,
     # and only rows that are still not plain ASCII pay for looking.
-    rare = single.rlike(_unfolded_class()) & (F.length(F.translate(single, "".join(multi), "")) != F.length(single))
-    letters = F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), c))
+    hangul = f"[\\x{{{HANGUL.start:x}}}-\\x{{{HANGUL.stop - 1:x}}}]"
+    more = (F.length(F.translate(single, "".join(multi), "")) != F.length(single)) | single.rlike(hangul)
+    rare = single.rlike(_unfolded_class()) & more
+    letters = F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), F.when(c.rlike(hangul), _jamo(c)), c))
     return F.when(rare, F.array_join(letters, "")).otherwise(single)
 
 
+def _jamo(syllable: Column) -> Column:
+    """The letters of one Hangul syllable, which are numbered in the order of the alphabet."""
+    at = F.ascii(syllable) - HANGUL.start
+    per_middle, per_leading = len(CLOSING) + 1, len(MIDDLE) * (len(CLOSING) + 1)
+    pick = lambda letters, k: F.substring(F.lit(letters), k, F.lit(1))
+    closing = F.when(at % per_middle > 0, pick(CLOSING, at % per_middle)).otherwise("")
+    leading = F.floor(at / per_leading).cast("int") + 1
+    middle = F.floor((at % per_leading) / per_middle).cast("int") + 1
+    return F.concat(pick(LEADING, leading), pick(MIDDLE, middle), closing)
+
+
 def sanitize_text(col: Column) -> Column:
     """Accent-free, single-spaced, trimmed, upper-case; NULL becomes the empty string.
 
@@ -88,18 +101,6 @@ def sanitize_text(col: Column) -> Column:
     return F.coalesce(F.upper(F.trim(tidy)), F.lit(""))
 
 
-def sanitize_text_full(col: Column) -> Column:
-    """Same result for every script, Hangul and astral planes included (Arrow batches)."""
-
-    def clean(value):
-        return "" if value is None else " ".join(_fold_char(value).split()).upper()
-
-    def batch(values: pd.Series) -> pd.Series:
-        return values.map(clean)
-
-    return F.pandas_udf(batch, returnType=T.StringType())(col)
-
-
 def zero_fill(col: Column, width: int) -> Column:
     """Left-pad with zeros without cutting longer codes."""
     code = F.coalesce(F.trim(col.cast("string")), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.nulls import attach, stage
+from granary.functions.nulls import attach, nan_is_missing, stage
 from granary.functions.stats import P_FLOOR, Z_LIMIT, clip, gamma_cdf_from_z, norm_quantile, wilson_hilferty
 from granary.operators.features import _series, full_rolling_sum
 from granary.operators.ordered import fits, over_history
@@ -41,6 +41,7 @@ def _fit_parameters(min_periods: int) -> dict[str, Column]:
     }
 
 
+@nan_is_missing
 def gamma_fit(accumulated: DataFrame, keys: list[str], value: str, min_periods: int = MIN_PERIODS) -> DataFrame:
     """One row per series with ``q_zero``, ``shape`` and ``scale``.
 
@@ -50,6 +51,7 @@ def gamma_fit(accumulated: DataFrame, keys: list[str], value: str, min_periods:
     return sums.select(*keys, *[c.alias(n) for n, c in _fit_parameters(min_periods).items()])
 
 
+@nan_is_missing
 def spi(
     df: DataFrame,
     value: str,
@@ -96,6 +98,7 @@ def _index(fitted: DataFrame, label: str) -> DataFrame:
     return staged.withColumn(label, index).drop("__acc", "q_zero", "shape", "scale", "__wh", "__p")
 
 
+@nan_is_missing
 def thermal_anomaly(
     df: DataFrame,
     value: str,

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.nulls import safe_divide
+from granary.functions.nulls import nan_is_missing, safe_divide
 from granary.operators.ordered import over_history
 
 # Default lags and windows.
@@ -31,6 +31,7 @@ def _blank_null_group(keys: list[str], new: dict[str, Column]) -> dict[str, Colu
     return {n: F.when(known, c) for n, c in new.items()}
 
 
+@nan_is_missing
 def add_lags(
     df: DataFrame,
     target: str,
@@ -51,6 +52,7 @@ def add_lags(
     return over_history(df, keys, order, max(steps), build, bounded)
 
 
+@nan_is_missing
 def add_rolling(
     df: DataFrame,
     target: str,
@@ -82,6 +84,7 @@ def full_rolling_sum(target: str, scale: int, w) -> Column:
     return F.when(F.count(target).over(frame) == scale, F.sum(target).over(frame))
 
 
+@nan_is_missing
 def add_rolling_sum(
     df: DataFrame, target: str, scale: int, group=None, order_by=(), name: str | None = None, bounded: bool | None = None
 ) -> DataFrame:
@@ -90,6 +93,7 @@ def add_rolling_sum(
     return over_history(df, keys, order, scale, lambda w: {label: full_rolling_sum(target, scale, w)}, bounded)
 
 
+@nan_is_missing
 def add_difference(df: DataFrame, target: str, group=None, order_by=(), bounded: bool | None = None) -> DataFrame:
     """First difference and the lagged level, the regressors of a unit-root test."""
     keys, order = _series(df, group, order_by)
@@ -101,6 +105,7 @@ def add_difference(df: DataFrame, target: str, group=None, order_by=(), bounded:
     return over_history(df, keys, order, 1, build, bounded)
 
 
+@nan_is_missing
 def add_change(
     df: DataFrame, target: str, steps: list[int], group=None, order_by=(), bounded: bool | None = None
 ) -> DataFrame:
@@ -117,6 +122,7 @@ def add_change(
     return over_history(df, keys, order, max(steps), build, bounded)
 
 
+@nan_is_missing
 def add_rolling_robust(
     df: DataFrame, target: str, size: int, group=None, order_by=(), bounded: bool | None = None
 ) -> DataFrame:

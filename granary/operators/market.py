@@ -10,12 +10,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.nulls import attach, safe_divide
+from granary.functions.nulls import attach, nan_is_missing, safe_divide
 from granary.operators.hypothesis import normality
 from granary.operators.ordered import over_history, row_positions, running_total
 from granary.operators.quantiles import exact_quantiles, median_and_mad, medians
 
 
+@nan_is_missing
 def shares(df: DataFrame, keys: list[str], item: str, value: str) -> DataFrame:
     """Total per item and its share of the group; items are aggregated before totals."""
     totals = df.groupBy(*keys, item).agg(F.sum(value).alias("total"))
@@ -25,6 +26,7 @@ def shares(df: DataFrame, keys: list[str], item: str, value: str) -> DataFrame:
     )
 
 
+@nan_is_missing
 def growth_rate(df: DataFrame, keys: list[str], period: str, value: str, name: str = "cagr") -> DataFrame:
     """Compound growth per period between the first and the last period of each group."""
     ends = df.groupBy(*keys).agg(
@@ -36,6 +38,7 @@ def growth_rate(df: DataFrame, keys: list[str], period: str, value: str, name: s
     return ends.select(*keys, "span", F.when((F.col("span") > 0) & (ratio > 0), F.pow(ratio, 1.0 / F.col("span")) - 1.0).alias(name))
 
 
+@nan_is_missing
 def centre_and_spread(df: DataFrame, keys: list[str], value: str, bounded: bool | None = None) -> DataFrame:
     """Mean, median, coefficient of variation and IQR over median."""
     plain = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("__sd"))
@@ -49,6 +52,7 @@ def centre_and_spread(df: DataFrame, keys: list[str], value: str, bounded: bool
     )
 
 
+@nan_is_missing
 def concentration(df: DataFrame, keys: list[str], item: str, value: str, k: int = 5, bounded: bool | None = None) -> DataFrame:
     """Herfindahl index, share of the k largest items and Gini coefficient per group."""
     cells = shares(df, keys, item, value)
@@ -68,6 +72,7 @@ def concentration(df: DataFrame, keys: list[str], item: str, value: str, k: int
     return sums.select(*keys, "items", "hhi", "cr_k", gini.alias("gini"))
 
 
+@nan_is_missing
 def lorenz(df: DataFrame, keys: list[str], item: str, value: str, bounded: bool | None = None) -> DataFrame:
     """Cumulative item and value shares, smallest items first."""
     cells = shares(df, keys, item, value)
@@ -79,12 +84,14 @@ def lorenz(df: DataFrame, keys: list[str], item: str, value: str, bounded: bool
     )
 
 
+@nan_is_missing
 def gap_rate(offer: DataFrame, supply: DataFrame, keys: list[str], offered: str, supplied: str) -> DataFrame:
     """(offer - supply) / offer on the keys of the offer."""
     joined = attach(offer, supply, keys, "left")
     return joined.withColumn("gap", safe_divide(F.col(offered) - F.coalesce(supplied, F.lit(0.0)), F.col(offered)))
 
 
+@nan_is_missing
 def autocorrelation(df: DataFrame, keys: list[str], order: list[str], value: str, lag: int = 1, bounded: bool | None = None) -> DataFrame:
     """Pearson correlation of a series with itself ``lag`` rows earlier."""
     sort = [F.col(o) for o in order]
@@ -92,11 +99,13 @@ def autocorrelation(df: DataFrame, keys: list[str], order: list[str], value: str
     return pearson(pairs, keys, value, "__back", f"r_{lag}")
 
 
+@nan_is_missing
 def pearson(df: DataFrame, keys: list[str], x: str, y: str, name: str = "r") -> DataFrame:
     """Correlation over complete pairs; NULL without variation."""
     return df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(F.nanvl(F.corr(x, y), F.lit(None).cast("double")).alias(name))
 
 
+@nan_is_missing
 def lagged_pearson(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, lag: int, bounded: bool | None = None) -> DataFrame:
     """Correlation of ``x`` with ``y`` ``lag`` rows earlier."""
     sort = [F.col(o) for o in order]
@@ -104,16 +113,19 @@ def lagged_pearson(df: DataFrame, keys: list[str], order: list[str], x: str, y:
     return pearson(pairs, keys, x, "__back", f"r_lag_{lag}")
 
 
+@nan_is_missing
 def line_slope(df: DataFrame, keys: list[str], x: str, y: str, name: str = "slope") -> DataFrame:
     return df.groupBy(*keys).agg(F.regr_slope(y, x).alias(name))
 
 
+@nan_is_missing
 def elasticity(df: DataFrame, keys: list[str], quantity: str, price: str) -> DataFrame:
     """Slope of ln(price) on ln(quantity) over positive pairs."""
     positive = df.filter((F.col(quantity) > 0) & (F.col(price) > 0))
     return positive.groupBy(*keys).agg(F.regr_slope(F.log(price), F.log(quantity)).alias("elasticity"), F.count(F.lit(1)).alias("pairs"))
 
 
+@nan_is_missing
 def seasonal_profile(df: DataFrame, keys: list[str], date: str, value: str, bounded: bool | None = None) -> DataFrame:
     """Mean and median per calendar month and the mean's ratio to the overall mean."""
     dated = df.withColumn("mes_num", F.month(date))
@@ -130,6 +142,7 @@ def peak_months(profile: DataFrame, keys: list[str]) -> DataFrame:
     return profile.groupBy(*keys).agg(best("mean").alias("peak_mean"), best("median").alias("peak_median"))
 
 
+@nan_is_missing
 def value_ratio(df: DataFrame, keys: list[str], value: str, amount: str, bounded: bool | None = None) -> DataFrame:
     """Ratio of sums and ratio of medians."""
     plain = df.groupBy(*keys).agg(F.sum(value).alias("__v"), F.sum(amount).alias("__a"))
@@ -141,6 +154,7 @@ def value_ratio(df: DataFrame, keys: list[str], value: str, amount: str, bounded
     )
 
 
+@nan_is_missing
 def composite_score(df: DataFrame, item: str, weights: dict[str, float], bounded: bool | None = None) -> DataFrame:
     """Weighted z-score and weighted percentile rank over items (one row per item)."""
     stats = df.agg(*[f(c).alias(f"__{t}_{c}") for c in weights for f, t in ((F.avg, "mu"), (F.stddev_samp, "sd"))], F.count(F.lit(1)).alias("__n"))
@@ -159,6 +173,7 @@ SKEW_LIMIT = 1.0
 PARAMETRIC, ROBUST = "PARAMETRICO", "ROBUSTO"
 
 
+@nan_is_missing
 def dual_answer(question: str, title: str, unit: str, plain: DataFrame, robust: DataFrame) -> DataFrame:
     """One mart row from two one-value frames."""
     p, q = plain.toDF("metrica_parametrica"), robust.toDF("metrica_no_parametrica")
@@ -167,6 +182,7 @@ def dual_answer(question: str, title: str, unit: str, plain: DataFrame, robust:
     )
 
 
+@nan_is_missing
 def question_mart(answers: list[DataFrame], sample: DataFrame, value: str) -> DataFrame:
     """Answers plus the engine to prefer: robust when the sample is skewed or not normal."""
     shape = normality(sample, [], value).select(
@@ -177,6 +193,7 @@ def question_mart(answers: list[DataFrame], sample: DataFrame, value: str) -> Da
     return rows.withColumn("metrica_elegida", chosen)
 
 
+@nan_is_missing
 def monthly_harmonised(df: DataFrame, keys: list[str], date: str, price: str, volume: str, bounded: bool | None = None) -> DataFrame:
     """Daily rows to months: median price, summed volume."""
     dated = df.withColumn("mes", F.trunc(F.col(date).cast("date"), "MM"))
@@ -184,6 +201,7 @@ def monthly_harmonised(df: DataFrame, keys: list[str], date: str, price: str, vo
     return attach(volumes, medians(dated, [*keys, "mes"], price, "precio_mediano", bounded), [*keys, "mes"], "left")
 
 
+@nan_is_missing
 def forecast_errors(df: DataFrame, keys: list[str], actual: str, predicted: str, parameters: int = 1) -> DataFrame:
     """WAPE, RMSE and adjusted R squared from one aggregate."""
     e = F.col(actual) - F.col(predicted)
@@ -204,6 +222,7 @@ def forecast_errors(df: DataFrame, keys: list[str], actual: str, predicted: str,
     )
 
 
+@nan_is_missing
 def ljung_box(df: DataFrame, keys: list[str], order: list[str], value: str, lags: int = 5, bounded: bool | None = None) -> DataFrame:
     """Q statistic over the first ``lags`` autocorrelations."""
     mu = df.groupBy(*keys).agg(F.avg(value).alias("__mu"))
@@ -218,6 +237,7 @@ def ljung_box(df: DataFrame, keys: list[str], order: list[str], value: str, lags
     return sums.select(*keys, (n * (n + 2) * rho2).alias("ljung_box_q"))
 
 
+@nan_is_missing
 def levene(df: DataFrame, keys: list[str], value: str, group: str, bounded: bool | None = None) -> DataFrame:
     """Median-centred Levene statistic: analysis of variance of absolute deviations."""
     rows = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
@@ -237,6 +257,7 @@ def levene(df: DataFrame, keys: list[str], value: str, group: str, bounded: bool
     return parts.select(*keys, F.col("k").alias("n_groups"), w.alias("levene_w"))
 
 
+@nan_is_missing
 def granger(df: DataFrame, keys: list[str], order: list[str], cause: str, effect: str, bounded: bool | None = None) -> DataFrame:
     """One-lag F statistic: does the cause's last value help to predict the effect?
 
@@ -260,6 +281,7 @@ def granger(df: DataFrame, keys: list[str], order: list[str], cause: str, effect
     return m.select(*keys, c("t").alias("n"), f.alias("granger_f"))
 
 
+@nan_is_missing
 def benjamini_hochberg(df: DataFrame, p: str, ties: list[str], q: float = 0.05, keys: list[str] = (), bounded: bool | None = None) -> DataFrame:
     """Adjusted p-values and rejections; the running minimum starts at the largest p.
 
@@ -277,6 +299,7 @@ def benjamini_hochberg(df: DataFrame, p: str, ties: list[str], q: float = 0.05,
     return attach(df, adjusted, [*keys, p], "left").withColumn("rechaza_fdr", F.col("p_ajustado") <= q)
 
 
+@nan_is_missing
 def running_minimum(df: DataFrame, keys: list[str], order: list[Column], value: str, name: str, bounded: bool | None = None) -> DataFrame:
     """Minimum of all rows so far, in the given order, for groups of any size."""
     from pyspark.sql import Window
@@ -296,6 +319,7 @@ def running_minimum(df: DataFrame, keys: list[str], order: list[Column], value:
     return joined.withColumn(name, F.least(F.min(value).over(w), "__carry")).drop("__slice", "__carry")
 
 
+@nan_is_missing
 def control_alerts(df: DataFrame, keys: list[str], value: str, width: float = 3.0, bounded: bool | None = None) -> DataFrame:
     """Red outside both limits, yellow outside one, green otherwise."""
     plain = df.groupBy(*keys).agg(F.avg(value).alias("__mu"), F.stddev_samp(value).alias("__sd"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.nulls import attach, safe_divide
+from granary.functions.nulls import attach, nan_is_missing, safe_divide
 from granary.operators.features import _series
 from granary.operators.ordered import fits, over_history, row_positions
 
 
+@nan_is_missing
 def yoy_inflation(
     df: DataFrame, price: str, group=None, order_by=(), lag: int = 12, name: str = "inflacion_yoy", bounded: bool | None = None
 ) -> DataFrame:
@@ -23,6 +24,7 @@ def yoy_inflation(
     return over_history(df, keys, order, lag, build, bounded)
 
 
+@nan_is_missing
 def yoy_inflation_calendar(
     df: DataFrame, price: str, period: str, group: list[str], months: int = 12, name: str = "inflacion_yoy"
 ) -> DataFrame:
@@ -32,6 +34,7 @@ def yoy_inflation_calendar(
     return joined.withColumn(name, safe_divide(F.col(price) - F.col("__base"), F.col("__base")) * 100.0).drop("__base")
 
 
+@nan_is_missing
 def terms_of_trade(
     inputs: DataFrame, products: DataFrame, keys: list[str], input_price: str, product_price: str, name: str = "terminos_intercambio"
 ) -> DataFrame:
@@ -47,6 +50,7 @@ def terms_of_trade(
     )
 
 
+@nan_is_missing
 def kth_value(df: DataFrame, value: str, group, order_by, k: int = 0, bounded: bool | None = None) -> DataFrame:
     """Per series: the k-th non-missing value (negative k counts from the end); no row if out of range."""
     keys, order = _series(df, group, order_by)
@@ -62,6 +66,7 @@ def kth_value(df: DataFrame, value: str, group, order_by, k: int = 0, bounded: b
     return placed.filter(F.col("__pos") == (k if k >= 0 else -k - 1)).select(*keys, F.col(value).alias("base"))
 
 
+@nan_is_missing
 def price_index(
     df: DataFrame, price: str, group, order_by, base_idx: int = 0, name: str = "indice_base100", bounded: bool | None = None
 ) -> DataFrame:
@@ -72,11 +77,13 @@ def price_index(
     return joined.withColumn(name, safe_divide(F.col(price), F.col("base")) * 100.0).drop("base")
 
 
+@nan_is_missing
 def latest(df: DataFrame, group: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """Value of each column in the newest row of every group."""
     return df.groupBy(*group).agg(*[F.max_by(c, F.struct(*order)).alias(c) for c in columns])
 
 
+@nan_is_missing
 def forward_fill(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, bounded: bool | None = None) -> DataFrame:
     """Last known value up to the current row.
 

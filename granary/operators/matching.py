@@ -20,6 +20,7 @@ from granary.functions.text import jaro_winkler, levenshtein_similarity, sanitiz
 W_JW, W_LEV = 0.6, 0.4
 DEPARTMENT_PENALTY = 0.8
 THRESHOLD = 0.85
+LOWEST_LENGTH_BOUND = 0.55
 EPS = 1e-9
 
 
@@ -57,12 +58,22 @@ def _shortest(longer: Column, threshold: float) -> Column:
 
 
 def _longest(shorter: Column, threshold: float) -> Column:
-    floor_ratio = max((threshold - 0.48) / 0.52, 0.05)
+    floor_ratio = (threshold - 0.48) / 0.52
     return F.floor(shorter / F.lit(floor_ratio) + F.lit(1e-6)).cast("int")
 
 
 def candidate_pairs(raw: DataFrame, golden: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (name, nombre) pairs that may reach the threshold: no acceptable pair is lost."""
+    """Distinct (name, nombre) pairs that may reach the threshold: no acceptable pair is lost.
+
+    Below ``LOWEST_LENGTH_BOUND`` lengths say too little. Names without a common letter score 0, so a
+    common letter is what is left to meet by; such thresholds accept a large part of all pairs anyway.
+    """
+    if threshold <= 0:
+        raise ValueError("a threshold must be above 0")
+    if threshold < LOWEST_LENGTH_BOUND:
+        letters = lambda c: F.explode(F.array_distinct(F.split(c, ""))).alias("letter")
+        by_letter = golden.select("nombre", letters("nombre")).where("letter <> ''")
+        return raw.select("name", letters("name")).where("letter <> ''").join(by_letter, "letter").select("name", "nombre").distinct()
     r_len, g_len = F.length("name"), F.length("nombre")
     other = F.sequence(_shortest(g_len, threshold), _longest(g_len, threshold))
     pieces = (

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.casting import to_day, to_double
-from granary.functions.nulls import attach, fold_nan, numeric_columns
+from granary.functions.nulls import attach, fold_nan, nan_is_missing, numeric_columns
 from granary.operators.quantiles import exact_quantiles
 
 # Quantiles of a profile and the Tukey fence factor.
@@ -57,6 +57,7 @@ def melt_numbers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return numbers.unpivot([], chosen, "column", "value").filter(F.col("value").isNotNull())
 
 
+@nan_is_missing
 def numeric_profile(
     df: DataFrame, columns: list[str] | None = None, approximate: bool = False, bounded: bool | None = None
 ) -> DataFrame:
@@ -83,6 +84,7 @@ def numeric_profile(
     return joined.select("column", *[F.round(c, 4).alias(c) for c in shown], "outliers_iqr_count")
 
 
+@nan_is_missing
 def outside_fences(
     long: DataFrame, quartiles: DataFrame, keys: list[str], value: str, factor: float = FENCE
 ) -> DataFrame:
@@ -196,6 +198,7 @@ def category_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+@nan_is_missing
 def group_mean(df: DataFrame, group: str, value: str, name: str = "mean") -> DataFrame:
     """Mean per group, lowest first; NULL groups are left out."""
     return (
@@ -215,6 +218,7 @@ def label_counts(df: DataFrame, label: Column, name: str = "label") -> DataFrame
     return df.groupBy(label.alias(name)).agg(F.count(F.lit(1)).alias("n"))
 
 
+@nan_is_missing
 def month_climatology(df: DataFrame, keys: list[str], date: str, value: str) -> DataFrame:
     """Mean and sample deviation per series and calendar month."""
     return (

@@ -155,18 +155,24 @@ INTERNAL_WORDS = ("id", "key", "ticket")
 LOGICAL_TYPES = {"string": "Text", "date": "DateTime", "timestamp": "DateTime", "timestamp_ntz": "DateTime", "boolean": "Boolean"}
 
 
+PERSONAL, MASK = "CONFIDENTIAL_PII", "***"
+
+
 def sensitivity(name: str) -> str:
     words = name.lower()
     if any(w in words for w in PERSONAL_WORDS):
-        return "CONFIDENTIAL_PII"
+        return PERSONAL
     return "INTERNAL" if any(words.endswith(w) for w in INTERNAL_WORDS) else "PUBLIC"
 
 
 def column_catalogue(df: DataFrame) -> DataFrame:
-    """Physical and logical type, observed nullability, sensitivity and the smallest value as example."""
+    """Physical and logical type, observed nullability, sensitivity and the smallest value as example.
+
+    Columns with personal data show a mask instead.
+    """
     facts = df.agg(
         *[F.count_if(F.col(c).isNull()).alias(f"__n{i}") for i, c in enumerate(df.columns)],
-        *[F.min(c).cast("string").alias(f"__e{i}") for i, c in enumerate(df.columns)],
+        *[(F.max(F.when(F.col(c).isNotNull(), MASK)) if sensitivity(c) == PERSONAL else F.min(c).cast("string")).alias(f"__e{i}") for i, c in enumerate(df.columns)],
     )
     entries = [
         F.struct(

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.nulls import attach
+from granary.functions.nulls import attach, nan_is_missing
 from granary.operators.ordered import fits, running_total
 
 
+@nan_is_missing
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bounded: bool | None = None
 ) -> DataFrame:
@@ -44,10 +45,12 @@ def exact_quantiles(
     return picked.select(*keys, *out)
 
 
+@nan_is_missing
 def medians(df: DataFrame, keys: list[str], value: str, name: str, bounded: bool | None = None) -> DataFrame:
     return exact_quantiles(df, keys, value, {name: 0.5}, bounded)
 
 
+@nan_is_missing
 def median_and_mad(
     df: DataFrame, keys: list[str], value: str, bounded: bool | None = None
 ) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.nulls import attach, safe_divide
+from granary.functions.nulls import attach, nan_is_missing, safe_divide
 from granary.operators.ordered import fits, running_total
 from granary.operators.quantiles import exact_quantiles, median_and_mad
 
@@ -13,6 +13,7 @@ from granary.operators.quantiles import exact_quantiles, median_and_mad
 MAD_SCALE, MAD_ALERT, DRIFT_LIMIT = 0.6745, 3.5, 0.10
 
 
+@nan_is_missing
 def modified_z(df: DataFrame, keys: list[str], value: str, bounded: bool | None = None) -> DataFrame:
     """0.6745 |x - median| / MAD and an alert beyond 3.5."""
     joined = attach(df, median_and_mad(df, keys, value, bounded), keys, "left")
@@ -20,6 +21,7 @@ def modified_z(df: DataFrame, keys: list[str], value: str, bounded: bool | None
     return joined.withColumn("z_mad", score).withColumn("alerta_mad", F.coalesce(F.col("z_mad") > MAD_ALERT, F.lit(False))).drop("median", "mad")
 
 
+@nan_is_missing
 def winsorise(df: DataFrame, keys: list[str], value: str, low: float = 0.01, high: float = 0.99, bounded: bool | None = None) -> DataFrame:
     """Values pulled in to the chosen quantiles of their group."""
     limits = exact_quantiles(df, keys, value, {"__lo": low, "__hi": high}, bounded)
@@ -27,6 +29,7 @@ def winsorise(df: DataFrame, keys: list[str], value: str, low: float = 0.01, hig
     return attach(df, limits, keys, "left").withColumn(f"{value}_wins", inside).drop("__lo", "__hi")
 
 
+@nan_is_missing
 def robust_scale(df: DataFrame, keys: list[str], value: str, bounded: bool | None = None) -> DataFrame:
     """(x - median) / IQR; NULL without spread."""
     limits = exact_quantiles(df, keys, value, {"__q1": 0.25, "__q2": 0.5, "__q3": 0.75}, bounded)
@@ -45,10 +48,12 @@ def _flagged(df: DataFrame, value: str, filled, method: str) -> DataFrame:
     )
 
 
+@nan_is_missing
 def impute_zero(df: DataFrame, value: str) -> DataFrame:
     return _flagged(df, value, F.lit(0.0), "ZERO_FILL")
 
 
+@nan_is_missing
 def impute_mode(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Most frequent value of the group, the smallest on ties."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
@@ -57,6 +62,7 @@ def impute_mode(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return _flagged(attach(df, leaders, keys, "left"), value, F.col("__mode"), "MODE").drop("__mode")
 
 
+@nan_is_missing
 def interpolate(df: DataFrame, keys: list[str], position: str, value: str, bounded: bool | None = None) -> DataFrame:
     """Linear fill between the nearest known neighbours of a numeric position; ends stay open.
 
@@ -83,6 +89,7 @@ def interpolate(df: DataFrame, keys: list[str], position: str, value: str, bound
     return _flagged(placed, value, line, "LINEAR").drop("__a", "__b")
 
 
+@nan_is_missing
 def drift_check(original: DataFrame, imputed: DataFrame, value: str) -> DataFrame:
     """Relative change of the standard deviation and whether it stays below the limit."""
     before = original.agg(F.stddev_samp(value).alias("sd_original"))

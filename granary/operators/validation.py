@@ -92,10 +92,10 @@ class _Builder:
 
     def whole(self, key: str, names: tuple, limits: tuple, wrong: str, text: str) -> Column:
         number, bad = self.number(key, *names)
-        value = number.cast("bigint")
+        value = number.try_cast("bigint")  # NULL beyond 64 bits, which is out of range too
         self.rules += [
             Rule(wrong, bad, F.concat(F.lit(wrong + ": "), self.shown_text(*names))),
-            Rule(key, ~bad & ~value.between(*limits), _shown(value, key, text)),
+            Rule(key, ~bad & ~F.coalesce(value.between(*limits), F.lit(False)), _shown(F.coalesce(value.cast("string"), number.cast("string")), key, text)),
         ]
         return value
 
@@ -191,9 +191,10 @@ def livestock_contract(df: DataFrame) -> Contract:
     c.required("codigo_municipio", town)
     c.required("especie", species, "vacía")
     number, bad = c.number("total_animales", "total_animales", "col_3")
-    heads = number.cast("bigint")
+    heads = number.try_cast("bigint")
     c.rule("total_animales no numérico", bad, F.lit("total_animales no numérico"))
-    c.rule("total_animales", ~bad & (heads < 0), _shown(heads, "total_animales", "no puede ser negativo"))
+    negative, beyond = _shown(heads, "total_animales", "no puede ser negativo"), _shown(number, "total_animales", "fuera de rango")
+    c.rule("total_animales", ~bad & (heads.isNull() | (heads < 0)), F.when(heads < 0, negative).otherwise(beyond))
     return c.build(codigo_municipio=town, especie=F.upper(species), total_animales=heads)
 
 

@@ -86,28 +86,26 @@ def temporal_coverage(spark, sf):
     return profiling.temporal_coverage(brand_days(spark, sf), "fecha")
 
 
-def supplier_days(spark, sf):
-    return lineitem(spark, sf).filter("l_linenumber = 1").select(F.col("l_shipdate").cast("date").alias("fecha"), "l_suppkey")
+def customer_days(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("fecha"), "o_custkey")
 
 
-SUPPLIER_EDGES = MONTH_EDGES.replace(
-    "SELECT CAST(l_shipdate AS DATE) AS fecha, p_brand, p_partkey FROM lineitem JOIN part ON l_partkey = p_partkey",
-    "SELECT CAST(l_shipdate AS DATE) AS fecha, l_suppkey FROM lineitem WHERE l_linenumber = 1",
-)
+BRAND_DAYS = "SELECT CAST(l_shipdate AS DATE) AS fecha, p_brand, p_partkey FROM lineitem JOIN part ON l_partkey = p_partkey"
+CUSTOMER_EDGES = MONTH_EDGES.replace(BRAND_DAYS, "SELECT CAST(o_orderdate AS DATE) AS fecha, o_custkey FROM orders")
 
 
 @query(
     "a05_gaps_by_group",
-    f"""WITH {SUPPLIER_EDGES}, have AS (SELECT DISTINCT l_suppkey, CAST(date_trunc('month', fecha) AS DATE) AS period FROM d)
-SELECT CAST(s.l_suppkey AS VARCHAR) AS "group", count(*) AS missing_periods FROM (SELECT DISTINCT l_suppkey FROM d) s CROSS JOIN expected e
-LEFT JOIN have h ON h.l_suppkey = s.l_suppkey AND h.period = e.period WHERE h.period IS NULL GROUP BY 1""",
+    f"""WITH {CUSTOMER_EDGES}, have AS (SELECT DISTINCT o_custkey, CAST(date_trunc('month', fecha) AS DATE) AS period FROM d)
+SELECT CAST(s.o_custkey AS VARCHAR) AS "group", count(*) AS missing_periods FROM (SELECT DISTINCT o_custkey FROM d) s CROSS JOIN expected e
+LEFT JOIN have h ON h.o_custkey = s.o_custkey AND h.period = e.period WHERE h.period IS NULL GROUP BY 1""",
 )
 def gaps_by_group(spark, sf):
-    return profiling.gaps_by_group(supplier_days(spark, sf), "fecha", "l_suppkey")
+    return profiling.gaps_by_group(customer_days(spark, sf), "fecha", "o_custkey")
 
 
 SPARSE = "(year(l_shipdate) + month(l_shipdate)) % 5 <> 0"
-SPARSE_EDGES = SUPPLIER_EDGES.replace("l_linenumber = 1", SPARSE)
+SPARSE_EDGES = MONTH_EDGES.replace(BRAND_DAYS, f"SELECT CAST(l_shipdate AS DATE) AS fecha FROM lineitem WHERE {SPARSE}")
 
 
 def sparse_days(spark, sf):

@@ -71,9 +71,8 @@ def dirty_names(spark, sf):
     return part.select(raw.alias("nombre"), F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("región "), (F.col("p_partkey") % 3).cast("string"))).alias("dep"))
 
 
-@query(
-    "j04_fuzzy_match",
-    f"""WITH RECURSIVE {GOLDEN}, dirty AS (
+def fuzzy_sql(threshold: float) -> str:
+    return f"""WITH RECURSIVE {GOLDEN}, dirty AS (
   SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN substr(p_name, 1, p_partkey % 7 + 1) || substr(p_name, p_partkey % 7 + 3)
     WHEN 2 THEN substr(p_name, 1, p_partkey % 7 + 1) || substr(p_name, p_partkey % 7 + 1) ELSE p_name || '  zzzz qq' END AS raw_name,
     CASE WHEN p_partkey % 5 = 0 THEN 'región ' || (p_partkey % 3) END AS raw_hint FROM part),
@@ -84,17 +83,29 @@ scored AS (SELECT a.raw_name, a.raw_hint, g.*, a.name = g.nombre_municipio AS sa
     (0.6 * jw + 0.4 * (1.0 - levenshtein(a.name, g.nombre_municipio) / CAST(greatest(length(a.name), length(g.nombre_municipio)) AS DOUBLE)))
     * CASE WHEN a.name <> g.nombre_municipio AND a.hint IS NOT NULL AND a.hint <> g.nombre_departamento THEN 0.8 ELSE 1.0 END AS score
   FROM asked a JOIN jw ON jw.a = a.name JOIN golden g ON g.nombre_municipio = jw.b),
-best AS (SELECT * FROM scored WHERE score >= 0.85 OR same QUALIFY row_number() OVER (PARTITION BY raw_name, raw_hint ORDER BY same DESC, score DESC, seq) = 1)
+best AS (SELECT * FROM scored WHERE score >= {threshold} OR same QUALIFY row_number() OVER (PARTITION BY raw_name, raw_hint ORDER BY same DESC, score DESC, seq) = 1)
 SELECT d.raw_name, d.raw_hint, cod_municipio, nombre_municipio, cod_departamento, nombre_departamento,
   CASE WHEN same THEN 1.0 ELSE {r('score', 4)} END AS similarity_score, CASE WHEN same THEN 'EXACT' WHEN cod_municipio IS NOT NULL THEN 'FUZZY' END AS match_type
-FROM dirty d LEFT JOIN best b ON b.raw_name = d.raw_name AND b.raw_hint IS NOT DISTINCT FROM d.raw_hint""",
-)
-def fuzzy_match(spark, sf):
+FROM dirty d LEFT JOIN best b ON b.raw_name = d.raw_name AND b.raw_hint IS NOT DISTINCT FROM d.raw_hint"""
+
+
+def fuzzy(spark, sf, threshold):
     golden = matching.golden_catalogue(catalogue(spark, sf), "orden")
-    out = matching.match_names(dirty_names(spark, sf), golden, "nombre", "dep")
+    out = matching.match_names(dirty_names(spark, sf), golden, "nombre", "dep", threshold)
     return out.withColumn("similarity_score", rounded("similarity_score", 4))
 
 
+@query("j04_fuzzy_match", fuzzy_sql(0.85))
+def fuzzy_match(spark, sf):
+    return fuzzy(spark, sf, matching.THRESHOLD)
+
+
+@query("j04_fuzzy_match_wide", fuzzy_sql(0.4))
+def fuzzy_match_wide(spark, sf):
+    """A threshold at which names of very different lengths can match."""
+    return fuzzy(spark, sf, 0.4)
+
+
 @query(
     "j06_lookup_default",
     "SELECT l_orderkey, l_linenumber, coalesce(p_size, 1) AS talla, count(*) AS n FROM lineitem LEFT JOIN (SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size FROM part WHERE p_size > 20) ON l_partkey = p_partkey GROUP BY ALL",

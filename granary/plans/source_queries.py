@@ -26,11 +26,11 @@ PAGE = 500
 
 @query("s02_paged_records", "SELECT c_custkey AS clave, c_name AS nombre, c_acctbal AS saldo FROM customer")
 def paged_records(spark, sf):
-    """Customers land as page files of at most PAGE records and come back page by page."""
+    """Customers land as page files, some longer than what is asked for and at offsets of any kind, and all come back."""
     c = table(spark, sf, "customer")
     path = scratch_path(spark, "pages")
     record = F.to_json(F.struct(F.col("c_custkey").alias("clave"), F.col("c_name").alias("nombre"), F.col("c_acctbal").alias("saldo")))
-    paged = c.select((F.floor(F.col("c_custkey") / PAGE) * PAGE).alias("page_offset"), record.alias("j"))
+    paged = c.select(F.when(F.col("c_custkey") < 3 * PAGE / 2, 0).otherwise(F.floor(F.col("c_custkey") / PAGE) * PAGE + 7).cast("long").alias("page_offset"), record.alias("j"))
     # A page is a bounded group by construction.
     bodies = paged.groupBy("page_offset").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value"))
     bodies.write.partitionBy("page_offset").text(path)

@@ -1,10 +1,12 @@
-"""Paged record source: one input partition per page of ``limit`` records.
+"""Paged record source: one input partition per page.
 
 ``spark.read.format("paged_json")`` reads pages either from a folder of page files
 (``path`` option, sub-folders ``page_offset=N``) or from a REST endpoint (``url`` option,
-query parameters ``$limit``, ``$offset``, ``$order``). Because the number of records
-(``total``) or ``max_records`` fixes the offsets in advance, all pages load in parallel
-and a lost task simply fetches its page again.
+query parameters ``$limit``, ``$offset``, ``$order``). Every listed folder is a page, whatever
+its offset, and is read whole: ``limit`` is the size that is asked for, and only
+``max_records`` ends the read. Where the number of records is known (``total``), all pages of an
+endpoint load in parallel and a lost task simply fetches its page again; without it one task
+asks for page after page until one comes back short or empty.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ ORDER = ":id"
 
 
 class Page(InputPartition):
-    def __init__(self, offset: int, limit: int):
-        super().__init__((offset, limit))
-        self.offset, self.limit = offset, limit
+    """``size`` is what is asked for; ``follow``: the pages behind it belong to this partition too."""
+
+    def __init__(self, offset: int, size: int, follow: bool = False):
+        super().__init__((offset, size, follow))
+        self.offset, self.size, self.follow = offset, size, follow
 
 
 def plan_pages(total: int, page_size: int, max_records: int | None) -> list[tuple[int, int]]:
@@ -47,34 +51,52 @@ class PagedReader(DataSourceReader):
 
     def partitions(self) -> list[Page]:
         size = int(self.options.get("limit", PAGE_SIZE))
-        cap = self.options.get("max_records")
-        if "path" in self.options and "total" not in self.options:
+        end = self._end()
+        if "path" in self.options:
             fs, root = FileSystem.from_uri(self.options["path"])
             names = (f.base_name for f in fs.get_file_info(FileSelector(root)) if f.base_name.startswith("page_offset="))
-            total = max((int(d.split("=")[1]) + size for d in names), default=0)
-        else:
-            total = int(self.options["total"])
-        return [Page(o, n) for o, n in plan_pages(total, size, int(cap) if cap else None)]
+            offsets = sorted(int(d.split("=")[1]) for d in names)
+            return [Page(o, size) for o in offsets if end is None or o < end]
+        if "total" in self.options:
+            return [Page(o, n) for o, n in plan_pages(int(self.options["total"]), size, end)]
+        return [Page(0, size, follow=True)]
+
+    def _end(self) -> int | None:
+        cap = self.options.get("max_records")
+        return int(cap) if cap else None
 
-    def _bodies(self, page: Page) -> Iterator[str]:
+    def fetch(self, offset: int, size: int) -> str:
+        """The body of one page of the endpoint."""
+        params = {"$limit": size, "$offset": offset, "$order": self.options.get("order", ORDER)}
+        params.update(json.loads(self.options.get("extra_params", "{}")))
+        with urllib.request.urlopen(f"{self.options['url']}?{urllib.parse.urlencode(params)}", timeout=60) as reply:
+            return reply.read().decode("utf-8")
+
+    def _pages(self, page: Page) -> Iterator[list[dict]]:
         if "path" in self.options:
             fs, root = FileSystem.from_uri(self.options["path"])
             found = fs.get_file_info(FileSelector(f"{root}/page_offset={page.offset}", allow_not_found=True))
             for info in sorted(found, key=lambda f: f.base_name):
                 if not info.base_name.startswith((".", "_")):
                     with fs.open_input_stream(info.path) as f:
-                        yield f.read().decode("utf-8")
+                        yield _records(f.read().decode("utf-8"))
             return
-        params = {"$limit": page.limit, "$offset": page.offset, "$order": self.options.get("order", ORDER)}
-        params.update(json.loads(self.options.get("extra_params", "{}")))
-        with urllib.request.urlopen(f"{self.options['url']}?{urllib.parse.urlencode(params)}", timeout=60) as reply:
-            yield reply.read().decode("utf-8")
+        at, end = page.offset, self._end()
+        while True:
+            size = page.size if end is None else min(page.size, end - at)
+            records = _records(self.fetch(at, size)) if size > 0 else []
+            yield records
+            at += len(records)
+            if not page.follow or len(records) < page.size:
+                return
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        left = partition.limit
-        for body in self._bodies(partition):
-            for record in _records(body)[:left]:
-                left -= 1
+        at, end = partition.offset, self._end()
+        for records in self._pages(partition):
+            for record in records:
+                if end is not None and at >= end:
+                    return
+                at += 1
                 yield tuple(_shape(record.get(f.name), f.dataType.typeName()) for f in self.schema.fields)
 
 

@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import cleaning, consolidate, hypothesis as ht, market_indices, matching, profiling, star, validation
+from granary.functions.casting import to_double
+from granary.operators import cleaning, consolidate, features, hypothesis as ht, market, market_indices, matching, profiling, quantiles, robust, star, validation
 from granary.operators.climate import spi, thermal_anomaly
 from granary.operators.features import add_lags, add_rolling
+from granary.operators.validation import ERROR_COLUMN, validate
 
 
 def test_cast_fill_and_dedup(spark):
@@ -196,3 +198,45 @@ def test_battery(spark):
     regional = spark.createDataFrame([(v, g) for g, vs in {"a": [1, 2, 1.5, 1.2], "b": [10, 11, 12, 10.5], "c": [20, 21, 22, 23]}.items() for v in map(float, vs)], "v double, g string")
     kw = ht.group_differences(regional, [], "v", "g").first()
     assert (kw.n_groups, kw.decision) == (3, ht.REJECT) and kw.p_value < 0.05
+
+
+def test_numbers_that_only_java_or_floats_know(spark):
+    texts = ["1.5", " 2e3\t", "1e400", "-1e400", "1.5d\t", "2f \n", "NaN\n", "Infinity", "0x1p3", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(to_double(F.col("t"))).collect()] == [1.5, 2000.0] + [None] * 9
+
+
+def test_bad_numbers_are_rejected_and_do_not_end_the_job(spark):
+    crop = "c_d_mun string, cultivo string, a_o string, rea_sembrada_ha string"
+    rows = [("05001", "PAPA", y, a) for y, a in (("2020", "1"), ("1e30", "1"), ("1e400", "1"), ("2020d\t", "1"), ("2020", "NaN\n"))]
+    parts = validate(spark.createDataFrame(rows, crop), "eva")
+    assert [r.anio for r in parts["accepted"].collect()] == [2020]
+    assert sorted(r[0] for r in parts["rejected"].select(ERROR_COLUMN).collect())[0].startswith("anio (1.0E30) fuera de rango válido")
+    beasts = spark.createDataFrame([("05001", "BOVINO", n) for n in ("7", "1e30", "-3")], "cod_municipio string, especie string, total_animales string")
+    parts = validate(beasts, "ica")
+    assert [r.total_animales for r in parts["accepted"].collect()] == [7]
+    assert sorted(r[0] for r in parts["rejected"].select(ERROR_COLUMN).collect()) == ["total_animales (-3) no puede ser negativo", "total_animales (1.0E30) fuera de rango"]
+    prices = spark.createDataFrame([("A", "1", "2020", p) for p in ("5", "1e400", "Infinity")], "articulo string, mes string, anio string, precio string")
+    assert validate(prices, "sipsa")["accepted"].count() == 1
+
+
+def test_nan_is_missing(spark):
+    nan = float("nan")
+    rows = [("a", k, v, float(k)) for k, v in enumerate([1.0, nan, 3.0, 4.0, nan, 6.0, 7.5])]
+    holes = [(g, k, None if v != v else v, w) for g, k, v, w in rows]
+    schema = "g string, k long, v double, w double"
+    with_nan, with_null = spark.createDataFrame(rows, schema), spark.createDataFrame(holes, schema)
+    for run in (
+        lambda d: add_rolling(d, ["v"], [3], group="g", order_by="k"),
+        lambda d: features.add_rolling_robust(d, "v", 3, "g", "k"),
+        lambda d: features.add_difference(d, "v", "g", "k"),
+        lambda d: quantiles.medians(d, ["g"], "v", "m"),
+        lambda d: quantiles.median_and_mad(d, ["g"], "v"),
+        lambda d: robust.modified_z(d, ["g"], "v"),
+        lambda d: robust.winsorise(d, ["g"], "v"),
+        lambda d: robust.robust_scale(d, ["g"], "v"),
+        lambda d: market.pearson(d, ["g"], "v", "w"),
+        lambda d: market.centre_and_spread(d, ["g"], "v"),
+        lambda d: market.line_slope(d, ["g"], "w", "v"),
+    ):
+        assert sorted(map(repr, run(with_nan).collect())) == sorted(map(repr, run(with_null).collect()))

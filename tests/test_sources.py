@@ -1,6 +1,7 @@
 import json
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.sources import paged_json
 from granary.sources.files import content_fingerprint
@@ -38,9 +39,30 @@ def test_pages(spark, tmp_path):
     read = lambda **o: spark.read.format("paged_json").schema("id long, municipio string").options(path=str(tmp_path), limit=2, **o).load()
     assert sorted((r.id, r.municipio) for r in read().collect()) == [(1, "A"), (2, "B"), (3, None)]
     assert read(max_records=1).count() == 1
+    (tmp_path / "page_offset=751").mkdir()
+    (tmp_path / "page_offset=751" / "p.json").write_text(json.dumps([{"id": k} for k in (751, 752, 753)]))
+    assert sorted(r.id for r in read().collect()) == [1, 2, 3, 751, 752, 753]
+    assert read(max_records=753).count() == 5
     assert paged_json.plan_pages(120_000, 50_000, 110_000) == [(0, 50_000), (50_000, 50_000), (100_000, 10_000)]
 
 
+def test_endpoint_without_total():
+    schema = T.StructType([T.StructField("id", T.LongType())])
+
+    class Stub(paged_json.PagedReader):
+        def fetch(self, offset, size):
+            return json.dumps([{"id": k} for k in range(offset, min(offset + size, records))])
+
+    for records in (0, 3, 4, 5):
+        for cap in ({}, {"max_records": "3"}):
+            reader = Stub(schema, {"url": "stub:", "limit": "2"} | cap)
+            (page,) = reader.partitions()
+            assert [r[0] for r in reader.read(page)] == list(range(min(records, 3) if cap else records))
+    records = 5
+    reader = Stub(schema, {"url": "stub:", "limit": "2", "total": "5"})
+    assert [[r[0] for r in reader.read(p)] for p in reader.partitions()] == [[0, 1], [2, 3], [4]]
+
+
 def test_nested_response(spark):
     body = {"results": [{"result": {"data": {"dsr": {"DS": [{"PH": [{"DM0": [{"C": ["05001", "BOVINO", 7]}, {"C": []}, {"C": ["11001"]}]}]}]}}}}]}
     df = spark.createDataFrame([(json.dumps(body),), ("not json",)], "j string")
