@@ -55,13 +55,16 @@ NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense banner banners sponsor sponsored promo promotion outbrain taboola "
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager topbar toolbar masthead "
     "footer foot colophon copyright sidebar sidebars aside rail widget widgets "
-    "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login "
+    "cookie cookies consent gdpr notice notices disclaimer paywall popup modal overlay newsletter subscribe subscription signup login "
     "comment comments commentlist disqus replies respond discussion "
     "share sharing social related recommended recommendations trending "
     "skip hidden screenreader sr".split()
 )
 NOISE_PARTS = re.compile(r"(?:^|[-_])(?:site|page|global|main)[-_]?(?:header|footer|nav|menu)(?:$|[-_])|share[-_]?bar|side[-_]?bar|cookie[-_]?|comment[-_]?(?:s|list|section|area|box|form)")
 
+#: Outside of an article, an element of just this class or id is the head of the page.
+PAGE_HEADER = re.compile(r"""\b(?:class|id)\s*=\s*["']?(?:header|top|head|heading-bar)(?=["'\s]|$)""", re.I)
+
 TAG = re.compile(
     r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/a-zA-Z][^>]*+(?:>|\Z)""",
     re.S,
@@ -86,7 +89,9 @@ def is_noise(name: str, attributes: str, inside: bool) -> int:
     """HARD, SOFT or 0. ``inside``: within article or main, where a header has the title."""
     if name in DROPPED or name == "header" and not inside:
         return HARD
-    return SOFT if attributes and name not in ("html", "body", "main") and is_marked(attributes) else 0
+    if not attributes or name in ("html", "body", "main"):
+        return 0
+    return SOFT if is_marked(attributes) or not inside and PAGE_HEADER.search(attributes) else 0
 
 
 def is_marked(attributes: str) -> bool:

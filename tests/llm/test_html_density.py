@@ -7,7 +7,7 @@ import pytest
 from granary.llm.html_density import extract, main_text
 
 PROSE = "A long enough sentence about the weather, the harvest and the market. " * 4
-NOISE = """<header><a href="/">Home</a> Daily paper</header><nav><ul><li><a href="/a">Alpha</a><li><a href="/b">Beta</a></ul></nav>
+NOISE = """<header><a href="/">Home</a> Daily paper</header><div id="header"><p>The daily paper of this town and of its people</p></div><nav><ul><li><a href="/a">Alpha</a><li><a href="/b">Beta</a></ul></nav>
 <div class="cookie-notice">We use cookies to make this page better for all of you who read it.</div>
 <aside>Most read: ten stories you must not miss this week</aside><div class="ad-box">Buy this now, it is cheap and good</div>
 <form action="/s"><label>Search</label><input name="q"><button>Go</button></form><script>var x = "<p>no</p>" + "</div>";</script><style>p{}</style>"""
