@@ -78,10 +78,12 @@ def upsert_towns(existing: DataFrame, incoming: DataFrame, order: str) -> DataFr
 
 
 def assign_keys(
-    existing: DataFrame, incoming: DataFrame, natural: list[str], key: str, order: str, bounded: bool | None = None
+    existing: DataFrame, incoming: DataFrame, natural: list[str], key: str, order: str, bounded: bool | None = False
 ) -> DataFrame:
     """Stored rows plus one new row per unseen natural key, numbered on from the last id.
 
+    New keys are numbered over ranges unless ``bounded`` promises that they are few.
+
     Attributes and numbering follow first appearance by ``order``.
     """
     extra = [c for c in existing.columns if c not in natural and c != key]
@@ -110,7 +112,7 @@ def product_keys(df: DataFrame) -> DataFrame:
     )
 
 
-def get_or_create_products(existing: DataFrame, crops: DataFrame, order: str, bounded: bool | None = None) -> DataFrame:
+def get_or_create_products(existing: DataFrame, crops: DataFrame, order: str, bounded: bool | None = False) -> DataFrame:
     keyed = product_keys(crops)
     return assign_keys(existing, keyed, ["nombre_producto", "variedad"], "id_producto", order, bounded)
 
