@@ -12,25 +12,28 @@ from granary.session import table
 REVENUE = "CAST(l_extendedprice * (1 - l_discount) AS DOUBLE)"
 
 
-def revenue(spark, sf):
-    """Line revenue by supplier nation, customer nation, brand and month."""
-    li, o, c = lineitem(spark, sf), table(spark, sf, "orders"), table(spark, sf, "customer")
-    s, p = table(spark, sf, "supplier"), table(spark, sf, "part")
-    return (
-        li.join(o, li.l_orderkey == o.o_orderkey)
-        .join(c, o.o_custkey == c.c_custkey)
-        .join(s, li.l_suppkey == s.s_suppkey)
-        .join(p, li.l_partkey == p.p_partkey)
-        .select(
-            F.col("s_nationkey").alias("origen"),
-            F.col("c_nationkey").alias("destino"),
-            F.col("p_brand").alias("marca"),
-            "l_suppkey",
-            F.year("l_shipdate").alias("anio"),
-            month("l_shipdate").alias("mes"),
-            (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("valor"),
-            F.col("l_quantity").alias("cantidad"),
-        )
+def revenue(spark, sf, *dimensions):
+    """Line revenue by month and supplier, with ``origen``, ``destino`` (nations of supplier and customer) or ``marca`` on request.
+
+    Only the tables of the wanted columns are joined: inner joins are not removed by the optimiser.
+    """
+    rows = lineitem(spark, sf)
+    if "destino" in dimensions:
+        o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+        rows = rows.join(o, rows.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey).withColumn("destino", F.col("c_nationkey"))
+    if "origen" in dimensions:
+        s = table(spark, sf, "supplier")
+        rows = rows.join(s, F.col("l_suppkey") == s.s_suppkey).withColumn("origen", F.col("s_nationkey"))
+    if "marca" in dimensions:
+        p = table(spark, sf, "part")
+        rows = rows.join(p, F.col("l_partkey") == p.p_partkey).withColumn("marca", F.col("p_brand"))
+    return rows.select(
+        *dimensions,
+        "l_suppkey",
+        F.year("l_shipdate").alias("anio"),
+        month("l_shipdate").alias("mes"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("valor"),
+        F.col("l_quantity").alias("cantidad"),
     )
 
 
@@ -44,7 +47,7 @@ REV = f"""rev AS (SELECT s_nationkey AS origen, c_nationkey AS destino, p_brand
 SELECT origen, destino, {r('cuota', 6)} AS cuota, {r('2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((p2 - p1) / 2), 2) + cos(p1) * cos(p2) * pow(sin(dl / 2), 2))))', 4)} AS km FROM d""",
 )
 def haversine_flow_share(spark, sf):
-    flows = market.shares(revenue(spark, sf), ["destino"], "origen", "cantidad")
+    flows = market.shares(revenue(spark, sf, "origen", "destino"), ["destino"], "origen", "cantidad")
     lat, lon = (lambda c: F.col(c) - 4.0), (lambda c: F.col(c) * 1.5 - 80)
     km = features.haversine_km(lat("origen"), lon("origen"), lat("destino"), lon("destino"))
     return flows.select("origen", "destino", rounded("share", 6).alias("cuota"), rounded(km, 4).alias("km"))
@@ -52,13 +55,13 @@ def haversine_flow_share(spark, sf):
 
 @query("t16_market_size_and_share", f"WITH {REV}, t AS (SELECT marca, sum(valor) AS total FROM rev GROUP BY 1) SELECT marca, {r('total', 1)} AS total, {r('total / sum(total) OVER ()', 6)} AS share FROM t")
 def market_size(spark, sf):
-    out = market.shares(revenue(spark, sf), [], "marca", "valor")
+    out = market.shares(revenue(spark, sf, "marca"), [], "marca", "valor")
     return out.select("marca", rounded("total", 1).alias("total"), rounded("share", 6).alias("share"))
 
 
 @query("t16_growth_rate", f"WITH {REV}, y AS (SELECT marca, anio, sum(valor) AS v FROM rev GROUP BY 1, 2), e AS (SELECT marca, arg_min(v, anio) AS a, arg_max(v, anio) AS b, max(anio) - min(anio) AS n FROM y GROUP BY 1) SELECT marca, CAST(n AS INTEGER) AS span, {r('pow(b / a, 1.0 / n) - 1', 6)} AS cagr FROM e")
 def growth_rate(spark, sf):
-    yearly = revenue(spark, sf).groupBy("marca", "anio").agg(F.sum("valor").alias("v"))
+    yearly = revenue(spark, sf, "marca").groupBy("marca", "anio").agg(F.sum("valor").alias("v"))
     return market.growth_rate(yearly, ["marca"], "anio", "v").withColumn("cagr", rounded("cagr", 6))
 
 
@@ -67,7 +70,7 @@ def growth_rate(spark, sf):
     f"WITH {REV}, m AS (SELECT marca, mes, sum(valor) AS v FROM rev GROUP BY 1, 2) SELECT marca, {r('avg(v)', 2)} AS mean, {r('median(v)', 2)} AS median, {r('stddev_samp(v) / avg(v)', 6)} AS cv, {r('(quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / median(v)', 6)} AS iqr_over_median FROM m GROUP BY 1",
 )
 def centre_and_spread(spark, sf):
-    monthly = revenue(spark, sf).groupBy("marca", "mes").agg(F.sum("valor").alias("v"))
+    monthly = revenue(spark, sf, "marca").groupBy("marca", "mes").agg(F.sum("valor").alias("v"))
     out = market.centre_and_spread(monthly, ["marca"], "v", bounded=True)
     return out.select("marca", rounded("mean", 2).alias("mean"), rounded("median", 2).alias("median"), rounded("cv", 6).alias("cv"), rounded("iqr_over_median", 6).alias("iqr_over_median"))
 
@@ -80,13 +83,13 @@ CONC = """tot AS (SELECT destino, l_suppkey, sum(valor) AS total FROM rev GROUP
     f"WITH {REV}, {CONC} SELECT destino, max(n) AS items, {r('sum(s * s)', 6)} AS hhi, {r('sum(CASE WHEN i > n - 5 THEN s ELSE 0 END)', 6)} AS cr_k, {r('2 * sum(i * total) / (max(n) * sum(total)) - (max(n) + 1) / max(n)', 6)} AS gini FROM sh GROUP BY 1",
 )
 def concentration(spark, sf):
-    out = market.concentration(revenue(spark, sf), ["destino"], "l_suppkey", "valor")
+    out = market.concentration(revenue(spark, sf, "destino"), ["destino"], "l_suppkey", "valor")
     return out.select("destino", "items", *[rounded(c, 6).alias(c) for c in ("hhi", "cr_k", "gini")])
 
 
 @query("t18_lorenz_curve", f"WITH {REV}, {CONC} SELECT destino, l_suppkey, {r('i / n', 6)} AS item_share, {r('sum(s) OVER (PARTITION BY destino ORDER BY i)', 6)} AS value_share FROM sh")
 def lorenz_curve(spark, sf):
-    out = market.lorenz(revenue(spark, sf), ["destino"], "l_suppkey", "valor")
+    out = market.lorenz(revenue(spark, sf, "destino"), ["destino"], "l_suppkey", "valor")
     return out.select("destino", "l_suppkey", rounded("item_share", 6).alias("item_share"), rounded("value_share", 6).alias("value_share"))
 
 
@@ -188,7 +191,7 @@ def peak_months(spark, sf):
 
 @query("t24_value_ratio", f"WITH {REV} SELECT marca, {r('sum(valor) / sum(cantidad)', 4)} AS ratio_sums, {r('median(valor) / median(cantidad)', 4)} AS ratio_medians FROM rev GROUP BY 1")
 def value_ratio(spark, sf):
-    out = market.value_ratio(revenue(spark, sf), ["marca"], "valor", "cantidad")
+    out = market.value_ratio(revenue(spark, sf, "marca"), ["marca"], "valor", "cantidad")
     return out.select("marca", rounded("ratio_sums", 4).alias("ratio_sums"), rounded("ratio_medians", 4).alias("ratio_medians"))
 
 
@@ -201,7 +204,7 @@ ITEMS = f"""item AS (SELECT marca, sum(valor) AS valor, sum(cantidad) AS cantida
 SELECT marca, {r('0.6 * (valor - m1) / s1 + 0.4 * (cantidad - m2) / s2', 6)} AS z_score, {r('0.6 * pv + 0.4 * pq', 6)} AS percentile_score FROM (SELECT *, percent_rank() OVER (ORDER BY valor) AS pv, percent_rank() OVER (ORDER BY cantidad) AS pq FROM item) CROSS JOIN st""",
 )
 def composite_score(spark, sf):
-    items = revenue(spark, sf).groupBy("marca").agg(F.sum("valor").alias("valor"), F.sum("cantidad").alias("cantidad"))
+    items = revenue(spark, sf, "marca").groupBy("marca").agg(F.sum("valor").alias("valor"), F.sum("cantidad").alias("cantidad"))
     out = market.composite_score(items, "marca", {"valor": 0.6, "cantidad": 0.4})
     return out.select("marca", rounded("z_score", 6).alias("z_score"), rounded("percentile_score", 6).alias("percentile_score"))
 
