@@ -206,39 +206,47 @@ CONTRACTS = {
 }
 
 
+BROKEN = "__broken"
+
+
+def broken_rules(contract: Contract) -> list[Column]:
+    return [F.coalesce(r.broken, F.lit(False)) for r in contract.rules]
+
+
 def flag(df: DataFrame, contract: Contract) -> DataFrame:
-    """Adds ``rule_keys`` (broken rules) and ``messages``, both empty for an accepted row.
+    """Adds the staged columns and whether any rule is broken.
 
-    They are separate columns so that counting rules never builds a message.
+    Which rules, and what to say about them, is worked out only for rows that break one.
     """
     staged = stage(df, contract.texts)
     if contract.numbers:
         staged = stage(staged, contract.numbers)
-    broken = [F.coalesce(r.broken, F.lit(False)) for r in contract.rules]
-    keys = F.array_compact(F.array(*[F.when(b, F.lit(r.key)) for b, r in zip(broken, contract.rules)]))
-    messages = F.array_compact(F.array(*[F.when(b, r.message) for b, r in zip(broken, contract.rules)]))
-    return stage(staged, {"rule_keys": keys}).withColumn("messages", messages)
+    return staged.withColumn(BROKEN, reduce(Column.__or__, broken_rules(contract)))
 
 
 def accepted(flagged: DataFrame, contract: Contract) -> DataFrame:
-    return flagged.filter(F.size("rule_keys") == 0).select(*[c.alias(n) for n, c in contract.output.items()])
+    return flagged.filter(~F.col(BROKEN)).select(*[c.alias(n) for n, c in contract.output.items()])
 
 
 def rejected(flagged: DataFrame, contract: Contract) -> DataFrame:
-    bad = flagged.filter(F.size("rule_keys") > 0).withColumn(ERROR_COLUMN, F.array_join("messages", "; "))
-    return bad.drop("rule_keys", "messages", *contract.staged)
+    messages = F.array_compact(F.array(*[F.when(b, r.message) for b, r in zip(broken_rules(contract), contract.rules)]))
+    bad = flagged.filter(BROKEN).withColumn(ERROR_COLUMN, F.array_join(messages, "; "))
+    return bad.drop(BROKEN, *contract.staged)
 
 
-def rule_counts(flagged: DataFrame) -> DataFrame:
-    return (
-        flagged.select(F.explode("rule_keys").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
-    )
+def rule_counts(flagged: DataFrame, contract: Contract) -> DataFrame:
+    """Violations of each broken rule: one count per rule in a single row, then turned upright."""
+    by_key: dict[str, list[Column]] = {}
+    for rule, broken in zip(contract.rules, broken_rules(contract)):
+        by_key.setdefault(rule.key, []).append(F.count_if(broken))
+    wide = flagged.agg(*[reduce(Column.__add__, c).alias(f"c{i}") for i, c in enumerate(by_key.values())])
+    rows = F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"c{i}").alias("violations")) for i, k in enumerate(by_key)])
+    return wide.select(F.inline(rows)).filter("violations > 0")
 
 
 def compliance(flagged: DataFrame) -> DataFrame:
     """One row: totals and the percentage accepted (100 for an empty table)."""
-    good = F.size("rule_keys") == 0
-    counts = flagged.agg(F.count(F.lit(1)).alias("total_records"), F.count_if(good).alias("valid_records"))
+    counts = flagged.agg(F.count(F.lit(1)).alias("total_records"), F.count_if(~F.col(BROKEN)).alias("valid_records"))
     pct = F.when(F.col("total_records") == 0, F.lit(100.0)).otherwise(
         F.round(F.col("valid_records") / F.col("total_records") * 100.0, 2)
     )
@@ -257,7 +265,7 @@ def validate(df: DataFrame, kind: str) -> dict[str, DataFrame]:
     return {
         "accepted": accepted(flagged, contract),
         "rejected": rejected(flagged, contract),
-        "rules": rule_counts(flagged),
+        "rules": rule_counts(flagged, contract),
         "metrics": compliance(flagged),
     }
 
