@@ -30,6 +30,8 @@ from granary.llm.common import words_of, written
 LEAST_WORDS = 10
 BLOCK = 256
 PLACE = ["_ld_doc", "_ld_text", "_ld_line"]
+#: What a line is to a key: one whose word is replaced there, the longer or the shorter line of a pair.
+REPLACED, LONGER, SHORTER = 0, 1, 2
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -61,7 +63,7 @@ def near_classes(classes: DataFrame) -> DataFrame:
 
 
 def with_keys(lines: DataFrame) -> DataFrame:
-    """``lines`` (place, words) with one row per key of the deletion neighbourhood: key, and whether it is the line itself.
+    """One row per key of the deletion neighbourhood of ``lines`` (id, words): id, key, and the line's role in it.
 
     A sequence is hashed as the exclusive-or of its words hashed with their places, so taking a word out, with the
     words behind it moving up, takes a few operations instead of hashing the line anew.
@@ -80,11 +82,11 @@ def with_keys(lines: DataFrame) -> DataFrame:
     replaced = F.transform("here", lambda h, i: F.xxhash64(F.lit("r"), F.col("n"), i, F.col("whole").bitwiseXOR(h)))
     dropped = F.transform("up", lambda u, i: F.xxhash64(F.lit("d"), F.col("n") - 1, before(i).bitwiseXOR(F.col("moved")).bitwiseXOR(u)))
     keys = F.concat(
-        F.transform(replaced, lambda k: F.struct(k.alias("key"), F.lit("r").alias("role"))),
-        F.transform(F.array_distinct(dropped), lambda k: F.struct(k.alias("key"), F.lit("d").alias("role"))),
-        F.array(F.struct(F.xxhash64(F.lit("d"), F.col("n"), "whole").alias("key"), F.lit("w").alias("role"))),
+        F.transform(replaced, lambda k: F.struct(k.alias("key"), F.lit(REPLACED).alias("role"))),
+        F.transform(F.array_distinct(dropped), lambda k: F.struct(k.alias("key"), F.lit(LONGER).alias("role"))),
+        F.array(F.struct(F.xxhash64(F.lit("d"), F.col("n"), "whole").alias("key"), F.lit(SHORTER).alias("role"))),
     )
-    return rows.select(*PLACE, F.inline(keys))
+    return rows.select("id", F.inline(keys))
 
 
 def within_bound(a: Column, b: Column) -> Column:
@@ -98,17 +100,17 @@ def within_bound(a: Column, b: Column) -> Column:
 
 
 def near_copies(lines: DataFrame) -> DataFrame:
-    """Places of the given distinct lines (place, words) that have an earlier one within the bound."""
-    place = F.struct(*PLACE)
-    keys = with_keys(lines).select(place.alias("place"), "key", "role")
+    """Places of the given distinct lines (place, words, and an id in the order of places) that have an earlier one within the bound."""
+    keys = with_keys(lines.select("id", "words"))
+    role, first = F.col("role"), lambda which: F.min(F.when(F.col("role") == which, F.col("id")))
     # replacements: the earliest of all; otherwise the earliest longer line for the shorter one, and the other way round
-    firsts = keys.groupBy("key").agg(F.min("place").alias("any"), F.min(F.when(F.col("role") == "w", F.col("place"))).alias("shorter"), F.min(F.when(F.col("role") == "d", F.col("place"))).alias("longer"), F.count("*").alias("n"))
+    firsts = keys.groupBy("key").agg(F.min("id").alias("any"), first(SHORTER).alias("shorter"), first(LONGER).alias("longer"), F.count("*").alias("n"))
     firsts = firsts.where("n > 1").drop("n")
-    found = F.when(F.col("role") == "r", F.col("any")).when(F.col("role") == "w", F.col("longer")).otherwise(F.col("shorter"))
-    pairs = keys.join(firsts, "key").select("place", found.alias("other")).where(F.col("other") < F.col("place")).distinct()
-    mine = lines.select(place.alias("place"), F.col("words").alias("a"))
-    theirs = lines.select(place.alias("other"), F.col("words").alias("b"))
-    return pairs.join(mine, "place").join(theirs, "other").where(within_bound(F.col("a"), F.col("b"))).select("place.*").distinct()
+    found = F.when(role == REPLACED, F.col("any")).when(role == SHORTER, F.col("longer")).otherwise(F.col("shorter"))
+    pairs = keys.join(firsts, "key").select("id", found.alias("other")).where(F.col("other") < F.col("id")).distinct()
+    theirs = lines.select(F.col("id").alias("other"), F.col("words").alias("b"))
+    both = pairs.join(lines.withColumnRenamed("words", "a"), "id").join(theirs, "other")
+    return both.where(within_bound(F.col("a"), F.col("b"))).select(*PLACE).distinct()
 
 
 def same_document(left: str, right: str) -> Column:
@@ -127,6 +129,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     line = F.transform("_ld_asked", lambda i: F.struct(i.alias("_ld_line"), F.get("lines", i).alias("line")))
     met = met.select("_ld_doc", "_ld_text", F.inline(line))
     words = met.select(*PLACE, words_of(F.lower("line")).alias("words")).dropDuplicates(PLACE)
+    words = words.orderBy(*PLACE).withColumn("id", F.monotonically_increasing_id())  # ids in the order of places
     gone = near_copies(written(words, "near-lines"))
     same_line = same_document("c", "g") & (F.col("c._ld_line") == F.col("g._ld_line"))
     left = classes.alias("c").join(gone.alias("g"), same_line, "left_anti")
