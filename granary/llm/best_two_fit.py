@@ -99,16 +99,19 @@ class BatchTokenizer:
         return [np.array(x.ids, "<u4").tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
 
-_TOKENIZERS: dict[str, BatchTokenizer] = {}
 #: Code units of text that one round of a task encodes together, unless one text alone has more.
-ROUND_BYTES = 16_000_000
+ROUND_BYTES = 8_000_000
 
 
 def _tokenizer(path: str) -> BatchTokenizer:
-    if path not in _TOKENIZERS:
+    """One a worker process: functions travel by value, so it is kept with a module that all tasks of a worker share."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_batch_tokenizers", {})
+    if path not in kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-        _TOKENIZERS[path] = BatchTokenizer(path)
-    return _TOKENIZERS[path]
+        kept[path] = BatchTokenizer(path)
+    return kept[path]
 
 
 def rounds(batch: pa.RecordBatch, bytes_: int = ROUND_BYTES) -> Iterator[pa.RecordBatch]:
@@ -234,10 +237,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     rank = F.expr("row_number() OVER (PARTITION BY length, block ORDER BY doc_id, piece, ids_crc32) - 1")
     ranked = dealt.withColumn("_rank", rank).join(before, (F.col("length") == F.col("_l")) & (F.col("block") == F.col("_b")))
     ranked = ranked.withColumn("rank", F.col("_rank") + F.col("base")).drop("_l", "_b", "_rank", "base", "block")
-    # the places of a length, in order of rank; at most as many in all as there are patterns times pieces in a bin
+    # the places of a length, in order of rank; their number depends on the lengths there are, not on the corpus
     table = spark.createDataFrame(plan, "length long, first long, last long, bin long, uses long, offsets array<long>")
     table = table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "last", "bin", "uses", "offsets"))).alias("places"))
-    placed = ranked.join(table, "length").withColumn("place", F.expr("filter(places, p -> p.first <= rank and rank < p.last)[0]"))
+    placed = ranked.join(F.broadcast(table), "length").withColumn("place", F.expr("filter(places, p -> p.first <= rank and rank < p.last)[0]"))
     step = F.col("rank") - F.col("place.first")
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
