@@ -31,18 +31,20 @@ def norm_cdf(z: Column) -> Column:
     return 0.5 * (1.0 + erf(z / math.sqrt(2.0)))
 
 
-def norm_quantile(p: Column) -> Column:
-    """Rational approximation, +-3.5 at the ends."""
-    tail = F.when(p < 0.5, p).otherwise(1.0 - p)
-    t = F.sqrt(-2.0 * F.log(tail))
+def tail_root(p: Column) -> Column:
+    return F.sqrt(-2.0 * F.log(F.when(p < 0.5, p).otherwise(1.0 - p)))
+
+
+def norm_quantile(p: Column, t: Column | None = None) -> Column:
+    """Rational approximation, +-3.5 at the ends; ``t`` is ``tail_root(p)`` if that is a column already."""
+    t = tail_root(p) if t is None else t
     c0, c1, c2 = QUANTILE_C
     d1, d2, d3 = QUANTILE_D
-    z = t - (c0 + c1 * t + c2 * t * t) / (1.0 + d1 * t + d2 * t * t + d3 * t * t * t)
+    z = t - (c0 + t * (c1 + c2 * t)) / (1.0 + t * (d1 + t * (d2 + d3 * t)))
     return (
         F.when(p <= 0, F.lit(-Z_LIMIT))
         .when(p >= 1, F.lit(Z_LIMIT))
-        .when(p < 0.5, -z)
-        .otherwise(z)
+        .otherwise(F.when(p < 0.5, F.lit(-1.0)).otherwise(F.lit(1.0)) * z)
     )
 
 

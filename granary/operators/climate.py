@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.nulls import attach, nan_is_missing, stage
-from granary.functions.stats import P_FLOOR, Z_LIMIT, clip, gamma_cdf_from_z, norm_quantile, wilson_hilferty
+from granary.functions.stats import P_FLOOR, Z_LIMIT, clip, gamma_cdf_from_z, norm_quantile, tail_root, wilson_hilferty
 from granary.operators.features import _series, full_rolling_sum
 from granary.operators.ordered import fits, over_history
 from granary.session import cut_lineage
@@ -17,28 +17,25 @@ MIN_POSITIVE = 3
 TINY = 1e-6
 
 
-def _fit_sums(value: str, over=lambda c: c) -> dict[str, Column]:
-    """Counts and means the fit needs, as aggregates or over a window."""
+def _fit_sums(value: str, over=lambda c: c, end: str = "") -> dict[str, Column]:
+    """Counts and means the fit needs, as aggregates or over a window; ``end`` closes their names."""
     x = F.col(value)
     positive = F.when(x > 0, x)
     return {
-        "__n": over(F.count(x)),
-        "__n_pos": over(F.count(positive)),
-        "__mean": over(F.avg(positive)),
-        "__mean_log": over(F.avg(F.when(x > 0, F.log(F.greatest(x, F.lit(TINY)))))),
+        f"__n{end}": over(F.count(x)),
+        f"__n_pos{end}": over(F.count(positive)),
+        f"__mean{end}": over(F.avg(positive)),
+        f"__mean_log{end}": over(F.avg(F.when(x > 0, F.log(F.greatest(x, F.lit(TINY)))))),
     }
 
 
-def _fit_parameters(min_periods: int) -> dict[str, Column]:
+def _fit_parameters(min_periods: int, end: str = "") -> dict[str, Column]:
     """Closed-form gamma fit (Thom 1958) of the positive values; NULL for small samples."""
-    gap = F.log(F.greatest(F.col("__mean"), F.lit(TINY))) - F.col("__mean_log")
+    n, n_pos, mean, mean_log = (F.col(f"{c}{end}") for c in ("__n", "__n_pos", "__mean", "__mean_log"))
+    gap = F.log(F.greatest(mean, F.lit(TINY))) - mean_log
     shape = F.when(gap <= 0, F.lit(1.0)).otherwise((1.0 + F.sqrt(1.0 + 4.0 * gap / 3.0)) / (4.0 * gap))
-    usable = (F.col("__n") >= min_periods) & (F.col("__n_pos") >= MIN_POSITIVE)
-    return {
-        "q_zero": F.when(usable, (F.col("__n") - F.col("__n_pos")) / F.col("__n")),
-        "shape": F.when(usable, shape),
-        "scale": F.when(usable, F.col("__mean") / shape),
-    }
+    usable = (n >= min_periods) & (n_pos >= MIN_POSITIVE)
+    return {f"q_zero{end}": F.when(usable, (n - n_pos) / n), f"shape{end}": F.when(usable, shape), f"scale{end}": F.when(usable, mean / shape)}
 
 
 @nan_is_missing
@@ -68,34 +65,40 @@ def spi(
     """
     keys, order = _series(df, group, order_by)
     short = fits(df, keys, bounded)
-    out = df
-    for k in [scale] if isinstance(scale, int) else scale:
-        out = over_history(out, keys, order, k, lambda w, k=k: {"__acc": full_rolling_sum(value, k, w)}, short)
-        if short:
-            whole = Window.partitionBy(*keys)
-            out = out.withColumns(_fit_sums("__acc", lambda c: c.over(whole)))
-            out = out.withColumns(_fit_parameters(min_periods)).drop("__n", "__n_pos", "__mean", "__mean_log")
-        else:
-            # Read twice below, and built from ranged positions: compute it once.
-            out = cut_lineage(out)
-            out = attach(out, gamma_fit(out, keys, "__acc", min_periods), keys, "left")
-        out = _index(out, f"spi_{k}")
-    return out
-
-
-def _index(fitted: DataFrame, label: str) -> DataFrame:
-    """Index from ``__acc`` and the fitted parameters.
-
-    Each formula repeats its argument many times, so the arguments are staged: a later
-    filter on the index must not unfold them into one another.
+    scales = [scale] if isinstance(scale, int) else list(scale)
+    acc = {k: f"__acc{k}" for k in scales}
+    out = over_history(df, keys, order, max(scales), lambda w: {acc[k]: full_rolling_sum(value, k, w) for k in scales}, short)
+    sums = lambda over: {n: c for k in scales for n, c in _fit_sums(acc[k], over, str(k)).items()}
+    fitted = {n: c for k in scales for n, c in _fit_parameters(min_periods, str(k)).items()}
+    if short:
+        whole = Window.partitionBy(*keys)
+        out = out.withColumns(sums(lambda c: c.over(whole))).withColumns(fitted)
+    else:
+        # Read twice below, and built from ranged positions: compute it once.
+        out = cut_lineage(out)
+        totals = out.groupBy(*keys).agg(*[c.alias(n) for n, c in sums(lambda c: c).items()])
+        out = attach(out, totals.select(*keys, *[c.alias(n) for n, c in fitted.items()]), keys, "left")
+    return _indices(out, scales).select(*df.columns, *[f"spi_{k}" for k in scales])
+
+
+def _indices(fitted: DataFrame, scales: list[int]) -> DataFrame:
+    """Indices from the sums and fitted parameters of all scales together.
+
+    Each formula repeats its argument many times, so the arguments are staged, once for all
+    scales: a later filter on an index must not unfold them into one another.
     """
-    acc, q, shape, scale = F.col("__acc"), F.col("q_zero"), F.col("shape"), F.col("scale")
-    staged = stage(fitted, {"__wh": wilson_hilferty(acc, shape, scale)})
-    mixed = F.when(acc <= 0, q).otherwise(q + (1.0 - q) * gamma_cdf_from_z(acc, shape, scale, F.col("__wh")))
-    staged = stage(staged, {"__p": clip(mixed, P_FLOOR, 1.0 - P_FLOOR)})
-    z = clip(norm_quantile(F.col("__p")), -Z_LIMIT, Z_LIMIT)
-    index = F.when(acc.isNotNull() & q.isNotNull(), z)
-    return staged.withColumn(label, index).drop("__acc", "q_zero", "shape", "scale", "__wh", "__p")
+    of = lambda name, k: F.col(f"{name}{k}")
+    staged = stage(fitted, {f"__wh{k}": wilson_hilferty(of("__acc", k), of("shape", k), of("scale", k)) for k in scales})
+
+    def probability(k: int) -> Column:
+        below = gamma_cdf_from_z(of("__acc", k), of("shape", k), of("scale", k), of("__wh", k))
+        mixed = F.when(of("__acc", k) <= 0, of("q_zero", k)).otherwise(of("q_zero", k) + (1.0 - of("q_zero", k)) * below)
+        return clip(mixed, P_FLOOR, 1.0 - P_FLOOR)
+
+    staged = stage(staged, {f"__p{k}": probability(k) for k in scales})
+    staged = stage(staged, {f"__t{k}": tail_root(of("__p", k)) for k in scales})
+    known = lambda k: of("__acc", k).isNotNull() & of("q_zero", k).isNotNull()
+    return staged.withColumns({f"spi_{k}": F.when(known(k), clip(norm_quantile(of("__p", k), of("__t", k)), -Z_LIMIT, Z_LIMIT)) for k in scales})
 
 
 @nan_is_missing
