@@ -29,6 +29,11 @@ def to_long_or_zero(col: Column, dtype: str = "string") -> Column:
     return F.coalesce(to_double(col, dtype).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
+def round_to(col: Column, digits: int) -> Column:
+    """Half away from zero, judged on the shortest decimal form of the number; never -0.0."""
+    return F.round(col.cast("double"), digits) + F.lit(0.0)
+
+
 def to_instant(col: Column) -> Column:
     return col.try_cast("timestamp")
 

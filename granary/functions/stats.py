@@ -80,6 +80,21 @@ def two_sided_p(z: Column) -> Column:
     return clip(2.0 * (1.0 - norm_cdf(F.abs(z))), 0.0, 1.0)
 
 
+def chi2_tail(x: Column, df: Column) -> Column:
+    """Upper tail of chi-square by the Wilson-Hilferty cube root."""
+    spread = 2.0 / (9.0 * df)
+    z = (F.pow(F.greatest(x, F.lit(0.0)) / df, F.lit(1.0 / 3.0)) - (1.0 - spread)) / F.sqrt(spread)
+    return F.when(x.isNotNull(), clip(1.0 - norm_cdf(z), 0.0, 1.0))
+
+
+def f_tail(x: Column, above: Column, below: Column) -> Column:
+    """Upper tail of the F distribution with ``above`` and ``below`` degrees of freedom (Paulson's cube root)."""
+    a, b = 2.0 / (9.0 * above), 2.0 / (9.0 * below)
+    root = F.pow(F.greatest(x, F.lit(0.0)), F.lit(1.0 / 3.0))
+    z = ((1.0 - b) * root - (1.0 - a)) / F.sqrt(b * root * root + a)
+    return F.when(x.isNotNull(), clip(1.0 - norm_cdf(z), 0.0, 1.0))
+
+
 def chi2_tail_normal(stat: Column, df: Column) -> Column:
     """Upper tail of chi-square by its normal approximation."""
     return clip(1.0 - norm_cdf((stat - df) / F.sqrt(2.0 * df)), 0.0, 1.0)

@@ -10,8 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.nulls import attach, nan_is_missing, safe_divide
-from granary.operators.hypothesis import normality
+from granary.functions.nulls import attach, nan_is_missing, safe_divide, stage
+from granary.functions.stats import chi2_tail, f_tail
+from granary.operators.hypothesis import ALPHA, INSUFFICIENT, KEEP, REJECT, normality
 from granary.operators.ordered import over_history, row_positions, running_total
 from granary.operators.quantiles import exact_quantiles, median_and_mad, medians
 
@@ -224,7 +225,7 @@ def forecast_errors(df: DataFrame, keys: list[str], actual: str, predicted: str,
 
 @nan_is_missing
 def ljung_box(df: DataFrame, keys: list[str], order: list[str], value: str, lags: int = 5, bounded: bool | None = None) -> DataFrame:
-    """Q statistic over the first ``lags`` autocorrelations."""
+    """Q statistic over the first ``lags`` autocorrelations, its p-value and the decision."""
     mu = df.groupBy(*keys).agg(F.avg(value).alias("__mu"))
     centred = attach(df.filter(F.col(value).isNotNull()), mu, keys, "inner").withColumn("__e", F.col(value) - F.col("__mu"))
     sort = [F.col(o) for o in order]
@@ -234,12 +235,13 @@ def ljung_box(df: DataFrame, keys: list[str], order: list[str], value: str, lags
     )
     n = F.col("n")
     rho2 = sum(F.pow(safe_divide(F.col(f"__c{k}"), F.col("__c0")), F.lit(2.0)) / (n - k) for k in range(1, lags + 1))
-    return sums.select(*keys, (n * (n + 2) * rho2).alias("ljung_box_q"))
+    q = sums.select(*keys, (n * (n + 2) * rho2).alias("ljung_box_q"))
+    return _judged(q, chi2_tail(F.col("ljung_box_q"), F.lit(float(lags))))
 
 
 @nan_is_missing
 def levene(df: DataFrame, keys: list[str], value: str, group: str, bounded: bool | None = None) -> DataFrame:
-    """Median-centred Levene statistic: analysis of variance of absolute deviations."""
+    """Median-centred Levene statistic (analysis of variance of absolute deviations), its p-value and the decision."""
     rows = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
     centre = medians(rows, [*keys, group], value, "__med", bounded)
     dev = attach(rows, centre, [*keys, group], "inner").withColumn("__z", F.abs(F.col(value) - F.col("__med")))
@@ -254,12 +256,13 @@ def levene(df: DataFrame, keys: list[str], value: str, group: str, bounded: bool
         F.sum(F.col("__n") * F.col("__v")).alias("__within"),
     )
     w = safe_divide((F.col("n") - F.col("k")) * F.col("__between"), (F.col("k") - 1.0) * F.col("__within"))
-    return parts.select(*keys, F.col("k").alias("n_groups"), w.alias("levene_w"))
+    tested = parts.select(*keys, F.col("k").alias("n_groups"), w.alias("levene_w"), (F.col("k") - 1.0).alias("__above"), (F.col("n") - F.col("k")).alias("__below"))
+    return _judged(tested, f_tail(F.col("levene_w"), F.col("__above"), F.col("__below"))).drop("__above", "__below")
 
 
 @nan_is_missing
 def granger(df: DataFrame, keys: list[str], order: list[str], cause: str, effect: str, bounded: bool | None = None) -> DataFrame:
-    """One-lag F statistic: does the cause's last value help to predict the effect?
+    """One-lag F statistic, its p-value and the decision: does the cause's last value help to predict the effect?
 
     Residual sums of squares of both regressions follow from centred moments.
     """
@@ -278,7 +281,14 @@ def granger(df: DataFrame, keys: list[str], order: list[str], cause: str, effect
     explained = safe_divide(c("ay") * c("ay") * c("bb") - 2.0 * c("ay") * c("by") * c("ab") + c("by") * c("by") * c("aa"), det)
     free = c("yy") - explained
     f = safe_divide(restricted - free, free) * (c("t") - 3.0)
-    return m.select(*keys, c("t").alias("n"), f.alias("granger_f"))
+    tested = m.select(*keys, c("t").alias("n"), f.alias("granger_f"))
+    return _judged(tested, f_tail(F.col("granger_f"), F.lit(1.0), F.col("n") - 3.0))
+
+
+def _judged(df: DataFrame, p: Column) -> DataFrame:
+    """Adds the p-value and whether it rejects at the usual level."""
+    judged = stage(df, {"p_valor": p})
+    return judged.withColumn("decision", F.when(F.col("p_valor").isNull(), INSUFFICIENT).when(F.col("p_valor") < ALPHA, REJECT).otherwise(KEEP))
 
 
 @nan_is_missing

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -135,8 +137,14 @@ def dimension_scores(card: DataFrame) -> DataFrame:
     return out.select(*WEIGHTS, total.alias("overall_score"), status.alias("status"))
 
 
-def lineage_node(node: str, layer: str, upstream: dict[str, DataFrame], result: DataFrame) -> DataFrame:
-    """One row: rows in, rows out, content fingerprint and the upstream node names."""
+def timed(write: Callable[[], DataFrame]) -> tuple[DataFrame, float]:
+    """What ``write`` stores and returns, and the seconds that took: the duration of a node."""
+    start = time.perf_counter()
+    return write(), time.perf_counter() - start
+
+
+def lineage_node(node: str, layer: str, upstream: dict[str, DataFrame], result: DataFrame, seconds: float | None = None) -> DataFrame:
+    """One row: rows in, rows out, content fingerprint, duration and the upstream node names."""
     rows_in = [df.agg(F.count(F.lit(1)).alias("n")) for df in upstream.values()]
     total_in = reduce(DataFrame.unionByName, rows_in).agg(F.sum("n").alias("rows_in"))
     return total_in.join(content_fingerprint(result), on=F.lit(True), how="left").select(
@@ -146,6 +154,7 @@ def lineage_node(node: str, layer: str, upstream: dict[str, DataFrame], result:
         "rows_in",
         F.col("rows").alias("rows_out"),
         F.concat_ws(":", F.col("rows").cast("string"), F.hex("hash_xor"), F.col("hash_sum").cast("string")).alias("fingerprint"),
+        F.lit(seconds).cast("double").alias("duration_s"),
     )
 
 

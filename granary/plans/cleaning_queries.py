@@ -403,9 +403,10 @@ def divide(spark, sf):
     return lineitem(spark, sf).select("l_orderkey", "l_linenumber", rounded(safe_divide(F.col("l_extendedprice"), F.col("l_discount")), 4).alias("razon"))
 
 
-@query("f17_round", f"SELECT event_id, {r('value / 7', 2)} AS r2, {r('value / 7', 4)} AS r4 FROM events")
+@query("f17_round", "SELECT event_id, round(value / 7, 2) AS r2, round(value / 7, 4) AS r4, round(-value / 7, 0) AS r0 FROM events")
 def rounding(spark, sf):
-    return table(spark, sf, "events").select("event_id", rounded(F.col("value") / 7, 2).alias("r2"), rounded(F.col("value") / 7, 4).alias("r4"))
+    sevenths = F.col("value") / 7
+    return table(spark, sf, "events").select("event_id", casting.round_to(sevenths, 2).alias("r2"), casting.round_to(sevenths, 4).alias("r4"), casting.round_to(-sevenths, 0).alias("r0"))
 
 
 @query("f18_sign_abs", "SELECT c_custkey, CAST(sign(c_acctbal) AS DOUBLE) AS signo, abs(c_acctbal) AS absoluto FROM customer")

@@ -62,6 +62,23 @@ cum AS (SELECT serie, sum(cs * cs) AS eta FROM (SELECT serie, sum(e) OVER (PARTI
 kpss AS (SELECT serie, n, l, eta / (n * n) / s2 AS k FROM lr JOIN cum USING (serie))"""
 
 
+KPSS_P = "CASE WHEN k <= 0.347 THEN 0.10 WHEN k < 0.463 THEN 0.10 + (k - 0.347) * (0.05 - 0.10) / (0.463 - 0.347) WHEN k < 0.574 THEN 0.05 + (k - 0.463) * (0.025 - 0.05) / (0.574 - 0.463) WHEN k < 0.739 THEN 0.025 + (k - 0.574) * (0.01 - 0.025) / (0.739 - 0.574) ELSE 0.01 END"
+
+
+@query(
+    "h03_stationarity_kpss",
+    f"""WITH {PRICES}, src AS (SELECT serie, mes, precio AS x FROM prices), {ADF.format(k='serie', o='mes', src='src')}, {KPSS},
+both_ AS (SELECT adf.serie, adf.n, t, 1 / (1 + exp(-2 * (t + 2.86))) AS pa, k, {KPSS_P} AS pk FROM adf JOIN kpss ON adf.serie = kpss.serie)
+SELECT serie, n AS n_observations, {r('t', 5)} AS adf_statistic, {r('pa', 6)} AS adf_pvalue, {r('k', 5)} AS kpss_statistic, {r('pk', 5)} AS kpss_pvalue,
+  CASE WHEN pa < 0.05 AND pk >= 0.05 THEN 'ESTACIONARIA_ESTRICTA' WHEN pa >= 0.05 AND pk < 0.05 THEN 'NO_ESTACIONARIA_INTEGRADA' WHEN pa < 0.05 THEN 'ESTACIONARIA_CON_TENDENCIA' ELSE 'NO_CONCLUYENTE' END AS status,
+  CASE WHEN pa < 0.05 THEN 'ESTACIONARIA' ELSE 'NO_ESTACIONARIA' END AS decision FROM both_""",
+)
+def stationarity_kpss(spark, sf):
+    """Unit-root test crossed with KPSS."""
+    out = ht.stationarity(monthly_prices(spark, sf), ["serie"], "precio", ["mes"], with_kpss=True, bounded=True)
+    return out.withColumns({c: rounded(c, 6 if c == "adf_pvalue" else 5) for c in ("adf_statistic", "adf_pvalue", "kpss_statistic", "kpss_pvalue")})
+
+
 @query(
     "h04_kpss",
     f"""WITH {PRICES}, src AS (SELECT serie, mes, precio AS x FROM prices), {KPSS}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from granary.operators import features, hypothesis as ht, market
 from granary.plans.catalog import query
-from granary.plans.inputs import PRICES, lineitem, month, monthly_prices, r, rounded
+from granary.plans.inputs import PRICES, lineitem, month, monthly_prices, phi, r, rounded
 from granary.session import table
 
 REVENUE = "CAST(l_extendedprice * (1 - l_discount) AS DOUBLE)"
@@ -37,6 +37,23 @@ def revenue(spark, sf, *dimensions):
     )
 
 
+def chi2_p(x: str, df: str) -> str:
+    """Upper tail of chi-square as SQL text."""
+    z = f"((pow(greatest({x}, 0.0) / {df}, 1.0 / 3) - (1.0 - 2.0 / (9.0 * {df}))) / sqrt(2.0 / (9.0 * {df})))"
+    return f"least(1.0, greatest(0.0, 1.0 - {phi(z)}))"
+
+
+def f_p(x: str, above: str, below: str) -> str:
+    """Upper tail of the F distribution as SQL text."""
+    a, b, root = f"(2.0 / (9.0 * {above}))", f"(2.0 / (9.0 * {below}))", f"pow(greatest({x}, 0.0), 1.0 / 3)"
+    z = f"(((1.0 - {b}) * {root} - (1.0 - {a})) / sqrt({b} * {root} * {root} + {a}))"
+    return f"least(1.0, greatest(0.0, 1.0 - {phi(z)}))"
+
+
+def decided(p: str) -> str:
+    return f"CASE WHEN ({p}) IS NULL THEN 'INSUFICIENTE' WHEN ({p}) < 0.05 THEN 'RECHAZA_H0' ELSE 'NO_RECHAZA_H0' END"
+
+
 REV = f"""rev AS (SELECT s_nationkey AS origen, c_nationkey AS destino, p_brand AS marca, l_suppkey, year(l_shipdate) AS anio, CAST(date_trunc('month', l_shipdate) AS DATE) AS mes, {REVENUE} AS valor, l_quantity AS cantidad
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"""
 
@@ -237,33 +254,33 @@ LB = " + ".join(f"pow(sum(e * b{k}) / sum(e * e), 2) / (count(*) - {k})" for k i
 
 @query(
     "t27_ljung_box",
-    f"WITH {MONTHLY}, c AS (SELECT marca, mes, q - avg(q) OVER (PARTITION BY marca) AS e FROM mon), l AS (SELECT marca, e, {', '.join(f'lag(e, {k}) OVER (PARTITION BY marca ORDER BY mes) AS b{k}' for k in range(1, 6))} FROM c) SELECT marca, {r(f'count(*) * (count(*) + 2) * ({LB})', 5)} AS ljung_box_q FROM l GROUP BY 1",
+    f"WITH {MONTHLY}, c AS (SELECT marca, mes, q - avg(q) OVER (PARTITION BY marca) AS e FROM mon), l AS (SELECT marca, e, {', '.join(f'lag(e, {k}) OVER (PARTITION BY marca ORDER BY mes) AS b{k}' for k in range(1, 6))} FROM c) SELECT marca, {r('q', 5)} AS ljung_box_q, {r(chi2_p('q', '5.0'), 5)} AS p_valor, {decided(chi2_p('q', '5.0'))} AS decision FROM (SELECT marca, count(*) * (count(*) + 2) * ({LB}) AS q FROM l GROUP BY 1)",
 )
 def ljung_box(spark, sf):
-    return market.ljung_box(monthly_market(spark, sf), ["marca"], ["mes"], "q", bounded=True).withColumn("ljung_box_q", rounded("ljung_box_q", 5))
+    return market.ljung_box(monthly_market(spark, sf), ["marca"], ["mes"], "q", bounded=True).withColumns({c: rounded(c, 5) for c in ("ljung_box_q", "p_valor")})
 
 
 @query(
     "t27_levene",
     f"""WITH s AS (SELECT c_mktsegment AS g, o_totalprice AS x FROM orders JOIN customer ON o_custkey = c_custkey), md AS (SELECT g, median(x) AS m FROM s GROUP BY 1), z AS (SELECT g, abs(x - m) AS z FROM s JOIN md USING (g)),
 a AS (SELECT g, count(*) AS n, avg(z) AS m, sum(z) AS sz FROM z GROUP BY 1), gr AS (SELECT sum(sz) / sum(n) AS grand, sum(n) AS nn, count(*) AS k FROM a), w AS (SELECT sum((z - m) ** 2) AS within FROM z JOIN a USING (g)), b AS (SELECT sum(n * (m - grand) ** 2) AS between_ FROM a, gr)
-SELECT k AS n_groups, {r('(nn - k) * between_ / ((k - 1) * within)', 5)} AS levene_w FROM gr, w, b""",
+SELECT k AS n_groups, {r('f', 5)} AS levene_w, {r(f_p('f', '(k - 1.0)', '(nn - k)'), 5)} AS p_valor, {decided(f_p('f', '(k - 1.0)', '(nn - k)'))} AS decision FROM (SELECT k, nn, (nn - k) * between_ / ((k - 1) * within) AS f FROM gr, w, b)""",
 )
 def levene(spark, sf):
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
     out = market.levene(o.join(c, o.o_custkey == c.c_custkey), [], "o_totalprice", "c_mktsegment")
-    return out.withColumn("levene_w", rounded("levene_w", 5))
+    return out.withColumns({c: rounded(c, 5) for c in ("levene_w", "p_valor")})
 
 
 @query(
     "t27_granger",
     f"""WITH {MONTHLY}, l AS (SELECT marca, p AS y, lag(p) OVER w AS a, lag(q) OVER w AS b FROM mon WINDOW w AS (PARTITION BY marca ORDER BY mes)),
 m AS (SELECT marca, count(*) AS t, covar_pop(y, y) * count(*) AS yy, covar_pop(a, a) * count(*) AS aa, covar_pop(b, b) * count(*) AS bb, covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS by_ FROM l WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1),
-f AS (SELECT marca, t, yy - ay * ay / aa AS r0, yy - (ay * ay * bb - 2 * ay * by_ * ab + by_ * by_ * aa) / (aa * bb - ab * ab) AS r1 FROM m) SELECT marca, t AS n, {r('(r0 - r1) / r1 * (t - 3)', 5)} AS granger_f FROM f""",
+f AS (SELECT marca, t, yy - ay * ay / aa AS r0, yy - (ay * ay * bb - 2 * ay * by_ * ab + by_ * by_ * aa) / (aa * bb - ab * ab) AS r1 FROM m) SELECT marca, n, {r('f', 5)} AS granger_f, {r(f_p('f', '1.0', '(n - 3.0)'), 5)} AS p_valor, {decided(f_p('f', '1.0', '(n - 3.0)'))} AS decision FROM (SELECT marca, t AS n, (r0 - r1) / r1 * (t - 3) AS f FROM f)""",
 )
 def granger(spark, sf):
     out = market.granger(monthly_market(spark, sf), ["marca"], ["mes"], "q", "p", bounded=True)
-    return out.withColumn("granger_f", rounded("granger_f", 5))
+    return out.withColumns({c: rounded(c, 5) for c in ("granger_f", "p_valor")})
 
 
 @query(

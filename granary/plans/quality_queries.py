@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from granary.operators import curation, quality, robust
 from granary.plans.catalog import query
 from granary.plans.inputs import lineitem, month, r, rounded
-from granary.session import table
+from granary.session import table, written
 
 
 def scored(spark, sf):
@@ -147,13 +147,19 @@ def drift_check(spark, sf):
     return out.withColumns({c: rounded(c, 6) for c in ("sd_original", "sd_imputado", "deriva")})
 
 
-@query("t32_lineage_node", "SELECT 'silver_lineas' AS node, 'SILVER' AS layer, (SELECT count(*) FROM lineitem) AS rows_in, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS rows_out, true AS tiene_huella")
+@query("t32_lineage_node", "SELECT 'silver_lineas' AS node, 'SILVER' AS layer, (SELECT count(*) FROM lineitem) AS rows_in, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS rows_out, true AS misma_huella, true AS otra_huella, true AS con_duracion")
 def lineage_node(spark, sf):
+    """The fingerprint follows the content: the same for another layout, another if values change."""
     from granary.operators.cleaning import keep_first
 
     li = lineitem(spark, sf)
-    out = quality.lineage_node("silver_lineas", "SILVER", {"bronze_lineas": li}, keep_first(li, ["l_orderkey", "l_linenumber"]))
-    return out.select("node", "layer", "rows_in", "rows_out", (F.length("fingerprint") > 0).alias("tiene_huella"))
+    kept, seconds = quality.timed(lambda: written(keep_first(li, ["l_orderkey", "l_linenumber"]), "silver"))
+    node = lambda df, s=None: quality.lineage_node("silver_lineas", "SILVER", {"bronze_lineas": li}, df, s)
+    changed = kept.withColumn("l_quantity", F.when(F.col("l_linenumber") == 7, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    prints = [node(df).select(F.col("fingerprint").alias(n)) for n, df in (("again", kept.repartition(5)), ("other", changed))]
+    out = node(kept, seconds).join(prints[0], on=F.lit(True), how="left").join(prints[1], on=F.lit(True), how="left")
+    same = F.col("fingerprint") == F.col("again")
+    return out.select("node", "layer", "rows_in", "rows_out", same.alias("misma_huella"), (F.col("fingerprint") != F.col("other")).alias("otra_huella"), (F.col("duration_s") > 0).alias("con_duracion"))
 
 
 @query(
