@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,16 +28,35 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 and size of every data file below ``path``, one row per file.
+#: Files up to this size are hashed as one value; larger ones are read piece by piece.
+WHOLE_FILE_BYTES = 256 << 20
+PIECE_BYTES = 8 << 20
+
+
+def file_hashes(spark: SparkSession, path: str, whole: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """SHA-256 and size of every data file below ``path``, one row per file of any size.
 
-    Files are hashed whole inside tasks; the writers of this package keep files
-    small with ``maxRecordsPerFile``.
+    Only the files that fit ``whole`` are loaded as values, which the scan itself decides.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
-    )
+    name = F.element_at(F.split("path", "/"), -1).alias("file")
+    small = files.where(F.col("length") <= whole).select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for place in batch["path"]:
+                fs, inner = FileSystem.from_uri(place)
+                digest, size = hashlib.sha256(), 0
+                with fs.open_input_stream(inner) as stream:
+                    while piece := stream.read(PIECE_BYTES):
+                        digest.update(piece)
+                        size += len(piece)
+                out.append((place.rsplit("/", 1)[-1], size, digest.hexdigest()))
+            yield pd.DataFrame(out, columns=["file", "bytes", "sha256"])
+
+    large = files.where(F.col("length") > whole).select("path").mapInPandas(digests, "file string, bytes bigint, sha256 string")
+    return small.unionByName(large)
 
 
 def combined_digest(hashes: DataFrame, by: list[str] = ()) -> DataFrame:

@@ -50,7 +50,7 @@ class Landing:
     def _read(self, kind: str, schema: str) -> DataFrame:
         """An absent or unreadable manifest is an empty one."""
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/_{kind}")
+            return self.spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(f"{self.root}/_{kind}")
         except AnalysisException:
             return self.spark.createDataFrame([], schema)
 

@@ -1,10 +1,11 @@
+import hashlib
 import json
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.sources import paged_json
-from granary.sources.files import content_fingerprint
+from granary.sources.files import content_fingerprint, file_hashes
 from granary.sources.landing import CleanStore, IndicatorStore, Landing, cleaner_for
 from granary.sources.nested_json import flatten_response
 from granary.sources.warehouse import Warehouse
@@ -24,6 +25,19 @@ def test_landing_is_write_once_and_audited(spark, tmp_path):
     assert land.verify_integrity().first().intact is False
 
 
+def test_large_files_hash_piece_by_piece(spark, tmp_path):
+    spark.range(5000).repartition(3).write.parquet(str(tmp_path / "t"))
+    want = {f.name: (f.stat().st_size, hashlib.sha256(f.read_bytes()).hexdigest()) for f in (tmp_path / "t").glob("*.parquet")}
+    for whole in (0, 10**9):
+        assert {r.file: (r.bytes, r.sha256) for r in file_hashes(spark, str(tmp_path / "t"), whole).collect()} == want
+
+
+def test_corrupt_manifest_is_an_empty_one(spark, tmp_path):
+    (tmp_path / "_manifest").mkdir()
+    (tmp_path / "_manifest" / "part-0.parquet").write_bytes(b"no parquet at all")
+    assert Landing(spark, str(tmp_path)).manifest().count() == 0
+
+
 def test_fingerprint_ignores_layout(spark):
     df = spark.range(100).withColumn("x", F.col("id") * 2)
     assert content_fingerprint(df).first() == content_fingerprint(df.repartition(7)).first()
