@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from granary.operators import features, hypothesis as ht, market
+from granary.operators import features, hypothesis as ht, market, quantiles
 from granary.plans.catalog import query
 from granary.plans.inputs import PRICES, lineitem, month, monthly_prices, phi, r, rounded
-from granary.session import table
+from granary.session import table, written
 
 REVENUE = "CAST(l_extendedprice * (1 - l_discount) AS DOUBLE)"
 
@@ -252,6 +253,78 @@ def question_mart(spark, sf):
 LB = " + ".join(f"pow(sum(e * b{k}) / sum(e * e), 2) / (count(*) - {k})" for k in range(1, 6))
 
 
+def item_answers(spark, sf):
+    """The dual answers by brand of those questions that one monthly table can answer."""
+    m = written(monthly_market(spark, sf).withColumn("v", F.col("q") * F.col("p")), "monthly")  # a row per brand and month
+    by = ["marca"]
+    spread = lambda c: (F.percentile(c, 0.75) - F.percentile(c, 0.25)) / F.median(c)
+    base = m.groupBy(*by).agg(
+        F.sum("v").alias("sum_v"), F.median("v").alias("med_v"), F.sum("q").alias("sum_q"), F.avg("q").alias("avg_q"), F.median("q").alias("med_q"),
+        F.median("p").alias("med_p"), (F.median("q") * F.median("p") * F.count(F.lit(1))).alias("size"), (F.stddev_samp("q") / F.avg("q")).alias("cv_q"),
+        spread("q").alias("rsd_q"), (F.stddev_samp("p") / F.avg("p")).alias("cv_p"), F.median(F.col("v") / F.col("q")).alias("med_unit"),
+    )
+    whole = base.agg(F.sum("sum_v").alias("all_v"), F.sum("med_v").alias("all_med"))
+    mad = quantiles.median_and_mad(m, by, "p", bounded=True).select("marca", (F.col("mad") / F.col("median")).alias("mad_p"))
+    yearly = m.groupBy("marca", F.year("mes").alias("anio")).agg(F.sum("v").alias("v"))
+    logs = ht.positions(yearly.withColumn("lv", F.log("v")), by, "lv", ["anio"], bounded=True)
+    growth = market.growth_rate(yearly, by, "anio", "v").select("marca", "cagr").join(_sen(logs, "lv", "sen_v"), "marca")
+    placed = ht.positions(m, by, "p", ["mes"], bounded=True)
+    slope = market.line_slope(placed, by, "pos", "p", "ols").join(_sen(placed, "p", "sen_p"), "marca")
+    year_ago = F.lag("q", 12).over(Window.partitionBy(*by).orderBy("mes"))  # bounded by the calendar
+    change = m.withColumn("d", F.col("q") / year_ago - 1).groupBy(*by).agg(F.avg("d").alias("avg_d"), F.median("d").alias("med_d"))
+    together = market.pearson(m, by, "q", "p").join(ht.kendall_tau(m, by, "q", "p", bounded=True).select("marca", "tau"), "marca")
+    months = m.groupBy("marca", F.month("mes").alias("k")).agg(F.avg("q").alias("a"), F.median("q").alias("b")).groupBy(*by).agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    peaks = market.peak_months(market.seasonal_profile(m, by, "mes", "p", bounded=True), by)
+    ranked = market.composite_score(base.select("marca", "sum_v", "sum_q"), "marca", {"sum_v": 0.6, "sum_q": 0.4}, bounded=True)
+    wide = base.join(whole, on=F.lit(True), how="left")
+    for other in (mad, growth, slope, change, together, months, peaks, ranked):
+        wide = wide.join(other, "marca", "left")
+    answers = {
+        "A1": ("sum_v", "size"), "A2": (F.col("sum_v") / F.col("all_v"), F.col("med_v") / F.col("all_med")), "A3": ("cagr", "sen_v"), "B1": ("avg_q", "med_q"),
+        "B2": ("avg_d", "med_d"), "B3": ("cv_q", "rsd_q"), "E1": ("cv_p", "mad_p"), "E2": ("ols", "sen_p"), "E3": ("r", "tau"),
+        "F1": (F.col("a") / F.col("avg_q"), F.col("b") / F.col("med_q")), "F2": ("peak_mean", "peak_median"), "G1": ("sum_v", "med_v"),
+        "G2": (F.col("sum_v") / F.col("sum_q"), F.col("med_v") / F.col("med_q")), "H4": (F.col("sum_v") / F.col("sum_q"), "med_unit"), "J1": ("z_score", "percentile_score"),
+    }
+    value = lambda c: (F.col(c) if isinstance(c, str) else c).cast("double")
+    rows = F.array(*[F.struct(F.lit(k).alias("pregunta_id"), value(a).alias("metrica_parametrica"), value(b).alias("metrica_no_parametrica")) for k, (a, b) in answers.items()])
+    return wide.select("marca", F.inline(rows))
+
+
+def _sen(placed, value, name):
+    found = ht.median_slopes(placed, ["marca"], value, ht.series_sizes(placed, ["marca"]), bounded=True)
+    return found.select("marca", F.col("sens_slope").alias(name))
+
+
+ITEM_SQL = {
+    "A1": "SELECT marca, sum(v), median(q) * median(p) * count(*) FROM m GROUP BY 1",
+    "A2": "SELECT marca, sv / sum(sv) OVER (), mv / sum(mv) OVER () FROM (SELECT marca, sum(v) AS sv, median(v) AS mv FROM m GROUP BY 1)",
+    "A3": "SELECT c.marca, c.x, s.x FROM (SELECT marca, pow(arg_max(v, a) / arg_min(v, a), 1.0 / (max(a) - min(a))) - 1 AS x FROM y GROUP BY 1) c JOIN (SELECT s.marca, median((ln(t.v) - ln(s.v)) / (t.a - s.a)) AS x FROM y s JOIN y t ON s.marca = t.marca AND s.a < t.a GROUP BY 1) s USING (marca)",
+    "B1": "SELECT marca, avg(q), median(q) FROM m GROUP BY 1",
+    "B2": "SELECT marca, avg(d), median(d) FROM (SELECT marca, q / lag(q, 12) OVER (PARTITION BY marca ORDER BY mes) - 1 AS d FROM m) GROUP BY 1",
+    "B3": "SELECT marca, stddev_samp(q) / avg(q), (quantile_cont(q, 0.75) - quantile_cont(q, 0.25)) / median(q) FROM m GROUP BY 1",
+    "E1": "SELECT marca, stddev_samp(p) / avg(p), mad(p) / median(p) FROM m GROUP BY 1",
+    "E2": "SELECT o.marca, o.x, s.x FROM (SELECT marca, regr_slope(p, i) AS x FROM pos GROUP BY 1) o JOIN (SELECT s.marca, median((t.p - s.p) / (t.i - s.i)) AS x FROM pos s JOIN pos t ON s.marca = t.marca AND s.i < t.i GROUP BY 1) s USING (marca)",
+    "E3": "SELECT o.marca, o.x, s.s / sqrt((n0 - tx) * (n0 - ty)) FROM (SELECT marca, corr(q, p) AS x FROM m GROUP BY 1) o JOIN (SELECT s.marca, sum(sign(s.q - t.q) * sign(s.p - t.p)) AS s, sum(CASE WHEN s.q = t.q THEN 1 ELSE 0 END) AS tx, sum(CASE WHEN s.p = t.p THEN 1 ELSE 0 END) AS ty, count(*) AS n0 FROM pos s JOIN pos t ON s.marca = t.marca AND s.i < t.i GROUP BY 1) s USING (marca)",
+    "F1": "SELECT marca, max(a) / any_value(g), max(b) / any_value(h) FROM (SELECT marca, month(mes), avg(q) AS a, median(q) AS b FROM m GROUP BY 1, 2) JOIN (SELECT marca, avg(q) AS g, median(q) AS h FROM m GROUP BY 1) USING (marca) GROUP BY 1",
+    "F2": "SELECT marca, arg_max(k, (a, -k)), arg_max(k, (b, -k)) FROM (SELECT marca, month(mes) AS k, avg(p) AS a, median(p) AS b FROM m GROUP BY 1, 2) GROUP BY 1",
+    "G1": "SELECT marca, sum(v), median(v) FROM m GROUP BY 1",
+    "G2": "SELECT marca, sum(v) / sum(q), median(v) / median(q) FROM m GROUP BY 1",
+    "H4": "SELECT marca, sum(v) / sum(q), median(v / q) FROM m GROUP BY 1",
+    "J1": "SELECT marca, 0.6 * (sv - avg(sv) OVER ()) / stddev_samp(sv) OVER () + 0.4 * (sq - avg(sq) OVER ()) / stddev_samp(sq) OVER (), 0.6 * percent_rank() OVER (ORDER BY sv) + 0.4 * percent_rank() OVER (ORDER BY sq) FROM (SELECT marca, sum(v) AS sv, sum(q) AS sq FROM m GROUP BY 1)",
+}
+
+
+@query(
+    "t26_item_mart",
+    f"""WITH {MONTHLY}, m AS (SELECT *, q * p AS v FROM mon), y AS (SELECT marca, year(mes) AS a, sum(v) AS v FROM m GROUP BY 1, 2), pos AS (SELECT *, row_number() OVER (PARTITION BY marca ORDER BY mes) - 1 AS i FROM m)
+SELECT pregunta_id, marca, {r('a', 4)} AS metrica_parametrica, {r('b', 4)} AS metrica_no_parametrica FROM ({' UNION ALL '.join(f"SELECT '{k}' AS pregunta_id, marca, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM ({q}) AS t(marca, a, b)" for k, q in ITEM_SQL.items())})""",
+)
+def item_mart(spark, sf):
+    """The dual mart by item: fifteen of the questions on each brand."""
+    rows = item_answers(spark, sf)
+    return rows.select("pregunta_id", "marca", *[rounded(c, 4).alias(c) for c in ("metrica_parametrica", "metrica_no_parametrica")])
+
+
 @query(
     "t27_ljung_box",
     f"WITH {MONTHLY}, c AS (SELECT marca, mes, q - avg(q) OVER (PARTITION BY marca) AS e FROM mon), l AS (SELECT marca, e, {', '.join(f'lag(e, {k}) OVER (PARTITION BY marca ORDER BY mes) AS b{k}' for k in range(1, 6))} FROM c) SELECT marca, {r('q', 5)} AS ljung_box_q, {r(chi2_p('q', '5.0'), 5)} AS p_valor, {decided(chi2_p('q', '5.0'))} AS decision FROM (SELECT marca, count(*) * (count(*) + 2) * ({LB}) AS q FROM l GROUP BY 1)",
