@@ -113,7 +113,7 @@ def _mart_row(test, category, stat, p, decision_yes, decision_no, src):
     return f"SELECT variable, '{category}' AS categoria_prueba, '{test}' AS prueba, {r(f'round({stat}, 4)', 4)} AS estadistico, {r(p, 5)} AS p_valor, CASE WHEN p < 0.05 THEN '{decision_yes}' ELSE '{decision_no}' END AS decision, {meaning} AS interpretacion FROM {src}"
 
 
-def _battery_sql():
+def battery_sql():
     long = "src AS (SELECT 'total' AS variable, dia, semana, total AS x FROM daily UNION ALL SELECT 'pedidos', dia, semana, pedidos FROM daily)"
     daily = "daily AS (SELECT CAST(o_orderdate AS DATE) AS dia, CAST(dayofweek(o_orderdate) AS VARCHAR) AS semana, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total, CAST(count(*) AS DOUBLE) AS pedidos FROM orders GROUP BY 1, 2)"
     mk = MK.replace("SELECT serie, precio AS x, row_number() OVER (PARTITION BY serie ORDER BY mes) AS i FROM prices", "SELECT variable AS serie, x, row_number() OVER (PARTITION BY variable ORDER BY dia) AS i FROM src")
@@ -137,7 +137,7 @@ def daily_orders(spark, sf):
     )
 
 
-@query("h06_full_battery", _battery_sql())
+@query("h06_full_battery", battery_sql())
 def full_battery(spark, sf):
     out = ht.full_battery(daily_orders(spark, sf), ["total", "pedidos", "absent"], ["dia"], "semana", bounded=True)
     return out.withColumns({"estadistico": rounded("estadistico", 4), "p_valor": rounded("p_valor", 5)})

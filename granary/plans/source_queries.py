@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.operators import hypothesis
 from granary.plans.catalog import query
+from granary.plans.hypothesis_queries import battery_sql, full_battery
 from granary.plans.feature_queries import GOLD_SQL, gold_table
 from granary.plans.inputs import lineitem, r, rounded, telemetry
 from granary.session import scratch_path, table
@@ -100,11 +100,16 @@ def indicator_store(spark, sf):
     return store.load("indicadores").agg(F.count(F.lit(1)).alias("filas"), rounded(F.avg("spi_3"), 5).alias("spi_3"))
 
 
-@query("s10_hypothesis_sink", "SELECT 'mart_hypothesis_tests' AS dataset_name, count(*) AS tests_evaluated FROM (SELECT DISTINCT event_type FROM events)")
+@query(
+    "s10_hypothesis_sink",
+    f"SELECT 'mart_hypothesis_tests' AS dataset_name, count(*) AS tests_evaluated, count(*) FILTER (decision LIKE 'RECHAZA%') AS rejected FROM ({battery_sql()})",
+)
 def hypothesis_sink(spark, sf):
+    """The whole battery is stored and read back."""
     store = IndicatorStore(spark, scratch_path(spark, "gold"))
-    tests = hypothesis.normality(table(spark, sf, "events"), ["event_type"], "value")
-    return store.save(tests, "mart_hypothesis_tests").select("dataset_name", F.col("rows").alias("tests_evaluated"))
+    saved = store.save(full_battery(spark, sf), "mart_hypothesis_tests")
+    rejected = store.load("mart_hypothesis_tests").agg(F.count_if(F.col("decision").startswith("RECHAZA")).alias("rejected"))
+    return saved.select("dataset_name", F.col("rows").alias("tests_evaluated")).join(rejected, on=F.lit(True), how="left")
 
 
 @query(

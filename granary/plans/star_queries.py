@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from granary.operators import star
 from granary.plans.catalog import query
 from granary.plans.cleaning_queries import WIDE, wide_prices
+from granary.plans.hypothesis_queries import battery_sql, full_battery
 from granary.plans.inputs import clean_sql, lineitem, r, rounded, telemetry, TELEMETRY
 from granary.session import scratch_path, table
 from granary.sources.warehouse import Warehouse
@@ -135,15 +136,10 @@ def fact_climate(spark, sf):
     return star.fact_climate(climate_input(spark, sf))
 
 
-@query(
-    "l08_hypothesis_mart",
-    "SELECT event_type AS variable, 'Distribución' AS categoria_prueba, '' AS prueba, CAST(count(*) AS DOUBLE) AS estadistico, CAST(NULL AS DOUBLE) AS p_valor, '' AS decision, 'n' AS interpretacion FROM events GROUP BY 1",
-)
+@query("l08_hypothesis_mart", battery_sql())
 def hypothesis_mart(spark, sf):
-    rows = table(spark, sf, "events").groupBy(F.col("event_type").alias("variable")).agg(
-        F.count(F.lit(1)).alias("estadistico"), F.lit("Distribución").alias("categoria_prueba"), F.lit("n").alias("interpretacion")
-    )
-    return star.mart_rows(rows)
+    """The battery's results in the layout of the mart."""
+    return star.mart_rows(full_battery(spark, sf))
 
 
 def star_tables(spark, sf, dim_product=None):
