@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.session import table, written
@@ -12,7 +12,7 @@ BREAK = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-__all__ = ["BREAK", "DOCUMENT_COLUMNS", "ascii_lower", "bounded_share", "fold_xor", "table", "words_of", "written"]
+__all__ = ["BREAK", "DOCUMENT_COLUMNS", "ascii_lower", "bounded_share", "table", "words_of", "written"]
 
 
 def ascii_lower(col: Column) -> Column:
@@ -25,10 +25,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BREAK), lambda w: w != "")
 
 
-def fold_xor(longs: Column) -> Column:
-    return F.aggregate(longs, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x))
-
-
 def bounded_share(df: DataFrame, bound: int, key: Column, rows: int | None = None) -> DataFrame:
     """About ``bound`` rows of ``df``, chosen by a hash of ``key``; all of them if there are no more than that.
 
@@ -39,7 +35,3 @@ def bounded_share(df: DataFrame, bound: int, key: Column, rows: int | None = Non
         return df
     span = 1 << 30
     return df.where(F.pmod(F.xxhash64(key, F.lit("share")), F.lit(span)) < int(span * bound / rows))
-
-
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
