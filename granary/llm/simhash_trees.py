@@ -199,6 +199,7 @@ def plant(sample: np.ndarray, total: int, limit: int = DISTANCE, blocks: int = B
     sample = np.sort(sample)
     per_row = max(1.0, total / max(1, len(sample)))
     radius = limit // blocks
+    wanted = max(shard, total >> depth)  # trees end at the depth: beyond it shards grow rather than be dealt out
     trees = [Tree.build(m, sample, max(1, int(shard / per_row)), depth) for m in block_masks(blocks)]
     group = components_of(sample, limit)
     sizes = np.bincount(group) if len(group) else np.zeros(0, int)
@@ -219,7 +220,7 @@ def plant(sample: np.ndarray, total: int, limit: int = DISTANCE, blocks: int = B
     for tree in trees:
         who, leaf = tree.leaves_of(sample, 0)
         full = np.bincount(leaf, minlength=tree.leaves)
-        parts.append(np.maximum(1, np.ceil(full * per_row / shard)).astype(np.int64))
+        parts.append(np.maximum(1, np.ceil(full * per_row / wanted)).astype(np.int64))
         top = np.full(tree.leaves, -1)
         for k in np.flatnonzero(parts[-1] > 1):
             counts = np.bincount(group[who[leaf == k]])
