@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from granary.operators import hypothesis as ht
 from granary.plans.catalog import query
-from granary.plans.inputs import PRICES, lineitem, monthly_discounts, monthly_prices, phi, r, rounded
+from granary.plans.inputs import PRICES, monthly_prices, phi, r, rounded
 from granary.session import table
 
 JB = """mom AS (SELECT {k}, count(*) AS n, avg(x) AS mu FROM {src} GROUP BY 1),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.functions.text import sanitize_text
 from granary.operators import consolidate, matching
 from granary.plans.catalog import query
 from granary.plans.inputs import PRICES, TEMPS, jaro_winkler_cte, lineitem, monthly_discounts, monthly_prices, r, rounded

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from granary.operators import curation, quality, robust
 from granary.plans.catalog import query
-from granary.plans.inputs import lineitem, month, r, rounded
+from granary.plans.inputs import lineitem, r, rounded
 from granary.session import table, written
 
 
