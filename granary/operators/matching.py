@@ -102,7 +102,9 @@ def candidate_pairs(raw: DataFrame, golden: DataFrame, threshold: float) -> Data
         .select("name", "gl", "rl", "piece", F.substring("name", F.col("at") + 1, F.col("size")).alias("text"))
         .distinct()
     )
-    return offers.join(pieces, ["gl", "rl", "piece", "text"]).select("name", "nombre").distinct()
+    met = offers.join(pieces, ["gl", "rl", "piece", "text"]).select("name", "nombre").distinct()
+    # the edit bound itself is cheap next to a score, and rules out most pairs that merely share a piece
+    return met.filter(F.levenshtein("name", "nombre") <= _allowed_edits(r_len, g_len, threshold))
 
 
 def match_names(
