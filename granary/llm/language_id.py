@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 BITS = 15
 SIZE = 1 << BITS
 GRAMS = (1, 2, 3, 4)
-#: Training documents of each language, at most about: for the weights, and (a fourth of these) for the temperature.
-SAMPLE_PER_LANGUAGE = 1500
+#: Training documents that go to the driver, at most about: of each language, and in all. A fifth is for the temperature.
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 1000, 4000
 BLOCK = 1 << 20
 UNKNOWN = "und"
 
@@ -162,13 +162,14 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     return int(df[-1]), df[:-1]
 
 
-def learn(docs: DataFrame, label: str = "lang", key: str = "doc_id", bound: int = SAMPLE_PER_LANGUAGE) -> Model:
+def learn(docs: DataFrame, label: str = "lang", key: str = "doc_id", bound: int = SAMPLE_PER_LANGUAGE, rows_in_all: int = SAMPLE_ROWS) -> Model:
     """A model from all labelled rows of ``docs``: frequencies of all, weights and temperature of a bounded sample."""
     rows = docs.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(key).alias("key"), "text")
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if len(languages) < 2:
         return Model(languages, np.zeros((SIZE, len(languages))), np.ones(SIZE))
+    bound = min(bound, max(1, rows_in_all // len(languages)))
     total, df = document_frequencies(rows)
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
     share = F.create_map(*[x for s in languages for x in (F.lit(s), F.lit(min(1.0, bound / sizes[s])))])
@@ -188,7 +189,7 @@ def learn(docs: DataFrame, label: str = "lang", key: str = "doc_id", bound: int
     sample = rows.where(draw < share[F.col("label")]).mapInPandas(vectors, "label int, key string, at binary, vals binary")
     held = F.pmod(F.xxhash64("key", F.lit("temperature")), F.lit(5)) == 0
     found = sample.withColumn("held", held).toPandas().sort_values(["key", "label", "at"]).reset_index(drop=True)
-    data = [(np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(v, np.float32).astype(np.float64), y) for a, v, y in zip(found["at"], found["vals"], found["label"])]
+    data = [(np.frombuffer(a, np.uint16), np.frombuffer(v, np.float32), y) for a, v, y in zip(found["at"], found["vals"], found["label"])]
     mark = found["held"].to_numpy(bool)
     weights = train_ftrl([r for r, h in zip(data, mark) if not h], len(languages))
     rest = [r for r, h in zip(data, mark) if h]
