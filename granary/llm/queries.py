@@ -5,7 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
+
+from granary.llm import (
+    best_two_fit,
+    decision_list,
+    html_density,
+    language_id,
+    line_dedup,
+    multiset_hash,
+    secret_frequency,
+    simhash_trees,
+    soft_mixing,
+    url_rules,
+)
 from granary.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +38,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 # --- URL filters -----------------------------------------------------------------------------------------------------
 
-from granary.llm import url_rules  # noqa: E402
-
 HOST_RULES = [
     url_rules.host_rule("com/", "allow"),
     url_rules.host_rule("example.com/en/", "block"),
@@ -70,9 +81,6 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Quality rules ---------------------------------------------------------------------------------------------------
 
-from granary.llm import decision_list  # noqa: E402
-
-
 @query("op10_quality_rules")
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -84,9 +92,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Best-fit packing ------------------------------------------------------------------------------------------------
 
-from granary.llm import best_two_fit  # noqa: E402
-
-
 def packing_tokenizer() -> str:
     import public_tokenizers
 
@@ -100,11 +105,6 @@ def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Secret scans ----------------------------------------------------------------------------------------------------
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from granary.llm import secret_frequency  # noqa: E402
-
-
 def _secrets_sql() -> str:
     def spans(kind: int, pattern: str, group: int, least: int) -> str:
         p = "'" + pattern.replace("'", "''") + "'"
@@ -151,9 +151,6 @@ def op7_secret_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Line dedup ------------------------------------------------------------------------------------------------------
 
-from granary.llm import line_dedup  # noqa: E402
-
-
 @query("op8_line_dedup")
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -162,9 +159,6 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- SimHash near-dedup ----------------------------------------------------------------------------------------------
 
-from granary.llm import simhash_trees  # noqa: E402
-
-
 @query("op3_simhash_trees")
 def op3_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_trees.near_copies(table(spark, sf_dir, "documents"))
@@ -173,9 +167,6 @@ def op3_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- HTML extraction -------------------------------------------------------------------------------------------------
 
-from granary.llm import html_density  # noqa: E402
-
-
 @query("op1_html_density")
 def op1_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.extract(table(spark, sf_dir, "pages"))
@@ -183,9 +174,6 @@ def op1_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Document fingerprints -------------------------------------------------------------------------------------------
 
-from granary.llm import multiset_hash  # noqa: E402
-
-
 @query("op2_multiset_hash")
 def op2_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.compare_with_next(table(spark, sf_dir, "documents"))
@@ -193,9 +181,6 @@ def op2_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Language ID -----------------------------------------------------------------------------------------------------
 
-from granary.llm import language_id  # noqa: E402
-
-
 @query("op6_language_id")
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.is_held_out(F.col("doc_id")))
@@ -205,8 +190,6 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Mixing sources to target weights --------------------------------------------------------------------------------
 
-from granary.llm import soft_mixing  # noqa: E402
-
 WEIGHTS = {"good": 0.97, "poor": 0.03, "toxic": 0.0}
 
 
