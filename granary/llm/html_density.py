@@ -268,7 +268,8 @@ def article(root: Node) -> list[Node]:
     best = widened(best)
     if best is root:
         return [root]
-    # beside the way from the body to it, branches as dense as the sparsest element of that way belong to it
+    # beside the way from the body to it, branches as dense as the sparsest element of that way belong to it; beside an
+    # article element, only further ones do
     path, up = {id(best)}, best
     while up.parent is not None:
         up = up.parent
@@ -281,10 +282,10 @@ def article(root: Node) -> list[Node]:
             out.append(node)
         elif id(node) in path:
             todo += [c for c in reversed(node.children) if isinstance(c, Node) and not c.noise]
-        elif best.name != "article" and node.chars and node.density >= max(least, best.density):
-            out.append(node)
-        elif best.name == "article" and node.name == "article" and node.density >= least and node.chars * 2 > best.chars:
+        elif node.chars and node.density >= least and (best.name != "article" or node.name == "article"):
             out.append(node)
+        elif best.name == "article" and node.name != "article":  # further articles may have elements of their own around them
+            todo += [c for c in reversed(node.children) if isinstance(c, Node) and not c.noise]
     return out
 
 

@@ -65,6 +65,27 @@ def test_deep_and_long_pages():
     assert main_text("<a '" * 20_000) is not None
 
 
+def paragraphs(sizes):
+    return ["".join(f"<p>{'word ' * (n // 5 - 1)}end{k}.</p>" for k in range(count)) for count, n in sizes]
+
+
+@pytest.mark.parametrize("sizes", [[(6, 300), (5, 280)], [(5, 280), (6, 300)], [(6, 300), (2, 250), (4, 280)]])
+def test_sections_of_unequal_length(sizes):
+    parts = paragraphs(sizes)
+    body = "".join(f'<div class="section">{p}</div>' for p in parts)
+    want = " ".join(re.sub(r"<[^>]*>", " ", "".join(parts)).split())
+    for inner in (f'<div class="content">{body}</div>', body):
+        assert main_text(page(f'{inner}<div><a href="/x">All stories of today</a><a href="/y">All of this week</a></div>')) == want
+
+
+@pytest.mark.parametrize("around", ["{}", "<div>{}</div>", "<div><section>{}</section></div>"])
+def test_articles_of_unequal_length(around):
+    parts = paragraphs([(2, 250), (6, 300), (1, 280)])
+    body = "".join(around.format(f"<article>{p}</article>") for p in parts)
+    links = "<div><article><a href='/x'>More of it</a> <a href='/y'>And more</a></article></div>"
+    assert main_text(page(body + links)) == " ".join(re.sub(r"<[^>]*>", " ", "".join(parts)).split())
+
+
 def test_given_pages():
     rows = pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist()
     for r in rows:
