@@ -5,8 +5,9 @@ score low and prose high. The densities of an element's children add up to its d
 largest sum holds the article, together with its article element or headings. Densities on the way from the body to it
 are the threshold that branches beside this way have to reach to be taken as well.
 
-Scripts, styles, forms, menus, footers, side columns, notices, adverts and comments of readers are no candidates:
-they are taken out by element, role or class before densities are computed.
+Scripts, styles, menus, footers, side columns, notices, adverts and comments of readers are no candidates: they are
+taken out by element, role or class before densities are computed. So are forms, if they hold little prose for their
+controls.
 
 Each page is parsed on its own in one pass over its tags; nothing is shuffled.
 
@@ -33,7 +34,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr rb rp rt rtc ruby".split()
 )
 DROPPED = frozenset(
-    "script style noscript template head title meta link nav footer aside form button select option input textarea label fieldset iframe object embed applet svg math canvas audio video map dialog menu xmp noembed noframes".split()
+    "script style noscript template head title meta link nav footer aside button select option input textarea label fieldset iframe object embed applet svg math canvas audio video map dialog menu xmp noembed noframes".split()
 )
 CLOSED_BY = {
     "p": frozenset(
@@ -81,14 +82,21 @@ class Node:
         self.children: list[Node | str] = []
 
 
-#: An element can't be part of an article by its name, or most likely is none by its role or class.
-HARD, SOFT = 1, 2
+#: An element can't be part of an article by its name, or most likely is none by its role or class. A form is judged by
+#: what it holds once all is read: it becomes SOFT or none of these.
+HARD, SOFT, FORM = 1, 2, 3
+#: Characters of prose that a form has at least, in all and for each of its visible controls, if it is no noise.
+FORM_PROSE, CONTROL_PROSE = 200, 100
+CONTROLS = frozenset("button select input textarea".split())
+UNSEEN = re.compile(r"""\btype\s*=\s*["']?hidden\b""", re.I)
 
 
 def is_noise(name: str, attributes: str, inside: bool) -> int:
-    """HARD, SOFT or 0. ``inside``: within article or main, where a header has the title."""
+    """HARD, SOFT, FORM or 0. ``inside``: within article or main, where a header has the title."""
     if name in DROPPED or name == "header" and not inside:
         return HARD
+    if name == "form":
+        return SOFT if is_marked(attributes) else FORM
     if not attributes or name in ("html", "body", "main"):
         return 0
     return SOFT if is_marked(attributes) or not inside and PAGE_HEADER.search(attributes) else 0
@@ -114,7 +122,7 @@ def is_marked(attributes: str) -> bool:
 def parse(page: str) -> Node:
     """The tree of elements; its root stands for the body."""
     root = node = Node("body", None, 0)
-    at, end, inside = 0, len(page), 0
+    at, end, inside, form, unseen = 0, len(page), 0, False, set()
     while at < end:
         m = TAG.search(page, at)
         text = page[at : m.start() if m else end]
@@ -128,6 +136,7 @@ def parse(page: str) -> Node:
             continue
         if m[1] or m[4]:
             node, inside = close(node, name, inside)
+            form = form and name != "form"
             continue
         while (ends := CLOSED_BY.get(node.name)) and name in ends:
             inside -= node.name in ("article", "main")
@@ -138,11 +147,14 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up.name == "p":
                 node = up.parent
-        if name in ("html", "body"):
+        if name in ("html", "body") or name == "form" and form:  # forms don't nest
             continue
         attributes = m[3] or m[6] or ""
         child = Node(name, node, is_noise(name, attributes, inside > 0))
         node.children.append(child)
+        form = form or name == "form"
+        if name == "input" and UNSEEN.search(attributes):
+            unseen.add(child)
         if name in VOID or attributes.endswith("/") and name in ("svg", "path"):
             continue
         if name in RAW:
@@ -152,9 +164,32 @@ def parse(page: str) -> Node:
             continue
         inside += name in ("article", "main")
         node = child
+    judge_forms(root, unseen)
     return root
 
 
+def judge_forms(root: Node, unseen: set[Node]) -> None:
+    """Forms that hold little but controls are noise, unless too little is left without them; those that hold prose are not."""
+    todo: list[tuple[Node, Node | None]] = [(root, None)]
+    forms: dict[Node, list[int]] = {}
+    while todo:
+        node, form = todo.pop()
+        if node.noise == FORM:
+            form = node
+            forms[form] = [0, 0]
+        for c in node.children:
+            if isinstance(c, str):
+                if form is not None:
+                    forms[form][0] += len(c.strip())
+            elif c.name in CONTROLS and c not in unseen:
+                if form is not None:
+                    forms[form][1] += 1
+            elif form is None and c.noise != HARD or not c.noise and c.name != "a":
+                todo.append((c, form))
+    for form, (chars, controls) in forms.items():
+        form.noise = 0 if chars >= max(FORM_PROSE, CONTROL_PROSE * controls) else SOFT
+
+
 def close(node: Node, name: str, inside: int) -> tuple[Node, int]:
     up = node
     while up.parent is not None and up.name != name:

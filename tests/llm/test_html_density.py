@@ -86,6 +86,32 @@ def test_articles_of_unequal_length(around):
     assert main_text(page(body + links)) == " ".join(re.sub(r"<[^>]*>", " ", "".join(parts)).split())
 
 
+STATE = '<input type="hidden" name="state" value="x"><input type=hidden name="v">'
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        '<form id="form1" action="./page.aspx">' + STATE + "{}</form>",
+        '<form action="/"><div><label>Search</label><input name="q"><button>Go</button></div>{}</form>',
+        '<form class="search" action="/">' + STATE + "{}</form>",
+        "<form>" + STATE + "{}",
+        "<form>" + STATE + '<form action="/s"><input name="q"></form>{}</form>',
+        "<form>" + STATE + "<input>" * 40 + "{}</form>",
+    ],
+)
+def test_page_within_a_form(around):
+    for body in (f"<article>{PARTS}</article>", f'<div class="content">{PARTS}</div>'):
+        whole = page("@").replace(NOISE, NOISE.partition("<form")[0])
+        assert main_text(whole.replace("<body>", "<body>" + around.partition("{}")[0]).replace("@", body).replace("</body>", around.partition("{}")[2] + "</body>")) == WANT
+
+
+def test_forms_of_controls_are_no_article():
+    form = "<form action='/send'><p>Write to us, and we will answer within two days of your letter.</p>" + "<p><label>Name</label><input name=n></p>" * 4 + "</form>"
+    assert main_text(f"<body><div class='content'>{PARTS}</div>{form}</body>") == WANT
+    assert main_text("<form>" * 30_000 + PROSE + "</form>" * 30_000) == PROSE.strip()
+
+
 def test_given_pages():
     rows = pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist()
     for r in rows:
