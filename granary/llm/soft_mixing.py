@@ -1,10 +1,12 @@
 """Mixes documents to target weights of domains that are known only as probabilities.
 
 A classifier learned from labelled rows gives every document a probability for each domain (soft membership), so a
-domain's tokens are expected totals. Nonnegative rates, how often each document is to be used, are then fitted so that
-the expected totals under these rates match the targets: least squares by projected gradient steps from rates of 1,
-which changes documents as little as the targets allow. A step needs one small sum per domain from all documents;
-each document applies the steps to its own rate where it lies. Rates become whole copies by a hash of the document.
+domain's tokens are expected totals. Rates, how often each document is to be used, are then fitted so that the expected
+totals under these rates match the targets: least squares, and of all such rates those that change documents least. A
+document of a domain that does not shrink has a rate of 1 at least, any other one of 0. The limit of projected gradient
+steps from rates of 1 is then the bound or 1 + posterior * change, whichever is more, with one change per domain for all
+documents; these few numbers are found by Newton steps, each of which needs a few sums from all documents (``settle``).
+Rates become whole copies by a hash of the document.
 
 Results in special cases: a NULL or blank text has no tokens and keeps the rate that its probabilities give; repeated
 rows get equal rates; labels that are NULL or name no document are not learned from; with labels of one domain only,
@@ -14,12 +16,14 @@ columns are carried along by ``resample``, or if named in ``keep``.
 
 from __future__ import annotations
 
+import logging
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +42,10 @@ SYMBOLS = "#*$%&|<>"
 #: tokens, and the share by which a step has to lower the squared error for another one to follow.
 STEPS, STRIDE, TOLERANCE, PROGRESS = 48, 8, 1e-4, 0.005
 
+#: Newton steps of ``settle`` at most, the error that its totals may have as a share of all tokens, the weight of errors
+#: against changes of documents, and the lengths that are tried for each step.
+NEWTON_STEPS, SETTLED, STIFFNESS, LENGTHS = 100, 1e-7, 1e5, (1.0, 0.5, 0.2, 0.05, 0.005)
+
 
 def domain_of(quality: Column, toxic: Column) -> Column:
     """The domain that a label stands for; NULL if it says too little."""
@@ -163,13 +171,99 @@ class Fit:
     tokens: list[float]  # expected tokens of each domain before
     targets: list[float]
     reached: list[float]
+    least: list[float] | None = None  # bounds on the rates, by the likeliest domain of a document
 
     def rate(self, posterior: Column) -> Column:
-        return after_steps(F.lit(1.0), posterior, self.steps)
+        if self.least is None:
+            return after_steps(F.lit(1.0), posterior, self.steps)
+        return F.greatest(bound_of(posterior, self.least), 1.0 + dot(posterior, self.steps[0]))
+
+
+def dot(posterior: Column, change: list[float]) -> Column:
+    terms = [F.get(posterior, k) * F.lit(float(x)) for k, x in enumerate(change)]
+    return sum(terms[1:], terms[0])
+
+
+def bound_of(posterior: Column, least: list[float]) -> Column:
+    top = F.array_position(posterior, F.array_max(posterior)).cast("int")
+    return F.get(F.array(*[F.lit(float(x)) for x in least]), top - 1)
+
+
+def targets_of(tokens: np.ndarray, weights: dict[str, float], anchor: str) -> np.ndarray:
+    at = DOMAINS.index(anchor)
+    share = np.array([weights.get(d, 0.0) for d in DOMAINS])
+    return share * (tokens[at] / share[at]) if share[at] > 0 else share * tokens.sum() / max(share.sum(), 1e-12)
+
+
+def stays(tokens: list[float], targets: list[float]) -> list[bool]:
+    """Which domains do not shrink."""
+    return [bool(t >= s * (1 - 1e-9)) for s, t in zip(tokens, targets)]
+
+
+def settle(rows: DataFrame, weights: dict[str, float], anchor: str = DOMAINS[0]) -> Fit:
+    """The rates for ``rows`` (n_tokens, posterior) that gradient steps, held above the bounds at each step, end at.
+
+    Least squares of the totals' errors, each relative to its domain's own tokens, plus a small share (1 / STIFFNESS) of
+    the squared changes of documents weighted by their tokens. Its rates are max(bound, 1 + posterior * change), so only
+    the changes are unknown. They are where a convex function of them is least; its gradient and curvature are sums over
+    all documents, and as it is piecewise quadratic, Newton steps come to rest. Fails if they do not.
+    """
+    n = len(DOMAINS)
+    p = [F.get("posterior", k) for k in range(n)]
+    tokens = np.array([float(x or 0.0) for x in rows.agg(*[F.sum(F.col("n_tokens") * p[k]).alias(f"s{k}") for k in range(n)]).first()])
+    targets = targets_of(tokens, weights, anchor)
+    total = max(tokens.sum(), 1.0)
+    scale = np.sqrt(np.maximum(tokens, 1e-6 * total))
+    least = [1.0 if x else 0.0 for x in stays(tokens.tolist(), targets.tolist())]
+
+    def measured(changes: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+        """Value, gradient, curvature and totals at each of some changes (in units of 1 / scale), in one pass."""
+        listed = [u / scale for u in changes]
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((len(listed), 1 + n + n * n))
+            for batch in batches:
+                tokens_ = batch.column("n_tokens").to_numpy(zero_copy_only=False).astype(np.float64)
+                own = batch.column("posterior").flatten().to_numpy().reshape(-1, n)
+                bound = np.array(least)[own.argmax(axis=1)]
+                for row, change in zip(sums, listed):
+                    free = 1.0 + own @ change
+                    rate, up = np.maximum(free, bound), free >= bound
+                    row[0] += tokens_ @ (rate * (free - rate / 2) - 0.5)
+                    row[1 : n + 1] += (tokens_ * rate) @ own
+                    row[n + 1 :] += ((own * (tokens_ * up)[:, None]).T @ own).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array([sums.ravel().tolist()], pa.list_(pa.float64()))], ["sums"])
+
+        got = rows.select("n_tokens", "posterior").mapInArrow(partial, "sums array<double>").collect()  # one short row a task
+        got = np.array([r["sums"] for r in got] or [np.zeros(len(listed) * (1 + n + n * n))]).sum(axis=0).reshape(len(listed), -1)
+        out = []
+        for u, x in zip(changes, got):
+            reached = x[1 : n + 1]
+            value = x[0] - float(u / scale @ targets) + float(u @ u) / (2 * STIFFNESS)
+            out.append((value, u / STIFFNESS + (reached - targets) / scale, np.eye(n) / STIFFNESS + x[n + 1 :].reshape(n, n) / np.outer(scale, scale), reached))
+        return out
+
+    at = np.zeros(n)
+    value, gradient, curvature, reached = measured([at])[0]
+    for step in range(NEWTON_STEPS):
+        if np.abs(gradient * scale).max() <= SETTLED * total:
+            break
+        move = -np.linalg.solve(curvature, gradient)
+        tried = [at + length * move for length in LENGTHS]
+        found = measured(tried)
+        best = min(range(len(tried)), key=lambda k: found[k][0])
+        # close to rest, values no longer differ: the smallest gradient decides
+        if not found[best][0] < value - 1e-12 * total:
+            best = min(range(len(tried)), key=lambda k: float(np.abs(found[k][1]).max()))
+        at, (value, gradient, curvature, reached) = tried[best], found[best]
+    else:
+        raise RuntimeError(f"rates did not settle in {NEWTON_STEPS} steps: {reached.tolist()} tokens of {targets.tolist()}")
+    logging.getLogger(__name__).info("%d steps; tokens of %s: %s before, target %s, reached %s", step, DOMAINS, tokens.tolist(), targets.tolist(), reached.tolist())
+    return Fit([(at / scale).tolist()], tokens.tolist(), targets.tolist(), reached.tolist(), least)
 
 
 def fit_rates(rows: DataFrame, weights: dict[str, float], anchor: str = DOMAINS[0]) -> Fit:
-    """Rates for ``rows`` (n_tokens, posterior) whose expected tokens of each domain are in the ratio of ``weights``.
+    """The first plain gradient steps for ``rows`` (n_tokens, posterior), without bounds but 0; ``settle`` has where they lead.
 
     The total is chosen so that the anchor's tokens stay as they are. In the metric that weighs documents by their
     tokens the gradient for a document is its posterior times the errors of the domains, so rates depend on the posterior alone, and
@@ -180,9 +274,7 @@ def fit_rates(rows: DataFrame, weights: dict[str, float], anchor: str = DOMAINS[
     sums = [F.sum(F.col("n_tokens") * p[k]) for k in range(n)] + [F.sum(F.col("n_tokens") * p[a] * p[b]) for a in range(n) for b in range(n)]
     first = [float(x or 0.0) for x in rows.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()]
     tokens = np.array(first[:n])
-    at = DOMAINS.index(anchor)
-    share = np.array([weights.get(d, 0.0) for d in DOMAINS])
-    targets = share * (tokens[at] / share[at]) if share[at] > 0 else share * tokens.sum() / max(share.sum(), 1e-12)
+    targets = targets_of(tokens, weights, anchor)
     total = max(tokens.sum(), 1.0)
     scale = np.sqrt(np.maximum(tokens, 1e-6 * total))
     gram = np.array(first[n:]).reshape(n, n) / np.outer(scale, scale)
@@ -208,9 +300,7 @@ def fit_rates(rows: DataFrame, weights: dict[str, float], anchor: str = DOMAINS[
 def copies(rate: Column, posterior: Column, fit: Fit, *key: Column) -> Column:
     """Whole copies whose expectation is the rate; a document of a domain that does not shrink is kept once at least."""
     draw = F.pmod(F.xxhash64(*key, F.lit("copies")), F.lit(1 << 40)) / float(1 << 40)
-    stays = F.array(*[F.lit(bool(t >= s * (1 - 1e-9))) for s, t in zip(fit.tokens, fit.targets)])
-    top = F.array_position(posterior, F.array_max(posterior)).cast("int")
-    least = F.when(F.get(stays, top - 1), 1).otherwise(0)
+    least = bound_of(posterior, [float(x) for x in stays(fit.tokens, fit.targets)])
     return F.greatest(F.floor(rate + draw), least).cast("int")
 
 
@@ -219,7 +309,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keep: lis
     keep = ["doc_id"] if keep is None else keep
     model = learn(docs, labels)
     small = written(with_posteriors(docs.select(*dict.fromkeys([*keep, "doc_id", "text"])), model).drop("text"), "posteriors")
-    return rated(small, fit_rates(small, weights)).select(*keep, "n_tokens", "posterior", "domain", "rate", "copies")
+    return rated(small, settle(small, weights)).select(*keep, "n_tokens", "posterior", "domain", "rate", "copies")
 
 
 def rated(rows: DataFrame, fit: Fit) -> DataFrame:
@@ -229,11 +319,11 @@ def rated(rows: DataFrame, fit: Fit) -> DataFrame:
     return rows.withColumns({"domain": top, "copies": copies(F.col("rate"), posterior, fit, F.col("doc_id"))})
 
 
-def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """``docs`` with every document as often as its copies say."""
+def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], fitted: Callable[[DataFrame, dict[str, float]], Fit] = settle) -> DataFrame:
+    """``docs`` with every document as often as its copies say, at the rates of ``fitted``."""
     model = learn(docs, labels)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_document")
     rows = with_posteriors(docs.select(whole, "doc_id", "text"), model).drop("text")
-    fit = fit_rates(written(rows.select("n_tokens", "posterior"), "posteriors"), weights)
+    fit = fitted(written(rows.select("n_tokens", "posterior"), "posteriors"), weights)
     times = F.array_repeat(F.lit(1), F.col("copies"))
     return rated(rows, fit).select("_document", F.explode(times).alias("_copy")).select("_document.*")

@@ -65,6 +65,37 @@ def test_fit_takes_the_steps_of_a_plain_version(spark, monkeypatch):
     assert error(r) < 0.05 * error(np.ones(300))
 
 
+@pytest.mark.parametrize("weights", [WEIGHTS, {"good": 0.97, "poor": 0.03, "toxic": 0.0}, {"good": 0.3, "poor": 0.5, "toxic": 0.2}])
+@pytest.mark.parametrize("alpha", [[2, 0.5, 0.5], [0.6, 0.1, 0.1], [6, 3, 2]])
+def test_rates_are_where_gradient_steps_end(spark, weights, alpha):
+    rng = np.random.default_rng(5)
+    p, n = rng.dirichlet(alpha, 2000), rng.integers(0, 500, 2000)
+    rows = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, posterior array<double>")
+    fit = m.settle(rows, weights)
+    t, s = np.array(fit.targets), np.sqrt(n @ p)
+    low = np.where(t >= n @ p * (1 - 1e-9), 1.0, 0.0)[p.argmax(axis=1)]
+    width = 1 / np.linalg.eigvalsh((p * n[:, None]).T @ p / np.outer(s, s))[-1]
+    plain = np.ones(2000)
+    for _ in range(20_000):
+        plain = np.maximum(low, plain - p @ (((n * plain) @ p - t) / s**2) * width)
+    error = lambda r: ((((n * r) @ p - t) / s) ** 2).sum()
+    got = np.array([x.r for x in rows.select(fit.rate(m.F.col("posterior")).alias("r")).collect()])
+    assert (got >= low).all() and np.allclose(fit.reached, (n * got) @ p)
+    assert error(got) <= 1.01 * error(plain) + 1e-6 * error(np.ones(2000))
+
+
+def test_mix_uses_settled_rates(spark):
+    docs, labels = corpus()
+    blurred = [(a, 1 - q if a % 7 == 0 else q, 1 - t if a % 11 == 0 else t) for a, q, t in labels]
+    rows = m.mix(*frames(spark, docs, blurred), WEIGHTS).collect()
+    p, n, rates = np.array([r.posterior for r in rows]), np.array([r.n_tokens for r in rows]), np.array([r.rate for r in rows])
+    assert all(r.rate >= 1 for r in rows if r.domain == "good")
+    t, s = np.array([WEIGHTS[d] for d in m.DOMAINS]) / WEIGHTS["good"] * (n @ p)[0], np.sqrt(n @ p)
+    low = np.where(np.array([r.domain for r in rows]) == "good", 1.0, 0.0)
+    slope = p @ (((n * rates) @ p - t) / s**2)  # least where no rate above its bound can be changed for the better
+    assert np.abs(slope[rates > low + 1e-9]).max() < 1e-3 and slope[rates <= low + 1e-9].min() > -1e-3
+
+
 def test_resample_repeats_and_drops(spark):
     docs, labels = corpus(200)
     d, lab = frames(spark, docs, labels)
