@@ -4,8 +4,8 @@ A paragraph is hashed to a wide vector; a document's fingerprint is the sum of i
 modulo a power of two. Sums do not depend on order, so equal multisets of paragraphs have equal fingerprints, and a
 paragraph can be put in or taken out by adding or subtracting its vector: nothing else has to be read again.
 
-The first ``STRONG`` lanes (modulo 2**32) come from a cryptographic hash of the paragraph and tell multisets apart. The
-other ``LANES`` (modulo 2**16) count the paragraph's word triples, each in a lane and with a sign of its own; the angle
+All lanes are modulo 2**32. The first ``STRONG`` ones come from a cryptographic hash of the paragraph and tell multisets apart. The
+other ``LANES`` count the paragraph's word triples, each in a lane and with a sign of its own; the angle
 between two such vectors estimates how much the texts share.
 
 Results in special cases: NULL counts as an empty text, which is one empty paragraph; equal texts, also in repeated
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 STRONG, LANES = 8, 256
 WIDTH = STRONG + LANES
 SHINGLE = 3
-MASKS = np.concatenate([np.full(STRONG, 0xFFFFFFFF, np.int64), np.full(LANES, 0xFFFF, np.int64)])
+MASKS = np.full(WIDTH, 0xFFFFFFFF, np.int64)
 
 
 def paragraphs(text: str | None) -> list[str]:
@@ -69,14 +69,14 @@ def edit(total: np.ndarray, removed: list[str], added: list[str]) -> np.ndarray:
 
 
 def as_text(total: np.ndarray) -> str:
-    return total[:STRONG].astype("<u4").tobytes().hex() + total[STRONG:].astype("<u2").tobytes().hex()
+    return total.astype("<u4").tobytes().hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """1 for equal fingerprints, about 0 for unrelated ones."""
     if np.array_equal(a, b):
         return 1.0
-    x, y = (v[STRONG:].astype("<u2").view("<i2").astype(np.float64) for v in (a, b))
+    x, y = (v[STRONG:].astype("<u4").view("<i4").astype(np.float64) for v in (a, b))
     size = float(np.sqrt((x @ x) * (y @ y)))
     return min(1.0, max(0.0, float(x @ y) / size)) if size else 0.0
 

@@ -35,6 +35,20 @@ def test_likeness_follows_what_is_shared():
     assert m.likeness(m.vector([""]), m.vector(["", ""])) == 0.0
 
 
+@pytest.mark.parametrize("line", ["same words again", "word"])
+@pytest.mark.parametrize("repeats", [40_000, 100_000])
+def test_likeness_of_long_repetitive_texts(line, repeats):
+    whole, other = [line] * repeats, [f"{line} {k}" for k in range(1000)]
+    assert m.likeness(m.vector(whole), m.vector(whole[: repeats * 2 // 3])) > 0.99
+    assert m.likeness(m.vector(whole), m.vector(whole[: repeats * 2 // 3] + other)) > 0.9
+
+
+def test_near_edited_of_a_long_repetitive_text(spark):
+    docs = [(2, "same words again\n" * 100_000, None), (1, "\n".join(f"{k} other text" for k in range(100_000)), None)]
+    got = {r.doc_id: r.near_edited for r in m.compare_with_next(spark.createDataFrame(docs, SCHEMA), 2).collect()}
+    assert got[2] > 0.9
+
+
 def plain(docs):
     rows = sorted(sorted(docs, key=lambda d: d[1] or ""), key=lambda d: -1e9 if d[0] is None else d[0], reverse=True)
     out = []
