@@ -11,6 +11,7 @@ from granary.llm import (
     best_two_fit,
     decision_list,
     html_density,
+    importance_resampling,
     language_id,
     line_dedup,
     multiset_hash,
@@ -196,3 +197,41 @@ WEIGHTS = {"good": 0.97, "poor": 0.03, "toxic": 0.0}
 @query("op5_soft_mixing")
 def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return soft_mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"), WEIGHTS, ["doc_id", "source"])
+
+
+# --- Target-distribution importance resampling -----------------------------------------------------------------------
+
+def _resampling_sql() -> str:
+    """CRC-32 in SQL: a table of 256 numbers made by its rule, then one step a byte, over distinct features only."""
+    step = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    table_of = "b"
+    for _ in range(8):
+        table_of = f"list_transform([{table_of}], lambda x: {step})[1]"
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    byte = "(instr('0123456789ABCDEF', d[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', d[2 * i + 2]) - 1"
+    windows = "w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
+    k, seed, least, share = importance_resampling.BUCKETS, importance_resampling.SEED, importance_resampling.LEAST_WORDS, importance_resampling.PERCENT
+    return f"""
+WITH tab AS (SELECT list_transform(range(256), lambda b: {table_of}) AS t),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+source AS (SELECT r, unnest({windows}) AS f FROM docs),
+target AS (SELECT unnest({windows}) AS f FROM (SELECT {words} AS w FROM benchmark)),
+spelled AS (SELECT f, hex(encode(f)) AS d FROM (SELECT f FROM source UNION SELECT f FROM target)),
+hashed AS (SELECT f, xor(list_reduce(list_transform(range(len(d) // 2), lambda i: {byte}),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % {k} AS b FROM spelled, tab),
+s AS (SELECT b, count(*) AS n FROM source JOIN hashed USING (f) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM target JOIN hashed USING (f) GROUP BY b),
+gain AS (SELECT b, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + {k})::DOUBLE
+    / ((s.n + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + {k})::DOUBLE))) AS BIGINT) AS g FROM s LEFT JOIN t USING (b)),
+weighed AS (SELECT r, CAST(floor(sum(g) / count(*)) AS BIGINT) AS weight, count(*) AS n FROM source JOIN hashed USING (f) JOIN gain USING (b) GROUP BY r),
+scored AS (SELECT r, doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM docs LEFT JOIN weighed USING (r)),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id ASC NULLS LAST, n_features) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= {least})
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * {share} // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (r)"""
+
+
+@query("op11_importance_resampling", _resampling_sql())
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
