@@ -15,6 +15,7 @@ from granary.llm import (
     language_id,
     line_dedup,
     multiset_hash,
+    ns_clustering,
     secret_frequency,
     simhash_trees,
     soft_mixing,
@@ -235,3 +236,29 @@ SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * {share} // 100
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# --- Centroid clustering ---------------------------------------------------------------------------------------------
+
+def _clustering_sql() -> str:
+    dim, k, scale, seed = ns_clustering.DIM, ns_clustering.K, ns_clustering.SCALE, ns_clustering.SEED
+    order = f"sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')), v"
+    steps = [f"""kept AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {order}) - 1 AS j, v AS c FROM kept ORDER BY {order} LIMIT {k})"""]
+    distance = "CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    for n in range(ns_clustering.ROUNDS + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': {distance}, 'j': j}}) AS best FROM kept, c{n} GROUP BY r)")
+        if n < ns_clustering.ROUNDS:
+            steps.append(f"""s{n} AS (SELECT j, i, sum(x) AS s, count(*) AS n FROM (SELECT best.j AS j, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{n}) GROUP BY j, i),
+m{n} AS (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{n} GROUP BY j),
+c{n + 1} AS MATERIALIZED (SELECT j, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} USING (j))""")
+    last = ns_clustering.ROUNDS
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(best.j AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.j) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{last} JOIN c{last} ON best.j = c{last}.j"""
+
+
+@query("op12_ns_clustering", _clustering_sql())
+def op12_ns_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ns_clustering.with_measures(*ns_clustering.cluster_vectors(table(spark, sf_dir, "embeddings")))
