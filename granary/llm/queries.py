@@ -15,6 +15,7 @@ from granary.llm import (
     language_id,
     line_dedup,
     multiset_hash,
+    ngram_product,
     ns_clustering,
     secret_frequency,
     simhash_trees,
@@ -262,3 +263,25 @@ SELECT vec_id, CAST(best.j AS INTEGER) AS cluster, best.d AS distance, CAST(sum(
 @query("op12_ns_clustering", _clustering_sql())
 def op12_ns_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ns_clustering.with_measures(*ns_clustering.cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
+# --- N-gram Jaccard join ---------------------------------------------------------------------------------------------
+
+def _jaccard_sql() -> str:
+    n, p = ngram_product.WORDS, ngram_product.PERCENT
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH RECURSIVE docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({lower}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS MATERIALIZED (SELECT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' '))) END) AS g FROM docs),
+sizes AS MATERIALIZED (SELECT r, count(*) AS n FROM grams GROUP BY r),
+links AS MATERIALIZED (SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS o FROM grams x JOIN grams y ON x.g = y.g AND x.r <> y.r GROUP BY 1, 2)
+    JOIN sizes s ON s.r = a JOIN sizes t ON t.r = b WHERE 100 * o >= {p} * (s.n + t.n - o)),
+reach AS (SELECT r, r AS q FROM docs UNION SELECT reach.r, links.b FROM reach JOIN links ON reach.q = links.a)
+SELECT any_value(d.doc_id) AS doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(e.doc_id) AS component_id
+FROM reach JOIN docs d ON reach.r = d.r JOIN docs e ON reach.q = e.r LEFT JOIN sizes s ON s.r = d.r GROUP BY d.r"""
+
+
+@query("op13_ngram_product", _jaccard_sql())
+def op13_ngram_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_product.jaccard_components(table(spark, sf_dir, "documents"))
