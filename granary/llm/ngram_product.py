@@ -10,8 +10,8 @@ multiplied, and only in columns that matter:
 3. Partial products are summed per pair and compared with the bound that the sizes give: what is shared so far and what
    could still be must reach t / (1 + t) of both sizes. What is left gets its whole overlap counted.
 4. A column that a whole group of copies shares is not multiplied out. In a first product each column has one row as its
-   partner, the one whose place of this column is earliest; its links make components (large-star and small-star steps). In a
-   second product, rows of different components meet, so a group that hangs together already gives no pairs.
+   partner, the one whose place of this column is earliest; its links make components (large-star and small-star steps). It
+   may leave links out. In a second product, rows of different components meet, so a group that hangs together already gives no pairs.
    Long columns are cut into blocks of ``PART`` rows; rows of the component that most of a column belongs to are
    asked for, but never ask. Both products together link whatever all pairs would link.
 
@@ -41,8 +41,8 @@ COUNTERS = 1 << 20
 SLICE = 1 << 12
 #: Rows of a column that one block holds.
 PART = 4_096
-#: Bits of the filter by which texts are chosen whose sets are needed whole.
-FILTER_BITS = 1 << 23
+#: Bits of the filters that keep most unshared n-grams, and texts without any shared one, from being moved.
+FILTER_BITS = 1 << 26
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -141,19 +141,54 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
 
+def _bits_of(keys: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits with those of the keys (column k) set. Its size is bounded; the fuller it is, the more it lets
+    through needlessly, so what it passes is always joined with the keys themselves."""
+    bit = F.pmod("k", F.lit(FILTER_BITS))
+    words = keys.groupBy((bit / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(k, 64) AS int)))").alias("bits"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [c.to_numpy(zero_copy_only=False).astype("<i8").tobytes() for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], names=["word", "bits"])
+
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    for row in words.mapInArrow(pack, "word binary, bits binary").collect():
+        out[np.frombuffer(row["word"], "<i8")] = np.frombuffer(row["bits"], "<i8").view(np.uint64)
+    return out
+
+
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys % FILTER_BITS
+    return np.flatnonzero(bits[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1))
+
+
+def _columns(prefixes: DataFrame) -> DataFrame:
+    """(g, sid, n, pos): the n-grams of prefixes that two rows have there, and these rows; few of all, so that most are left out
+    by the filter where they are read."""
+    found = prefixes.select(F.explode("prefix").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g")
+    shared = written(found, "shared")
+    bits = _bits_of(shared.select(F.col("g").alias("k")))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            pos = np.arange(len(g)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            hit = _passes(bits, g)
+            yield pa.RecordBatch.from_arrays([pa.array(g[hit]), batch.column(0).take(pa.array(row[hit])), batch.column(1).take(pa.array(row[hit])), pa.array(pos[hit])], names=["g", "sid", "n", "pos"])
+
+    return prefixes.select("sid", "n", "prefix").mapInArrow(cut, "g long, sid long, n long, pos long").join(shared, "g")
+
+
 def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(sid, members) of the wanted sets (columns sid, th). A bounded bit filter over hashes of texts keeps most other
-    texts from being moved or cut again; what it lets through needlessly goes in the join."""
-    bit = F.pmod("th", F.lit(FILTER_BITS))
-    chosen = wanted.groupBy((bit / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(th, 64) AS int)))").alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    for row in chosen:
-        bits[row["word"]] = np.int64(row["bits"]).view(np.uint64)
+    """(sid, members) of the wanted sets (columns sid, th); other texts are neither moved nor cut again, but for what the filter lets through."""
+    bits = _bits_of(wanted.select(F.col("th").alias("k")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(0).to_numpy(zero_copy_only=False) % FILTER_BITS
-            hit = np.flatnonzero(bits[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1))
+            hit = _passes(bits, batch.column(0).to_numpy(zero_copy_only=False))
             sets = [ngram_set(batch.column(1)[k].as_py(), words) for k in hit.tolist()]
             sets = [s for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), _lists([s.view(np.int64) for s in sets])], names=["sid", "members"])
@@ -215,9 +250,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     """doc_id, n_shingles and component_id, the smallest doc_id that links reach, of every document."""
     rows, sketch = _scan(docs, words)
     prefixes = written(_prefixes(docs, sketch, words, percent), "prefixes")
-    entries = prefixes.select("sid", "n", F.posexplode("prefix").alias("pos", "g"))
-    shared = entries.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g")
-    columns = written(entries.join(shared, "g"), "columns")
+    columns = written(_columns(prefixes), "columns")
     named = written(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first"), F.min("th").alias("th")), "named")
     wanted = named.join(columns.select("sid").distinct(), "sid", "left_semi").select("sid", "th")
     sets = written(_whole_sets(docs, wanted, words), "sets")
