@@ -8,7 +8,9 @@ multiplied, and only in columns that matter:
 2. A row of n n-grams needs at least t n of them in common with any partner, so two rows that link share a column among their first
    n - ceil(t n) + 1. Only these columns are multiplied, and only those that two rows have.
 3. Partial products are summed per pair and compared with the bound that the sizes give: what is shared so far and what
-   could still be must reach t / (1 + t) of both sizes. What is left gets its whole overlap counted.
+   could still be must reach t / (1 + t) of both sizes. Each row also carries ``MARKS`` parity bits of its n-grams: marks that
+   differ are never more than n-grams that differ, which bounds the overlap from above. What is left gets its whole overlap counted,
+   and only rows in such pairs are read again whole.
 4. A column that a whole group of copies shares is not multiplied out. In a first product each column has one row as its
    partner, the one whose place of this column is earliest; its links make components (large-star and small-star steps). It
    may leave links out. In a second product, rows of different components meet, so a group that hangs together already gives no pairs.
@@ -43,6 +45,8 @@ SLICE = 1 << 12
 PART = 4_096
 #: Bits of the filters that keep most unshared n-grams, and texts without any shared one, from being moved.
 FILTER_BITS = 1 << 26
+#: Parity bits of a set; a multiple of 64.
+MARKS = 512
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -72,6 +76,12 @@ def set_id(members: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(members.tobytes())).view(np.int64))
 
 
+def marks_of(members: np.ndarray) -> np.ndarray:
+    """For each of MARKS bits, whether an odd number of n-grams falls on it, packed into longs."""
+    odd = np.bincount((members % np.uint64(MARKS)).astype(np.int64), minlength=MARKS) & 1
+    return np.packbits(odd.astype(bool)).view("<i8")
+
+
 def _scan(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, hash of the text, sid, n of every document, the sketch)."""
     shift = np.uint64(64 - (COUNTERS.bit_length() - 1))
@@ -117,23 +127,24 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(sid, n, prefix) of the distinct sets: their first n-grams, rare ones first."""
+    """(sid, n, marks, prefix) of the distinct sets: their first n-grams, rare ones first."""
     shift = np.uint64(64 - (COUNTERS.bit_length() - 1))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids, sizes, heads = [], [], []
+            sids, sizes, marks, heads = [], [], [], []
             for text in batch.column(0):
                 members = ngram_set(text.as_py(), words)
                 if len(members):
+                    marks.append(marks_of(members))
                     order = np.argsort(sketch[members >> shift], kind="stable")  # equal counters: by hash
                     sids.append(set_id(members))
                     sizes.append(len(members))
                     heads.append(members[order[: prefix_size(len(members), percent)]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), _lists(heads)], names=["sid", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), _lists(marks), _lists(heads)], names=["sid", "n", "marks", "prefix"])
 
-    found = docs.select("text").mapInArrow(cut, "sid long, n long, prefix array<long>")
-    return found.groupBy("sid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    found = docs.select("text").mapInArrow(cut, "sid long, n long, marks array<long>, prefix array<long>")
+    return found.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "marks", "prefix")])
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -164,7 +175,7 @@ def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _columns(prefixes: DataFrame) -> DataFrame:
-    """(g, sid, n, pos): the n-grams of prefixes that two rows have there, and these rows; few of all, so that most are left out
+    """(g, sid, n, marks, pos): the n-grams of prefixes that two rows have there, and these rows; few of all, so that most are left out
     by the filter where they are read."""
     found = prefixes.select(F.explode("prefix").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g")
     shared = written(found, "shared")
@@ -172,14 +183,15 @@ def _columns(prefixes: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            g = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            g = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+            sizes = batch.column(3).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(len(sizes)), sizes)
             pos = np.arange(len(g)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             hit = _passes(bits, g)
-            yield pa.RecordBatch.from_arrays([pa.array(g[hit]), batch.column(0).take(pa.array(row[hit])), batch.column(1).take(pa.array(row[hit])), pa.array(pos[hit])], names=["g", "sid", "n", "pos"])
+            own = [batch.column(k).take(pa.array(row[hit])) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(g[hit]), *own, pa.array(pos[hit])], names=["g", "sid", "n", "marks", "pos"])
 
-    return prefixes.select("sid", "n", "prefix").mapInArrow(cut, "g long, sid long, n long, pos long").join(shared, "g")
+    return prefixes.select("sid", "n", "marks", "prefix").mapInArrow(cut, "g long, sid long, n long, marks array<long>, pos long").join(shared, "g")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -209,8 +221,17 @@ def _reaches(overlap: Column, a: Column, b: Column, percent: int) -> Column:
     return (100 + percent) * overlap >= percent * (a + b)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b, na, nb) whose whole overlap reaches the bound."""
+def _marks_fit(a: str, b: str, na: Column, nb: Column, percent: int) -> Column:
+    """Whether the overlap can reach the bound, going by the marks: it is at most half of both sizes less the marks that differ."""
+    differ = sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(MARKS // 64)), F.lit(0)).cast("long")
+    return (100 + percent) * (na + nb - differ) >= 2 * percent * (na + nb)
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, named: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b, na, nb) whose whole overlap reaches the bound. ``named`` has a text's hash (th) for each sid."""
+    pairs = written(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    sets = written(_whole_sets(docs, named.join(ends, "sid", "left_semi").select("sid", "th"), words), "sets")
     left = sets.select(F.col("sid").alias("a"), F.col("members").alias("ma"))
     right = sets.select(F.col("sid").alias("b"), F.col("members").alias("mb"))
     whole = pairs.join(right, "b").join(left, "a")
@@ -220,9 +241,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _first_product(columns: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb) of each row and the rows that are earliest in its columns."""
-    earliest = columns.groupBy("g").agg(F.min(F.struct("pos", "n", "sid")).alias("e"))
-    earliest = earliest.select("g", F.col("e.sid").alias("a"), F.col("e.n").alias("na"))
-    met = columns.join(earliest, "g").where("sid <> a").where(_sizes_fit(F.col("n"), F.col("na"), percent))
+    earliest = columns.groupBy("g").agg(F.min(F.struct("pos", "n", "sid", "marks")).alias("e"))
+    earliest = earliest.select("g", F.col("e.sid").alias("a"), F.col("e.n").alias("na"), F.col("e.marks").alias("marks_a"))
+    n, na = F.col("n"), F.col("na")
+    met = columns.join(earliest, "g").where("sid <> a").where(_sizes_fit(n, na, percent) & _marks_fit("marks", "marks_a", n, na, percent))
     sums = met.groupBy("a", F.col("sid").alias("b"), "na", F.col("n").alias("nb")).agg(F.count(F.lit(1)).alias("shared"))
     rest = F.greatest(*[F.ceil(percent * F.col(c) / 100) - 1 for c in ("na", "nb")])  # what lies beyond the columns multiplied
     return sums.where(_reaches(F.col("shared") + rest, F.col("na"), F.col("nb"), percent)).drop("shared")
@@ -230,18 +252,19 @@ def _first_product(columns: DataFrame, percent: int) -> DataFrame:
 
 def _second_product(columns: DataFrame, component: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb) of rows in different components that may link."""
-    labelled = columns.join(component, columns["sid"] == component["node"], "left").select("g", "sid", "n", "pos", F.coalesce("component", "sid").alias("c"))
+    labelled = columns.join(component, columns["sid"] == component["node"], "left").select("g", "sid", "n", "marks", "pos", F.coalesce("component", "sid").alias("c"))
     counted = labelled.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k"))
     most = counted.groupBy("g").agg(F.sum("k").alias("rows"), F.max(F.struct("k", "c"))["c"].alias("most"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     rows = labelled.join(most, "g").withColumn("parts", F.ceil(F.col("rows") / PART).cast("int"))
-    asked = rows.select("g", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "pos", "c")], "most")
-    asking = rows.where("c <> most").select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "sid", "n", "pos", "c")
+    asked = rows.select("g", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "marks", "pos", "c")], "most")
+    asking = rows.where("c <> most").select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "sid", "n", "marks", "pos", "c")
     bound = F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))  # if this is the first column they share
     met = asking.join(asked, ["g", "part"]).where(
         (F.col("c") != F.col("c_b"))
         & ((F.col("c_b") == F.col("most")) | (F.col("sid") < F.col("sid_b")))  # each pair from one side
         & _sizes_fit(F.col("n"), F.col("n_b"), percent)
         & _reaches(bound, F.col("n"), F.col("n_b"), percent)
+        & _marks_fit("marks", "marks_b", F.col("n"), F.col("n_b"), percent)
     )
     return met.select(F.col("sid").alias("a"), F.col("sid_b").alias("b"), F.col("n").alias("na"), F.col("n_b").alias("nb")).distinct()
 
@@ -252,11 +275,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     prefixes = written(_prefixes(docs, sketch, words, percent), "prefixes")
     columns = written(_columns(prefixes), "columns")
     named = written(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first"), F.min("th").alias("th")), "named")
-    wanted = named.join(columns.select("sid").distinct(), "sid", "left_semi").select("sid", "th")
-    sets = written(_whole_sets(docs, wanted, words), "sets")
-    links = written(_linked(_first_product(columns, percent), sets, percent), "links")
-    found = components(links)
-    more = written(_linked(_second_product(columns, found, percent), sets, percent), "links")
+    found = components(_linked(docs, _first_product(columns, percent), named, words, percent))
+    more = written(_linked(docs, _second_product(columns, found, percent), named, words, percent), "links")
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     label = named.join(found, named["sid"] == found["node"], "left").select("sid", "first", F.coalesce("component", "sid").alias("c"))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from granary.llm import ngram_product as m
@@ -77,6 +78,16 @@ def test_prefix_and_bounds():
     assert len(m.ngram_set(" ".join(words))) == len(plain_set(" ".join(words)))
 
 
+def test_marks_bound_the_overlap():
+    rnd = random.Random(4)
+    for n in (5, 90, 700):
+        a = [rnd.choice("abcdefgh") * rnd.randint(1, 9) for _ in range(n)]
+        b = [w if rnd.random() > 0.05 else "x" for w in a]
+        x, y = (m.ngram_set(" ".join(w)) for w in (a, b))
+        differ = int(np.bitwise_count(m.marks_of(x) ^ m.marks_of(y)).sum())
+        assert len(np.setxor1d(x, y)) >= differ > 0
+
+
 def test_empty_table_null_ids_and_clashing_columns(spark):
     schema = "doc_id long, text string, sid string, n string, g int, pos int, th string, component int, node int"
     rows = [(None, "one two three four five six", "x", "y", 1, 2, "z", 3, 4), (5, "one two three four five six", "x", "y", 1, 2, "z", 3, 4), (None, None, "x", "y", 1, 2, "z", 3, 4)]
