@@ -7,13 +7,13 @@ multiplied, and only in columns that matter:
    ``COUNTERS`` counters, summed over all documents. Counter and hash give all n-grams one order, rare ones first.
 2. A row of n n-grams needs at least t n of them in common with any partner, so two rows that link share a column among their first
    n - ceil(t n) + 1. Only these columns are multiplied, and only those that two rows have.
-3. Partial products are summed per pair and compared with the bound that the sizes give: what is shared so far and what
-   could still be must reach t / (1 + t) of both sizes. Each row also carries ``MARKS`` parity bits of its n-grams: marks that
-   differ are never more than n-grams that differ, which bounds the overlap from above. What is left gets its whole overlap counted,
-   and only rows in such pairs are read again whole.
-4. A column that a whole group of copies shares is not multiplied out. In a first product each column has one row as its
-   partner, the one whose place of this column is earliest; its links make components (large-star and small-star steps). It
-   may leave links out. In a second product, rows of different components meet, so a group that hangs together already gives no pairs.
+3. Where two rows meet in a column, the pair is compared with the bound that the sizes give: what they can still share from
+   there on must reach t / (1 + t) of both sizes. Each row also carries ``MARKS`` parity bits of its n-grams: marks that
+   differ are never more than n-grams that differ, which bounds the overlap from above. What is left gets its whole overlap
+   summed up, and only rows in such pairs are read again whole.
+4. A column that a whole group of copies shares is not multiplied out. In a first product each column has two rows as
+   partners, the one whose place of this column is earliest and one that a hash picks anew in each column; its links make
+   components (large-star and small-star steps). It may leave links out. In a second product, rows of different components meet, so a group that hangs together already gives no pairs.
    Long columns are cut into blocks of ``PART`` rows; rows of the component that most of a column belongs to are
    asked for, but never ask. Both products together link whatever all pairs would link.
 
@@ -240,14 +240,14 @@ def _linked(docs: DataFrame, pairs: DataFrame, named: DataFrame, words: int, per
 
 
 def _first_product(columns: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of each row and the rows that are earliest in its columns."""
-    earliest = columns.groupBy("g").agg(F.min(F.struct("pos", "n", "sid", "marks")).alias("e"))
-    earliest = earliest.select("g", F.col("e.sid").alias("a"), F.col("e.n").alias("na"), F.col("e.marks").alias("marks_a"))
+    """Pairs (a, b, na, nb) of each row and, in each of its columns, the earliest row there and one that a hash picks."""
+    row = F.struct("sid", "n", "marks")
+    heads = columns.groupBy("g").agg(F.min(F.struct("pos", "n", "sid", row.alias("row")))["row"].alias("e"), F.min(F.struct(F.xxhash64("g", "sid"), row.alias("row")))["row"].alias("r"))
+    heads = heads.select("g", F.explode(F.array_distinct(F.array("e", "r"))).alias("h"))
+    heads = heads.select("g", F.col("h.sid").alias("a"), F.col("h.n").alias("na"), F.col("h.marks").alias("marks_a"))
     n, na = F.col("n"), F.col("na")
-    met = columns.join(earliest, "g").where("sid <> a").where(_sizes_fit(n, na, percent) & _marks_fit("marks", "marks_a", n, na, percent))
-    sums = met.groupBy("a", F.col("sid").alias("b"), "na", F.col("n").alias("nb")).agg(F.count(F.lit(1)).alias("shared"))
-    rest = F.greatest(*[F.ceil(percent * F.col(c) / 100) - 1 for c in ("na", "nb")])  # what lies beyond the columns multiplied
-    return sums.where(_reaches(F.col("shared") + rest, F.col("na"), F.col("nb"), percent)).drop("shared")
+    met = columns.join(heads, "g").where("sid <> a").where(_sizes_fit(n, na, percent) & _marks_fit("marks", "marks_a", n, na, percent))
+    return met.select("a", F.col("sid").alias("b"), "na", n.alias("nb")).distinct()
 
 
 def _second_product(columns: DataFrame, component: DataFrame, percent: int) -> DataFrame:
