@@ -15,8 +15,10 @@ from pyspark.sql import types as T
 
 from granary.functions.casting import to_double
 from granary.functions.nulls import attach, safe_divide
-from granary.functions.stats import chi2_tail_2df, chi2_tail_normal, two_sided_p
+from granary.functions.special import normal_quantile, polynomial
+from granary.functions.stats import chi2_tail_2df, chi2_tail_normal, clip, norm_cdf, two_sided_p
 from granary.operators.features import add_difference
+from granary.operators.lagged import lagged_products, unit_root, unit_root_p
 from granary.operators.ordered import over_history, row_positions, running_total
 from granary.session import cut_lineage, written
 
@@ -33,6 +35,16 @@ CATEGORIES = {NORMALITY: "Distribución", TREND: "Tendencia", STATIONARITY: "Est
 # 5 % point of the Dickey-Fuller test with constant; KPSS level critical values.
 ADF_CENTRE = 2.86
 KPSS_POINTS = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
+# Shapiro-Wilk test, Royston (1995), AS R94: weights of the two outer order statistics by 1 / sqrt(n), then mean
+# and log spread of the transformed statistic by n (up to 11 values) or by ln n.
+SHAPIRO_LIMIT = 5_000
+SHAPIRO_OUTER = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
+SHAPIRO_NEXT = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+SHAPIRO_SMALL_LIMIT = (-2.273, 0.459)
+SHAPIRO_SMALL_MEAN = (0.5440, -0.39978, 0.025054, -0.0006714)
+SHAPIRO_SMALL_SPREAD = (1.3822, -0.77857, 0.062767, -0.0020322)
+SHAPIRO_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
+SHAPIRO_SPREAD = (-0.4803, -0.082676, 0.0030302)
 # Longest series whose median slope is searched inside one task.
 SLOPE_LIMIT = 20_000
 
@@ -45,9 +57,13 @@ def _decide(enough: Column, p: Column, alpha: float = ALPHA) -> Column:
     return F.when(~enough, INSUFFICIENT).when(p < alpha, REJECT).otherwise(KEEP)
 
 
-def normality(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Jarque-Bera from population moments, in one mergeable aggregate."""
-    moments = _numbers(df, value).groupBy(*keys).agg(
+def normality(df: DataFrame, keys: list[str], value: str, shapiro: bool = False) -> DataFrame:
+    """Jarque-Bera from population moments, in one mergeable aggregate.
+
+    With ``shapiro``, series of up to 5,000 values also get the Shapiro-Wilk test (two more columns), and the smaller of both
+    p-values decides.
+    """
+    moments =_numbers(df, value).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_observations"),
         F.var_pop(value).alias("__var"),
         F.skewness(value).alias("__skew"),
@@ -59,6 +75,11 @@ def normality(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     enough = F.col("n_observations") >= MIN_NORMALITY
     jb = F.col("n_observations") / 6.0 * (skew * skew + excess * excess / 4.0)
     p = chi2_tail_2df(jb)
+    more = []
+    if shapiro:
+        moments = attach(moments, shapiro_wilk(df, keys, value).drop("n"), keys, "left")
+        p = F.least(p, F.col("shapiro_pvalue"))  # least skips NULL
+        more = [F.when(enough, F.col(c)).alias(c) for c in ("shapiro_statistic", "shapiro_pvalue")]
     return moments.select(
         *keys,
         "n_observations",
@@ -69,9 +90,47 @@ def normality(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         (enough & (p < 0.05)).alias("alpha_05_rejected"),
         (enough & (p < 0.01)).alias("alpha_01_rejected"),
         _decide(enough, p, 0.05).alias("decision"),
+        *more,
     )
 
 
+def shapiro_wilk(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n, shapiro_statistic, shapiro_pvalue) of series of 6 to 5,000 values, after Royston (1995).
+
+    Order statistics meet their normal scores by position; longer series are left out before anything is sorted, so each
+    window is short. Constant series have no statistic.
+    """
+    clean = _numbers(df, value)
+    sizes = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("__mu")).where(F.col("n").between(6, SHAPIRO_LIMIT))
+    kept = attach(clean.select(*keys, value), sizes, keys, "inner").withColumn("__x", F.col(value) - F.col("__mu"))
+    placed = row_positions(kept, keys, [F.col("__x").asc()], "pos", bounded=True)
+    score = normal_quantile((F.col("pos") + 1 - 0.375) / (F.col("n") + 0.25))
+    placed = placed.select(*keys, "n", "pos", "__x", score.alias("__m"))
+    at = lambda k, c: F.max(F.when(F.col("pos") == k, F.col(c)))
+    last = F.col("n") - 1
+    inside = (F.col("pos") >= 2) & (F.col("pos") < last - 1)
+    sums = placed.groupBy(*keys, "n").agg(
+        F.sum(F.col("__m") * F.col("__m")).alias("mm"),
+        F.sum(F.when(inside, F.col("__m") * F.col("__x"))).alias("mx"),
+        F.sum(F.col("__x") * F.col("__x")).alias("xx"),
+        at(last, "__m").alias("m1"), at(last - 1, "__m").alias("m2"),
+        (at(last, "__x") - at(0, "__x")).alias("x1"), (at(last - 1, "__x") - at(1, "__x")).alias("x2"),
+    )
+    n, mm, m1, m2 = (F.col(c) for c in ("n", "mm", "m1", "m2"))
+    root = 1.0 / F.sqrt(n)
+    weighed = sums.withColumns({"a1": m1 / F.sqrt(mm) + polynomial(SHAPIRO_OUTER, root), "a2": m2 / F.sqrt(mm) + polynomial(SHAPIRO_NEXT, root)})
+    a1, a2 = F.col("a1"), F.col("a2")
+    rest = (mm - 2.0 * m1 * m1 - 2.0 * m2 * m2) / (1.0 - 2.0 * a1 * a1 - 2.0 * a2 * a2)
+    top = F.col("mx") / F.sqrt(rest) + a1 * F.col("x1") + a2 * F.col("x2")
+    w = weighed.select(*keys, "n", F.when(F.col("xx") > 0, F.least(F.lit(1.0), top * top / F.col("xx"))).alias("w"))
+    size, spread = n.cast("double"), F.log(F.greatest(1.0 - F.col("w"), F.lit(1e-300)))
+    small_y = -F.log(F.greatest(polynomial(SHAPIRO_SMALL_LIMIT, size) - spread, F.lit(1e-300)))
+    small = (small_y - polynomial(SHAPIRO_SMALL_MEAN, size)) / F.exp(polynomial(SHAPIRO_SMALL_SPREAD, size))
+    large = (spread - polynomial(SHAPIRO_MEAN, F.log(size))) / F.exp(polynomial(SHAPIRO_SPREAD, F.log(size)))
+    p = clip(1.0 - norm_cdf(F.when(n <= 11, small).otherwise(large)), 0.0, 1.0)
+    return w.select(*keys, "n", F.col("w").alias("shapiro_statistic"), p.alias("shapiro_pvalue"))
+
+
 def rank_concordance(placed: DataFrame, keys: list[str], value: str, sizes: DataFrame, bounded: bool | None = None) -> DataFrame:
     """Sum of sign(x_j - x_i) over all i < j, per series, from n log n rows.
 
@@ -281,21 +340,27 @@ def dickey_fuller(df: DataFrame, keys: list[str], value: str, order: list[str],
     )
 
 
+def augmented_dickey_fuller(
+    df: DataFrame, keys: list[str], value: str, order: list[str], bounded: bool | None = None, lags: int | None = None
+) -> DataFrame:
+    """Unit-root test whose number of lagged differences has the smallest AIC, with MacKinnon's p-value."""
+    fit = unit_root(positions(df, keys, value, order, bounded), keys, value, lags)
+    enough = F.col("n") >= MIN_STATIONARITY
+    return fit.select(
+        *keys,
+        F.col("n").alias("n_observations"),
+        F.when(enough, F.col("lags")).alias("adf_lags"),
+        F.when(enough, F.col("t")).alias("adf_statistic"),
+        F.when(enough, unit_root_p(F.col("t"))).alias("adf_pvalue"),
+    )
+
+
 def kpss(df: DataFrame, keys: list[str], value: str, order: list[str], bounded: bool | None = None) -> DataFrame:
     """Level-stationarity statistic; lag count after Hobijn, Franses & Ooms (1998)."""
     placed = positions(df, keys, value, order, bounded)
     stats = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("__mu"))
     resid = attach(placed, stats, keys, "inner").select(*keys, "n", "pos", (F.col(value) - F.col("__mu")).alias("e"))
-
-    def lagged_sums(lag_table: DataFrame) -> DataFrame:
-        """Sum of e_t e_{t-j} for j = 1 .. lags, per series, by position equi-join."""
-        ahead = attach(resid, lag_table, keys, "inner").withColumn("j", F.explode(F.sequence(F.lit(1), F.col("lags"))))
-        ahead = ahead.select(*keys, (F.col("pos") + F.col("j")).alias("pos"), "j", F.col("e").alias("e_back"))
-        now = resid.select(*keys, "pos", "e")
-        on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("a.pos") == F.col("b.pos")]
-        both = ahead.alias("a").join(now.alias("b"), on)
-        return both.groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], "j").agg(F.sum(F.col("e") * F.col("e_back")).alias("c"))
-
+    lagged_sums = lambda lag_table: lagged_products(resid, keys, "e", lag_table)
     n = F.col("n")
     base = resid.groupBy(*keys).agg(F.max("n").alias("n"), F.sum(F.col("e") * F.col("e")).alias("sse"))
     pilot = base.select(*keys, F.greatest(F.floor(F.pow(n, F.lit(2.0 / 9.0))), F.lit(1)).cast("int").alias("lags"))
@@ -331,10 +396,20 @@ def kpss(df: DataFrame, keys: list[str], value: str, order: list[str], bounded:
 
 
 def stationarity(
-    df: DataFrame, keys: list[str], value: str, order: list[str], with_kpss: bool = False, bounded: bool | None = None
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    order: list[str],
+    with_kpss: bool = False,
+    bounded: bool | None = None,
+    lags: int | None = 0,
 ) -> DataFrame:
-    """Unit-root test, optionally crossed with KPSS, and the combined status."""
-    adf = dickey_fuller(df, keys, value, order, bounded)
+    """Unit-root test, optionally crossed with KPSS, and the combined status.
+
+    ``lags=0`` regresses on the level alone; None or a larger number lets AIC choose among up to so many lagged differences
+    (None: the usual bound for the length of the series) and adds their number as ``adf_lags``.
+    """
+    adf = dickey_fuller(df, keys, value, order, bounded) if lags == 0 else augmented_dickey_fuller(df, keys, value, order, bounded, lags)
     if with_kpss:
         adf = attach(adf, kpss(df, keys, value, order, bounded).drop("n_observations", "lags"), keys, "left")
     else:

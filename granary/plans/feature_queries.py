@@ -14,6 +14,7 @@ from granary.plans.inputs import (
     PRICES,
     RAIN,
     TEMPS,
+    exact_quantile_sql,
     lineitem,
     month,
     monthly_discounts,
@@ -205,6 +206,44 @@ for _scale in (1, 3, 6):
     query(f"m04_spi_{_scale}", f"WITH {RAIN}, {spi_sql(_scale)} SELECT serie, mes, {r('v', 5)} AS spi, {SPI_CASE} AS clase FROM spi")(_spi_query(_scale))
 
 
+def _psi_sql(a: str, order: int) -> str:
+    """Digamma (order 0) or trigamma (order 1): recurrence up by twelve, then the asymptotic series."""
+    y = f"({a} + 12)"
+    if order == 0:
+        series = f"ln({y}) - 1 / (2 * {y}) - 1 / (12 * pow({y}, 2)) + 1 / (120 * pow({y}, 4)) - 1 / (252 * pow({y}, 6)) + 1 / (240 * pow({y}, 8))"
+        return f"({series} - list_sum(list_transform(range(12), lambda k: 1 / ({a} + k))))"
+    series = f"1 / {y} + 1 / (2 * pow({y}, 2)) + 1 / (6 * pow({y}, 3)) - 1 / (30 * pow({y}, 5)) + 1 / (42 * pow({y}, 7)) - 1 / (30 * pow({y}, 9))"
+    return f"({series} + list_sum(list_transform(range(12), lambda k: 1 / pow({a} + k, 2))))"
+
+
+def likelihood_spi_sql(scale: int) -> str:
+    """CTEs ending in s{scale}(serie, mes, v): Newton steps on the shape itself, and the power series of the incomplete gamma function."""
+    s = f"s{scale}"
+    steps = "".join(
+        f", {s}_n{k + 1} AS (SELECT serie, q, m, g, a - (ln(a) - {_psi_sql('a', 0)} - g) / (1 / a - {_psi_sql('a', 1)}) AS a FROM {s}_n{k})" for k in range(8)
+    )
+    series = "list_sum(list_transform(range(600), lambda k: exp(k * ln(x) - lgamma(a + k + 1) + a * ln(x) - x)))"
+    return f"""{s}_acc AS (SELECT *, CASE WHEN count(lluvia) OVER f = {scale} THEN sum(lluvia) OVER f END AS acc FROM rain
+  WINDOW f AS (PARTITION BY serie ORDER BY mes ROWS BETWEEN {scale - 1} PRECEDING AND CURRENT ROW)),
+{s}_sum AS (SELECT serie, count(*) AS n, count(*) FILTER (acc > 0) AS np, avg(acc) FILTER (acc > 0) AS m, avg(ln(acc)) FILTER (acc > 0) AS ml FROM {s}_acc WHERE acc IS NOT NULL GROUP BY 1),
+{s}_n0 AS (SELECT serie, (n - np) / n AS q, m, ln(m) - ml AS g, 1 / (2 * (ln(m) - ml)) AS a FROM {s}_sum WHERE n >= 12 AND np >= 3){steps},
+{s}_x AS (SELECT c.serie, c.mes, acc, q, a, acc * a / m AS x FROM {s}_acc c LEFT JOIN {s}_n8 USING (serie)),
+{s}_p AS (SELECT serie, mes, CASE WHEN acc IS NULL OR q IS NULL THEN NULL ELSE least(1 - 1e-6, greatest(1e-6, CASE WHEN acc <= 0 THEN q ELSE q + (1 - q) * least(1.0, {series}) END)) END AS p FROM {s}_x),
+{s} AS (SELECT serie, mes, CASE WHEN p IS NOT NULL THEN least(3.5, greatest(-3.5, {exact_quantile_sql('p')})) END AS v FROM {s}_p)"""
+
+
+@query(
+    "m04_spi_likelihood",
+    f"WITH {RAIN}, {likelihood_spi_sql(1)}, {likelihood_spi_sql(3)}, {likelihood_spi_sql(6)} SELECT serie, mes, "
+    + ", ".join(f"CASE WHEN s{k}.v IS NOT NULL THEN {r(f's{k}.v', 5)} END AS spi_{k}" for k in (1, 3, 6))
+    + " FROM s1 JOIN s3 USING (serie, mes) JOIN s6 USING (serie, mes)",
+)
+def spi_by_likelihood(spark, sf):
+    """All scales in one pass, fitted by maximum likelihood."""
+    out = climate.spi(monthly_rain(spark, sf), "lluvia", "serie", "mes", [1, 3, 6], bounded=True, fit=climate.LIKELIHOOD)
+    return out.select("serie", "mes", *[rounded(f"spi_{k}", 5).alias(f"spi_{k}") for k in (1, 3, 6)])
+
+
 THERMAL = f"""{TEMPS}, clim AS (SELECT serie, month(mes) AS m, avg(temp) AS mu, stddev_samp(temp) AS sd FROM temps GROUP BY 1, 2),
 thermal AS (SELECT t.serie, t.mes, t.temp, CASE WHEN sd IS NULL OR sd = 0 THEN 0.0 ELSE (temp - mu) / sd END AS v FROM temps t JOIN clim c ON c.serie = t.serie AND c.m = month(t.mes))"""
 

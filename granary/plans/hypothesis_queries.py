@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from granary.operators import hypothesis as ht
 from granary.plans.catalog import query
-from granary.plans.inputs import PRICES, monthly_prices, phi, r, rounded
+from granary.plans.inputs import PRICES, exact_quantile_sql, monthly_prices, phi, polynomial_sql, r, rounded
 from granary.session import table
 
 JB = """mom AS (SELECT {k}, count(*) AS n, avg(x) AS mu FROM {src} GROUP BY 1),
@@ -53,6 +53,64 @@ def stationarity(spark, sf):
     return out.drop("kpss_statistic", "kpss_pvalue").withColumns({"adf_statistic": rounded("adf_statistic", 5), "adf_pvalue": rounded("adf_pvalue", 6)})
 
 
+def _moments(source: str, vector: str, least: str, name: str) -> str:
+    """CTE {name}(serie, rows, m): moment matrix, as a list of lists, of a vector over the rows of {source} from position {least} on."""
+    return f"""{name}_z AS MATERIALIZED (SELECT serie, {vector} AS z FROM {source} WHERE t >= {least}),
+{name}_s AS (SELECT serie, i, j, sum(z[i] * z[j]) AS s, count(*) AS c FROM (SELECT serie, z, i, unnest(range(1, len(z) + 1)) AS j FROM (SELECT serie, z, unnest(range(1, len(z) + 1)) AS i FROM {name}_z)) GROUP BY ALL),
+{name} AS (SELECT serie, any_value(c) AS rows, list(r ORDER BY i) AS m FROM (SELECT serie, i, any_value(c) AS c, list(s ORDER BY j) AS r FROM {name}_s GROUP BY serie, i) GROUP BY serie)"""
+
+
+def _eliminated(name: str) -> str:
+    """CTE {name}_e(serie, rows, k, m): what is left of the matrix after its first k variables are eliminated."""
+    cell = "m[i][j] - m[i][1] * m[1][j] / m[1][1]"
+    return f"""{name}_e AS (SELECT serie, rows, 0 AS k, m FROM {name} UNION ALL
+  SELECT serie, rows, k + 1, list_transform(range(2, len(m) + 1), lambda i: list_transform(range(2, len(m) + 1), lambda j: {cell})) FROM {name}_e WHERE len(m) > 1)"""
+
+
+AUGMENTED = f"""y AS (SELECT serie, row_number() OVER (PARTITION BY serie ORDER BY mes) - 1 AS t, precio - avg(precio) OVER (PARTITION BY serie) AS y, count(*) OVER (PARTITION BY serie) AS n FROM prices),
+d AS (SELECT serie, n, t, lag(y) OVER w AS y1, y - lag(y) OVER w AS dy, CAST(greatest(0, least(ceil(12 * pow(n / 100.0, 0.25)), n // 2 - 2)) AS INTEGER) AS most FROM y WINDOW w AS (PARTITION BY serie ORDER BY t)),
+h AS MATERIALIZED (SELECT *, list(dy) OVER (PARTITION BY serie ORDER BY t ROWS UNBOUNDED PRECEDING) AS hist FROM d),
+{_moments('h', '[1.0, y1] || list_transform(range(1, most + 1), lambda j: hist[t + 1 - j]) || [dy]', 'most + 1', 'common')}, {_eliminated('common')},
+best AS (SELECT serie, min({{'aic': rows * ln(m[len(m)][len(m)] / rows) + 2 * k, 'q': k - 2}}).q AS q FROM common_e WHERE k >= 2 GROUP BY serie),
+hq AS (SELECT h.*, q FROM h JOIN best USING (serie)),
+{_moments('hq', '[1.0] || list_transform(range(1, q + 1), lambda j: hist[t + 1 - j]) || [y1, dy]', 'q + 1', 'own')}, {_eliminated('own')},
+aug AS (SELECT o.serie, n, q, m[1][2] / m[1][1] / sqrt((m[2][2] - m[1][2] * m[1][2] / m[1][1]) / (rows - q - 2) / m[1][1]) AS t
+  FROM own_e o JOIN best b ON o.serie = b.serie AND o.k = q + 1 JOIN (SELECT serie, any_value(n) AS n FROM d GROUP BY 1) c ON c.serie = o.serie)"""
+MACKINNON = f"(CASE WHEN t > 2.74 THEN 1.0 WHEN t < -18.83 THEN 0.0 WHEN t <= -1.61 THEN {phi('(2.1659 + 1.4412 * t + 0.038269 * t * t)')} ELSE {phi('(1.7339 + 0.93202 * t - 0.12745 * t * t - 0.010368 * t * t * t)')} END)"
+
+
+@query(
+    "h03_stationarity_aic",
+    f"""WITH RECURSIVE {PRICES}, {AUGMENTED}, p AS (SELECT *, {MACKINNON} AS p FROM aug) SELECT serie, n AS n_observations, CAST(q AS INTEGER) AS adf_lags, {r('t', 4)} AS adf_statistic, {r('p', 5)} AS adf_pvalue,
+  CASE WHEN p < 0.05 THEN 'ESTACIONARIA_ESTRICTA' ELSE 'NO_CONCLUYENTE' END AS status, CASE WHEN p < 0.05 THEN 'ESTACIONARIA' ELSE 'NO_ESTACIONARIA' END AS decision FROM p""",
+)
+def stationarity_aic(spark, sf):
+    """Unit-root test with the number of lagged differences chosen by AIC."""
+    out = ht.stationarity(monthly_prices(spark, sf), ["serie"], "precio", ["mes"], bounded=True, lags=None)
+    return out.drop("kpss_statistic", "kpss_pvalue").withColumns({"adf_statistic": rounded("adf_statistic", 4), "adf_pvalue": rounded("adf_pvalue", 5)})
+
+
+SHAPIRO = f"""sw_x AS (SELECT serie, precio - avg(precio) OVER (PARTITION BY serie) AS x, count(*) OVER (PARTITION BY serie) AS n, row_number() OVER (PARTITION BY serie ORDER BY precio) AS i FROM prices),
+sw_m AS (SELECT *, {exact_quantile_sql('((i - 0.375) / (n + 0.25))')} AS m FROM sw_x),
+sw_s AS (SELECT serie, n, sum(m * m) AS mm, sum(m * x) FILTER (i BETWEEN 3 AND n - 2) AS mx, sum(x * x) AS xx, max(m) AS m1, max(m) FILTER (i = n - 1) AS m2,
+  max(x) - min(x) AS x1, max(x) FILTER (i = n - 1) - max(x) FILTER (i = 2) AS x2 FROM sw_m GROUP BY 1, 2),
+sw_a AS (SELECT *, m1 / sqrt(mm) + {polynomial_sql(ht.SHAPIRO_OUTER, '(1 / sqrt(n))')} AS a1, m2 / sqrt(mm) + {polynomial_sql(ht.SHAPIRO_NEXT, '(1 / sqrt(n))')} AS a2 FROM sw_s),
+sw_w AS (SELECT serie, n, pow(mx / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) + a1 * x1 + a2 * x2, 2) / xx AS w FROM sw_a),
+sw AS (SELECT serie, w, 1 - {phi(f"((ln(1 - w) - {polynomial_sql(ht.SHAPIRO_MEAN, 'ln(n)')}) / exp({polynomial_sql(ht.SHAPIRO_SPREAD, 'ln(n)')}))")} AS sp FROM sw_w)"""
+
+
+@query(
+    "h01_normality_shapiro",
+    f"""WITH {PRICES}, src AS (SELECT serie, precio AS x FROM prices), {JB.format(k='serie', src='src')}, {SHAPIRO}, both_ AS (SELECT *, least(exp(-0.5 * jb), sp) AS p FROM jb JOIN sw USING (serie))
+SELECT serie, n AS n_observations, {r('jb', 4)} AS statistic, {r('p', 6)} AS p_value, {r('w', 6)} AS shapiro_statistic, {r('sp', 6)} AS shapiro_pvalue,
+  p < 0.05 AS alpha_05_rejected, p < 0.01 AS alpha_01_rejected, CASE WHEN p < 0.05 THEN 'RECHAZA_H0' ELSE 'NO_RECHAZA_H0' END AS decision FROM both_""",
+)
+def normality_shapiro(spark, sf):
+    """Jarque-Bera and Shapiro-Wilk together; the smaller p-value decides."""
+    out = ht.normality(monthly_prices(spark, sf), ["serie"], "precio", shapiro=True).drop("skewness", "kurtosis")
+    return out.withColumns({"statistic": rounded("statistic", 4), **{c: rounded(c, 6) for c in ("p_value", "shapiro_statistic", "shapiro_pvalue")}})
+
+
 KPSS = """e AS (SELECT serie, x - avg(x) OVER (PARTITION BY serie) AS e, count(*) OVER (PARTITION BY serie) AS n, row_number() OVER (PARTITION BY serie ORDER BY mes) AS i FROM src),
 pilot AS (SELECT serie, max(n) AS n, greatest(CAST(floor(pow(max(n), 2.0 / 9.0)) AS INTEGER), 1) AS l0, sum(e * e) AS sse FROM e GROUP BY 1),
 cov AS (SELECT a.serie, b.i - a.i AS j, sum(a.e * b.e) AS c FROM e a JOIN e b ON a.serie = b.serie AND b.i > a.i AND b.i - a.i <= 60 GROUP BY 1, 2),

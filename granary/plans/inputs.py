@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.functions import special
 from granary.session import table
 
 
@@ -69,7 +70,7 @@ def monthly_rain(spark: SparkSession, sf: str) -> DataFrame:
     """
     li = lineitem(spark, sf)
     sums = li.groupBy(F.col("l_suppkey").alias("serie"), month("l_shipdate").alias("mes")).agg(
-        F.sum(F.when(F.col("l_linenumber") <= 2, F.col("l_quantity")).otherwise(0.0)).alias("lluvia")
+        F.sum("l_quantity").alias("lluvia")
     )
     edges = sums.agg(F.min("mes").alias("lo"), F.max("mes").alias("hi"))
     lo, hi = edges.select("lo").scalar(), edges.select("hi").scalar()
@@ -80,7 +81,7 @@ def monthly_rain(spark: SparkSession, sf: str) -> DataFrame:
 
 RAIN = """sums AS (
   SELECT l_suppkey AS serie, CAST(date_trunc('month', l_shipdate) AS DATE) AS mes,
-         sum(CASE WHEN l_linenumber <= 2 THEN l_quantity ELSE 0.0 END) AS lluvia
+         sum(l_quantity) AS lluvia
   FROM lineitem GROUP BY 1, 2),
 cal AS (SELECT CAST(unnest(generate_series(min(mes), max(mes), INTERVAL 1 MONTH)) AS DATE) AS mes FROM sums),
 rain AS (
@@ -164,6 +165,18 @@ def phi(z: str) -> str:
     return f"(0.5 * (1 + {ERF_SQL.format(x=f'(({z})/sqrt(2.0))')}))"
 
 
+def polynomial_sql(coefficients, x: str) -> str:
+    return "(" + " + ".join(f"CAST({c!r} AS DOUBLE) * pow({x}, {k})" for k, c in enumerate(coefficients)) + ")"
+
+
+def exact_quantile_sql(p: str) -> str:
+    """Normal quantile to full precision."""
+    ratio = lambda pair, at: f"{polynomial_sql(pair[0], at)} / {polynomial_sql(pair[1], at)}"
+    q, tail = f"({p} - 0.5)", f"(sqrt(-ln(least({p}, 1 - {p}))) - {special.QUANTILE_TAIL_SHIFT})"
+    centre = f"({special.QUANTILE_CENTRE_SHIFT} - {q} * {q})"
+    return f"(CASE WHEN abs({q}) <= {special.QUANTILE_CUT} THEN {q} * {ratio(special.QUANTILE_CENTRE, centre)} ELSE sign({q}) * {ratio(special.QUANTILE_TAIL, tail)} END)"
+
+
 # SQL macro-like snippets for the normal quantile.
 def quantile_sql(p: str) -> str:
     t = f"sqrt(-2.0 * ln(CASE WHEN {p} < 0.5 THEN {p} ELSE 1.0 - ({p}) END))"
