@@ -1,12 +1,15 @@
 """Mixes documents to target weights of domains that are known only as probabilities.
 
 A classifier learned from labelled rows gives every document a probability for each domain (soft membership), so a
-domain's tokens are expected totals. Rates, how often each document is to be used, are then fitted so that the expected
-totals under these rates match the targets: least squares, and of all such rates those that change documents least. A
-document of a domain that does not shrink has a rate of 1 at least, any other one of 0. The limit of projected gradient
-steps from rates of 1 is then the bound or 1 + posterior * change, whichever is more, with one change per domain for all
-documents; these few numbers are found by Newton steps, each of which needs a few sums from all documents (``settle``).
-Rates become whole copies by a hash of the document.
+domain's tokens are expected totals. Nonnegative rates, how often each document is to be used, are then fitted so that the
+expected totals under these rates match the targets: least squares, and of all such rates those that change documents
+least. In the metric that weighs documents by their tokens, a document's gradient is its posterior times the errors of the
+domains, so rates that started at 1 are always the bound or 1 + posterior * change, whichever is more, with one change per
+domain for all documents. A step moves these few numbers against the gradient, scaled by the curvature of the documents above the bound
+(plain steps would need thousands of passes), and projects all rates onto the bound again; it needs a few sums from all
+documents (``settle``). Steps go on until the gradient is gone, or the fit fails. The bound is 0; with ``floor``, a
+document of a domain that does not shrink has a rate of 1 at least, which keeps totals from their targets where posteriors
+overlap. Rates become whole copies by a hash of the document.
 
 Results in special cases: a NULL or blank text has no tokens and keeps the rate that its probabilities give; repeated
 rows get equal rates; labels that are NULL or name no document are not learned from; with labels of one domain only,
@@ -200,9 +203,12 @@ def stays(tokens: list[float], targets: list[float]) -> list[bool]:
     return [bool(t >= s * (1 - 1e-9)) for s, t in zip(tokens, targets)]
 
 
-def settle(rows: DataFrame, weights: dict[str, float], anchor: str = DOMAINS[0]) -> Fit:
+def settle(rows: DataFrame, weights: dict[str, float], anchor: str = DOMAINS[0], floor: bool = False) -> Fit:
     """The rates for ``rows`` (n_tokens, posterior) that gradient steps, held above the bounds at each step, end at.
 
+    The total is chosen so that the anchor's tokens stay as they are. ``floor``: documents of domains that do not shrink keep a
+    rate of 1 at least.
+
     Least squares of the totals' errors, each relative to its domain's own tokens, plus a small share (1 / STIFFNESS) of
     the squared changes of documents weighted by their tokens. Its rates are max(bound, 1 + posterior * change), so only
     the changes are unknown. They are where a convex function of them is least; its gradient and curvature are sums over
@@ -214,7 +220,7 @@ def settle(rows: DataFrame, weights: dict[str, float], anchor: str = DOMAINS[0])
     targets = targets_of(tokens, weights, anchor)
     total = max(tokens.sum(), 1.0)
     scale = np.sqrt(np.maximum(tokens, 1e-6 * total))
-    least = [1.0 if x else 0.0 for x in stays(tokens.tolist(), targets.tolist())]
+    least = [1.0 if floor and x else 0.0 for x in stays(tokens.tolist(), targets.tolist())]
 
     def measured(changes: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
         """Value, gradient, curvature and totals at each of some changes (in units of 1 / scale), in one pass."""
@@ -263,7 +269,7 @@ def settle(rows: DataFrame, weights: dict[str, float], anchor: str = DOMAINS[0])
 
 
 def fit_rates(rows: DataFrame, weights: dict[str, float], anchor: str = DOMAINS[0]) -> Fit:
-    """The first plain gradient steps for ``rows`` (n_tokens, posterior), without bounds but 0; ``settle`` has where they lead.
+    """The first plain gradient steps for ``rows`` (n_tokens, posterior), for comparison; ``settle`` has where they lead.
 
     The total is chosen so that the anchor's tokens stay as they are. In the metric that weighs documents by their
     tokens the gradient for a document is its posterior times the errors of the domains, so rates depend on the posterior alone, and
@@ -298,18 +304,18 @@ def fit_rates(rows: DataFrame, weights: dict[str, float], anchor: str = DOMAINS[
 
 
 def copies(rate: Column, posterior: Column, fit: Fit, *key: Column) -> Column:
-    """Whole copies whose expectation is the rate; a document of a domain that does not shrink is kept once at least."""
+    """Whole copies whose expectation is the rate, and no fewer than the fit's bounds."""
     draw = F.pmod(F.xxhash64(*key, F.lit("copies")), F.lit(1 << 40)) / float(1 << 40)
-    least = bound_of(posterior, [float(x) for x in stays(fit.tokens, fit.targets)])
+    least = bound_of(posterior, fit.least or [0.0] * len(DOMAINS))
     return F.greatest(F.floor(rate + draw), least).cast("int")
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keep: list[str] | None = None, floor: bool = False) -> DataFrame:
     """``keep``, n_tokens, posterior, domain (the likeliest), rate, copies of every document."""
     keep = ["doc_id"] if keep is None else keep
     model = learn(docs, labels)
     small = written(with_posteriors(docs.select(*dict.fromkeys([*keep, "doc_id", "text"])), model).drop("text"), "posteriors")
-    return rated(small, settle(small, weights)).select(*keep, "n_tokens", "posterior", "domain", "rate", "copies")
+    return rated(small, settle(small, weights, floor=floor)).select(*keep, "n_tokens", "posterior", "domain", "rate", "copies")
 
 
 def rated(rows: DataFrame, fit: Fit) -> DataFrame:
