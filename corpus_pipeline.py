@@ -41,8 +41,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the fitted rates ask for; of the first gradient steps, which tests/llm/test_pipeline.py compares with."""
-    return soft_mixing.resample(docs.select(*DOCUMENT_COLUMNS), table(spark, sf_dir, "labels"), WEIGHTS, soft_mixing.fit_rates)
+    """Documents as often as the fitted rates ask for, with the fit of ``op5_soft_mixing``."""
+    return soft_mixing.resample(docs.select(*DOCUMENT_COLUMNS), table(spark, sf_dir, "labels"), WEIGHTS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
