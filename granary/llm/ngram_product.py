@@ -11,9 +11,9 @@ multiplied, and only in columns that matter:
    there on must reach t / (1 + t) of both sizes. Each row also carries ``MARKS`` parity bits of its n-grams: marks that
    differ are never more than n-grams that differ, which bounds the overlap from above. What is left gets its whole overlap
    summed up, and only rows in such pairs are read again whole.
-4. A column that a whole group of copies shares is not multiplied out. In a first product each column has two rows as
-   partners, the one whose place of this column is earliest and one that a hash picks anew in each column; its links make
-   components (large-star and small-star steps). It may leave links out. In a second product, rows of different components meet, so a group that hangs together already gives no pairs.
+4. A column that a whole group of copies shares is not multiplied out. In a first product two rows stand for each
+   column, the one whose place of this column is earliest and one that a hash picks anew in each column; every row meets
+   two of those that stand for its columns, and their links make components (large-star and small-star steps). It may leave links out. In a second product, rows of different components meet, so a group that hangs together already gives no pairs.
    Long columns are cut into blocks of ``PART`` rows; rows of the component that most of a column belongs to are
    asked for, but never ask. Both products together link whatever all pairs would link.
 
@@ -240,14 +240,17 @@ def _linked(docs: DataFrame, pairs: DataFrame, named: DataFrame, words: int, per
 
 
 def _first_product(columns: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of each row and, in each of its columns, the earliest row there and one that a hash picks."""
-    row = F.struct("sid", "n", "marks")
+    """Pairs (a, b, na, nb) of each row and two of the rows that stand for its columns: the earliest ones and some that a hash picks."""
+    row = F.struct("sid", "n", "marks", "pos")
     heads = columns.groupBy("g").agg(F.min(F.struct("pos", "n", "sid", row.alias("row")))["row"].alias("e"), F.min(F.struct(F.xxhash64("g", "sid"), row.alias("row")))["row"].alias("r"))
     heads = heads.select("g", F.explode(F.array_distinct(F.array("e", "r"))).alias("h"))
-    heads = heads.select("g", F.col("h.sid").alias("a"), F.col("h.n").alias("na"), F.col("h.marks").alias("marks_a"))
+    heads = heads.select("g", F.col("h.sid").alias("a"), F.col("h.n").alias("na"), F.col("h.marks").alias("marks_a"), F.col("h.pos").alias("pos_a"))
     n, na = F.col("n"), F.col("na")
     met = columns.join(heads, "g").where("sid <> a").where(_sizes_fit(n, na, percent) & _marks_fit("marks", "marks_a", n, na, percent))
-    return met.select("a", F.col("sid").alias("b"), "na", n.alias("nb")).distinct()
+    # of a row's partners, two are enough to hang a group together: by a hash, which the rows of a group agree on, and by place
+    other = F.struct("a", "na")
+    two = met.groupBy("sid", "n").agg(F.min(F.struct(F.xxhash64("a"), other.alias("o")))["o"].alias("x"), F.min(F.struct("pos_a", "na", "a", other.alias("o")))["o"].alias("y"))
+    return two.select("sid", "n", F.explode(F.array_distinct(F.array("x", "y"))).alias("h")).select(F.col("h.a").alias("a"), F.col("sid").alias("b"), F.col("h.na").alias("na"), F.col("n").alias("nb"))
 
 
 def _second_product(columns: DataFrame, component: DataFrame, percent: int) -> DataFrame:
