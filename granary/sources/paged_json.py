@@ -4,9 +4,11 @@
 (``path`` option, sub-folders ``page_offset=N``) or from a REST endpoint (``url`` option,
 query parameters ``$limit``, ``$offset``, ``$order``). Every listed folder is a page, whatever
 its offset, and is read whole: ``limit`` is the size that is asked for, and only
-``max_records`` ends the read. Where the number of records is known (``total``), all pages of an
-endpoint load in parallel and a lost task simply fetches its page again; without it one task
-asks for page after page until one comes back short or empty.
+``max_records`` ends the read. All pages of an endpoint load in parallel, and a lost task simply
+fetches its page again. Where the number of records is not known (no ``total``), the last page is
+searched for with about 2 log2(pages) requests for one record each while the read is planned; the
+partition of the last page goes on until an answer is empty, so records that arrive later are read too.
+An endpoint that answers with less than was asked for is asked again for the rest of the page.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 import json
 import urllib.parse
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import SparkSession
@@ -23,6 +25,8 @@ from pyspark.sql.types import StructType
 
 PAGE_SIZE = 50_000
 ORDER = ":id"
+#: An endpoint that still answers this far out does not heed the offset.
+MOST_PAGES = 1 << 32
 
 
 class Page(InputPartition):
@@ -39,6 +43,21 @@ def plan_pages(total: int, page_size: int, max_records: int | None) -> list[tupl
     return [(at, min(page_size, end - at)) for at in range(0, end, page_size)]
 
 
+def last_page(holds: Callable[[int], bool]) -> int:
+    """The last page that holds records (-1: none), if none before it is empty: by doubling, then by halving."""
+    if not holds(0):
+        return -1
+    low, high = 0, 1
+    while holds(high):
+        low, high = high, 2 * high
+        if high > MOST_PAGES:
+            raise ValueError("the endpoint answers at any offset")
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if holds(middle) else (low, middle)
+    return low
+
+
 def _records(body: str) -> list[dict]:
     """The records of a page; anything but a list holds none."""
     data = json.loads(body) if body.strip() else []
@@ -59,7 +78,8 @@ class PagedReader(DataSourceReader):
             return [Page(o, size) for o in offsets if end is None or o < end]
         if "total" in self.options:
             return [Page(o, n) for o, n in plan_pages(int(self.options["total"]), size, end)]
-        return [Page(0, size, follow=True)]
+        last = last_page(lambda k: (end is None or k * size < end) and bool(_records(self.fetch(k * size, 1))))
+        return [Page(k * size, size, follow=k == last) for k in range(last + 1)] or [Page(0, size)]
 
     def _end(self) -> int | None:
         cap = self.options.get("max_records")
@@ -82,13 +102,15 @@ class PagedReader(DataSourceReader):
                         yield _records(f.read().decode("utf-8"))
             return
         at, end = page.offset, self._end()
-        while True:
+        if not page.follow:
+            end = at + page.size if end is None else min(end, at + page.size)
+        while end is None or at < end:
             size = page.size if end is None else min(page.size, end - at)
-            records = _records(self.fetch(at, size)) if size > 0 else []
+            records = _records(self.fetch(at, size))[:size]
+            if not records:
+                return
             yield records
             at += len(records)
-            if not page.follow or len(records) < page.size:
-                return
 
     def read(self, partition: Page) -> Iterator[tuple]:
         at, end = partition.offset, self._end()

@@ -1,6 +1,7 @@
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,23 +61,62 @@ def test_pages(spark, tmp_path):
     assert paged_json.plan_pages(120_000, 50_000, 110_000) == [(0, 50_000), (50_000, 50_000), (100_000, 10_000)]
 
 
-def test_endpoint_without_total():
-    schema = T.StructType([T.StructField("id", T.LongType())])
-
+def stub_reader(records, served=10**9):
     class Stub(paged_json.PagedReader):
+        """An endpoint of so many records that answers with ``served`` of them at most."""
+
+        asked = 0
+
         def fetch(self, offset, size):
-            return json.dumps([{"id": k} for k in range(offset, min(offset + size, records))])
-
-    for records in (0, 3, 4, 5):
-        for cap in ({}, {"max_records": "3"}):
-            reader = Stub(schema, {"url": "stub:", "limit": "2"} | cap)
-            (page,) = reader.partitions()
-            assert [r[0] for r in reader.read(page)] == list(range(min(records, 3) if cap else records))
-    records = 5
-    reader = Stub(schema, {"url": "stub:", "limit": "2", "total": "5"})
+            self.asked += 1
+            return json.dumps([{"id": k} for k in range(offset, min(offset + min(size, served), records))])
+
+    return Stub
+
+
+def test_endpoint_without_total():
+    schema = T.StructType([T.StructField("id", T.LongType())])
+    for records in (0, 1, 2, 3, 4, 5, 16, 17, 1001):
+        for cap in (None, 1, 3, 4):
+            for served in (1, 2, 10):
+                reader = stub_reader(records, served)(schema, {"url": "stub:", "limit": "2"} | ({"max_records": str(cap)} if cap else {}))
+                pages = reader.partitions()
+                want = list(range(records if cap is None else min(records, cap)))
+                assert len(pages) == max(1, -(-len(want) // 2)) and reader.asked <= 24
+                assert [r[0] for p in pages for r in reader.read(p)] == want
+    reader = stub_reader(5)(schema, {"url": "stub:", "limit": "2", "total": "5"})
     assert [[r[0] for r in reader.read(p)] for p in reader.partitions()] == [[0, 1], [2, 3], [4]]
 
 
+def test_records_that_arrive_after_planning_are_read():
+    schema = T.StructType([T.StructField("id", T.LongType())])
+    options = {"url": "stub:", "limit": "2"}
+    pages = stub_reader(5)(schema, options).partitions()
+    assert [r[0] for p in pages for r in stub_reader(9)(schema, options).read(p)] == list(range(9))
+
+
+def test_an_endpoint_that_ignores_the_offset_is_refused():
+    with pytest.raises(ValueError):
+        paged_json.last_page(lambda k: True)
+    assert [paged_json.last_page(lambda k, n=n: k < n) for n in range(40)] == list(range(-1, 39))
+
+
+def test_endpoint_is_read_by_many_tasks(spark):
+    reader = stub_reader(95)
+
+    class StubPages(paged_json.PagedJson):
+        @classmethod
+        def name(cls):
+            return "stub_pages"
+
+        def reader(self, schema):
+            return reader(schema, dict(self.options))
+
+    spark.dataSource.register(StubPages)
+    rows = spark.read.format("stub_pages").schema("id long").options(url="stub:", limit=10).load()
+    assert rows.select("id", F.spark_partition_id().alias("p")).agg(F.count("*"), F.sum("id"), F.count_distinct("p")).first()[:] == (95, 95 * 94 // 2, 10)
+
+
 def test_nested_response(spark):
     body = {"results": [{"result": {"data": {"dsr": {"DS": [{"PH": [{"DM0": [{"C": ["05001", "BOVINO", 7]}, {"C": []}, {"C": ["11001"]}]}]}]}}}}]}
     df = spark.createDataFrame([(json.dumps(body),), ("not json",)], "j string")
