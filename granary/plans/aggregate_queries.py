@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.functions import labels
-from granary.operators import profiling
+from granary.operators import profiling, sketches
 from granary.plans.catalog import query
 from granary.plans.cleaning_queries import INFLATION_CASE
 from granary.plans.inputs import PRICES, TEMPS, lineitem, month, monthly_discounts, monthly_prices, r, rounded
@@ -32,6 +32,30 @@ def column_profile(spark, sf):
     return profiling.column_profile(profiled(spark, sf)).drop("dtype")
 
 
+@query(
+    "a01_sketch_profile",
+    "WITH o AS (SELECT o_custkey, o_orderstatus, o_orderdate, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS precio FROM orders) "
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS total_rows, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_count, true AS unique_close,
+{'true' if number else 'NULL'} AS median_close FROM o"""
+        for c, number in zip(PROFILED, (True, False, False, True))
+    ),
+)
+def sketch_profile(spark, sf):
+    """Each year's orders are a load of their own; the merged profile is held against exact counts and ranks."""
+    o = profiled(spark, sf)
+    profile = sketches.sketch_profile(sketches.merge_sketches(sketches.column_sketches(o, F.year("o_orderdate"))))
+    exact = profiling.column_profile(o).select("column", "unique_count")
+    medians = profile.where(F.col("median").isNotNull()).select("column", "median")
+    below = profiling.melt_numbers(o, ["o_custkey", "precio"]).join(medians, "column").groupBy("column").agg(
+        F.avg((F.col("value") < F.col("median")).cast("int")).alias("under"), F.avg((F.col("value") <= F.col("median")).cast("int")).alias("upto")
+    )
+    close = F.abs(F.col("unique_estimate") - F.col("unique_count")) <= 0.025 * F.col("unique_count")
+    out = profile.join(exact, "column").join(below, "column", "left")
+    median_close = (F.col("under") <= 0.51) & (F.col("upto") >= 0.49)
+    return out.select("column", "total_rows", "null_count", "unique_count", close.alias("unique_close"), median_close.alias("median_close"))
+
+
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount"]
 
 

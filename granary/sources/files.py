@@ -80,3 +80,11 @@ def content_fingerprint(df: DataFrame) -> DataFrame:
         F.coalesce(F.bit_xor(row), F.lit(0)).alias("hash_xor"),
         F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).alias("hash_sum"),
     )
+
+
+def state(spark: SparkSession, path: str) -> tuple:
+    """Name, time, size and number of files of whatever lies directly in ``path``: it changes when a table there is rewritten."""
+    fs, p = _fs(spark, path)
+    found = [(s.getPath(), s.getModificationTime()) for s in fs.listStatus(p)]
+    sized = [(q.getName(), at, fs.getContentSummary(q)) for q, at in found]
+    return tuple(sorted((name, at, s.getLength(), s.getFileCount()) for name, at, s in sized))

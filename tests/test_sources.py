@@ -9,7 +9,8 @@ from granary.sources import paged_json
 from granary.sources.files import content_fingerprint, file_hashes
 from granary.sources.landing import CleanStore, IndicatorStore, Landing, cleaner_for
 from granary.sources.nested_json import flatten_response
-from granary.sources.warehouse import Warehouse
+from granary.sources.partitioned import PartitionedTable
+from granary.sources.star_store import StarStore
 
 
 def test_landing_is_write_once_and_audited(spark, tmp_path):
@@ -134,11 +135,35 @@ def test_stores(spark, tmp_path):
     assert [cleaner_for(*a) for a in (("upra", "eva_2022"), ("dane", "exportaciones"), ("x", "temperatura"), ("dane", "y"), ("ica", "z"))] == ["eva", "trade", "ideam", "sipsa", "generic"]
 
 
-def test_warehouse_versions(spark, tmp_path):
-    w = Warehouse(spark, str(tmp_path))
+def test_star_store(spark, tmp_path):
+    w = StarStore(spark, str(tmp_path))
     w.initialize()
+    assert w.table("fact_precios_sipsa").count() == 0
     row = spark.createDataFrame([(1, "U", "X")], "id_insumo int, nombre_insumo string, categoria_insumo string")
-    w.replace("dim_insumo", row)
-    w.replace("dim_insumo", w.table("dim_insumo").unionByName(row.withColumn("id_insumo", F.lit(2))))
+    w.load("dim_insumo", row)
+    w.load("dim_insumo", w.table("dim_insumo").unionByName(row.withColumn("id_insumo", F.lit(2))))
     w.initialize()
     assert w.table("dim_insumo").count() == 2
+    prices = spark.createDataFrame([(202301, "05001", 1, 2.0), (202412, "05001", 1, 3.0), (None, "05001", 1, 4.0)], w.table("fact_precios_sipsa").schema)
+    w.load("fact_precios_sipsa", prices)
+    w.load("fact_precios_sipsa", prices)
+    assert w.table("fact_precios_sipsa").count() == 3
+    w.load("fact_precios_sipsa", prices.where("id_tiempo = 202412").withColumn("precio_promedio", F.lit(9.0)))
+    assert sorted(r.precio_promedio for r in w.table("fact_precios_sipsa").collect()) == [2.0, 4.0, 9.0]
+
+
+def test_an_update_rewrites_touched_partitions_alone(spark, tmp_path):
+    t = PartitionedTable(spark, str(tmp_path / "t"), "k int, v string, code string", "code")
+    assert t.read().count() == 0
+    t.load(spark.createDataFrame([(1, "a", "001"), (2, "a", "01"), (3, "b", None), (4, None, "02")], "k int, v string, code string"))
+    files = lambda: {f for f in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    got = t.update(F.col("v") == "b", {"v": F.lit("c")})
+    assert [(r.code, r.affected_rows) for r in got.collect()] == [(None, 1)] and len(before - files()) == 1
+    assert sorted(t.read().collect(), key=lambda r: r.k) == [(1, "a", "001"), (2, "a", "01"), (3, "c", None), (4, None, "02")]
+    before = files()
+    assert t.update(F.col("v") == "none", {"v": F.lit("x")}).count() == 0 and files() == before
+    t.update(F.col("k").isin(1, 3), {"v": F.concat("v", F.lit("!"))})
+    assert sorted(r.v for r in t.read().where("v IS NOT NULL").collect()) == ["a", "a!", "c!"]
+    with pytest.raises(ValueError):
+        t.update(F.lit(True), {"code": F.lit("x")})
