@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ BREAK = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-__all__ = ["BREAK", "DOCUMENT_COLUMNS", "ascii_lower", "bounded_share", "table", "words_of", "written"]
+__all__ = ["BREAK", "DOCUMENT_COLUMNS", "ascii_lower", "bounded_share", "named_back", "set_apart", "table", "words_of", "written"]
 
 
 def ascii_lower(col: Column) -> Column:
@@ -35,3 +37,20 @@ def bounded_share(df: DataFrame, bound: int, key: Column, rows: int | None = Non
         return df
     span = 1 << 30
     return df.where(F.pmod(F.xxhash64(key, F.lit("share")), F.lit(span)) < int(span * bound / rows))
+
+
+def set_apart(docs: DataFrame, results: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` without columns named like a result, and with those that start with ``_`` under names no operator uses.
+
+    The second value is for ``named_back``. Names are compared as Spark does, without regard to case. Only names change,
+    so the plan stays what it was.
+    """
+    taken = {name.lower() for name in results}
+    kept = [c for c in docs.columns if c.lower() not in taken]
+    names = {f"input column {k}": c for k, c in enumerate(kept) if c.startswith("_")}
+    new = {c: n for n, c in names.items()}
+    return docs.select(*[F.col(f"`{c}`").alias(new.get(c, c)) for c in kept]), names
+
+
+def named_back(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.withColumnsRenamed(names) if names else rows

@@ -7,7 +7,8 @@ expression, so scoring is a single pass without a shuffle.
 
 Results in special cases: a NULL or blank text has no words, all counts 0 and fails the base rule; repeated rows are
 judged each; without labels, or with labels of one class only, the list is empty and the base rule alone decides;
-labels that are NULL or whose document is missing are not learned from.
+labels that are NULL or whose document is missing are not learned from. An empty table gives no rows; very long texts are
+one row each, whole; other columns are carried along, but one named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.nulls import stage
-from granary.llm.common import bounded_share, words_of
+from granary.llm.common import bounded_share, named_back, set_apart, words_of
 
 #: Labelled rows that the list is learned from, at most.
 SAMPLE_ROWS = 20_000
@@ -100,6 +101,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumns(ratios).drop("_n_lines", "_distinct", "_upper", "_bangs", "_digits", "_stops")
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = (
     "mean_word_chars symbol_share upper_share bang_share digit_share stop_share distinct_share dup_line_share repeat_share words_per_line"
 ).split()
@@ -198,5 +200,6 @@ def decision(rules: Rules) -> Column:
 
 def judge(docs: DataFrame, rules: Rules) -> DataFrame:
     """``docs`` with the statistics, base_failed, rule (the learned rule that rejects it, or NULL) and kept."""
+    docs, names = set_apart(docs, [*COUNTS, *FEATURES, "base_failed", "rule", "kept"])
     rows = with_statistics(docs).withColumns({"base_failed": base_failed(), "rule": decision(rules)})
-    return rows.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    return named_back(rows.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), names)

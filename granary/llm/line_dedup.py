@@ -15,7 +15,7 @@ and line number, lies within the bound, whether or not that line stays itself.
 Results in special cases: a NULL text stays NULL, and lines without a word always stay; rows with the same doc_id and
 text are one document and keep the same lines; rows with the same doc_id and other text are ordered by a hash of the
 text; a NULL doc_id comes first; an empty table gives no rows; other columns are carried along, whatever their names,
-but for those starting with ``_ld``.
+but one named like a result (n_lines, n_kept) is replaced by it.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.nulls import stage
-from granary.llm.common import words_of, written
+from granary.llm.common import named_back, set_apart, words_of, written
 
 #: Lines of fewer words have no near copies, only equal ones: one word would be more than a tenth of them.
 LEAST_WORDS = 10
@@ -120,6 +120,7 @@ def same_document(left: str, right: str) -> Column:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with text reduced to the lines that stay, and n_lines, n_kept: lines that have a word, before and after."""
+    docs, names = set_apart(docs, ["n_lines", "n_kept"])
     classes = written(classes_of(lines_of(docs)), "line-classes")
     keyed = docs.select("*", F.col("doc_id").cast("long").alias("_ld_doc"), F.xxhash64("text").alias("_ld_text"))
     # the words of the lines that may have a near copy, fetched by document
@@ -142,6 +143,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     stays = F.transform(F.sort_array(F.concat("_ld_keep", "_ld_blank")), lambda i: F.get("_ld_lines", i))
     others = [F.col(f"`{x}`") for x in docs.columns if x != "text"]
     n_lines = F.coalesce(F.size("_ld_lines") - F.size("_ld_blank"), F.lit(0))
-    return rows.select(
+    out = rows.select(
         *others, F.array_join(stays, "\n").alias("text"), F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.size("_ld_keep").cast("long").alias("n_kept")
     )
+    return named_back(out, names)

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from granary.llm import decision_list as d
 
@@ -69,3 +70,13 @@ def test_given_labels(spark):
     rows = d.judge(docs, rules).where("not base_failed").join(labels, "doc_id").collect()
     assert all(r.kept for r in rows if r.quality == 1)
     assert sum(not r.kept for r in rows if r.quality == 0) >= 0.8 * sum(r.quality == 0 for r in rows)
+
+
+def test_input_columns_may_have_any_name(spark):
+    plain = spark.createDataFrame([(1, "a few words " * 9), (2, None)], "doc_id long, text string")
+    clash = plain.select("*", *[F.lit(f"<{c}>").alias(c) for c in ("_words", "_lines", "_pairs", "_at", "_upper", "_own", "a.b")], *[F.lit("x").alias(c) for c in ("N_WORDS", "kept", "rule", "stop_share")])
+    want = d.judge(plain, [])
+    got = d.judge(clash, [])
+    assert sorted(got.select(want.columns).collect(), key=lambda r: r.doc_id) == sorted(want.collect(), key=lambda r: r.doc_id)
+    first = got.first()
+    assert all(first[c] == f"<{c}>" for c in ("_words", "_lines", "_pairs", "_at", "_upper", "_own", "a.b")) and len(set(map(str.lower, got.columns))) == len(got.columns)

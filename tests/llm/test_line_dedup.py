@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from granary.llm.line_dedup import LEAST_WORDS, dedup_lines
 
 SCHEMA = "doc_id long, text string, other string"
@@ -83,3 +85,12 @@ def test_special_rows(spark):
         ("f", "\n\nX y", 2, 1),
     ]
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_input_columns_may_have_any_name(spark):
+    plain = spark.createDataFrame([(1, "one\ntwo"), (2, "two\nthree"), (3, None)], "doc_id long, text string")
+    own = ("_ld_doc", "_ld_text", "_ld_keep", "_ld_lines", "_x", "a.b", "words", "id")
+    clash = plain.select("*", *[F.lit(f"<{c}>").alias(c) for c in own], F.lit("x").alias("N_LINES"), F.lit("x").alias("n_kept"))
+    got = sorted(dedup_lines(clash).collect(), key=lambda r: r.doc_id)
+    assert [(r.text, r.n_lines, r.n_kept) for r in got] == [("one\ntwo", 2, 2), ("three", 2, 1), (None, 0, 0)]
+    assert all(r[c] == f"<{c}>" for r in got for c in own)
