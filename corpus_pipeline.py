@@ -1,6 +1,8 @@
 """From raw documents to packed sequences, one operator a stage.
 
-Every stage but the last returns the columns of ``documents``; each reads what the stage before it has written.
+Every stage but the last returns the columns of ``documents``; each reads what the stage before it has written, and of
+that the columns of ``documents`` alone, so further columns, whatever their names, are no part of any stage. An empty
+table stays empty; NULLs, long texts, ties and repeated rows are treated as the stages' operators say.
 """
 
 from __future__ import annotations
@@ -20,18 +22,18 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor a learned rule rejects."""
     rules = decision_list.learn_from(docs, table(spark, sf_dir, "labels"))
-    return decision_list.judge(docs, rules).where("kept").select(*DOCUMENT_COLUMNS)
+    return decision_list.judge(docs.select(*DOCUMENT_COLUMNS), rules).where("kept").select(*DOCUMENT_COLUMNS)
 
 
 def line_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line repeats; those of which no word is left go."""
-    rows = line_dedup.dedup_lines(docs).where(F.col("n_kept") > 0)
+    rows = line_dedup.dedup_lines(docs.select(*DOCUMENT_COLUMNS)).where(F.col("n_kept") > 0)
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; of equal ids, the one with the smallest hash of its text."""
-    keyed = docs.select("*", F.xxhash64("text").alias("_hash"))
+    keyed = docs.select(*DOCUMENT_COLUMNS, F.xxhash64("text").alias("_hash"))
     found = simhash_trees.near_copies(keyed, ["doc_id", "_hash"])
     first = found.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "_hash")).alias("first"))
     a, b = keyed.alias("a"), first.select("first.doc_id", "first._hash").alias("b")
