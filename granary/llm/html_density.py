@@ -6,8 +6,10 @@ largest sum holds the article, together with its article element or headings. De
 are the threshold that branches beside this way have to reach to be taken as well.
 
 Scripts, styles, menus, footers, side columns, notices, adverts and comments of readers are no candidates: they are
-taken out by element, role or class before densities are computed. So are forms, if they hold little prose for their
-controls.
+taken out by element, role or class before densities are computed. A class or id marks an element only if all of its words
+are known (``ad-box``, not ``ad-hoc``), and everyday words (``notice``) mark nothing inside an article unless the element
+holds controls or little but links. Forms go if they hold little prose for their controls, asides unless they are
+quotations in an article.
 
 Each page is parsed on its own in one pass over its tags; nothing is shuffled.
 
@@ -31,10 +33,11 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr rb rp rt rtc ruby".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr rb rp rt rtc ruby "
+    "math menclose mfenced mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split()
 )
 DROPPED = frozenset(
-    "script style noscript template head title meta link nav footer aside button select option input textarea label fieldset iframe object embed applet svg math canvas audio video map dialog menu xmp noembed noframes".split()
+    "script style noscript template head title meta link nav footer button select option input textarea fieldset iframe object embed applet svg annotation annotation-xml canvas audio video map dialog menu xmp noembed noframes".split()
 )
 CLOSED_BY = {
     "p": frozenset(
@@ -51,17 +54,26 @@ CLOSED_BY = {
 #: Elements that a closing tag or an implied close does not reach out of.
 WALLS = frozenset("table td th body html article section div ul ol dl".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of class and id that mark what is no article.
+#: Words of class and id that mark what is no article, wherever it stands.
 NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adsense banner banners sponsor sponsored promo promotion outbrain taboola "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager topbar toolbar masthead "
-    "footer foot colophon copyright sidebar sidebars aside rail widget widgets "
-    "cookie cookies consent gdpr notice notices disclaimer paywall popup modal overlay newsletter subscribe subscription signup login "
-    "comment comments commentlist disqus replies respond discussion "
-    "share sharing social related recommended recommendations trending "
-    "skip hidden screenreader sr".split()
-)
-NOISE_PARTS = re.compile(r"(?:^|[-_])(?:site|page|global|main)[-_]?(?:header|footer|nav|menu)(?:$|[-_])|share[-_]?bar|side[-_]?bar|cookie[-_]?|comment[-_]?(?:s|list|section|area|box|form)")
+    "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored outbrain taboola "
+    "nav navbar breadcrumb breadcrumbs pagination sidebar sidebars cookie cookies gdpr paywall popup newsletter signup "
+    "comment comments commentlist disqus replies sharing hidden screenreader sr".split()
+)
+#: Words that do so outside of an article; inside of one, only if the element is made of links or controls.
+DOUBTFUL = frozenset(
+    "banner banners promo promotion navigation menu menus pager topbar toolbar masthead footer foot colophon copyright "
+    "asides rail widget widgets consent notice notices disclaimer modal overlay subscribe subscription login "
+    "respond discussion share social related recommended recommendations trending skip".split()
+)
+#: Words that say where or what for an element is; a name is marked only if it has no words but these and the ones above.
+PLACES = frozenset(
+    "area bar block body bottom box btn btns button buttons column container content desktop entry form group heading holder icon icons inner "
+    "item items left link links list main message mobile module more only outer page panel post posts primary reader readers region right "
+    "article articles row secondary section site slot sticky stories story text thread title to top unit user users wrap wrapper zone".split()
+)
+PAGE_PARTS = re.compile(r"(?:site|page|global|main)[-_]?(?:header|footer|nav|menu)")
+QUOTE = frozenset("quote quotes pullquote pullquotes blockquote".split())
 
 #: Outside of an article, an element of just this class or id is the head of the page.
 PAGE_HEADER = re.compile(r"""\b(?:class|id)\s*=\s*["']?(?:header|top|head|heading-bar)(?=["'\s]|$)""", re.I)
@@ -82,47 +94,64 @@ class Node:
         self.children: list[Node | str] = []
 
 
-#: An element can't be part of an article by its name, or most likely is none by its role or class. A form is judged by
-#: what it holds once all is read: it becomes SOFT or none of these.
-HARD, SOFT, FORM = 1, 2, 3
+#: An element can't be part of an article by its name, or most likely is none by its role or class. The others are judged
+#: once all is read: a form by what it holds, ASIDE and DOUBT (a doubtful class) by that and by whether an article is around.
+HARD, SOFT, FORM, ASIDE, DOUBT = 1, 2, 3, 4, 5
 #: Characters of prose that a form has at least, in all and for each of its visible controls, if it is no noise.
 FORM_PROSE, CONTROL_PROSE = 200, 100
 CONTROLS = frozenset("button select input textarea".split())
+FOR = re.compile(r"""(?:^|\s)for\s*=""", re.I)
 UNSEEN = re.compile(r"""\btype\s*=\s*["']?hidden\b""", re.I)
 
 
 def is_noise(name: str, attributes: str, inside: bool) -> int:
-    """HARD, SOFT, FORM or 0. ``inside``: within article or main, where a header has the title."""
+    """HARD, SOFT, FORM, ASIDE, DOUBT or 0. ``inside``: within article or main, where a header has the title."""
     if name in DROPPED or name == "header" and not inside:
         return HARD
+    mark = mark_of(attributes) if attributes and name not in ("html", "body", "main") else 0
     if name == "form":
-        return SOFT if is_marked(attributes) else FORM
+        return SOFT if mark else FORM
+    if name == "aside":
+        return SOFT if mark == SOFT else ASIDE
     if not attributes or name in ("html", "body", "main"):
         return 0
-    return SOFT if is_marked(attributes) or not inside and PAGE_HEADER.search(attributes) else 0
+    return mark or (SOFT if not inside and PAGE_HEADER.search(attributes) else 0)
 
 
-def is_marked(attributes: str) -> bool:
+def mark_of(attributes: str) -> int:
+    """SOFT, DOUBT or 0 by role, style, class and id."""
+    doubt = 0
     for m in ATTRIBUTE.finditer(attributes):
         key = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return SOFT
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return SOFT
         if key == "role" and value.strip().lower() in NOISE_ROLES:
-            return True
+            return SOFT
         if key in ("class", "id"):
-            value = html.unescape(value)
-            if any(w.lower() in NOISE for w in SPLIT_WORD.split(value)) or NOISE_PARTS.search(value.lower()):
-                return True
-    return False
+            for one in html.unescape(value).split():
+                words = {w.lower() for w in SPLIT_WORD.split(one) if w and not w[0].isdigit()}
+                if words - NOISE - DOUBTFUL - PLACES:
+                    doubt = doubt or DOUBT * bool(PAGE_PARTS.fullmatch(one.lower()))
+                elif words & NOISE:
+                    return SOFT
+                elif words & DOUBTFUL or PAGE_PARTS.fullmatch(one.lower()):
+                    doubt = DOUBT
+    return doubt
+
+
+def is_quote(attributes: str) -> bool:
+    """Whether class or id name a quotation."""
+    names = (m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id"))
+    return any(w.lower() in QUOTE for n in names for w in SPLIT_WORD.split(n))
 
 
 def parse(page: str) -> Node:
     """The tree of elements; its root stands for the body."""
     root = node = Node("body", None, 0)
-    at, end, inside, form, unseen = 0, len(page), 0, False, set()
+    at, end, inside, form, unseen, quotes = 0, len(page), 0, False, set(), set()
     while at < end:
         m = TAG.search(page, at)
         text = page[at : m.start() if m else end]
@@ -153,6 +182,12 @@ def parse(page: str) -> Node:
         child = Node(name, node, is_noise(name, attributes, inside > 0))
         node.children.append(child)
         form = form or name == "form"
+        if name == "label" and (form or FOR.search(attributes)):
+            child.noise = HARD
+        if name in CONTROLS:
+            label_of(child)
+        if name == "aside" and is_quote(attributes):
+            quotes.add(child)
         if name == "input" and UNSEEN.search(attributes):
             unseen.add(child)
         if name in VOID or attributes.endswith("/") and name in ("svg", "path"):
@@ -165,9 +200,51 @@ def parse(page: str) -> Node:
         inside += name in ("article", "main")
         node = child
     judge_forms(root, unseen)
+    judge_doubts(root, quotes)
     return root
 
 
+def label_of(control: Node) -> None:
+    """A label around a control is part of the form."""
+    up = control.parent
+    while up is not None and up.name in INLINE:
+        if up.name == "label":
+            up.noise = HARD
+        up = up.parent
+
+
+#: An element in an article that a doubtful class marks is noise if links have this share of its characters.
+LINKED = 1 / 3
+
+
+def judge_doubts(root: Node, quotes: set[Node]) -> None:
+    """Outside of an article, doubtful classes and asides are noise. Inside, the former are if they hold controls or little
+    but links, and the latter unless they are quotations."""
+    todo, order = [(root, False)], []
+    while todo:
+        node, within = todo.pop()
+        order.append((node, within))
+        within = within or node.name == "article"
+        todo += [(c, within) for c in node.children if isinstance(c, Node)]
+    held: dict[int, tuple[int, int, bool]] = {}
+    for node, within in reversed(order):  # children first: characters, those of links, and whether there are controls
+        chars = links = 0
+        controls = node.name in CONTROLS
+        for c in node.children:
+            if isinstance(c, str):
+                chars += len(c.strip())
+            else:
+                n, l, k = held.pop(id(c))
+                chars, links, controls = chars + n, links + l, controls or k
+        held[id(node)] = (chars, chars if node.name == "a" else links, controls)
+        linked = controls or links > LINKED * chars
+        if node.noise == DOUBT:
+            node.noise = SOFT if linked or not within else 0
+        elif node.noise == ASIDE:
+            quoted = node in quotes or any(isinstance(c, Node) and c.name in ("blockquote", "q") for c in node.children)
+            node.noise = 0 if within and quoted and not linked else HARD
+
+
 def judge_forms(root: Node, unseen: set[Node]) -> None:
     """Forms that hold little but controls are noise, unless too little is left without them; those that hold prose are not."""
     todo: list[tuple[Node, Node | None]] = [(root, None)]
@@ -273,6 +350,8 @@ def spare_wrappers(root: Node) -> None:
 
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
+#: Elements that hold running text; short ones among longer ones are text as well.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl figure figcaption table".split())
 
 
 def widened(node: Node) -> Node:
@@ -290,6 +369,14 @@ def widened(node: Node) -> Node:
     return node
 
 
+def is_prose(node: Node) -> bool:
+    return node.name in PROSE and 0 < node.chars and node.link_chars <= LINKED * node.chars
+
+
+def has_title(node: Node) -> bool:
+    return any(n.name == "h1" and n.chars for n in in_order(node))
+
+
 def article(root: Node) -> list[Node]:
     """The subtrees that hold the article, in page order."""
     spare_wrappers(root)
@@ -303,8 +390,10 @@ def article(root: Node) -> list[Node]:
     best = widened(best)
     if best is root:
         return [root]
-    # beside the way from the body to it, branches as dense as the sparsest element of that way belong to it; beside an
-    # article element, only further ones do
+    # beside the way from the body to it, branches as dense as the sparsest element of that way belong to it, and so does
+    # running text in an element on this way, however short; beside an article element, only further ones do, and the block
+    # before it that has the title which it lacks
+    titled = best.name != "article" or has_title(best)
     path, up = {id(best)}, best
     while up.parent is not None:
         up = up.parent
@@ -314,11 +403,16 @@ def article(root: Node) -> list[Node]:
     while todo:
         node = todo.pop()
         if node is best:
+            titled = True
             out.append(node)
         elif id(node) in path:
             todo += [c for c in reversed(node.children) if isinstance(c, Node) and not c.noise]
         elif node.chars and node.density >= least and (best.name != "article" or node.name == "article"):
             out.append(node)
+        elif best.name != "article" and is_prose(node) and node.parent is not root:
+            out.append(node)
+        elif not titled and node.name != "article" and has_title(node) and node.link_chars <= LINKED * node.chars:
+            out.append(node)
         elif best.name == "article" and node.name != "article":  # further articles may have elements of their own around them
             todo += [c for c in reversed(node.children) if isinstance(c, Node) and not c.noise]
     return out

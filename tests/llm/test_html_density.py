@@ -1,10 +1,11 @@
 import html
+import math
 import re
 
 import pyarrow.parquet as pq
 import pytest
 
-from granary.llm.html_density import extract, main_text
+from granary.llm.html_density import LEAST_LINK_SHARE, extract, in_order, main_text, measure, parse
 
 PROSE = "A long enough sentence about the weather, the harvest and the market. " * 4
 NOISE = """<header><a href="/">Home</a> Daily paper</header><div id="header"><p>The daily paper of this town and of its people</p></div><nav><ul><li><a href="/a">Alpha</a><li><a href="/b">Beta</a></ul></nav>
@@ -112,12 +113,97 @@ def test_forms_of_controls_are_no_article():
     assert main_text("<form>" * 30_000 + PROSE + "</form>" * 30_000) == PROSE.strip()
 
 
+@pytest.mark.parametrize(
+    "kept",
+    [
+        f'<p class="market-share">{PROSE}</p>', f'<p class="related-work">{PROSE}</p>', f'<div class="notice-board">{PROSE}</div>',
+        f'<p class="notice">{PROSE}</p>', f'<div id="discussion">{PROSE}</div>', f"<p><label>{PROSE}</label></p>",
+        f"<aside class='pull-quote'>{PROSE}</aside>", f"<aside><blockquote>{PROSE}</blockquote></aside>", f'<p id="ad-hoc">{PROSE}</p>',
+    ],
+)
+def test_everyday_words_mark_nothing(kept):
+    for tag in ("article", "div"):
+        if tag == "article" or not any(w in kept for w in ('"notice"', '"discussion"', "<aside")):
+            assert main_text(page(f"<{tag}>{PARTS}{kept}</{tag}>")) == f"{WANT} {PROSE.strip()}"
+
+
+def test_sections_named_by_everyday_words():
+    assert main_text(page(f'<section class="social-science">{PARTS}</section>')) == WANT
+    assert main_text(page(f"<article>{PARTS}<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x = 1</annotation></math> be</p></article>")) == f"{WANT} let x=1 be"
+
+
+@pytest.mark.parametrize(
+    "dropped",
+    [
+        f'<div class="ad-box">{PROSE}</div>', f'<div class="reader-comments">{PROSE}</div>', f"<aside>{PROSE}</aside>",
+        f'<div class="share"><a href="/x">{PROSE}</a></div>', '<div class="notice"><p>Write to us.</p><input name="q"></div>',
+        '<label for="q">Search</label>', '<label>Search <input name="q"></label>', f'<div class="Advert 300x250">{PROSE}</div>',
+    ],
+)
+def test_noise_within_an_article(dropped):
+    assert main_text(page(f"<article>{PARTS}{dropped}</article>")) == WANT
+
+
+def test_title_in_a_block_of_its_own():
+    head, rest = PARTS.split("</h1>")
+    body = f"<div class='intro'>{head}</h1><p>What it is about.</p></div><article>{rest}</article>"
+    assert main_text(page(body)) == WANT.replace("Title & more", "Title & more What it is about.")
+    assert main_text(page(f"<div><h1>The daily paper</h1></div><article>{PARTS}</article>")) == WANT
+
+
+def test_short_paragraphs_among_long_ones():
+    body = f"<h1>T</h1><p>{PROSE * 9}</p><p>Short.</p><ul><li>One</li></ul><ul><li><a href='/a'>Another story</a></li></ul>"
+    for tag in ("article", "div"):
+        assert main_text(page(f"<{tag}>{body}</{tag}>")).startswith(f"T {(PROSE * 9).strip()} Short. One")
+
+
+def plain_density(chars, tags, link_chars, link_tags, share):
+    """The formula as published, where zero divisors count as one."""
+    if chars == 0:
+        return 0.0
+    lc, lt, t, other = link_chars or 1, link_tags or 1, tags or 1, chars - link_chars or 1
+    base = max(math.log(chars / other * link_chars + share * chars + math.e), 1.01)
+    return chars / t * max(math.log(max(chars / lc * (t / lt), 1.0)) / math.log(base), 1e-3)
+
+
+def plain_counts(node):
+    """Characters, tags, and those of links, by plain recursion."""
+    texts = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+    inner = [(plain_counts(c), c) for c in node.children if not isinstance(c, str) and not c.noise]
+    chars = texts + sum(x[0] for x, _ in inner)
+    tags = sum(x[1] + 1 for x, _ in inner)
+    link_chars, link_tags = sum(x[2] for x, _ in inner), sum(x[3] for x, _ in inner)
+    return (chars, tags, chars, link_tags + 1) if node.name == "a" else (chars, tags, link_chars, link_tags)
+
+
+def test_densities_against_a_plain_version():
+    pages = [r["html"] for r in pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist()]
+    for text in [*pages[:60], page(f"<div>{PARTS}<p>see <a href='/x'>this</a> one</p></div>")]:
+        root = parse(text)
+        nodes = in_order(root)
+        measure(nodes)
+        whole = plain_counts(root)
+        share = max(LEAST_LINK_SHARE, whole[2] / max(1, whole[0]))
+        for node in nodes:
+            total = 0.0
+            for c in node.children:
+                if isinstance(c, str):
+                    n = len(c.strip())
+                    total += plain_density(n, 1, n if node.name == "a" else 0, int(node.name == "a"), share)
+                elif not c.noise:
+                    total += plain_density(*plain_counts(c), share)
+            assert (node.chars, node.tags, node.link_chars, node.link_tags) == plain_counts(node)
+            assert node.density == pytest.approx(plain_density(*plain_counts(node), share)) and node.total == pytest.approx(total)
+
+
 def test_given_pages():
     rows = pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist()
     for r in rows:
         inside = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
         blocks = re.sub(r"<(/?)(p|h1|br)>", " ", inside)
-        assert main_text(r["html"]) == " ".join(html.unescape(re.sub(r"</?b>", "", blocks)).split())
+        want = " ".join(html.unescape(re.sub(r"</?b>", "", blocks)).split())
+        assert main_text(r["html"]) == want
+        assert main_text(r["html"].replace("<article", "<div").replace("</article", "</div")) == want
 
 
 def test_rows(spark):
