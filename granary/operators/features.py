@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from granary.functions.nulls import nan_is_missing, safe_divide
 from granary.operators.ordered import over_history
+from granary.operators.rolling import rolling_robust
 
 # Default lags and windows.
 LAGS = (1, 3, 6, 12)
 WINDOWS = (3, 6)
+#: Rows of a window from which on it is kept sorted while it slides instead of being sorted for each row.
+LONG_WINDOW = 32
 
 
 def _series(df: DataFrame, group: str | list[str] | None, order: str | list[str]) -> tuple[list[str], list[Column]]:
@@ -126,8 +129,14 @@ def add_change(
 def add_rolling_robust(
     df: DataFrame, target: str, size: int, group=None, order_by=(), bounded: bool | None = None
 ) -> DataFrame:
-    """Rolling coefficient of variation, median and MAD over the last ``size`` rows."""
+    """Rolling coefficient of variation, median and MAD over the last ``size`` rows.
+
+    Short windows are arrays that are sorted inside the JVM; from ``LONG_WINDOW`` rows on, a sorted window slides over blocks.
+    """
     keys, order = _series(df, group, order_by)
+    names = tuple(f"{target}_roll_{what}_{size}" for what in ("cv", "median", "mad"))
+    if size >= LONG_WINDOW:
+        return rolling_robust(df, keys, order, target, size, names, bounded)
 
     def build(w):
         frame = w.rowsBetween(-(size - 1), 0)

@@ -45,7 +45,8 @@ SHAPIRO_SMALL_MEAN = (0.5440, -0.39978, 0.025054, -0.0006714)
 SHAPIRO_SMALL_SPREAD = (1.3822, -0.77857, 0.062767, -0.0020322)
 SHAPIRO_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
 SHAPIRO_SPREAD = (-0.4803, -0.082676, 0.0030302)
-# Longest series whose median slope is searched inside one task.
+# Rounds of the distributed search for a median slope, and the longest series that is searched inside one task instead.
+SEARCH_ROUNDS = 64
 SLOPE_LIMIT = 20_000
 
 
@@ -227,10 +228,12 @@ def _slopes_by_search(placed: DataFrame, keys: list[str], value: str, sizes: Dat
     ).distinct()
     # One unit below the smallest slope nothing qualifies, so the bracket is half-open.
     brackets = written(brackets.withColumn("low", F.col("low") - (F.abs("low") * 1e-9 + 1e-9)), "slopes")
-    for _ in range(64):
+    for n_rounds in range(SEARCH_ROUNDS + 1):
         open_ = brackets.filter(F.col("high") - F.col("low") > 1e-14 * F.greatest(F.lit(1.0), F.abs("high")))
         if open_.isEmpty():
             break
+        if n_rounds == SEARCH_ROUNDS:
+            raise RuntimeError(f"median slopes did not settle in {SEARCH_ROUNDS} rounds")
         probe = F.transform(
             F.sequence(F.lit(1), F.lit(probes)),
             lambda i: F.struct(
@@ -266,8 +269,14 @@ def _slopes_by_search(placed: DataFrame, keys: list[str], value: str, sizes: Dat
 def median_slopes(
     placed: DataFrame, keys: list[str], value: str, sizes: DataFrame, bounded: bool | None = None, limit: int = SLOPE_LIMIT
 ) -> DataFrame:
-    """Theil-Sen slope per series over positions 0, 1, 2, ... (exact median of pair slopes)."""
-    if bounded or (bounded is None and (sizes.agg(F.max("n")).first()[0] or 0) <= limit):
+    """Theil-Sen slope per series over positions 0, 1, 2, ... (exact median of pair slopes).
+
+    A series that is longer than ``limit`` in spite of ``bounded=True`` is an error, found before its rows meet in a task.
+    """
+    if bounded:
+        too_long = F.raise_error(F.lit(f"a series has more than the {limit} rows that bounded=True stands for"))
+        return _slopes_in_tasks(placed.withColumn("pos", F.when(F.col("pos") < limit, F.col("pos")).otherwise(too_long)), keys, value)
+    if bounded is None and (sizes.agg(F.max("n")).first()[0] or 0) <= limit:
         return _slopes_in_tasks(placed, keys, value)
     short = attach(placed, sizes.filter(F.col("n") <= limit).select(*keys, F.lit(1).alias("__s")), keys, "inner").drop("__s")
     long_sizes = sizes.filter(F.col("n") > limit)

@@ -29,11 +29,11 @@ TAU_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
 CHUNK = 8_192
 
 
-def with_halo(placed: DataFrame, keys: list[str], depth: Column, block: Column) -> DataFrame:
-    """``placed`` (with column pos) plus __block: each row in its own block of positions, and in the next one if it is among the
+def with_halo(placed: DataFrame, keys: list[str], depth: Column, block: Column, pos: str = "pos") -> DataFrame:
+    """``placed`` (with column ``pos``) plus __block: each row in its own block of positions, and in the next one if it is among the
     last ``depth`` rows of its own. ``block`` must not be smaller than ``depth``."""
-    own = F.floor(F.col("pos") / block)
-    late = (F.col("pos") % block) >= block - depth
+    own = F.floor(F.col(pos) / block)
+    late = (F.col(pos) % block) >= block - depth
     return placed.withColumn("__own", own).withColumn("__block", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own)))).drop("__own")
 
 

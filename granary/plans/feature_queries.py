@@ -386,15 +386,26 @@ def cyclic_encodings(spark, sf):
     return o.select("o_orderkey", rounded(ms, 6).alias("mes_sin"), rounded(mc, 6).alias("mes_cos"), rounded(ds, 6).alias("dia_sin"), rounded(dc, 6).alias("dia_cos"))
 
 
-@query(
-    "t12_rolling_robust",
-    f"""WITH w AS (SELECT event_id, value, list(value) OVER f AS held, stddev_samp(value) OVER f / nullif(avg(value) OVER f, 0) AS cv FROM events WINDOW f AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),
+def rolling_sql(key: str, size: int) -> str:
+    return f"""WITH w AS (SELECT event_id, value, list(value) OVER f AS held, stddev_samp(value) OVER f / nullif(avg(value) OVER f, 0) AS cv FROM events WINDOW f AS (PARTITION BY {key} ORDER BY ts, event_id ROWS BETWEEN {size - 1} PRECEDING AND CURRENT ROW)),
 m AS (SELECT *, list_median(held) AS med FROM w)
-SELECT event_id, {r('cv', 6)} AS value_roll_cv_7, {r('med', 6)} AS value_roll_median_7, {r('list_median(list_transform(held, lambda x: abs(x - med)))', 6)} AS value_roll_mad_7 FROM m""",
-)
+SELECT event_id, {r('cv', 6)} AS value_roll_cv_{size}, {r('med', 6)} AS value_roll_median_{size}, {r('list_median(list_transform(held, lambda x: abs(x - med)))', 6)} AS value_roll_mad_{size} FROM m"""
+
+
+def rolling_rows(spark, sf, key: str, size: int):
+    rows = table(spark, sf, "events").select("event_id", key, "ts", "value")
+    out = features.add_rolling_robust(rows, "value", size, key, ["ts", "event_id"])
+    return out.select("event_id", *[rounded(c, 6).alias(c) for c in (f"value_roll_{what}_{size}" for what in ("cv", "median", "mad"))])
+
+
+@query("t12_rolling_robust", rolling_sql("user_id", 7))
 def rolling_robust(spark, sf):
-    out = features.add_rolling_robust(events(spark, sf), "value", 7, "user_id", ["ts", "event_id"])
-    return out.select("event_id", *[rounded(c, 6).alias(c) for c in ("value_roll_cv_7", "value_roll_median_7", "value_roll_mad_7")])
+    return rolling_rows(spark, sf, "user_id", 7)
+
+
+@query("t12_rolling_robust_year", rolling_sql("event_type", 365))
+def rolling_robust_year(spark, sf):
+    return rolling_rows(spark, sf, "event_type", 365)
 
 
 @query(

@@ -115,3 +115,22 @@ def test_slope_search_for_long_series(spark):
     placed = ht.positions(df, ["k"], "v", ["t"], True)
     found = ht._slopes_by_search(placed, ["k"], "v", ht.series_sizes(placed, ["k"]), probes=64).first()
     assert found.sens_slope == pytest.approx(brute_trend(x)[1], abs=1e-9)
+
+
+def test_a_promise_of_short_series_is_checked(spark):
+    from granary.operators.hypothesis import median_slopes, series_sizes
+
+    placed = spark.range(50).select(F.lit("a").alias("g"), F.col("id").alias("pos"), (F.col("id") * 2.0).alias("v"))
+    sizes = series_sizes(placed, ["g"])
+    assert median_slopes(placed, ["g"], "v", sizes, bounded=True, limit=50).first()["sens_slope"] == 2.0
+    with pytest.raises(Exception, match="more than the 49 rows"):
+        median_slopes(placed, ["g"], "v", sizes, bounded=True, limit=49).collect()
+
+
+def test_a_slope_search_that_does_not_settle_is_an_error(spark, monkeypatch):
+    from granary.operators import hypothesis
+
+    placed = spark.range(30).select(F.lit("a").alias("g"), F.col("id").alias("pos"), F.sin("id").alias("v"))
+    monkeypatch.setattr(hypothesis, "SEARCH_ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="did not settle"):
+        hypothesis.median_slopes(placed, ["g"], "v", hypothesis.series_sizes(placed, ["g"]), bounded=False, limit=5)
