@@ -5,7 +5,8 @@ radius of 4. The bits are therefore cut into ``BLOCKS`` blocks: two fingerprints
 than distance / blocks in one of them, so each block has a tree of its own, over the Hamming distance within the block, which is
 searched with that smaller radius.
 
-1. The upper part of each tree is built on a bounded sample of the distinct fingerprints: a node has a vantage point
+1. The upper part of each tree is built on a bounded sample of the distinct fingerprints that grows with the corpus up
+   to its bound, and so does the depth: a node has a vantage point
    and a median distance. Every fingerprint is a member of one leaf (shard) of each tree, and is a query in all leaves that the
    triangle inequality cannot rule out: its own, and those whose boundary its radius overlaps.
 2. A shard holds its members and its queries. It goes on splitting both by vantage points in memory, compares whole
@@ -25,6 +26,7 @@ rows; further columns are carried along if named in ``keep``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,10 +41,13 @@ SHINGLE = 4
 DISTANCE = 4
 BLOCKS = 3
 BITS = 64
-#: Sampled fingerprints, at most: for vantage points, the sizes of leaves, and hubs.
+#: Sampled fingerprints, at most: for hubs, and for vantage points and the sizes of leaves.
 SAMPLE = 16_384
-#: Members of a shard, about, and the depth of the upper trees beyond which shards grow instead.
+TREE_SAMPLE = 1 << 18
+#: Members of a shard, about; sampled fingerprints a shard, if the bound allows for them; and the least depth of the upper
+#: trees, which get deeper as the corpus grows.
 SHARD = 4_096
+PER_SHARD = 8
 DEPTH = 12
 #: Sampled fingerprints that a dense group has at least, and hubs that it gets at most.
 DENSE = 24
@@ -195,12 +200,26 @@ def components_of(points: np.ndarray, limit: int) -> np.ndarray:
     return out
 
 
+def tree_sample_size(total: int, shard: int = SHARD) -> int:
+    """Sampled fingerprints for the trees: some for every shard of the corpus, within the bound."""
+    return min(TREE_SAMPLE, max(SAMPLE, PER_SHARD * total // shard))
+
+
+def few_of(sample: np.ndarray, bound: int) -> np.ndarray:
+    """``bound`` points of a sample, those with the smallest hashes, sorted."""
+    mixed = sample * np.uint64(0xBF58476D1CE4E5B9)
+    return np.sort(sample[np.argsort(mixed ^ (mixed >> np.uint64(29)), kind="stable")[:bound]])
+
+
 def plant(sample: np.ndarray, total: int, limit: int = DISTANCE, blocks: int = BLOCKS, shard: int = SHARD, depth: int = DEPTH) -> Forest:
+    """Trees on all of the sample, hubs on a share of it that is compared with itself. Leaves with more members than a shard
+    has, as far as the sample tells, are dealt out, so that no task's members grow with the corpus."""
     sample = np.sort(sample)
     per_row = max(1.0, total / max(1, len(sample)))
     radius = limit // blocks
-    wanted = max(shard, total >> depth)  # trees end at the depth: beyond it shards grow rather than be dealt out
+    depth = max(depth, math.ceil(math.log2(max(1.0, total / shard))))
     trees = [Tree.build(m, sample, max(1, int(shard / per_row)), depth) for m in block_masks(blocks)]
+    everything, sample = sample, few_of(sample, SAMPLE)
     group = components_of(sample, limit)
     sizes = np.bincount(group) if len(group) else np.zeros(0, int)
     hubs, hub_group = [], []
@@ -218,12 +237,12 @@ def plant(sample: np.ndarray, total: int, limit: int = DISTANCE, blocks: int = B
             todo &= ~reach[best]
     parts, dominant = [], []
     for tree in trees:
+        full = np.bincount(tree.leaves_of(everything, 0)[1], minlength=tree.leaves)
+        parts.append(np.maximum(1, np.ceil(full * per_row / shard)).astype(np.int64))
         who, leaf = tree.leaves_of(sample, 0)
-        full = np.bincount(leaf, minlength=tree.leaves)
-        parts.append(np.maximum(1, np.ceil(full * per_row / wanted)).astype(np.int64))
         top = np.full(tree.leaves, -1)
         for k in np.flatnonzero(parts[-1] > 1):
-            counts = np.bincount(group[who[leaf == k]])
+            counts = np.bincount(group[who[leaf == k]], minlength=1)
             best = int(np.argmax(counts))
             if counts[best] >= DENSE and best in set(hub_group):
                 top[k] = best
@@ -344,7 +363,7 @@ def shard_links(forest_masks: list[int], limit: int, radius: int):
 def links_between(fps: DataFrame, limit: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """Links (a, b) of distinct fingerprints (column fp) whose components are those of all pairs within the limit."""
     total = fps.count()
-    sample = bounded_share(fps.select("fp"), SAMPLE, F.col("fp"), total).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    sample = bounded_share(fps.select("fp"), tree_sample_size(total), F.col("fp"), total).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     forest = plant(sample, total, limit, blocks)
 
     def to_hubs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -365,7 +384,7 @@ def links_between(fps: DataFrame, limit: int = DISTANCE, blocks: int = BLOCKS) -
     if not len(forest.hubs):
         return found
     # sampled hubs of one group are linked among themselves through the sample's own points
-    pairs = hub_links(sample, limit, forest)
+    pairs = hub_links(few_of(sample, SAMPLE), limit, forest)
     known = fps.sparkSession.createDataFrame(pairs, "a long, b long") if pairs else found.limit(0)
     return found.unionByName(fps.select("fp").mapInPandas(to_hubs, "a long, b long")).unionByName(known)
 

@@ -54,8 +54,9 @@ def test_fingerprint(text):
     assert s.fingerprint(text) == plain_fingerprint(text)
 
 
-@pytest.mark.parametrize("shard", [8, 64, 4096])
-def test_routes_and_search_lose_no_link(shard, monkeypatch):
+@pytest.mark.parametrize("shard, hub_sample", [(8, 16_384), (64, 16_384), (4096, 16_384), (8, 100), (16, 40)])
+def test_routes_and_search_lose_no_link(shard, hub_sample, monkeypatch):
+    monkeypatch.setattr(s, "SAMPLE", hub_sample)
     monkeypatch.setattr(s, "DENSE", 8)
     monkeypatch.setattr(s, "LEAF", 6)
     rng = random.Random(shard)
@@ -65,7 +66,7 @@ def test_routes_and_search_lose_no_link(shard, monkeypatch):
     rows = s.routes(forest, points)
     hub, _ = s.nearest_hub(forest, points)
     links = [(int(points[k]), int(forest.hubs[h])) for k, h in enumerate(hub) if h >= 0]
-    links += [(a % 2**64, b % 2**64) for a, b in s.hub_links(sample, 4, forest)]
+    links += [(a % 2**64, b % 2**64) for a, b in s.hub_links(s.few_of(sample, hub_sample), 4, forest)]
     shards = {}
     for tree, leaf, part, fp, query in zip(*(rows[c].tolist() for c in ("tree", "leaf", "part", "fp", "query"))):
         shards.setdefault((tree, leaf, part), ([], []))[query].append(fp % 2**64)
@@ -86,6 +87,18 @@ def test_routes_and_search_lose_no_link(shard, monkeypatch):
     assert classes({p: root(p) for p in up}) == classes(plain_components(points.tolist(), 4))
 
 
+def test_shards_do_not_grow_with_the_corpus():
+    rng = np.random.default_rng(3)
+    for total in (20_000, 200_000):
+        points = rng.integers(0, 1 << 63, total, dtype=np.uint64)
+        forest = s.plant(points[: s.PER_SHARD * total // 64], total, shard=64, depth=4)
+        for tree, parts in zip(forest.trees, forest.parts):
+            members = np.bincount(tree.leaves_of(points, 0)[1], minlength=tree.leaves) / parts
+            assert members.max() <= 6 * 64
+    assert s.tree_sample_size(10) == s.SAMPLE == s.tree_sample_size(8_000_000) and s.tree_sample_size(10**8) > 100_000
+    assert s.tree_sample_size(10**12) == s.TREE_SAMPLE
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
     got = {r.node: r.component for r in s.components(spark.createDataFrame(links, "a long, b long")).collect()}
