@@ -128,15 +128,16 @@ based AS (SELECT *, list_sort(a || k || h) AS base FROM hit),
 both_ AS (SELECT *, list_filter(g, lambda x: regexp_matches(x.value, '[0-9]') AND regexp_matches(x.value, '[A-Za-z]')
     AND len(list_filter(base, lambda b: b.start < x.end AND x.start < b.end)) = 0) AS runs FROM based),
 each AS (SELECT r, doc_id, source, unnest(base || runs) AS s FROM both_),
-owned AS (SELECT s.value AS v, count(DISTINCT coalesce(source, chr(1))) AS n_owners FROM each GROUP BY 1),
-judged AS (SELECT r, s, CASE WHEN n_owners >= {secret_frequency.WIDE_OWNERS} THEN 'example'
+owned AS (SELECT s.value AS v, count(DISTINCT coalesce(source, chr(1))) AS n_owners,
+    count(DISTINCT {{'owner': source, 'repository': doc_id}}) AS n_repositories FROM each GROUP BY 1),
+judged AS (SELECT r, s, n_repositories, CASE WHEN n_owners >= {secret_frequency.WIDE_OWNERS} OR n_repositories >= {secret_frequency.WIDE_REPOSITORIES} THEN 'example'
     WHEN n_owners = 1 AND regexp_matches(s.value, '[0-9]') AND len(list_distinct(string_split(s.value, ''))) >= {secret_frequency.LEAST_DISTINCT} THEN 'live' ELSE 'unclear' END AS verdict
   FROM each JOIN owned ON s.value = v),
-kept AS (SELECT r, list_sort(list(s)) AS spans, count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_examples
-  FROM judged WHERE s.kind < 3 OR verdict = 'live' GROUP BY r)
+kept AS (SELECT r, list_sort(list(s)) AS spans, count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_examples,
+    max(n_repositories) AS most_repositories FROM judged WHERE s.kind < 3 OR verdict = 'live' GROUP BY r)
 SELECT doc_id, CAST(len(a) AS BIGINT) AS n_assign, CAST(len(k) AS BIGINT) AS n_access, CAST(len(h) AS BIGINT) AS n_hex,
-  sha256({listed('base')}) AS base_sha256, {listed('spans')} AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples
-FROM both_ LEFT JOIN kept USING (r)"""
+  sha256({listed('base')}) AS base_sha256, {listed('spans')} AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples,
+  coalesce(most_repositories, 0) AS most_repositories FROM both_ LEFT JOIN kept USING (r)"""
 
 
 @query("op7_secret_frequency", _secrets_sql())
@@ -149,6 +150,7 @@ def op7_secret_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_frequency.joined(F.col("found")).alias("spans"),
         verdicts("live").alias("n_live"),
         verdicts("example").alias("n_examples"),
+        F.coalesce(F.array_max(F.transform("found", lambda s: s["n_repositories"])), F.lit(0)).cast("long").alias("most_repositories"),
     )
 
 

@@ -1,16 +1,16 @@
 """Secrets in text, and who else has them: candidates are counted over the corpus by distinct owners and repositories.
 
 Three kinds of base spans are found by fixed patterns. Long runs of mixed characters are further candidates. Hashes of
-all candidates are counted by repository and owner: a value that many owners hold is a widely copied example, one that
-a single owner holds and that looks random is taken to be live. Live runs become spans of the kind ``owned``; base
-spans always stay.
+all candidates are counted by repository and owner: a value that many owners hold, or that is copied into a great many
+repositories, is a widely copied example; one that a single owner holds and that looks random is taken to be live. Live runs
+become spans of the kind ``owned``; base spans always stay.
 
 All expressions are native. Counts are aggregated before they are shuffled, so a value in a third of all documents is
 a few partial rows; candidates meet their counts in a join whose skewed partitions Spark can split.
 
 Results in special cases: a NULL text counts as empty and has no spans; repeated rows are searched each and are one
 repository if they share its column; a NULL owner or repository counts as one more owner or repository; an empty table
-gives no rows; further columns are ignored.
+gives no rows; very long texts are searched whole; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ RUN_LEAST = 20
 KINDS = ("assign", "access", "hex", "owned")
 #: From so many owners on, a value is an example that is handed around.
 WIDE_OWNERS = 3
+#: From so many repositories on, it is one too, whoever owns them: a template or sample text of a single owner.
+WIDE_REPOSITORIES = 50
 LEAST_DISTINCT = 10
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 
@@ -94,15 +96,16 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def find_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", keep: list[str] | None = None, wide_owners: int = WIDE_OWNERS) -> DataFrame:
-    """``keep``, n_assign, n_access, n_hex, base (spans), found (all spans with value, owners, verdict)."""
+def find_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", keep: list[str] | None = None,
+                 wide_owners: int = WIDE_OWNERS, wide_repositories: int = WIDE_REPOSITORIES) -> DataFrame:
+    """``keep``, n_assign, n_access, n_hex, base (spans), found (all spans with value, owners, repositories, verdict)."""
     keep = ["doc_id"] if keep is None else keep
     rows = written(with_candidates(docs, text, owner, repository, keep), "secrets")
     each = rows.select("_row", "_owner", "_repository", F.explode(F.concat("_base", "_runs")).alias("span"))
     each = each.withColumn("hash", F.sha2(F.col("span.value"), 256))
     counts = ownership(each)
     met = each.select("_row", "span", "hash").join(counts, "hash")
-    verdict = F.when(F.col("n_owners") >= wide_owners, "example").when((F.col("n_owners") == 1) & looks_random(F.col("span.value")), "live").otherwise("unclear")
+    verdict = F.when((F.col("n_owners") >= wide_owners) | (F.col("n_repositories") >= wide_repositories), "example").when((F.col("n_owners") == 1) & looks_random(F.col("span.value")), "live").otherwise("unclear")
     met = met.withColumn("verdict", verdict).where((F.col("span.kind") < 3) | (F.col("verdict") == "live"))
     found = met.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("span.start", "span.kind", "span.end", "span.value", "n_owners", "n_repositories", "verdict"))).alias("found"))
     none = F.array().cast(found.schema["found"].dataType)

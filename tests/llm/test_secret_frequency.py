@@ -63,5 +63,16 @@ def test_against_plain_version(spark):
     assert all((verdicts[v] == "live") == (v in live) and (verdicts[v] == "example") == (v in wide) for v in verdicts)
 
 
+def test_repositories_decide(spark):
+    """A value of a single owner is live in a few repositories and an example in many; copies of a row are one repository."""
+    rows = [(k, "a", f"run {KEY} end") for k in range(4)] + [(9, "b", "run Bq12Er34Ty56Ui78Op90 end")] * 6
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for wide, want in ((4, "example"), (5, "live")):
+        found = find_secrets(docs, wide_repositories=wide).select("doc_id", F.explode_outer("found").alias("s")).select("doc_id", "s.*").collect()
+        verdicts = {(r.doc_id, r.value, r.n_repositories, r.verdict) for r in found}
+        mine = {(k, KEY, 4, "live") for k in range(4)} if want == "live" else {(k, None, None, None) for k in range(4)}
+        assert verdicts == mine | {(9, "Bq12Er34Ty56Ui78Op90", 1, "live")}
+
+
 def test_no_rows(spark):
     assert find_secrets(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
