@@ -21,6 +21,8 @@ W_JW, W_LEV = 0.6, 0.4
 DEPARTMENT_PENALTY = 0.8
 THRESHOLD = 0.85
 LOWEST_LENGTH_BOUND = 0.55
+# Keys over which the names of one letter are spread.
+LETTER_SALTS = 16
 EPS = 1e-9
 
 
@@ -62,18 +64,51 @@ def _longest(shorter: Column, threshold: float) -> Column:
     return F.floor(shorter / F.lit(floor_ratio) + F.lit(1e-6)).cast("int")
 
 
+def _letters_by_rarity(names: DataFrame, name: str, frequency: DataFrame) -> DataFrame:
+    """(name, letters): its distinct letters that the catalogue has, the rarest first."""
+    each = names.select(name, F.explode(F.array_distinct(F.split(name, ""))).alias("letter")).join(frequency, "letter")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("names", "letter"))), lambda s: s["letter"])
+    return each.groupBy(name).agg(ordered.alias("letters"))
+
+
+def best_score_of(overlap: Column, len_a: Column, len_b: Column) -> Column:
+    """The highest score of two names of these lengths that have ``overlap`` letters in common, repeats included."""
+    jaro = (overlap / len_a + overlap / len_b + 1.0) / 3.0
+    head = F.least(overlap, F.lit(4)) * 0.1
+    return W_JW * (jaro + head * (1.0 - jaro)) + W_LEV * overlap / F.greatest(len_a, len_b)
+
+
+def pairs_by_rarest_letter(raw: DataFrame, golden: DataFrame, threshold: float, salts: int = LETTER_SALTS) -> DataFrame:
+    """Pairs (name, nombre) that have a letter in common, each once, if their letters and lengths allow for the threshold.
+
+    Names without a common letter score 0. A pair meets at the rarest letter that both have and nowhere else, so nothing has to
+    be made distinct, and letters that nearly every name has join only names with nothing rarer in common. Rows of a letter
+    are spread over ``salts`` keys.
+    """
+    frequency = (
+        golden.select(F.explode(F.array_distinct(F.split("nombre", ""))).alias("letter")).where("letter <> ''").groupBy("letter").agg(F.count(F.lit(1)).alias("names"))
+    )
+    asked = _letters_by_rarity(raw.select("name"), "name", frequency).select(
+        "name", F.col("letters").alias("own"), F.explode("letters").alias("letter"), F.pmod(F.xxhash64("name"), F.lit(salts)).alias("salt")
+    )
+    known = _letters_by_rarity(golden.select("nombre"), "nombre", frequency).select("nombre", "letters", F.explode("letters").alias("letter"))
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    both = F.array_intersect("own", "letters")
+    met = asked.join(known, ["letter", "salt"]).where(F.element_at(both, 1) == F.col("letter"))
+    times = lambda text, letter: F.length(text) - F.length(F.replace(F.col(text), letter, F.lit("")))
+    overlap = F.aggregate(both, F.lit(0), lambda n, x: n + F.least(times("name", x), times("nombre", x)))
+    return met.where(best_score_of(overlap, F.length("name"), F.length("nombre")) >= threshold - EPS).select("name", "nombre")
+
+
 def candidate_pairs(raw: DataFrame, golden: DataFrame, threshold: float) -> DataFrame:
     """Distinct (name, nombre) pairs that may reach the threshold: no acceptable pair is lost.
 
-    Below ``LOWEST_LENGTH_BOUND`` lengths say too little. Names without a common letter score 0, so a
-    common letter is what is left to meet by; such thresholds accept a large part of all pairs anyway.
+    Below ``LOWEST_LENGTH_BOUND`` lengths say too little, and names meet by letters, see ``pairs_by_rarest_letter``.
     """
     if threshold <= 0:
         raise ValueError("a threshold must be above 0")
     if threshold < LOWEST_LENGTH_BOUND:
-        letters = lambda c: F.explode(F.array_distinct(F.split(c, ""))).alias("letter")
-        by_letter = golden.select("nombre", letters("nombre")).where("letter <> ''")
-        return raw.select("name", letters("name")).where("letter <> ''").join(by_letter, "letter").select("name", "nombre").distinct()
+        return pairs_by_rarest_letter(raw, golden, threshold)
     r_len, g_len = F.length("name"), F.length("nombre")
     other = F.sequence(_shortest(g_len, threshold), _longest(g_len, threshold))
     pieces = (

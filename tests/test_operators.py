@@ -151,7 +151,7 @@ def test_matching(spark):
     assert got["Medelin"].cod_municipio is None  # penalised by the other department
 
 
-@pytest.mark.parametrize("threshold", [0.6, 0.8, 0.85])
+@pytest.mark.parametrize("threshold", [0.2, 0.4, 0.5, 0.6, 0.8, 0.85])
 def test_candidates_lose_nothing(spark, threshold):
     rng = np.random.default_rng(7)
     word = lambda: "".join(rng.choice(list("ABCDE"), rng.integers(1, 9)))
@@ -240,3 +240,19 @@ def test_nan_is_missing(spark):
         lambda d: market.line_slope(d, ["g"], "w", "v"),
     ):
         assert sorted(map(repr, run(with_nan).collect())) == sorted(map(repr, run(with_null).collect()))
+
+
+def test_pairs_by_rarest_letter_are_each_met_once(spark):
+    names = ["aab", "abc", "zz", "é x", "bbbb", "abcdefgh", "q", "aaaaaaab"]
+    golden = spark.createDataFrame([(n,) for n in ["ab", "zza", "x", "abcdefgi", "mm", "bbba", "aaaa"]], "nombre string")
+    raw = spark.createDataFrame([(n,) for n in names], "name string")
+    score = matching.match_score(F.col("name"), F.col("nombre"))
+    every = {(r.name, r.nombre): r.score for r in raw.crossJoin(golden).withColumn("score", score).collect()}
+    for threshold in (0.05, 0.3, 0.5):
+        for salts in (1, 5):
+            found = [(r.name, r.nombre) for r in matching.pairs_by_rarest_letter(raw, golden, threshold, salts).collect()]
+            assert len(found) == len(set(found))
+            assert {p for p, x in every.items() if x >= threshold} <= set(found)
+    few = {(r.name, r.nombre) for r in matching.pairs_by_rarest_letter(raw, golden, 0.5).collect()}
+    assert few < {p for p, x in every.items() if x > 0}
+    assert matching.pairs_by_rarest_letter(raw.limit(0), golden, 0.3).count() == 0
