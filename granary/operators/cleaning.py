@@ -56,6 +56,7 @@ class Cleaner:
     fill: dict[str, str] = field(default_factory=dict)
 
 
+# Columns of the published sources, their types and keys.
 CLEANERS = {
     "eva": Cleaner(
         CROP_RENAMES,
