@@ -15,6 +15,7 @@ from granary.functions.stats import chi2_tail, f_tail
 from granary.operators.hypothesis import ALPHA, INSUFFICIENT, KEEP, REJECT, normality
 from granary.operators.ordered import over_history, row_positions, running_total
 from granary.operators.quantiles import exact_quantiles, median_and_mad, medians
+from granary.session import cut_lineage
 
 
 @nan_is_missing
@@ -157,9 +158,14 @@ def value_ratio(df: DataFrame, keys: list[str], value: str, amount: str, bounded
 
 @nan_is_missing
 def composite_score(df: DataFrame, item: str, weights: dict[str, float], bounded: bool | None = None) -> DataFrame:
-    """Weighted z-score and weighted percentile rank over items (one row per item)."""
+    """Weighted z-score and weighted percentile rank over items (one row per item).
+
+    Ranks come back by a join on the values, and a floating sum that is computed again may differ in its last digit, so
+    the items are fixed first.
+    """
+    df = cut_lineage(df.select(item, *weights))
     stats = df.agg(*[f(c).alias(f"__{t}_{c}") for c in weights for f, t in ((F.avg, "mu"), (F.stddev_samp, "sd"))], F.count(F.lit(1)).alias("__n"))
-    out = df.select(item, *weights).join(stats, on=F.lit(True), how="left")
+    out = df.join(stats, on=F.lit(True), how="left")
     for c in weights:
         counted = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__k"))
         below = running_total(counted, [], [F.col(c).asc()], {f"__below_{c}": F.col("__k")}, bounded).drop("__k")

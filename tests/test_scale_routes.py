@@ -134,3 +134,13 @@ def test_a_slope_search_that_does_not_settle_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(hypothesis, "SEARCH_ROUNDS", 1)
     with pytest.raises(RuntimeError, match="did not settle"):
         hypothesis.median_slopes(placed, ["g"], "v", hypothesis.series_sizes(placed, ["g"]), bounded=False, limit=5)
+
+
+def test_composite_ranks_survive_values_that_are_not_repeatable(spark):
+    """A floating sum may differ in its last digit each time it is computed."""
+    import random
+
+    shaken = F.udf(lambda i: i + random.random() * 1e-9, "double").asNondeterministic()
+    items = spark.range(9).select("id", shaken("id").alias("v"))
+    got = {r.id: r.percentile_score for r in market.composite_score(items, "id", {"v": 1.0}).collect()}
+    assert got == {i: pytest.approx(i / 8) for i in range(9)}
