@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from granary.functions.casting import to_day, to_double
 from granary.functions.nulls import attach, fold_nan, nan_is_missing, numeric_columns
 from granary.operators.quantiles import exact_quantiles
+from granary.session import written
 
 # Quantiles of a profile and the Tukey fence factor.
 PROFILE_QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 FENCE = 1.5
+#: Up to so many groups, quartiles are sent to the values.
+FEW_GROUPS = 10_000
 MISSING_LIST_LIMIT = 50
 
 
@@ -77,7 +80,8 @@ def numeric_profile(
         )
     else:
         quantiles = exact_quantiles(long, ["column"], "value", PROFILE_QUANTILES, bounded)
-    stats = attach(moments, quantiles, ["column"], "inner").withColumn("iqr", F.col("p75") - F.col("p25"))
+    # A row per column; read twice below.
+    stats = written(attach(moments, quantiles, ["column"], "inner").withColumn("iqr", F.col("p75") - F.col("p25")), "profile")
     outliers = outside_fences(long, stats.select("column", "p25", "p75"), ["column"], "value")
     joined = attach(stats, outliers, ["column"], "left")
     shown = ["mean", "std", "median", "min", "max", "p01", "p05", "p25", "p75", "p95", "p99", "iqr"]
@@ -88,7 +92,13 @@ def numeric_profile(
 def outside_fences(
     long: DataFrame, quartiles: DataFrame, keys: list[str], value: str, factor: float = FENCE
 ) -> DataFrame:
-    """Values strictly beyond p25 - k*iqr or p75 + k*iqr, counted per key."""
+    """Values strictly beyond p25 - k*iqr or p75 + k*iqr, counted per key.
+
+    Few groups go to the values, as a join on few keys would bring all values of a key to one task.
+    """
+    quartiles = written(quartiles.select(*keys, "p25", "p75"), "quartiles")
+    if quartiles.count() <= FEW_GROUPS:
+        quartiles = F.broadcast(quartiles)
     width = F.col("p75") - F.col("p25")
     outside = (F.col(value) < F.col("p25") - factor * width) | (F.col(value) > F.col("p75") + factor * width)
     return attach(long, quartiles, keys, "inner").groupBy(*keys).agg(F.count_if(outside).alias("outliers_iqr_count"))

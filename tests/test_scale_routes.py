@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.operators import hypothesis as ht
-from granary.operators import market, market_indices, robust
+from granary.operators import market, market_indices, profiling, robust
 from granary.operators.climate import spi
 from granary.operators.features import add_lags, add_rolling
 from granary.operators.ordered import average_ranks, over_history, row_positions, running_total
@@ -144,3 +144,17 @@ def test_composite_ranks_survive_values_that_are_not_repeatable(spark):
     items = spark.range(9).select("id", shaken("id").alias("v"))
     got = {r.id: r.percentile_score for r in market.composite_score(items, "id", {"v": 1.0}).collect()}
     assert got == {i: pytest.approx(i / 8) for i in range(9)}
+
+
+def test_fences_do_not_gather_the_values_of_a_key(spark):
+    long = spark.range(4000).select((F.col("id") % 2).cast("string").alias("k"), (F.col("id") % 50).cast("double").alias("v"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = profiling.outside_fences(long, exact_quantiles(long, ["k"], "v", {"p25": 0.25, "p75": 0.75}), ["k"], "v", 0.1)
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        rows = {r.k: r.outliers_iqr_count for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert rows == {"0": 800, "1": 800}
