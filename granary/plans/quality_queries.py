@@ -156,7 +156,7 @@ def lineage_node(spark, sf):
     kept, seconds = quality.timed(lambda: written(keep_first(li, ["l_orderkey", "l_linenumber"]), "silver"))
     node = lambda df, s=None: quality.lineage_node("silver_lineas", "SILVER", {"bronze_lineas": li}, df, s)
     changed = kept.withColumn("l_quantity", F.when(F.col("l_linenumber") == 7, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
-    prints = [node(df).select(F.col("fingerprint").alias(n)) for n, df in (("again", kept.repartition(5)), ("other", changed))]
+    prints = [node(df).select(F.col("fingerprint").alias(n)) for n, df in (("again", kept.repartition("l_orderkey")), ("other", changed))]
     out = node(kept, seconds).join(prints[0], on=F.lit(True), how="left").join(prints[1], on=F.lit(True), how="left")
     same = F.col("fingerprint") == F.col("again")
     return out.select("node", "layer", "rows_in", "rows_out", same.alias("misma_huella"), (F.col("fingerprint") != F.col("other")).alias("otra_huella"), (F.col("duration_s") > 0).alias("con_duracion"))
