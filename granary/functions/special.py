@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Coefficients of the asymptotic series of ln Gamma, digamma and trigamma (Bernoulli numbers).
 LOG_GAMMA_SERIES = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
@@ -31,9 +35,9 @@ SHIFT = 8
 NEWTON_STEPS = 5
 
 
-def polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
+def polynomial(coefficients: tuple[float, ...], x: Column | np.ndarray) -> Column | np.ndarray:
     """c0 + c1 x + c2 x^2 + ... by Horner's rule."""
-    out = F.lit(float(coefficients[-1]))
+    out = float(coefficients[-1])
     for c in reversed(coefficients[:-1]):
         out = out * x + float(c)
     return out
@@ -49,58 +53,94 @@ def log_gamma(x: Column) -> Column:
     return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(product)
 
 
-def digamma(x: Column) -> Column:
-    """Derivative of ln Gamma for positive numbers."""
+def digamma(x: Column | np.ndarray, log: Callable = F.log) -> Column | np.ndarray:
+    """Derivative of ln Gamma for positive numbers: columns, or arrays with their own ``log``."""
     y = x + float(SHIFT)
     below = sum((1.0 / (x + float(k)) for k in range(1, SHIFT)), 1.0 / x)
-    return F.log(y) - 0.5 / y + polynomial(DIGAMMA_SERIES, 1.0 / (y * y)) / (y * y) - below
+    return log(y) - 0.5 / y + polynomial(DIGAMMA_SERIES, 1.0 / (y * y)) / (y * y) - below
 
 
-def trigamma(x: Column) -> Column:
+def trigamma(x: Column | np.ndarray) -> Column | np.ndarray:
     """Derivative of digamma for positive numbers."""
     y = x + float(SHIFT)
     below = sum((1.0 / ((x + float(k)) * (x + float(k))) for k in range(1, SHIFT)), 1.0 / (x * x))
     return 1.0 / y + 0.5 / (y * y) + polynomial(TRIGAMMA_SERIES, 1.0 / (y * y)) / (y * y * y) + below
 
 
-def gamma_shape_start(gap: Column) -> Column:
+def gamma_shape_start(gap: np.ndarray) -> np.ndarray:
     """Shape whose ln a - digamma(a) is about ``gap``, the log of the mean less the mean log; within 1.5 %."""
-    return (3.0 - gap + F.sqrt((gap - 3.0) * (gap - 3.0) + 24.0 * gap)) / (12.0 * gap)
+    return (3.0 - gap + np.sqrt((gap - 3.0) * (gap - 3.0) + 24.0 * gap)) / (12.0 * gap)
 
 
-def gamma_shape_step(shape: Column, gap: Column) -> Column:
+def gamma_shape_step(shape: np.ndarray, gap: np.ndarray) -> np.ndarray:
     """One Newton step of the likelihood equation in 1 / shape, where it is nearly a line (Minka 2002)."""
     slope = shape * shape * (1.0 / shape - trigamma(shape))
-    return 1.0 / (1.0 / shape + (F.log(shape) - digamma(shape) - gap) / slope)
+    return 1.0 / (1.0 / shape + (np.log(shape) - digamma(shape, np.log) - gap) / slope)
+
+
+@F.pandas_udf(T.DoubleType())
+def gamma_shape(gap: pd.Series) -> pd.Series:
+    """The shape of the gamma distribution of largest likelihood, a batch of rows at a time; missing where ``gap`` is."""
+    at = np.asarray(gap, dtype="float64")
+    with np.errstate(all="ignore"):
+        shape = gamma_shape_start(at)
+        for _ in range(NEWTON_STEPS):
+            shape = gamma_shape_step(shape, at)
+    return pd.Series(shape)
+
+
+@F.pandas_udf(T.DoubleType())
+def _gamma_p(shape: pd.Series, x: pd.Series, log_gamma_of_shape: pd.Series) -> pd.Series:
+    """P(shape, x) of positive arguments, a batch of rows at a time; missing where an argument is."""
+    a_all, v_all, lg_all = (np.asarray(c, dtype="float64") for c in (shape, x, log_gamma_of_shape))
+    out = np.full(len(a_all), np.nan)
+    usable = ~(np.isnan(a_all) | np.isnan(v_all))
+    low = usable & (v_all < a_all + 1.0)
+    with np.errstate(all="ignore"):
+        weight = np.exp(a_all * np.log(v_all) - v_all - lg_all)
+        for at, method in ((low, _power_series), (usable & ~low, _continued_fraction)):
+            if at.any():
+                out[at] = method(a_all[at], v_all[at], weight[at])
+    return pd.Series(out)
+
+
+def _terms(a: np.ndarray) -> np.ndarray:
+    return np.ceil(9.0 * np.sqrt(a)).astype("int64") + 40
+
+
+def _power_series(a: np.ndarray, v: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    term = 1.0 / a
+    total = term.copy()
+    # A term that no longer changes the total stays so small: terms fall from here on, as v < a + 1.
+    for k in range(1, int(_terms(a).max()) + 1):
+        term = term * v / (a + k)
+        total += term
+        if not (term > 1e-17 * total).any():
+            break
+    return weight * total
+
+
+def _continued_fraction(a: np.ndarray, v: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    first = v + 1.0 - a
+    c, d = np.full(len(a), 1e300), 1.0 / first
+    h = d.copy()
+    for k in range(1, int(_terms(a).max()) + 1):
+        numerator, b = -k * (k - a), first + 2.0 * k
+        d = 1.0 / (b + numerator * d)
+        c = b + numerator / c
+        h *= c * d
+        if not (np.abs(c * d - 1.0) > 1e-16).any():
+            break
+    return 1.0 - weight * h
 
 
 def gamma_p(shape: Column, x: Column) -> Column:
     """Regularised lower incomplete gamma function P(shape, x).
 
     Below shape + 1 the power series, above it the continued fraction by Lentz's rule; both take a number of terms
-    that grows with the root of the shape, and stop changing long before.
+    that grows with the root of the shape, and end where no row of the batch changes any more.
     """
-    a, v = shape, F.greatest(x, F.lit(1e-300))
-    weight = F.exp(a * F.log(v) - v - log_gamma(a))
-    terms = F.sequence(F.lit(1), F.ceil(9.0 * F.sqrt(a)).cast("int") + 40)
-    one = (1.0 / a).cast("double")
-    series = F.aggregate(
-        terms,
-        F.struct(one.alias("term"), one.alias("total")),
-        lambda s, k: F.struct((s["term"] * v / (a + k)).alias("term"), (s["total"] + s["term"] * v / (a + k)).alias("total")),
-        lambda s: s["total"],
-    )
-    first = v + 1.0 - a
-
-    def lentz(s: Column, k: Column) -> Column:
-        numerator, b = -k * (k - a), first + 2.0 * k
-        d = 1.0 / (b + numerator * s["d"])
-        c = b + numerator / s["c"]
-        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
-
-    start = F.struct(F.lit(1e300).alias("c"), (1.0 / first).cast("double").alias("d"), (1.0 / first).cast("double").alias("h"))
-    fraction = F.aggregate(terms, start, lentz, lambda s: s["h"])
-    inside = F.when(v < a + 1.0, weight * series).otherwise(1.0 - weight * fraction)
+    inside = _gamma_p(shape, F.greatest(x, F.lit(1e-300)), log_gamma(shape))
     return F.when(x <= 0, F.lit(0.0)).when(x.isNotNull() & shape.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), inside)))
 
 

@@ -39,8 +39,7 @@ def _fit_parameters(min_periods: int, end: str = "", fit: str = CLOSED) -> dict[
     n, n_pos, mean, mean_log = (F.col(f"{c}{end}") for c in ("__n", "__n_pos", "__mean", "__mean_log"))
     gap = F.log(F.greatest(mean, F.lit(TINY))) - mean_log
     if fit == LIKELIHOOD:
-        steps = F.sequence(F.lit(1), F.lit(special.NEWTON_STEPS))
-        found = F.aggregate(steps, special.gamma_shape_start(gap), lambda a, _: special.gamma_shape_step(a, gap))
+        found = special.gamma_shape(gap)
     else:
         found = (1.0 + F.sqrt(1.0 + 4.0 * gap / 3.0)) / (4.0 * gap)
     shape = F.when(gap <= NO_SPREAD, F.lit(1.0)).otherwise(found)
@@ -100,12 +99,14 @@ def _exact_indices(fitted: DataFrame, scales: list[int]) -> DataFrame:
     """Indices by the incomplete gamma function and the exact normal quantile."""
     of = lambda name, k: F.col(f"{name}{k}")
 
+    # All scales together, so that rows go to the vectorised function once.
+    below = fitted.withColumns({f"__below{k}": special.gamma_p(of("shape", k), of("__acc", k) / of("scale", k)) for k in scales})
+
     def probability(k: int) -> Column:
-        below = special.gamma_p(of("shape", k), of("__acc", k) / of("scale", k))
-        mixed = F.when(of("__acc", k) <= 0, of("q_zero", k)).otherwise(of("q_zero", k) + (1.0 - of("q_zero", k)) * below)
+        mixed = F.when(of("__acc", k) <= 0, of("q_zero", k)).otherwise(of("q_zero", k) + (1.0 - of("q_zero", k)) * of("__below", k))
         return clip(mixed, P_FLOOR, 1.0 - P_FLOOR)
 
-    staged = stage(fitted, {f"__p{k}": probability(k) for k in scales})
+    staged = stage(below, {f"__p{k}": probability(k) for k in scales})
     known = lambda k: of("__acc", k).isNotNull() & of("q_zero", k).isNotNull()
     return staged.withColumns({f"spi_{k}": F.when(known(k), clip(special.normal_quantile(of("__p", k)), -Z_LIMIT, Z_LIMIT)) for k in scales})
 
