@@ -15,13 +15,13 @@ from granary.functions.stats import chi2_tail, f_tail
 from granary.operators.hypothesis import ALPHA, INSUFFICIENT, KEEP, REJECT, normality
 from granary.operators.ordered import over_history, row_positions, running_total
 from granary.operators.quantiles import exact_quantiles, median_and_mad, medians
-from granary.session import cut_lineage
+from granary.session import cut_lineage, written
 
 
 @nan_is_missing
 def shares(df: DataFrame, keys: list[str], item: str, value: str) -> DataFrame:
-    """Total per item and its share of the group; items are aggregated before totals."""
-    totals = df.groupBy(*keys, item).agg(F.sum(value).alias("total"))
+    """Total per item and its share of the group; items are aggregated, and kept, before totals, so ``df`` is read once."""
+    totals = written(df.groupBy(*keys, item).agg(F.sum(value).alias("total")), "shares")
     groups = totals.groupBy(*keys).agg(F.sum("total").alias("__all"))
     return attach(totals, groups, keys, "left").select(
         *keys, item, "total", safe_divide(F.col("total"), F.col("__all")).alias("share")
@@ -322,7 +322,6 @@ def running_minimum(df: DataFrame, keys: list[str], order: list[Column], value:
 
     from granary.functions.nulls import same_keys
     from granary.operators.ordered import fits
-    from granary.session import cut_lineage
 
     if fits(df, keys, bounded):
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -21,7 +21,9 @@ def revenue(spark, sf, *dimensions):
     rows = lineitem(spark, sf)
     if "destino" in dimensions:
         o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
-        rows = rows.join(o, rows.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey).withColumn("destino", F.col("c_nationkey"))
+        # Orders meet their customers first, so that lines are moved once.
+        placed = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", F.col("c_nationkey").alias("destino"))
+        rows = rows.join(placed, rows.l_orderkey == placed.o_orderkey)
     if "origen" in dimensions:
         s = table(spark, sf, "supplier")
         rows = rows.join(s, F.col("l_suppkey") == s.s_suppkey).withColumn("origen", F.col("s_nationkey"))
