@@ -217,16 +217,27 @@ def monthly_climate(climate: DataFrame) -> DataFrame:
 
 
 # The analytic view: facts meet their dimensions, climate joins from the left.
-VIEW_SQL = """
+VIEW_COLUMNS = """
 SELECT t.anio, t.mes, t.trimestre, m.cod_municipio, m.nombre_municipio, m.nombre_departamento,
        p.nombre_producto, p.variedad,
        e.area_sembrada_ha, e.area_cosechada_ha, e.produccion_ton, e.rendimiento_ton_ha,
-       c.precipitacion_mensual_mm, c.temperatura_media_c, c.spi_3, c.anomalia_termica_z
+       {of}.precipitacion_mensual_mm, {of}.temperatura_media_c, {of}.spi_3, {of}.anomalia_termica_z
+"""
+# Monthly climate keeps the number of facts, so it joins before the names do: rows are still narrow when they move.
+VIEW_SQL = VIEW_COLUMNS.format(of="e") + """
+FROM (SELECT f.*, c.precipitacion_mensual_mm, c.temperatura_media_c, c.spi_3, c.anomalia_termica_z
+      FROM fact_produccion_eva f LEFT JOIN clima_mensual c ON c.id_tiempo = f.id_tiempo AND c.cod_municipio = f.cod_municipio) e
+JOIN dim_tiempo t USING (id_tiempo)
+JOIN dim_producto p USING (id_producto)
+JOIN dim_municipio m USING (cod_municipio)
+"""
+# Raw observations repeat the facts and join last.
+COMPAT_VIEW_SQL = VIEW_COLUMNS.format(of="c") + """
 FROM fact_produccion_eva e
 JOIN dim_tiempo t USING (id_tiempo)
 JOIN dim_municipio m USING (cod_municipio)
 JOIN dim_producto p USING (id_producto)
-LEFT JOIN {climate} c ON c.id_tiempo = e.id_tiempo AND c.cod_municipio = e.cod_municipio
+LEFT JOIN fact_clima_ideam c ON c.id_tiempo = e.id_tiempo AND c.cod_municipio = e.cod_municipio
 """
 
 OLAP_SQL = """
@@ -241,20 +252,22 @@ LIMIT :top
 """
 
 
+def register_tables(tables: dict[str, DataFrame]) -> None:
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+
+
 def register(tables: dict[str, DataFrame], compat: bool = False) -> None:
     """Temp views for every table plus the analytic view.
 
     By default climate is averaged per month and town first; ``compat`` joins raw
     observations, which repeats a fact once per observation.
     """
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
+    register_tables(tables)
     spark = next(iter(tables.values())).sparkSession
-    climate = "fact_clima_ideam"
     if not compat:
-        monthly_climate(tables[climate]).createOrReplaceTempView("clima_mensual")
-        climate = "clima_mensual"
-    spark.sql(VIEW_SQL.format(climate=climate)).createOrReplaceTempView(VIEW)
+        monthly_climate(tables["fact_clima_ideam"]).createOrReplaceTempView("clima_mensual")
+    spark.sql(COMPAT_VIEW_SQL if compat else VIEW_SQL).createOrReplaceTempView(VIEW)
 
 
 def execute_query(spark: SparkSession, sql: str, params: dict | None = None) -> DataFrame:

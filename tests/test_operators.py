@@ -183,6 +183,10 @@ def test_star_schema(spark):
     assert (fact.id_tiempo, fact.id_producto, fact.produccion_ton) == (202212, 1, 0.0)
 
 
+def test_monthly_climate_joins_facts_before_names(spark):
+    assert star.VIEW_SQL.index("clima_mensual") < star.VIEW_SQL.index("dim_municipio")
+
+
 def test_battery(spark):
     rng = np.random.default_rng(1)
     rows = [(i, float(rng.normal(10, 2)), float(i + rng.normal()), "abc"[i % 3]) for i in range(60)]
