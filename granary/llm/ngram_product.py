@@ -9,8 +9,9 @@ multiplied, and only in columns that matter:
    n - ceil(t n) + 1. Only these columns are multiplied, and only those that two rows have.
 3. Where two rows meet in a column, the pair is compared with the bound that the sizes give: what they can still share from
    there on must reach t / (1 + t) of both sizes. Each row also carries ``MARKS`` parity bits of its n-grams: marks that
-   differ are never more than n-grams that differ, which bounds the overlap from above. What is left gets its whole overlap
-   summed up, and only rows in such pairs are read again whole.
+   differ are never more than n-grams that differ, which bounds the overlap from above. What is left is compared by counts
+   of n-grams in bins (``counts_of``), whose number grows with the set, so that long sets are told apart too. Only rows in pairs
+   that this leaves are read again whole, and their whole overlap is summed up.
 4. A column that a whole group of copies shares is not multiplied out. In a first product two rows stand for each
    column, the one whose place of this column is earliest and one that a hash picks anew in each column; every row meets
    two of those that stand for its columns, and their links make components (large-star and small-star steps). It may leave links out. In a second product, rows of different components meet, so a group that hangs together already gives no pairs.
@@ -47,6 +48,10 @@ PART = 4_096
 FILTER_BITS = 1 << 26
 #: Parity bits of a set; a multiple of 64.
 MARKS = 512
+#: Bins that the smallest sets are counted in (a power of two).
+LEAST_BINS = 64
+#: Rows of a column up to which its rows are compared by size and place before anything else is done with them.
+SHORT = 8
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -82,6 +87,21 @@ def marks_of(members: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool)).view("<i8")
 
 
+def counts_of(members: np.ndarray) -> bytes:
+    """How many n-grams fall on each of as many bins as the set has n-grams, rounded down to a power of two; one byte each, so that a
+    set of any size is told from others as well as a small one. Fuller bins count as 255, which only brings two sets closer."""
+    bins = max(LEAST_BINS, 1 << max(0, len(members).bit_length() - 1))
+    found = np.bincount((members % np.uint64(bins)).astype(np.int64), minlength=bins)
+    return np.minimum(found, 255).astype(np.uint8).tobytes()
+
+
+def counts_differ(a: bytes, b: bytes) -> int:
+    """By how much the counts of two sets differ: never more than their n-grams do. The finer ones are folded into the coarser bins."""
+    x, y = (np.frombuffer(c, np.uint8).astype(np.int64) for c in (a, b))
+    bins = min(len(x), len(y))
+    return int(np.abs(x.reshape(-1, bins).sum(axis=0) - y.reshape(-1, bins).sum(axis=0)).sum())
+
+
 def _scan(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, hash of the text, sid, n of every document, the sketch)."""
     shift = np.uint64(64 - (COUNTERS.bit_length() - 1))
@@ -174,39 +194,67 @@ def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(bits[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1))
 
 
-def _columns(prefixes: DataFrame) -> DataFrame:
+def may_link(g: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
+    """Which places (g, n, pos), in the order of g, have another one in their column whose row they can link with, if the column is the
+    first that both share. Columns have SHORT places at most; the first and the last one may go on outside, so all of them stay."""
+    fit = np.zeros(len(g), bool)
+    for d in range(1, min(SHORT, len(g))):
+        na, nb = n[:-d], n[d:]
+        pair = (g[:-d] == g[d:]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+        pair &= (100 + percent) * np.minimum(na - pos[:-d], nb - pos[d:]) >= percent * (na + nb)
+        fit[:-d] |= pair
+        fit[d:] |= pair
+    return fit | (g == g[0]) | (g == g[-1])
+
+
+def _columns(prefixes: DataFrame, percent: int) -> DataFrame:
     """(g, sid, n, marks, pos): the n-grams of prefixes that two rows have there, and these rows; few of all, so that most are left out
-    by the filter where they are read."""
-    found = prefixes.select(F.explode("prefix").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g")
+    by the filter where they are read. Most columns are short ones that rows share by chance: of these, rows stay only if size and
+    place let them link with another. Longer ones keep all rows and are spread. Marks come last, as they are most of a row."""
+    found = prefixes.select(F.explode("prefix").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     shared = written(found, "shared")
-    bits = _bits_of(shared.select(F.col("g").alias("k")))
+    bits, long = (_bits_of(shared.where(F.col("k") > k).select(F.col("g").alias("k"))) for k in (1, SHORT))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            g = batch.column(3).flatten().to_numpy(zero_copy_only=False)
-            sizes = batch.column(3).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            g = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(len(sizes)), sizes)
             pos = np.arange(len(g)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             hit = _passes(bits, g)
-            own = [batch.column(k).take(pa.array(row[hit])) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(g[hit]), *own, pa.array(pos[hit])], names=["g", "sid", "n", "marks", "pos"])
+            sid, n = (batch.column(k).to_numpy(zero_copy_only=False)[row[hit]] for k in range(2))
+            short = np.ones(len(hit), bool)
+            short[_passes(long, g[hit])] = False
+            yield pa.RecordBatch.from_arrays([pa.array(g[hit]), pa.array(sid), pa.array(n), pa.array(pos[hit]), pa.array(sid, mask=short)], names=["g", "sid", "n", "pos", "spread"])
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                g, n, pos = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
+                stay = may_link(g, n, pos, percent) | batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+                yield batch.select([0, 1, 2, 3]).filter(pa.array(stay))
 
-    return prefixes.select("sid", "n", "marks", "prefix").mapInArrow(cut, "g long, sid long, n long, marks array<long>, pos long").join(shared, "g")
+    places = prefixes.select("sid", "n", "prefix").mapInArrow(cut, "g long, sid long, n long, pos long, spread long")
+    places = places.repartition("g", "spread").sortWithinPartitions("g").mapInArrow(prune, "g long, sid long, n long, pos long")
+    return places.join(prefixes.select("sid", "marks"), "sid").select("g", "sid", "n", "marks", "pos")
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(sid, members) of the wanted sets (columns sid, th); other texts are neither moved nor cut again, but for what the filter lets through."""
+def _read_again(docs: DataFrame, wanted: DataFrame, words: int, counted: bool = False) -> DataFrame:
+    """(sid, members), or (sid, counts), of the wanted sets (columns sid, th); other texts are neither moved nor cut again, but for what the
+    filter lets through."""
     bits = _bits_of(wanted.select(F.col("th").alias("k")))
+    name, kind = ("counts", "binary") if counted else ("members", "array<long>")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = _passes(bits, batch.column(0).to_numpy(zero_copy_only=False))
             sets = [ngram_set(batch.column(1)[k].as_py(), words) for k in hit.tolist()]
             sets = [s for s in sets if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), _lists([s.view(np.int64) for s in sets])], names=["sid", "members"])
+            own = pa.array([counts_of(s) for s in sets], pa.binary()) if counted else _lists([s.view(np.int64) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), own], names=["sid", name])
 
-    found = docs.select(F.xxhash64("text").alias("th"), "text").mapInArrow(cut, "sid long, members array<long>")
-    return found.join(wanted.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.first("members").alias("members"))
+    found = docs.select(F.xxhash64("text").alias("th"), "text").mapInArrow(cut, f"sid long, {name} {kind}")
+    return found.join(wanted.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.first(name).alias(name))
 
 
 # --- products --------------------------------------------------------------------------------------------------------
@@ -227,16 +275,43 @@ def _marks_fit(a: str, b: str, na: Column, nb: Column, percent: int) -> Column:
     return (100 + percent) * (na + nb - differ) >= 2 * percent * (na + nb)
 
 
+def _places_fit(n: Column, pos: Column, n_b: Column, pos_b: Column, percent: int) -> Column:
+    """Whether two rows can link if a column in these places is the first that they share."""
+    return _reaches(F.least(n - pos, n_b - pos_b), n, n_b, percent)
+
+
+def _with_both(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b, na, nb) with the column of both rows, under the names of the rows."""
+    own = [rows.select(F.col("sid").alias(end), F.col(column).alias(f"{column}_{end}")) for end in "ab"]
+    return pairs.join(own[1], "b").join(own[0], "a")
+
+
+def _counts_fit(pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b, na, nb, counts_a, counts_b) whose overlap can reach the bound, going by the counts. Marks tell only sets
+    apart that are not much larger than they are; without this, long texts that share a column would all be moved whole."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = (batch.column(2).to_numpy(zero_copy_only=False) + batch.column(3).to_numpy(zero_copy_only=False)).astype(np.int64)
+            differ = np.array([counts_differ(a.as_py(), b.as_py()) for a, b in zip(batch.column(4), batch.column(5))], np.int64)
+            yield batch.select([0, 1, 2, 3]).filter(pa.array((100 + percent) * (both - differ) >= 2 * percent * both))
+
+    return pairs.select("a", "b", "na", "nb", "counts_a", "counts_b").mapInArrow(cut, "a long, b long, na long, nb long")
+
+
 def _linked(docs: DataFrame, pairs: DataFrame, named: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b, na, nb) whose whole overlap reaches the bound. ``named`` has a text's hash (th) for each sid."""
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        either = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+        return written(named.join(either, "sid", "left_semi").select("sid", "th"), "ends")
+
     pairs = written(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    sets = written(_whole_sets(docs, named.join(ends, "sid", "left_semi").select("sid", "th"), words), "sets")
-    left = sets.select(F.col("sid").alias("a"), F.col("members").alias("ma"))
-    right = sets.select(F.col("sid").alias("b"), F.col("members").alias("mb"))
-    whole = pairs.join(right, "b").join(left, "a")
-    overlap = F.size(F.array_intersect("ma", "mb")).cast("long")
-    return whole.where(_reaches(overlap, F.col("na"), F.col("nb"), percent)).select("a", "b")
+    counts = written(_read_again(docs, ends(pairs), words, counted=True), "counts")
+    pairs = written(_counts_fit(_with_both(pairs, counts, "counts"), percent), "pairs")
+    sets = written(_read_again(docs, ends(pairs), words), "sets")
+    overlap = F.size(F.array_intersect("members_a", "members_b")).cast("long")
+    return _with_both(pairs, sets, "members").where(_reaches(overlap, F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
 def _first_product(columns: DataFrame, percent: int) -> DataFrame:
@@ -261,12 +336,11 @@ def _second_product(columns: DataFrame, component: DataFrame, percent: int) -> D
     rows = labelled.join(most, "g").withColumn("parts", F.ceil(F.col("rows") / PART).cast("int"))
     asked = rows.select("g", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "marks", "pos", "c")], "most")
     asking = rows.where("c <> most").select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "sid", "n", "marks", "pos", "c")
-    bound = F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))  # if this is the first column they share
     met = asking.join(asked, ["g", "part"]).where(
         (F.col("c") != F.col("c_b"))
         & ((F.col("c_b") == F.col("most")) | (F.col("sid") < F.col("sid_b")))  # each pair from one side
         & _sizes_fit(F.col("n"), F.col("n_b"), percent)
-        & _reaches(bound, F.col("n"), F.col("n_b"), percent)
+        & _places_fit(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b"), percent)
         & _marks_fit("marks", "marks_b", F.col("n"), F.col("n_b"), percent)
     )
     return met.select(F.col("sid").alias("a"), F.col("sid_b").alias("b"), F.col("n").alias("na"), F.col("n_b").alias("nb")).distinct()
@@ -276,7 +350,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     """doc_id, n_shingles and component_id, the smallest doc_id that links reach, of every document."""
     rows, sketch = _scan(docs, words)
     prefixes = written(_prefixes(docs, sketch, words, percent), "prefixes")
-    columns = written(_columns(prefixes), "columns")
+    columns = written(_columns(prefixes, percent), "columns")
     named = written(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first"), F.min("th").alias("th")), "named")
     found = components(_linked(docs, _first_product(columns, percent), named, words, percent))
     more = written(_linked(docs, _second_product(columns, found, percent), named, words, percent), "links")

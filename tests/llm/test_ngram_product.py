@@ -94,3 +94,80 @@ def test_empty_table_null_ids_and_clashing_columns(spark):
     docs = spark.createDataFrame(rows, schema)
     assert sorted((tuple(r) for r in m.jaccard_components(docs).collect()), key=repr) == [(5, 2, 5), (None, 0, None), (None, 2, 5)]
     assert m.jaccard_components(docs.where("n = 'none'")).collect() == []
+
+
+def blocks_corpus(seed, pairs=12, short=False):
+    """Pairs of long texts that share a rare block and have little else in common but common blocks; one is followed by a near copy."""
+    rnd = random.Random(seed)
+    block = lambda: [f"{rnd.randrange(10**6)}x" for _ in range(100)]
+    common = [block() for _ in range(40)]
+    rows = []
+    for k in range(pairs):
+        rare = block()
+        for j in range(2):
+            own = list(rare)
+            for c in rnd.sample(common, 1 if short and j else 12):
+                own += c
+            rows.append(own)
+        if not k:
+            rows.append(rows[-1][:-8] + ["end"])
+    return [(k, " ".join(w)) for k, w in enumerate(rows)]
+
+
+def seen(monkeypatch, look):
+    """What ``look`` says of each table that is written, by label."""
+    found, write = {}, m.written
+
+    def spy(df, label):
+        out = write(df, label)
+        found.setdefault(label, []).append(look(out, label))
+        return out
+
+    monkeypatch.setattr(m, "written", spy)
+    return found
+
+
+def test_long_texts_that_share_a_block_are_not_moved_whole(spark, monkeypatch):
+    rows = blocks_corpus(7)
+    found = seen(monkeypatch, lambda df, label: df.count() if label == "sets" else None)
+    got = m.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert sorted(tuple(r) for r in got.collect()) == plain_components(rows)
+    assert 2 <= sum(found["sets"]) <= 6  # the two that link, and few others; all 25 met in a column
+
+
+def test_two_rows_that_sizes_keep_apart_share_no_column(spark, monkeypatch):
+    def apart(df, label):
+        if label == "columns":
+            return df.groupBy("g").agg({"n": "min", "*": "count"}).join(df.groupBy("g").agg({"n": "max"}), "g").where("`count(1)` = 2 AND 100 * `min(n)` < 80 * `max(n)`").count()
+
+    rows = blocks_corpus(9, short=True)
+    found = seen(monkeypatch, apart)
+    got = m.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert sorted(tuple(r) for r in got.collect()) == plain_components(rows)
+    assert found["columns"][0] <= 60  # those at the ends of batches; hundreds are shared
+
+
+def test_counts_bound_the_overlap():
+    rnd = random.Random(6)
+    for n in (1, 5, 90, 700, 9000):
+        a = [str(rnd.randrange(10**6)) for _ in range(n)]
+        for b in ([w if rnd.random() > 0.02 else "x" for w in a], a[: n * 4 // 5], [w + "y" for w in a], ["z"] * 6):
+            x, y = (m.ngram_set(" ".join(w)) for w in (a, b))
+            differ = m.counts_differ(m.counts_of(x), m.counts_of(y))
+            assert differ == m.counts_differ(m.counts_of(y), m.counts_of(x)) <= len(np.setxor1d(x, y))
+            if n > 50 and b[0] == a[0] + "y":
+                assert 180 * (len(x) + len(y) - differ) < 160 * (len(x) + len(y))  # sets of any size are told apart
+    same = np.full(1000, 64, np.uint64) * np.arange(1000, dtype=np.uint64)  # more than a byte holds in one bin
+    assert m.counts_differ(m.counts_of(same), m.counts_of(same)) == 0
+
+
+def test_places_that_may_link():
+    rnd = random.Random(8)
+    for _ in range(50):
+        g = np.array(sorted(k for k in range(40) for _ in range(rnd.randint(1, m.SHORT))))
+        n = np.array([rnd.choice([10, 11, 12, 13, 50, 55]) for _ in g])
+        pos = np.array([rnd.randrange(0, k // 5 + 1) for k in n])
+        for p, stay in enumerate(m.may_link(g, n, pos, 80)):
+            others = [q for q in range(len(g)) if q != p and g[q] == g[p]]
+            fit = any(100 * min(n[p], n[q]) >= 80 * max(n[p], n[q]) and 180 * min(n[p] - pos[p], n[q] - pos[q]) >= 80 * (n[p] + n[q]) for q in others)
+            assert stay == (fit or g[p] in (g[0], g[-1]))
